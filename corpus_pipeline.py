@@ -1,22 +1,47 @@
-"""The corpus pipeline: four filters or rewrites of ``documents``, then encoding."""
+"""The corpus pipeline over ``documents``: language, near-duplicates, benchmark, PII, encoding.
+
+Every stage but the last returns the columns of ``documents``; what it rejects or rewrites is
+gone or rewritten for the stages after it.
+"""
 
 from __future__ import annotations
 
-from siteweave.llm import simhash
+from siteweave.llm import encoding, language, simhash
+from siteweave.llm.common import table, write_table
+from siteweave.llm.registry import PIECE_MODEL
+
+#: A document stays if its best language has at least this posterior.
+LEAST_POSTERIOR = 0.5
+
+
+def identify_language(spark, docs, sf_dir):
+    """Rejects documents without a letter and those of no clear language."""
+    scorer = language.learn(docs.where(language.fold() != 2), PIECE_MODEL)
+    found = language.predict(docs, scorer, out="__language")
+    return found.where(f"__language.lang_pred <> 'und' and __language.score >= {LEAST_POSTERIOR}").select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
+    """Keeps the document with the smallest id of each near-duplicate component."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash", near_duplicates)]
+def encode(spark, docs, sf_dir):
+    """Ids of every kept text."""
+    return encoding.encode(docs.select("doc_id", "text"), PIECE_MODEL).select("doc_id", "encoded.*")
+
+
+STAGES = [
+    ("language", identify_language),
+    ("simhash", near_duplicates),
+    ("sentencepiece", encode),
+]
+#: Fingerprints, learned models and segmentations are beyond SQL; tests hold each stage to brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    from siteweave.llm.common import write_table
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import encoding, language, simhash, token_counts
 from .common import table
 
+TOKENIZERS = "/opt/tokenizers"
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+TOKEN_LIMIT = 512
+
 
 def op1_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -15,8 +20,36 @@ def op1_simhash(spark, sf_dir):
     )
 
 
+def op7_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, BYTE_BPE).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+    )
+
+
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scorer = language.learn(docs.where(language.fold() != 2), PIECE_MODEL)
+    held_out = F.coalesce(language.fold() == 2, F.lit(False))
+    found = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), scorer)
+    return found.select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
+def op9_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoding.encode(docs, PIECE_MODEL).select("doc_id", "encoded.*")
+
+
 def queries():
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op7_token_counts": op7_token_counts,
+        "op8_language": op8_language,
+        "op9_sentencepiece": op9_sentencepiece,
+    }
 
 
 def oracle_sql():
