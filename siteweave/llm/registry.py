@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import encoding, language, simhash, token_counts
+from . import encoding, language, pii, secrets, simhash, spans, token_counts
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -20,6 +20,24 @@ def op1_simhash(spark, sf_dir):
     )
 
 
+def _digest(found, kinds):
+    """The columns that both span queries return: a count per base kind, a hash and all spans."""
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[spans.count_kind(F.col("base"), k).alias(f"n_{k}") for k in kinds],
+        F.sha2(spans.as_text(F.col("base")), 256).alias("base_sha256"),
+        spans.as_text(F.concat("base", "added")).alias("spans"),
+    )
+
+
+def op3_secrets(spark, sf_dir):
+    return _digest(secrets.find_secrets(table(spark, sf_dir, "documents")), ["assign", "access", "hex"])
+
+
+def op4_pii(spark, sf_dir):
+    return _digest(pii.find_pii(table(spark, sf_dir, "documents")), ["email", "ip", "card", "phone"])
+
+
 def op7_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, BYTE_BPE).select(
@@ -46,6 +64,8 @@ def op9_sentencepiece(spark, sf_dir):
 def queries():
     return {
         "op1_simhash": op1_simhash,
+        "op3_secrets": op3_secrets,
+        "op4_pii": op4_pii,
         "op7_token_counts": op7_token_counts,
         "op8_language": op8_language,
         "op9_sentencepiece": op9_sentencepiece,
