@@ -78,13 +78,13 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPOR
             F.avg("score").alias("mean"), F.sum((F.col("score") >= 0.5).cast("long")).alias("seeds")
         ).select("label", "seeds", F.when(F.col("seeds") >= support, F.col("mean")).otherwise(0.0).alias("confidence"))
         patterns = write_table(patterns, "patterns")
-        kept = F.least(F.col("confidence"), F.lit(0.999))
+        kept = F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999))
         scores = write_table(
             edges.join(patterns.where("confidence > 0"), "label", "left")
             .groupBy("instance")
             .agg(
                 F.greatest(
-                    F.max(F.col("seed").cast("double")), 1 - F.exp(F.sum(F.log1p(-F.coalesce(kept, F.lit(0.0)))))
+                    F.max(F.col("seed").cast("double")), 1 - F.exp(F.sum(F.log1p(-kept)))
                 ).alias("score")
             ),
             "instances",
