@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import encoding, language, pii, secrets, simhash, spans, token_counts
+from . import decontaminate, encoding, language, pii, secrets, simhash, spans, token_counts, warc
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -38,6 +38,16 @@ def op4_pii(spark, sf_dir):
     return _digest(pii.find_pii(table(spark, sf_dir, "documents")), ["email", "ip", "card", "phone"])
 
 
+def op5_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("hits"))
+
+
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, BYTE_BPE).select(
@@ -66,11 +76,24 @@ def queries():
         "op1_simhash": op1_simhash,
         "op3_secrets": op3_secrets,
         "op4_pii": op4_pii,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_warc": op6_warc,
         "op7_token_counts": op7_token_counts,
         "op8_language": op8_language,
         "op9_sentencepiece": op9_sentencepiece,
     }
 
 
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha1(encode(html)) as payload_digest from p),
+f as (select payload_digest, max(page_id) as first from d where payload_bytes >= 1000 group by 1 having count(*) > 1)
+select page_id, payload_bytes, payload_digest,
+       case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+       nullif(first, page_id) as refers_to
+from d left join f using (payload_digest)
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op6_warc": OP6_SQL}
