@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, encoding, language, pii, secrets, simhash, spans, token_counts, warc
+from . import decontaminate, encoding, language, neighbours, pii, secrets, simhash, spans, token_counts, warc
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -71,6 +71,11 @@ def op9_sentencepiece(spark, sf_dir):
     return encoding.encode(docs, PIECE_MODEL).select("doc_id", "encoded.*")
 
 
+def op10_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def queries():
     return {
         "op1_simhash": op1_simhash,
@@ -81,6 +86,7 @@ def queries():
         "op7_token_counts": op7_token_counts,
         "op8_language": op8_language,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_neighbours": op10_neighbours,
     }
 
 
