@@ -6,7 +6,9 @@ gone or rewritten for the stages after it.
 
 from __future__ import annotations
 
-from siteweave.llm import encoding, language, simhash
+from pyspark.sql import functions as F
+
+from siteweave.llm import decontaminate, encoding, language, pii, simhash
 from siteweave.llm.common import table, write_table
 from siteweave.llm.registry import PIECE_MODEL
 
@@ -26,6 +28,17 @@ def near_duplicates(spark, docs, sf_dir):
     return simhash.keep_one(docs)
 
 
+def drop_benchmark(spark, docs, sf_dir):
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark, docs, sf_dir):
+    """Replaces personal data by its kind; ``n_chars`` follows the text."""
+    done = pii.redact(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def encode(spark, docs, sf_dir):
     """Ids of every kept text."""
     return encoding.encode(docs.select("doc_id", "text"), PIECE_MODEL).select("doc_id", "encoded.*")
@@ -34,6 +47,8 @@ def encode(spark, docs, sf_dir):
 STAGES = [
     ("language", identify_language),
     ("simhash", near_duplicates),
+    ("decontaminate", drop_benchmark),
+    ("pii", redact_pii),
     ("sentencepiece", encode),
 ]
 #: Fingerprints, learned models and segmentations are beyond SQL; tests hold each stage to brute force.

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, encoding, language, neighbours, pii, secrets, simhash, spans, token_counts, warc
+from . import chat, decontaminate, encoding, language, neighbours, pii, secrets, simhash, spans, token_counts, warc
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 TOKEN_LIMIT = 512
 
 
@@ -20,6 +21,29 @@ def op1_simhash(spark, sf_dir):
     )
 
 
+#: A conversation about the template's own control strings.
+CONTROL_TALK = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(CONTROL_TALK, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_turns(turns, BYTE_RANKS, token_counts.PATTERN), BYTE_RANKS, token_counts.PATTERN)
+
+
+OP2_SQL = """
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, length(regexp_replace(text, '([\\[<])(␛*)(INST\\]|/INST\\]|s>|/s>|<SYS>>|</SYS>>|ROLE\\]|/ROLE\\]|/TURN\\])', '\\1\\2␛\\3', 'g')) as n from t)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(n + case role when 'user' then 13 when 'assistant' then 7 when 'system' then 15 else 20 + length(role) end)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
 def _digest(found, kinds):
     """The columns that both span queries return: a count per base kind, a hash and all spans."""
     return found.select(
@@ -79,6 +103,7 @@ def op10_neighbours(spark, sf_dir):
 def queries():
     return {
         "op1_simhash": op1_simhash,
+        "op2_chat": op2_chat,
         "op3_secrets": op3_secrets,
         "op4_pii": op4_pii,
         "op5_decontaminate": op5_decontaminate,
@@ -102,4 +127,4 @@ from d left join f using (payload_digest)
 
 
 def oracle_sql():
-    return {"op6_warc": OP6_SQL}
+    return {"op2_chat": OP2_SQL, "op6_warc": OP6_SQL}
