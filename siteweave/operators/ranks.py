@@ -2,7 +2,8 @@
 
 Everything starts from a histogram of scores (``groupBy`` group and score), and running sums
 over it are computed in range partitions: a window inside each partition, plus the totals of the
-partitions before it, of which there are as many as partitions.
+partitions before it, of which there are as many as partitions. The partitions' bounds come from
+a sample, so the ranged rows are checkpointed before they are read twice.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stable
+
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of the keys of two frames."""
@@ -24,7 +27,7 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: list[str
     ``order`` must be total within a group.
     """
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(spread, *[F.col(g) for g in group], *order).withColumn("__p", F.spark_partition_id())
+    ranged = stable(df.repartitionByRange(spread, *[F.col(g) for g in group], *order).withColumn("__p", F.spark_partition_id()))
     keys = [*group, "__p"]
     here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
