@@ -300,7 +300,7 @@ def confidence(c) -> Column:
     """FN-23: struct of label and ordinal (highest 3, higher 2, lower 1); ``unresolved:x`` has no ordinal."""
     z = F.lower(safe_text(c))
     rank = F.when(z.rlike(r"highest|\bhigh[-_ ]?est\b"), 3).when(z.rlike(r"higher|\bhigh[-_ ]?er\b"), 2).when(z.rlike(r"lower|\blow[-_ ]?er\b"), 1)
-    label = F.element_at(F.array(F.lit("lower"), F.lit("higher"), F.lit("highest")), rank)
+    label = F.when(rank == 3, "highest").when(rank == 2, "higher").when(rank == 1, "lower")
     label = F.when(z.isin("", "nan", "none"), F.lit(None)).otherwise(F.coalesce(label, F.concat(F.lit("unresolved:"), z)))
     return F.struct(label.alias("label"), rank.cast("double").alias("ordinal"))
 
@@ -327,17 +327,33 @@ def source_fields(flags: dict[str, Column]) -> list[Column]:
     return [breadth.alias("source_breadth"), pattern.alias("source_pattern")]
 
 
+#: Labels of scored sites by domain and breadth, and bands of the percentile (fixed values).
+LAYERS = ("out_of_validated_domain", "multi_technology_supported", "single_source_ranked")
+READINGS = (
+    "not_scored_outside_validated_locally-single-U_domain",
+    "orthogonal_source_support_present; portability score is supplementary",
+    "use portability percentile/rank to prioritize orthogonal validation",
+)
+BANDS = (
+    (0.90, "high_validation_priority"),
+    (0.75, "elevated_validation_priority"),
+    (0.25, "intermediate_validation_priority"),
+)
+LAST_BAND = "lower_validation_priority"
+
+
 def evidence_labels(domain: Column, breadth: Column) -> list[Column]:
-    """FN-36: what a score may be read as, by domain and breadth."""
-    good = domain == "in_validated_domain"
-    layer = F.when(~good, "not_scored").when(breadth == 1, "single_technology").otherwise("multi_technology")
-    use = F.when(good, "relative_rank_within_source_pattern").otherwise("outside_validated_domain")
-    return [layer.alias("evidence_layer"), use.alias("interpretation")]
+    """FN-36: the evidence layer and how a score may be read, by domain and breadth."""
+    pick = lambda said: F.when(domain != "in_validated_domain", said[0]).when(breadth >= 2, said[1]).otherwise(said[2])
+    return [pick(LAYERS).alias("evidence_layer"), pick(READINGS).alias("interpretation")]
 
 
 def priority_band(p: Column) -> Column:
-    """FN-36: bands at .90, .75 and .25 of the percentile."""
-    return F.when(p.isNull(), F.lit(None)).when(p >= 0.90, "very_high").when(p >= 0.75, "high").when(p >= 0.25, "medium").otherwise("low")
+    """FN-36: the band of a percentile; null for null."""
+    out = F.when(p.isNull(), F.lit(None))
+    for least, name in BANDS:
+        out = out.when(p >= least, name)
+    return out.otherwise(LAST_BAND)
 
 
 def confirmation_excess(breadth_sum: Column, naive: Column) -> Column:

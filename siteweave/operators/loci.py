@@ -134,13 +134,20 @@ def attach(df: DataFrame, values: DataFrame, on: list[str]) -> tuple[DataFrame,
     return joined.withColumn("attached", F.col("__found").isNotNull()).drop("__found"), F.avg(F.col("attached").cast("double"))
 
 
+#: How a gene's labels map to its loci (fixed values).
+ONE_ASSIGNED, ONE_NOT, ONE_INVALID = "resolved_assigned", "resolved_not_assigned", "invalid_multiplicity"
+ALL_ASSIGNED, ALL_NOT, AMBIGUOUS = "resolved_all_assigned", "resolved_all_not_assigned", "ambiguous_duplicate_gene"
+
+
 def label_by_gene(sites: DataFrame, labels: DataFrame, gene: str) -> DataFrame:
-    """JN-15: assigned if a gene has as many labels as sites, ambiguous if fewer but some, else not assigned."""
-    n_sites = sites.groupBy(gene).agg(F.count("*").alias("__sites"))
-    n_labels = labels.groupBy(gene).agg(F.count("*").alias("__labels"))
-    joined = sites.join(n_sites, gene, "left").join(n_labels, gene, "left")
-    status = F.when(F.col("__labels").isNull(), "not_assigned").when(F.col("__labels") >= F.col("__sites"), "assigned").otherwise("ambiguous_duplicate")
-    return joined.select(*sites.columns, status.alias("assignment"))
+    """JN-15: per gene of ``sites`` the loci, the labels, and whether their numbers say which loci are labelled."""
+    n_sites = sites.groupBy(gene).agg(F.count("*").alias("n_loci"))
+    n_labels = labels.groupBy(gene).agg(F.count("*").alias("n_labels"))
+    per = n_sites.join(n_labels, gene, "left").fillna(0, ["n_labels"])
+    loci, given = F.col("n_loci"), F.col("n_labels")
+    single = F.when(given == 1, ONE_ASSIGNED).when(given == 0, ONE_NOT).otherwise(ONE_INVALID)
+    several = F.when(given == 0, ALL_NOT).when(given == loci, ALL_ASSIGNED).otherwise(AMBIGUOUS)
+    return per.withColumn("mapping_status", F.when(loci == 1, single).otherwise(several))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
