@@ -102,18 +102,19 @@ class Index:
             self.common[t] = True
             self.maxima[int(t)] = {int(b): float(tops[b]) for b in np.nonzero(tops)[0]}
 
-    def weight(self, term: int, item: int) -> float:
-        lo, hi = self.starts[term], self.starts[term + 1]
-        at = lo + np.searchsorted(self.who[lo:hi], item)
-        return float(self.impact[at]) if at < hi and self.who[at] == item else 0.0
-
-    def score(self, terms: list[int], item: int) -> float:
-        """The full score of an item for distinct terms; 0 if the block maxima rule it out."""
-        rare = sum(self.weight(t, item) for t in terms if not self.common[t])
+        self.weights: list[tuple[dict[int, float], dict[int, float]]] = [({}, {}) for _ in split]
+        for t in range(len(postings)):
+            for at in range(self.starts[t], self.starts[t + 1]):
+                self.weights[self.who[at]][int(self.common[t])][t] = float(self.impact[at])
+
+    def score(self, terms: set[int], item: int) -> float:
+        """The full score of an item for a passage's terms; 0 if the block maxima rule it out."""
+        rare, common = self.weights[item]
+        total = sum([x for t, x in rare.items() if t in terms])
         block = item // BLOCK
-        if rare + sum(self.maxima[t].get(block, 0.0) for t in terms if self.common[t]) < THRESHOLD:
+        if total + sum([top.get(block, 0.0) for t, top in self.maxima.items() if t in terms]) < THRESHOLD:
             return 0.0
-        return rare + sum(self.weight(t, item) for t in terms if self.common[t])
+        return total + sum([x for t, x in common.items() if t in terms])
 
     def candidates(self, ids: list[np.ndarray]) -> list[tuple[int, int, int]]:
         """(text, stretch, item) whose opened lists allow the threshold; ``ids`` holds -1 for other words."""
@@ -146,10 +147,13 @@ class Index:
             return [[] for _ in texts]
         split = [words_of(t.lower()) for t in texts]
         ids = [np.fromiter(map(self.terms.get, w, repeat(-1)), dtype=np.int32, count=len(w)) for w in split]
+        seen: tuple[int, int] | None = None
+        terms: set[int] = set()
         for doc, stretch, item in self.candidates(ids):
             span = slice(stretch * self.stride, (stretch + 2) * self.stride)
-            terms = np.unique(ids[doc][span])
-            score = self.score(terms[terms >= 0].tolist(), item)
+            if (doc, stretch) != seen:
+                seen, terms = (doc, stretch), set(ids[doc][span].tolist())
+            score = self.score(terms, item)
             if score < THRESHOLD:
                 continue
             name, *parts = self.items[item]
