@@ -46,7 +46,8 @@ def codon_columns(cds: Column) -> list[Column]:
     """FN-30: share of each of the 61 sense codons among the sense codons, without a stop at the end."""
     codons = F.filter(windows(cds, 3, 3), lambda c: c.rlike("^[ACGT]{3}$") & ~c.isin(*STOPS))
     names = ["".join(c) for c in product(DNA, repeat=3) if "".join(c) not in STOPS]
-    return [F.coalesce(F.try_divide(F.size(F.filter(codons, lambda x, c=c: x == c)), F.size(codons)), F.lit(0.0)).alias(f"codon_{c}") for c in names]
+    count = lambda codon: F.size(F.filter(codons, lambda x: x == codon))
+    return [F.coalesce(F.try_divide(count(c), F.size(codons)), F.lit(0.0)).alias(f"codon_{c}") for c in names]
 
 
 def positional_onehot(seq: Column, anchor: Column, offsets, prefix: str) -> list[Column]:

@@ -78,6 +78,12 @@ def transfer(rows: DataFrame, side: str, train: str, test: str, category: str, l
     return auroc(scored, "log_ratio", label).select(F.lit(train).alias("train"), F.lit(test).alias("test"), "n", "n_pos", "auroc")
 
 
+def category_auroc(scored: DataFrame, category: str, score: str, label: str, least: int = 20, group: list[str] = ()) -> DataFrame:
+    """ST-07: AUROC of a fixed score inside each category; null below ``least`` rows or with a single class."""
+    per = auroc(scored, score, label, [*group, category])
+    return per.withColumn("auroc", F.when(F.col("n") >= least, F.col("auroc")))
+
+
 def weighted_line(df: DataFrame, x: str, y: str, w: str, group: list[str] = ()) -> DataFrame:
     """ST-08: slope, intercept and weighted R-squared of y on x."""
     c = lambda e: F.sum(F.expr(e))

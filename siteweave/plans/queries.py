@@ -665,8 +665,11 @@ def sensitivity_subsets(spark, sf):
 
 
 def queries() -> dict[str, Build]:
+    from . import more  # noqa: F401  registers its queries
+
     return {name: q.run for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, q in QUERIES.items() if (sql := q.oracle()) is not None}

@@ -227,6 +227,24 @@ def positive_calls(df: DataFrame, flag: str, keys: list[str]) -> DataFrame:
     return df.where(fn.truthy(F.col(flag).cast("string")) & valid).select(*keys).distinct()
 
 
+def positive_universe(df: DataFrame, key: str, motif: str, fraction: str, expected: int) -> DataFrame:
+    """SRC-27: ``df`` with the percentile of the source's fraction; ValueError unless rows, keys and motifs are complete."""
+    from ..operators.ranks import percentile_ranks
+
+    row = df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"), F.count_if(F.col(motif).isNull()).alias("missing")).first()
+    if row["n"] != expected or row["keys"] != expected or row["missing"]:
+        raise ValueError(f"{row['n']} rows and {row['keys']} keys of {expected}, {row['missing']} without a motif")
+    return percentile_ranks(df, fraction, out="fraction_percentile")
+
+
+def header_above(cells: DataFrame, blocks: DataFrame, reach: int = 10) -> DataFrame:
+    """SRC-31: for each block (file, sheet, col, first_row) the nearest text above it in its column, within ``reach`` rows."""
+    text = fn.safe_text("value")
+    near = cells.select(*SHEET, "col", "row", text.alias("header")).where((F.col("header") != "") & ~F.col("header").rlike(NUMBER))
+    joined = blocks.join(near, [*SHEET, "col"]).where(F.col("row").between(F.col("first_row") - reach, F.col("first_row") - 1))
+    return joined.groupBy(*SHEET, "col", "first_row").agg(F.max_by("header", "row").alias("header"))
+
+
 def complete_calibration(df: DataFrame, motif: str, response: str, universe: int = 256) -> DataFrame:
     """SRC-30: the table itself if it has each of ``universe`` motifs with a number; ValueError if not."""
     row = df.agg(F.count_distinct(motif).alias("n"), F.count_if(F.col(response).isNull()).alias("missing")).first()
