@@ -35,7 +35,10 @@ def kmer_frequencies(df: DataFrame, key: str, text: str, k: int, alphabet: str |
 
     ``alphabet`` None takes every window.
     """
-    rows = df.select(key, F.greatest(F.length(text) - k + 1, F.lit(0)).alias("__all"), F.explode(windows(F.col(text), k)).alias("kmer"))
+    # Letters are split once per row: a substring of a long text would be searched from its start each time.
+    split = df.select(key, F.greatest(F.length(text) - k + 1, F.lit(0)).alias("__all"), F.split(text, "").alias("__letters")).where("__all > 0")
+    pieces = F.transform(F.sequence(F.lit(1), F.size("__letters") - k + 1), lambda i: F.array_join(F.slice("__letters", i, k), ""))
+    rows = split.select(key, "__all", F.explode(pieces).alias("kmer"))
     if alphabet:
         rows = rows.where(F.col("kmer").rlike(f"^[{alphabet}]{{{k}}}$"))
     counted = rows.groupBy(key, "kmer").agg(F.count("*").alias("n"), F.max("__all").alias("__all"))
