@@ -53,7 +53,7 @@ class FrequentTable:
         return {self.text[a:b].decode(): n for a, b, n in zip([0, *ends], ends, self.counts, strict=False)}
 
 
-class Counter2:
+class WorkerCounts:
     """A worker's two tiers: ``known`` starts as the frequent table and takes in the misses."""
 
     def __init__(self, path: str, frequent: FrequentTable | None = None):
@@ -89,7 +89,7 @@ class Counter2:
 
 def frequent_table(docs: DataFrame, path: str, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> FrequentTable:
     """The first tier: the vocabulary's own pre-tokens and the repeated ones of a bounded sample."""
-    worker = Counter2(path)
+    worker = WorkerCounts(path)
     decode = worker.tokenizer.decode
     vocabulary = [decode([i]) for i in range(min(worker.tokenizer.get_vocab_size(), FREQUENT))]
     own = [t for t in vocabulary if "�" not in t and worker.split(t) == [t]]
@@ -100,12 +100,12 @@ def frequent_table(docs: DataFrame, path: str, text_col: str = "text", sample_do
     return FrequentTable(worker.encode(list(dict.fromkeys([*own, *often]))[:FREQUENT]))
 
 
-_kept: list[tuple[FrequentTable, Counter2]] = []
+_kept: list[tuple[FrequentTable, WorkerCounts]] = []
 
 
-def _worker(path: str, frequent: FrequentTable) -> Counter2:
+def _worker(path: str, frequent: FrequentTable) -> WorkerCounts:
     if not _kept or _kept[0][0] is not frequent:
-        _kept[:] = [(frequent, Counter2(path, frequent))]
+        _kept[:] = [(frequent, WorkerCounts(path, frequent))]
     return _kept[0][1]
 
 
