@@ -139,8 +139,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col).where("id = component_id")
     kept = write_table(found.groupBy(F.col("id").alias(id_col)).agg(F.count("*").alias("__copies")), "kept")
-    single = docs.join(kept.where("__copies = 1").select(id_col), id_col, "left_semi")
-    several = docs.join(kept.where("__copies > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    # Both sides are always dealt by id: which plan runs doesn't change with the size of ``kept``.
+    pick = lambda cond: docs.join(kept.where(cond).select(id_col).hint("shuffle_hash"), id_col, "left_semi")
+    single, several = pick("__copies = 1"), pick("__copies > 1").dropDuplicates([id_col])
     out = single
     if not kept.where("__copies > 1").isEmpty():
         out = out.unionByName(several)
