@@ -29,6 +29,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SLOT = r"""(?<![\p{L}\p{N}])((?:\p{L}{2,24}[ _-])?\p{L}{2,24})["']?\x20?[:=#]\x20?["']?([^\s"'<>,;]{4,64})(?![^\s"'<>,;])"""
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.6
+#: Trusted labels that a plan holds.
+MOST_LABELS = 1000
 
 
 def luhn(digits: Column) -> Column:
@@ -92,13 +94,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPOR
     return patterns
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = CONFIDENCE) -> DataFrame:
-    """(id, h, base, added): spans of each row of ``docs`` as ``spans.SPAN`` arrays; h is the text's hash.
-
-    A null text counts as empty. Rows with equal id and text find the same; rows that share an
-    id, or have none, are kept apart by the text's hash. Texts are read whole; other columns are
-    not read; an empty table gives an empty one.
-    """
+def _learn(docs: DataFrame, id_col: str, text_col: str, confidence: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base spans and slots per row, the filled slots with what is known of them, and the trusted labels."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = lambda s: s.withField("match", F.lit(None).cast("string"))
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), base_spans(text).alias("base"), slots(text).alias("slots"))
@@ -117,7 +114,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
         .select("id", "h", "x.slot", "x.seed", "x.known", F.col("x.slot.kind").alias("label"), F.col("x.slot.match").alias("instance"))
     )
     edges = write_table(filled.groupBy("label", "instance").agg(F.max("seed").alias("seed")), "slots")
-    trusted = score_patterns(edges).where(F.col("confidence") >= confidence).select("label")
+    trusted = write_table(score_patterns(edges).where(F.col("confidence") >= confidence).select("label"), "trusted")
+    return found, filled, trusted
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = CONFIDENCE) -> DataFrame:
+    """(id, h, base, added): spans of each row of ``docs`` as ``spans.SPAN`` arrays; h is the text's hash.
+
+    A null text counts as empty. Rows with equal id and text find the same; rows that share an
+    id, or have none, are kept apart by the text's hash. Texts are read whole; other columns are
+    not read; an empty table gives an empty one.
+    """
+    found, filled, trusted = _learn(docs, id_col, text_col, confidence)
     span = F.struct(F.col("slot.start").alias("start"), F.lit(4).alias("rank"), F.col("slot.end").alias("end"), F.lit("context").alias("kind"), F.lit(None).cast("string").alias("match"))
     added = (
         filled.where("not known and instance rlike '[0-9]'").join(trusted, "label").groupBy("id", "h")
@@ -128,12 +136,34 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     return joined.select("id", "h", "base", F.coalesce("added", no_spans()).alias("added"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = CONFIDENCE) -> DataFrame:
     """``docs`` with every finding in its text replaced by the kind in brackets; null texts stay null.
 
-    Columns and rows stay as they are otherwise.
+    Columns and rows stay as they are otherwise. Texts are not shuffled: a second scan finds the
+    spans again, with the trusted labels in the plan. Should there be more than ``MOST_LABELS``
+    of them, the spans come by a join instead.
     """
-    found = find_pii(docs, id_col, text_col)
+    _, _, trusted = _learn(docs, id_col, text_col, confidence)
+    labels = [r["label"] for r in trusted.limit(MOST_LABELS + 1).collect()]
+    text = F.col(text_col)
+    if len(labels) > MOST_LABELS:
+        return _redact_joined(docs, id_col, text_col, confidence)
+    spans = base_spans(text)
+    if labels:
+        known = F.array(*[F.lit(x) for x in labels])
+        fresh = lambda s: F.array_contains(known, s["kind"]) & s["match"].rlike("[0-9]") & ~F.exists("__base", lambda b: overlap(s, b))
+        more = F.transform(F.filter(slots(text), fresh), lambda s: s.withField("kind", F.lit("context")))
+        spans = F.concat("__base", more)
+        docs_ = docs.withColumn("__base", base_spans(text))
+    else:
+        docs_ = docs
+    found = docs_.withColumn("__spans", spans)
+    new = F.when(F.size("__spans") > 0, redacted(text, F.col("__spans"))).otherwise(text)
+    return found.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def _redact_joined(docs: DataFrame, id_col: str, text_col: str, confidence: float) -> DataFrame:
+    found = find_pii(docs, id_col, text_col, confidence)
     found = write_table(
         found.select("id", "h", F.concat("base", "added").alias("__spans")).where("size(__spans) > 0").dropDuplicates(["id", "h"])
         .select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__spans"),
