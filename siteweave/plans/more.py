@@ -11,12 +11,12 @@ from ..sources import files, ingest
 from .mapping import TECHNOLOGIES, calls, heldout, lines, table, union
 from .queries import _EFFECTS, _TASKS, _cells, _dense, _effects, query
 
-_WORDS = "w as (select doc_id, substr(upper(text), 1 + (doc_id % 7)::int, 5) as raw from documents)"
+_WORDS = "w as (select doc_id, upper(substr(text, 1 + (doc_id % 7)::int, 5)) as raw from documents)"
 
 
 def _words(spark, sf):
     """A five-letter stretch of each document."""
-    return table(spark, sf, "documents").select("doc_id", F.substr(F.upper("text"), (1 + F.col("doc_id") % 7).cast("int"), F.lit(5)).alias("raw"))
+    return table(spark, sf, "documents").select("doc_id", F.upper(F.substr("text", (1 + F.col("doc_id") % 7).cast("int"), F.lit(5))).alias("raw"))
 
 
 @query(f"""with {_WORDS}, m as (select doc_id, regexp_replace(translate(trim(raw), 'ΨT', 'UU'), '[^ACGU]', '', 'g') as m from w)

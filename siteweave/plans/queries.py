@@ -529,9 +529,9 @@ def kmer_freq(spark, sf):
 _HOT = ", ".join(f"(substr(t, {o} + 1, 1) = '{b}')::int as \"s_+{o}_{b}\"" for o in (0, 1, 2) for b in "ACGT")
 
 
-@query(f"with d as (select doc_id, upper(text) as t from documents) select doc_id, {_HOT} from d", mapped=False)
+@query(f"with d as (select doc_id, translate(text, 'acgt', 'ACGT') as t from documents) select doc_id, {_HOT} from d", mapped=False)
 def positional_onehot(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.upper("text").alias("t"))
+    docs = table(spark, sf, "documents").select("doc_id", F.translate("text", "acgt", "ACGT").alias("t"))
     return docs.select("doc_id", *sq.positional_onehot(F.col("t"), F.lit(0), (0, 1, 2), "s"))
 
 
