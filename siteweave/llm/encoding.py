@@ -32,9 +32,9 @@ SPACE = "▁"
 #: Words longer than this are cut where no piece holds the two characters, and aren't kept.
 LONG = 64
 #: Words that a worker keeps encoded, and code points of text that it takes at a time.
-CACHE_WORDS = 600_000
-SLICE = 1 << 22
-MEMO_BITS = 22
+CACHE_WORDS = 300_000
+SLICE = 1 << 21
+MEMO_BITS = 21
 
 
 class PieceModel:

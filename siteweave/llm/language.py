@@ -30,7 +30,7 @@ ROUNDS = 3
 WORD = 32
 #: A code point that no piece covers, and what each piece counts besides its expected count.
 UNSEEN, SMOOTH = 1e-7, 0.1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 
