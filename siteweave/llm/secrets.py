@@ -3,9 +3,10 @@
 Base findings stand on their own: assignments, access identifiers and long hexadecimal runs.
 Weak candidates (an account name, a bare 40-character token, an endpoint) mean nothing alone.
 They are linked by an interval join: candidates of a text meet within ``SCOPE`` code points of
-each other, through an equality join on the text and on windows of that width. A weak secret is
-reported only next to an identifier, a weak identifier only next to a secret, an endpoint only
-next to both. A window holds a bounded number of candidates, so no group of the join is large.
+each other, through an equality join on the text and on every window of that width that a weak
+span covers, so a long endpoint meets what stands at either end. A weak secret is reported only
+next to an identifier, a weak identifier only next to a secret, an endpoint only next to both. A
+window holds a bounded number of candidates, so no group of the join is large.
 """
 
 from __future__ import annotations
@@ -61,10 +62,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     role = F.create_map([F.lit(x) for pair in ROLES.items() for x in pair])
     parts = found.where("size(weak) > 0 and size(weak) + size(base) > 1").dropDuplicates(["id", "h"])
     apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: overlap(w, b)))
-    weak = parts.select("id", "h", F.explode(apart).alias("w")).withColumn("window", F.floor(F.col("w.start") / scope))
+    window = lambda a, b: F.explode(F.sequence(F.floor(a / scope), F.floor(b / scope)))
+    weak = parts.select("id", "h", F.explode(apart).alias("w")).withColumn("window", window(F.col("w.start"), F.col("w.end")))
     others = parts.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.explode(F.concat("base", apart)).alias("o"))
-    windows = F.sequence(F.floor((F.col("o.start") - scope) / scope) - 1, F.floor((F.col("o.end") + scope) / scope))
-    others = others.select("id2", "h2", "o", role[F.col("o.kind")].alias("role"), F.explode(windows).alias("window2"))
+    others = others.select("id2", "h2", "o", role[F.col("o.kind")].alias("role")).where("role <> 'endpoint'")
+    others = others.withColumn("window2", window(F.col("o.start") - scope, F.col("o.end") + scope))
     near = weak.join(
         others,
         F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("window") == F.col("window2"))

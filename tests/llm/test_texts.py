@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from siteweave.llm import chat, encoding, language, pii, registry, secrets, spans, token_counts, warc
 
+from ..oracle import connect, same
+
 PIECES = [
     "password", "Secret: ", "token=", 'api_key="', "AKIA", "ABCDEFGH1234567890", "deadbeef" * 4, "abcdef", "é𝄞", " ", ":", "=", "user@ex.com", "@", "a.b",
     "_x@y.z.w.", "1.2.3.4", "255.256.1.1", ".5", "4111 1111 1111 1111", "+1 (743) 555-3824", "+44-20 7946.0018", " - ", "12", "\n", "tok", "9" * 17, "login: bob7 ",
@@ -54,6 +56,15 @@ def test_weak_parts_need_each_other(spark):
     assert got == {1: ["endpoint", "weak_id", "weak_secret"], 2: [], 3: [], 4: []}
 
 
+def test_parts_at_either_end_of_a_long_endpoint_meet_it(spark, tmp_path):
+    key, long = "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8S9t0", "https://a.b/" + "q-" * 494
+    texts = [f"{long} login: bob7 {key}", f"login: bob7 {key} {long}", f"login: bob7 {long} {key}", f"{long} login: bob7 {'x ' * 200}{key}", f"{'x ' * 200}{long}{' ' * 240}login: bob7 token = '{'z' * 2000}' {long}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.op3_secrets(spark, str(tmp_path))
+    same(found, connect(str(tmp_path)), registry.OP3_SQL)
+    assert {r["doc_id"]: r["spans"].count("endpoint") for r in found.collect()} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 1}
+
+
 def test_trusted_contexts_find_more(spark, monkeypatch):
     rows = [(i, f"contact: user{i}@mail.example.org and more") for i in range(5)] + [(10, "contact: jdoe77 x"), (11, "weather: t5000"), (12, "contact: none")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
