@@ -4,9 +4,9 @@ The base kinds (e-mail, IP, card and phone) are found by pattern and check. Thei
 a bootstrap: a lexical pattern is the label in front of a slot (one or two words and a
 separator, as in ``contact: x``), an instance is what fills the slot. Spark scores the graph of
 patterns and instances in rounds: a pattern is worth the mean score of its distinct instances,
-an instance that no pattern of its own finds is worth the noisy-or of its patterns. Patterns
-with support and confidence then discover the identifiers in their other slots that no base
-kind covers. The graph is counted over every slot of the corpus; edges are distinct before any
+a base finding is worth 1, any other instance the noisy-or of its other patterns. Patterns with
+support (base findings) and confidence then discover the identifiers in their other slots that
+no base kind covers. The graph is counted over every slot of the corpus; edges are distinct before any
 score, so copies and frequent labels add nothing.
 
 The patterns are written so that Java reads each text in one linear pass: possessive where that
@@ -69,28 +69,21 @@ def slots(text: Column) -> Column:
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
     """(label, confidence, seeds) from distinct ``edges`` (label, instance, seed boolean).
 
-    ``seeds`` counts the instances worth at least one half in the last round. A label with
-    fewer than ``support`` of them has confidence 0.
+    ``seeds`` counts the label's instances that are base findings; a label with fewer than
+    ``support`` of them has confidence 0. A label's own vote is left out of the scores that it is
+    averaged over, so the confidence of a label that shares no instance is its share of seeds.
     """
-    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    proven = edges.groupBy("instance").agg(F.max("seed").alias("proven"))
+    edges = write_table(edges.select("label", "instance").join(proven, "instance"), "edges")
+    votes = edges.select("label").distinct().withColumn("vote", F.lit(0.0))
     patterns = None
     for _ in range(rounds):
-        told = edges.select("label", "instance").join(scores, "instance")
-        patterns = told.groupBy("label").agg(
-            F.avg("score").alias("mean"), F.sum((F.col("score") >= 0.5).cast("long")).alias("seeds")
-        ).select("label", "seeds", F.when(F.col("seeds") >= support, F.col("mean")).otherwise(0.0).alias("confidence"))
-        patterns = write_table(patterns, "patterns")
-        kept = F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999))
-        scores = write_table(
-            edges.join(patterns.where("confidence > 0"), "label", "left")
-            .groupBy("instance")
-            .agg(
-                F.greatest(
-                    F.max(F.col("seed").cast("double")), 1 - F.exp(F.sum(F.log1p(-kept)))
-                ).alias("score")
-            ),
-            "instances",
-        )
+        voted = edges.join(votes, "label")
+        told = voted.join(voted.groupBy("instance").agg(F.sum("vote").alias("votes")), "instance")
+        score = F.when(F.col("proven"), 1.0).otherwise(1 - F.exp(F.least(F.col("votes") - F.col("vote"), F.lit(0.0))))
+        patterns = told.groupBy("label").agg(F.avg(score).alias("mean"), F.count_if("proven").alias("seeds"))
+        patterns = write_table(patterns.select("label", "seeds", F.when(F.col("seeds") >= support, F.col("mean")).otherwise(0.0).alias("confidence")), "patterns")
+        votes = patterns.select("label", F.log1p(-F.least("confidence", F.lit(0.999))).alias("vote"))
     return patterns
 
 

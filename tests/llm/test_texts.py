@@ -76,6 +76,15 @@ def test_trusted_contexts_find_more(spark, monkeypatch):
     assert clean[0] == "contact: [EMAIL] and more" and clean[10] == "contact: [CONTEXT] x" and clean[11] == "weather: t5000"
 
 
+def test_a_label_does_not_vote_for_itself(spark):
+    rows = [("version", f"v{i}", i < 3) for i in range(10)] + [(x, f"{x}{i}", True) for x in "ab" for i in range(3)] + [("a", "both", False), ("b", "both", False)]
+    got = {r["label"]: (r["seeds"], round(r["confidence"], 9)) for r in pii.score_patterns(spark.createDataFrame(rows, "label string, instance string, seed boolean")).collect()}
+    assert got == {"version": (3, 0.3), "a": (3, 0.984375), "b": (3, 0.984375)}
+    docs = spark.createDataFrame([(i, f"version: 1.2.3.{i + 1}" if i < 3 else f"version: 7.{i}b") for i in range(10)], "doc_id long, text string")
+    assert not any(r["added"] for r in pii.find_pii(docs).collect())
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()} == {i: "version: [IP]" if i < 3 else f"version: 7.{i}b" for i in range(10)}
+
+
 def test_encoding_equals_the_library(spark):
     import sentencepiece
 
