@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .ranks import histogram, running
 from .stats import auroc_of
 
+#: Draws from one dataset that one row of a plan stands for.
+RUN = 10000
+
 
 def draw(seed: int, *parts) -> Column:
     """48 random bits from a seed and the parts."""
@@ -19,10 +22,10 @@ def draw(seed: int, *parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
 
 
-def numbered(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
-    """``df`` with a number from 0 along an order that is total."""
+def numbered(df: DataFrame, order: list[str], out: str = "idx", group: list[str] = ()) -> DataFrame:
+    """``df`` with a number from 0 along an order that is total (within each ``group``)."""
     one = df.withColumn("__one", F.lit(1).cast("long"))
-    return running(one, [], [F.col(c) for c in order], ["__one"]).withColumn(out, F.col("cum___one") - 1).drop("__one", "cum___one")
+    return running(one, list(group), [F.col(c) for c in order], ["__one"]).withColumn(out, F.col("cum___one") - 1).drop("__one", "cum___one")
 
 
 def multiplicities(spark, n: int, replicates: int, seed: int) -> DataFrame:
@@ -102,8 +105,9 @@ def stratified_permutation(df: DataFrame, value: str, label: str, stratum: str,
     rows = df.select(stratum, key, F.col(value).cast("double").alias("v"), F.col(label).cast("long").alias("y")).dropna()
     ones = rows.groupBy(stratum).agg(F.sum("y").alias("ones"))
     spread = rows.join(ones, stratum).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    w = Window.partitionBy("rep", stratum).orderBy(draw(seed, "rep", key), key)
-    dealt = spread.withColumn("y1", F.row_number().over(w) <= F.col("ones"))
+    drawn = spread.withColumn("__draw", draw(seed, "rep", key)).withColumn("__one", F.lit(1).cast("long"))
+    ranked = running(drawn, ["rep", stratum], [F.col("__draw"), F.col(key)], ["__one"])
+    dealt = ranked.withColumn("y1", F.col("cum___one") <= F.col("ones"))
     mean = lambda c: F.avg(F.when(c, F.col("v")))
     return dealt.groupBy("rep").agg((mean(F.col("y1")) - mean(~F.col("y1"))).alias("difference"))
 
@@ -153,10 +157,10 @@ def r2_bootstrap(paired: DataFrame, dataset: str, unit: str, y: str, models: lis
     """RS-08, 09: (rep, dataset, r2_<model>): units drawn within datasets; datasets drawn first if ``hierarchical``.
 
     A hierarchical replicate has a row per dataset drawn, with its multiplicity; macro values are
-    weighted means over them.
+    weighted means over them. Draws are made in runs of ``RUN``, which are dealt to all tasks.
     """
     rows = paired.select(dataset, unit, F.col(y).alias("y"), *models).dropna()
-    rows = rows.withColumn("idx", F.row_number().over(Window.partitionBy(dataset).orderBy(unit)) - 1)
+    rows = numbered(rows, [unit], group=[dataset])
     sizes = rows.groupBy(dataset).agg(F.count("*").alias("n"))
     reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     if hierarchical:
@@ -165,8 +169,11 @@ def r2_bootstrap(paired: DataFrame, dataset: str, unit: str, y: str, models: lis
         reps = reps.join(named, dataset).join(drawn, ["rep", "d"]).drop("d")
     else:
         reps = reps.withColumn("times", F.lit(1).cast("long"))
-    draws = reps.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    picks = draws.groupBy("rep", dataset, "times", (draw(seed, dataset, "rep", "i") % F.col("n")).cast("int").alias("idx")).agg(F.count("*").alias("m"))
+    runs = reps.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    spread = int(paired.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(spread, "rep", dataset, "first")
+    draws = runs.withColumn("i", F.explode(F.sequence("first", F.least(F.col("first") + RUN, F.col("n")) - 1)))
+    picks = draws.groupBy("rep", dataset, "times", (draw(seed, dataset, "rep", "i") % F.col("n")).alias("idx")).agg(F.count("*").alias("m"))
     m = F.col("m")
     total = F.sum(m * F.col("y") ** 2) - F.sum(m * F.col("y")) ** 2 / F.sum(m)
     return picks.join(rows, [dataset, "idx"]).groupBy("rep", dataset, "times").agg(

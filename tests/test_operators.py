@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteweave.operators import gates, loci, portability, ranks, regression, ridge, stats
+from siteweave.operators import gates, loci, portability, ranks, regression, resample, ridge, stats
 from siteweave.sources import files, ingest
 
 #: Published effects by dataset and their meta-analysis (fixed values).
@@ -236,3 +236,23 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a", None), ("b", 2.5)], "k string, v double")
     files.write_table(df, str(tmp_path / "t"))
     assert {tuple(r) for r in files.read_table(spark, str(tmp_path / "t"), "k string, v double").collect()} == {("a", None), ("b", 2.5)}
+
+
+def test_no_dataset_or_stratum_is_one_task(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(resample, "RUN", 7)
+    data = [(ds, i, float((i * 7 + len(ds)) % 11), float((i * 5) % 7)) for ds, n in (("a", 40), ("bb", 7), ("c", 15)) for i in range(n)]
+    out = resample.r2_bootstrap(spark.createDataFrame(data, "ds string, u long, y double, p double").repartition(3), "ds", "u", "y", ["p"], 4, 9)
+    got = {(r["rep"], r["ds"]): r["r2_p"] for r in out.collect()}
+    want = {}
+    for rep in range(4):
+        for ds in ("a", "bb", "c"):
+            rows = [r for r in data if r[0] == ds]
+            picks = [rows[int(hashlib.md5(f"9|{ds}|{rep}|{i}".encode()).hexdigest()[:12], 16) % len(rows)] for i in range(len(rows))]
+            mean = sum(r[2] for r in picks) / len(picks)
+            want[rep, ds] = 1 - sum((r[2] - r[3]) ** 2 for r in picks) / sum((r[2] - mean) ** 2 for r in picks)
+    assert got == pytest.approx(want)
+    strata = spark.createDataFrame([("m", i, float(i), i % 2) for i in range(40)], "s string, k long, v double, y int")
+    for df in (out, resample.stratified_permutation(strata, "v", "y", "s", "k", 2, 1)):
+        assert "row_number" not in df._jdf.queryExecution().toString()
