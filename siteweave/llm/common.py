@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests on one machine), a new temporary folder becomes the
-    session's checkpoint folder.
+    Where the setting is absent, a new temporary folder becomes the session's checkpoint folder
+    if the master is local; on a cluster that folder would not be shared, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-siteweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -34,6 +36,14 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, wanted: str) -> str:
+    """A column name for internal use that ``df`` doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"__{wanted}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

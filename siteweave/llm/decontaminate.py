@@ -1,42 +1,55 @@
-"""Benchmark decontamination: BM25 over test items, every training passage as a query.
+"""Benchmark decontamination: BM25 over test items with block-max WAND, every passage a query.
 
-The inverted index holds the test items. An impact is a term's BM25 weight in an item divided
-by the item's score for its own text, so one threshold fits items of all lengths: ``THRESHOLD``
-is the share of an item's own score that a passage must reach.
-
-Retrieval is block-max WAND in batches of passages. Terms are split at a pivot: the most common
-ones, whose block maxima together stay under ``THRESHOLD - PIVOT`` in every block of items,
-cannot lift an item over the threshold alone. So only the posting lists of the other terms are
-opened; an item whose partial sum there plus the block maxima of the passage's common terms
-reaches the threshold is scored in full, and everything above the threshold is kept. Passages
-are two neighbouring stretches of ``stride`` words, so every run of ``stride`` words lies whole
-in one; the stride is never below the longest item. Sums over the two stretches count a common
-term twice, which only raises the bound.
+The inverted index holds the test items. A passage is two neighbouring stretches of ``stride``
+words, so that every run of ``stride`` words lies whole in one; the stride is the least power of
+two (16 at least) that the item's own length doesn't exceed, so items of different length classes
+meet passages of different lengths, and no item changes another's passages.
 
 A retrieved item counts as leaked if its five-word shingles are in the passage: 0.8 of all of
 them, or 0.8 of both the question's (all sentences but the last) and the answer's (the last).
+The retrieval threshold follows from that rule. At most as many of an item's terms can be absent
+as shingles may be, so a passage that satisfies the rule has at least the item's own BM25 score
+less its largest weights, that many of them (``least_score``). Impacts are divided by that
+score, so the threshold is 1 for all items; retrieval is complete, and which items leak doesn't
+depend on the weights, on other items, or on how the items are dealt to shards.
+
+Block-max WAND runs in batches: each passage has a cursor per term, ordered by the item that it
+stands on. The pivot is the first item at which the terms' greatest impacts reach the threshold;
+if the maxima of its block don't, all cursors before it skip to the end of the block (or to the
+next cursor); otherwise they move to the pivot, which is scored. Each step handles one pivot of
+every passage that is still open.
+
+Shards are built in tasks and hold a bounded number of words. A benchmark of one shard is
+broadcast and looked up in the scan; a larger one goes shard by shard, each broadcast alone, and
+a text's hits come together by its hash.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import write_table
+from .common import fresh_name, write_table
 from .encoding import slices
 
-THRESHOLD, PIVOT, OVERLAP, SHINGLE = 0.6, 0.3, 0.8, 5
-K1, B, BLOCK, STRIDE = 1.2, 0.75, 4, 64
-#: Words of test items in one broadcast index; a larger benchmark is split into several.
-SHARD_WORDS = 2_000_000
+OVERLAP, SHINGLE = 0.8, 5
+K1, B, BLOCK, LEAST_STRIDE = 1.2, 0.75, 8, 16
+#: Words of test items in one index; a larger benchmark is split into several.
+SHARD_WORDS = 1_000_000
+#: Cursors that a task moves at a time.
+CURSORS = 1 << 18
 HITS = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
+FIELDS = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
+SLACK = 1e-9
 
 words_of = re.compile(r"\w+").findall
 
@@ -62,152 +75,285 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def leaks(shares: list[float]) -> bool:
+    """The rule, on the shares of all shingles, the question's and the answer's."""
+    return shares[0] >= OVERLAP or min(shares[1:]) >= OVERLAP
+
+
+def absent_terms(part: list[str]) -> int:
+    """The most distinct terms of a part that a passage with enough of its shingles can lack.
+
+    k absent words touch at least k shingles. Where shingles repeat, the words of the first four
+    places may share theirs with others, so four more are allowed.
+    """
+    width = min(SHINGLE, len(part))
+    own = len(shingles(part, width)) if width else 0
+    lacking = own - int(np.ceil(OVERLAP * own - SLACK))
+    return lacking if not lacking or own == len(part) - width + 1 else lacking + SHINGLE - 1
+
+
+def least_score(weights: dict[str, float], parts: list[list[str]]) -> float:
+    """The share of an item's own score that every passage which satisfies the rule reaches."""
+    top = lambda part: sum(sorted((weights[w] for w in set(part)), reverse=True)[: absent_terms(part)])
+    whole, question, answer = map(top, parts)
+    return max(1 - max(whole, question + answer) / sum(weights.values()), 0.01) - SLACK
+
+
+def stride_of(n_words: int) -> int:
+    return max(LEAST_STRIDE, 1 << (n_words - 1).bit_length())
+
+
 class Index:
-    """Posting lists of some test items; ``df`` and the averages come from all of them."""
+    """Posting lists of test items of one length class; ``df`` and the averages come from all items."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], total: int, average: float):
-        self.items, split = [], []
-        for item, text in items:
-            if words := words_of(text.lower()):
-                self.items.append((item, words, *question_and_answer(text)))
-                split.append(words)
-        self.stride = max([STRIDE, *map(len, split)])
+    def __init__(self, stride: int, items: list[tuple[int, list[str], str, int]], df: dict[str, int], total: int, average: float):
+        self.stride, self.items = stride, []
         self.terms: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = []
-        for j, words in enumerate(split):
+        for item, words, text, copies in items:
             weights = {
                 w: np.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / average))
                 for w, n in Counter(words).items()
             }
+            parts = [words, *question_and_answer(text)]
             own = sum(weights.values())
+            least = least_score(weights, parts)
             for w, x in weights.items():
                 if (t := self.terms.setdefault(w, len(self.terms))) == len(postings):
                     postings.append([])
-                postings[t].append((j, x / own))
-        self.sizes = np.array([len(p) for p in postings], dtype=np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+                postings[t].append((len(self.items), x / own / least))
+            self.items.append((item, copies, least, parts))
+        sizes = np.array([len(p) for p in postings], dtype=np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.who = np.array([j for p in postings for j, _ in p], dtype=np.int64)
         self.impact = np.array([x for p in postings for _, x in p])
-        blocks = len(split) // BLOCK + 1
-        self.common = np.zeros(len(postings) + 1, dtype=bool)
-        self.maxima: dict[int, dict[int, float]] = {}
-        load = np.zeros(blocks)
-        for t in np.argsort(-self.sizes, kind="stable"):
-            at = slice(self.starts[t], self.starts[t + 1])
-            tops = np.zeros(blocks)
-            np.maximum.at(tops, self.who[at] // BLOCK, self.impact[at])
-            if (load + tops).max() > THRESHOLD - PIVOT:
+        term = np.repeat(np.arange(len(sizes)), sizes)
+        self.top = np.maximum.reduceat(self.impact, self.starts[:-1])
+        self.n = len(self.items) + 1
+        self.places = term * self.n + self.who
+        self.blocks = self.n // BLOCK + 1
+        keys = term * self.blocks + self.who // BLOCK
+        first = np.concatenate(([True], keys[1:] != keys[:-1]))
+        self.block_keys = keys[first]
+        self.block_top = np.maximum.reduceat(self.impact, np.nonzero(first)[0])
+
+    def seek(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The item of each term's first posting at or after ``item``; the end's number where there is none."""
+        at = np.searchsorted(self.places, term * self.n + item)
+        found = self.who[np.minimum(at, len(self.who) - 1)]
+        return np.where(at < self.starts[term + 1], found, self.n - 1)
+
+    def impact_at(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
+        key = term * self.n + item
+        at = np.minimum(np.searchsorted(self.places, key), len(self.places) - 1)
+        return np.where(self.places[at] == key, self.impact[at], 0.0)
+
+    def block_max(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        key = term * self.blocks + block
+        at = np.minimum(np.searchsorted(self.block_keys, key), len(self.block_keys) - 1)
+        return np.where(self.block_keys[at] == key, self.block_top[at], 0.0)
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
+        """(passage, item, score) at 1 or more, by block-max WAND.
+
+        ``passage`` ascends; each (passage, term) is there once.
+        """
+        item = self.who[self.starts[term]] if len(term) else term
+        end, found = self.n - 1, []
+        while len(passage):
+            order = np.argsort(passage * self.n + item, kind="stable")
+            passage, term, item = passage[order], term[order], item[order]
+            heads = np.nonzero(np.concatenate(([True], passage[1:] != passage[:-1])))[0]
+            sizes = np.diff(np.append(heads, len(passage)))
+            summed = np.cumsum(self.top[term])
+            summed -= np.repeat(summed[heads] - self.top[term[heads]], sizes)
+            reach = np.where(summed >= 1 - SLACK, item, end)
+            pivot = np.minimum.reduceat(reach, heads)
+            at_pivot = np.repeat(pivot, sizes)
+            open_ = at_pivot < end
+            passage, term, item, at_pivot = passage[open_], term[open_], item[open_], at_pivot[open_]
+            if not len(passage):
                 break
-            load += tops
-            self.common[t] = True
-            self.maxima[int(t)] = {int(b): float(tops[b]) for b in np.nonzero(tops)[0]}
-
-        self.weights: list[tuple[dict[int, float], dict[int, float]]] = [({}, {}) for _ in split]
-        for t in range(len(postings)):
-            for at in range(self.starts[t], self.starts[t + 1]):
-                self.weights[self.who[at]][int(self.common[t])][t] = float(self.impact[at])
-
-    def score(self, terms: set[int], item: int) -> float:
-        """The full score of an item for a passage's terms; 0 if the block maxima rule it out."""
-        rare, common = self.weights[item]
-        total = sum([x for t, x in rare.items() if t in terms])
-        block = item // BLOCK
-        if total + sum([top.get(block, 0.0) for t, top in self.maxima.items() if t in terms]) < THRESHOLD:
-            return 0.0
-        return total + sum([x for t, x in common.items() if t in terms])
-
-    def candidates(self, ids: list[np.ndarray]) -> list[tuple[int, int, int]]:
-        """(text, stretch, item) whose opened lists allow the threshold; ``ids`` holds -1 for other words."""
+            heads = np.nonzero(np.concatenate(([True], passage[1:] != passage[:-1])))[0]
+            sizes = np.diff(np.append(heads, len(passage)))
+            before = item <= at_pivot
+            bound = np.zeros(len(item))
+            bound[before] = self.block_max(term[before], at_pivot[before] // BLOCK)
+            promising = np.add.reduceat(bound, heads) >= 1 - SLACK
+            good = np.repeat(promising, sizes)
+            scored = before & good
+            value = np.zeros(len(item))
+            value[scored] = self.impact_at(term[scored], at_pivot[scored])
+            score = np.add.reduceat(value, heads)
+            for k in np.nonzero(promising & (score >= 1 - SLACK))[0].tolist():
+                found.append((int(passage[heads[k]]), int(at_pivot[heads[k]]), float(score[k])))
+            later = np.minimum.reduceat(np.where(before, end, item), heads)
+            skip = np.minimum((at_pivot // BLOCK + 1) * BLOCK, np.repeat(later, sizes))
+            goal = np.minimum(np.where(good, at_pivot + 1, skip), end)
+            item[before] = self.seek(term[before], goal[before])
+            left = item < end
+            passage, term, item = passage[left], term[left], item[left]
+        return found
+
+    def candidates(self, ids: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
+        """(text, stretch, item, score) that retrieval finds; ``ids`` holds -1 for words of no item."""
         stretches = [len(i) // self.stride + 1 for i in ids]
         base = np.concatenate(([0], np.cumsum(stretches)))
-        flat = np.concatenate([*ids, np.empty(0, np.int32)])
+        flat = np.concatenate([*ids, np.empty(0, np.int64)]).astype(np.int64)
         text = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-        place = np.concatenate([np.arange(len(i)) // self.stride for i in ids] or [np.empty(0, int)]) + base[text]
-        open_ = (flat >= 0) & ~self.common[flat]
-        pairs = np.unique(place[open_] * len(self.sizes) + flat[open_])
-        cell, term = pairs // len(self.sizes), pairs % len(self.sizes)
-        n = self.sizes[term]
-        at = np.repeat(self.starts[term] - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n, n) + np.arange(n.sum())
-        key = np.repeat(cell, n) * len(self.items) + self.who[at]
-        impact = self.impact[at]
-        keys, inverse = np.unique(np.concatenate((key, key - len(self.items))), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate((impact, impact)), len(keys))
-        good = keys[(sums >= PIVOT - 1e-9) & (keys >= 0)]
+        cell = np.concatenate([np.arange(len(i)) // self.stride for i in ids] or [np.empty(0, int)]) + base[text]
+        known = flat >= 0
+        flat, cell = flat[known], cell[known]
+        if not len(flat):
+            return []
+        # Without the terms' repetitions taken out this bounds a passage's score from above.
+        loads = np.bincount(cell, self.top[flat], base[-1] + 1)
+        first = np.zeros(base[-1] + 1, bool)
+        first[base] = True
+        hopeful = loads + np.where(np.append(first[1:], True), 0.0, np.append(loads[1:], 0.0)) >= 1 - SLACK
+        after = ~first[cell] & hopeful[cell - 1]
+        own = hopeful[cell]
+        passage, term = np.concatenate((cell[own], cell[after] - 1)), np.concatenate((flat[own], flat[after]))
+        pairs = np.unique(passage * len(self.top) + term)
+        passage, term = pairs // len(self.top), pairs % len(self.top)
         found = []
-        for k in good.tolist():
-            c, item = divmod(k, len(self.items))
-            doc = int(np.searchsorted(base, c, "right")) - 1
-            found.append((doc, c - int(base[doc]), item))
+        for part in self._parts(passage):
+            for p, item, score in self.retrieve(passage[part], term[part]):
+                doc = int(np.searchsorted(base, p, "right")) - 1
+                found.append((doc, p - int(base[doc]), item, score))
         return found
 
-    def hits(self, texts: list[str]) -> list[list[dict]]:
-        """The leaked items of each text, with their best passage's score and overlaps."""
-        out: list[dict[int, dict]] = [{} for _ in texts]
-        if not self.items:
-            return [[] for _ in texts]
-        split = [words_of(t.lower()) for t in texts]
-        ids = [np.fromiter(map(self.terms.get, w, repeat(-1)), dtype=np.int32, count=len(w)) for w in split]
-        seen: tuple[int, int] | None = None
-        terms: set[int] = set()
-        for doc, stretch, item in self.candidates(ids):
-            span = slice(stretch * self.stride, (stretch + 2) * self.stride)
-            if (doc, stretch) != seen:
-                seen, terms = (doc, stretch), set(ids[doc][span].tolist())
-            score = self.score(terms, item)
-            if score < THRESHOLD:
-                continue
-            name, *parts = self.items[item]
-            shares = [share(p, split[doc][span]) for p in parts]
-            if shares[0] >= OVERLAP or min(shares[1:]) >= OVERLAP:
-                row = dict(zip(("item_id", "score", "overlap", "question_overlap", "answer_overlap"), (name, score, *shares), strict=True))
-                if score > out[doc].get(item, {"score": 0})["score"]:
+    @staticmethod
+    def _parts(passage: np.ndarray):
+        """Runs of whole passages of about ``CURSORS`` cursors."""
+        at = 0
+        while at < len(passage):
+            to = int(np.searchsorted(passage, passage[min(at + CURSORS, len(passage)) - 1], "right"))
+            yield slice(at, to)
+            at = to
+
+    def hits(self, split: list[list[str]], ids: list[np.ndarray]) -> list[list[dict]]:
+        """The leaked items of each text's words, with their best passage's score and overlaps."""
+        out: list[dict[int, dict]] = [{} for _ in split]
+        for doc, stretch, item, score in self.candidates(ids):
+            name, copies, least, parts = self.items[item]
+            passage = split[doc][stretch * self.stride : (stretch + 2) * self.stride]
+            shares = [share(p, passage) for p in parts]
+            if leaks(shares):
+                row = dict(zip(FIELDS, (name, score * least, *shares), strict=True)) | {"copies": copies}
+                if row["score"] > out[doc].get(item, {"score": 0})["score"]:
                     out[doc][item] = row
-        return [list(o.values()) for o in out]
+        return [[r for o in found.values() for r in [{k: o[k] for k in FIELDS}] * o["copies"]] for found in out]
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-              item_text_col: str = "text", out: str = "hits") -> DataFrame:
-    """``docs`` with an array ``out`` of the test items leaked into each whole text.
+class Shard:
+    """The indexes of some items, one per length class, over one vocabulary."""
 
-    Null or empty texts and items leak nothing; a repeated item is reported as often as it is
-    there; an empty benchmark gives empty arrays. Parts shorter than a shingle count as one
-    shingle. Other columns and all rows pass through.
-    """
-    spark = docs.sparkSession
+    def __init__(self, items: list[tuple[int, str, int]], df: dict[str, int], total: int, average: float):
+        classes: dict[int, list] = {}
+        for item, text, copies in items:
+            if words := words_of(text.lower()):
+                classes.setdefault(stride_of(len(words)), []).append((item, words, text, copies))
+        self.indexes = [Index(stride, rows, df, total, average) for stride, rows in sorted(classes.items())]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for x in self.indexes for w in x.terms}))}
+        self.local = [np.array([x.terms.get(w, -1) for w in self.vocabulary] + [-1]) for x in self.indexes]
+
+    def hits(self, texts: list[str]) -> list[list[dict]]:
+        split = [words_of(t.lower()) for t in texts]
+        ids = [np.fromiter(map(self.vocabulary.get, w, repeat(-1)), dtype=np.int64, count=len(w)) for w in split]
+        out: list[list[dict]] = [[] for _ in texts]
+        for index, local in zip(self.indexes, self.local, strict=True):
+            for row, found in zip(out, index.hits(split, [local[i] for i in ids]), strict=True):
+                row += found
+        return out
+
+
+def build_shards(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(shard, body): pickled indexes of about ``shard_words`` words at most each, built in tasks."""
 
     @F.arrow_udf(ArrayType(StringType()))
     def tokens(texts: pa.Array) -> pa.Array:
         return pa.array([words_of((t or "").lower()) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("item_text"))
-    items = write_table(items.withColumn("words", tokens("item_text")).where("size(words) > 0"), "items")
-    size = items.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).first()
-    shards = -(-(size["words"] or 0) // SHARD_WORDS)
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item", "item_text"), F.lit(max(1, shards))))
-    terms = items.select("shard", F.explode(F.array_distinct("words")).alias("term"))
-    df = write_table(terms.groupBy("term").agg(F.count("*").alias("df")), "item-terms")
-    parts: list[Column] = []
-    for shard in range(shards):
-        own = terms.where(F.col("shard") == shard).select("term").distinct().join(df, "term").collect()
-        rows = items.where(F.col("shard") == shard).orderBy("item", "item_text").select("item", "item_text").collect()
-        index = Index([tuple(r) for r in rows], {r["term"]: r["df"] for r in own}, size["n"], size["words"] / size["n"])
-        parts.append(_hits(spark.sparkContext.broadcast(index))(F.col(text_col)))
-    empty = F.array().cast(HITS)
-    return docs.withColumn(out, F.concat(*parts) if len(parts) > 1 else (parts[0] if parts else empty))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("body"))
+    items = items.groupBy("item", "body").agg(F.count("*").alias("copies")).withColumn("words", tokens("body")).where("size(words) > 0")
+    items = write_table(items, "items")
+    size = items.agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.size("words")).alias("words")).first()
+    if not size["n"]:
+        return items.select(F.lit(0).cast("long").alias("shard"), F.lit(b"").alias("body")).limit(0)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item", "body"), F.lit(-(-size["words"] // shard_words))))
+    terms = items.select("item", "body", "copies", F.explode(F.array_distinct("words")).alias("term"))
+    df = terms.groupBy("term").agg(F.sum("copies").alias("df"))
+    known = terms.join(df, "term").groupBy("item", "body").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))  # an item's terms
+    keyed = known.withColumnRenamed("item", "i").withColumnRenamed("body", "b")
+    rows = items.join(keyed, F.col("item").eqNullSafe(F.col("i")) & (F.col("body") == F.col("b"))).select("item", "body", "copies", "shard", "df")
+    n, average = size["n"], size["words"] / size["n"]
 
+    def build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["item", "body"])
+        known = {t: c for pairs in f["df"] for t, c in dict(pairs).items()}
+        of = [(None if pd.isna(i) else int(i), b, int(c)) for i, b, c in zip(f["item"], f["body"], f["copies"], strict=True)]
+        return pd.DataFrame([(int(key[0]), pickle.dumps(Shard(of, known, n, average)),)], columns=["shard", "body"])
+
+    return rows.groupBy("shard").applyInPandas(build, "shard long, body binary")
+
+
+def _lookup(spark, body: bytearray):
+    shared = spark.sparkContext.broadcast(bytes(body))
 
-def _hits(shared):
     @F.arrow_udf(HITS)
     def run(texts: pa.Array) -> pa.Array:
-        found: list[list[dict]] = []
+        shard, found = _shard(shared), []
         for part in slices([t or "" for t in texts.to_pylist()]):
-            found += shared.value.hits(part)
-        fields = [("item_id", pa.int64()), *((f, pa.float64()) for f in ("score", "overlap", "question_overlap", "answer_overlap"))]
+            found += shard.hits(part)
+        fields = [("item_id", pa.int64()), *((f, pa.float64()) for f in FIELDS[1:])]
         return pa.array(found, pa.list_(pa.struct(fields)))
 
-    return run
+    return shared, run
+
+
+_kept: list[tuple[bytes, Shard]] = []
+
+
+def _shard(shared) -> Shard:
+    """The last broadcast shard of this process, unpickled once."""
+    if not _kept or _kept[0][0] is not shared.value:
+        _kept[:] = [(shared.value, pickle.loads(shared.value))]
+    return _kept[0][1]
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+              item_text_col: str = "text", out: str = "hits", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` with an array ``out`` of the test items leaked into each whole text.
+
+    Null or empty texts and items leak nothing; a repeated item is reported as often as it is
+    there; an empty benchmark gives empty arrays. Parts shorter than a shingle count as one
+    shingle. Other columns and all rows pass through; a column named like ``out`` is replaced.
+    ``shard_words`` bounds an index's memory and never changes a hit.
+    """
+    spark = docs.sparkSession
+    shards = write_table(build_shards(benchmark, item_col, item_text_col, shard_words), "shards")
+    names = [r["shard"] for r in shards.select("shard").orderBy("shard").collect()]
+    load = lambda name: shards.where(F.col("shard") == name).first()["body"]
+    empty = F.array().cast(HITS)
+    if len(names) <= 1:
+        return docs.withColumn(out, _lookup(spark, load(names[0]))[1](F.col(text_col)) if names else empty)
+    key, body = fresh_name(docs, "key"), fresh_name(docs, "body")
+    digest = F.md5(F.col(text_col))
+    texts = docs.where(F.col(text_col).isNotNull()).select(digest.alias(key), F.col(text_col).alias(body))
+    found = None
+    for name in names:
+        shared, run = _lookup(spark, load(name))
+        some = texts.select(key, run(F.col(body)).alias(out)).where(F.size(out) > 0).dropDuplicates([key])
+        some = write_table(some, "hits")
+        shared.destroy()
+        found = some if found is None else found.unionByName(some)
+    merged = write_table(found.groupBy(key).agg(F.flatten(F.collect_list(out)).alias(out)), "hits")  # a row per shard at most
+    rest = docs.drop(out).withColumn(key, digest)
+    return rest.join(merged, key, "left").drop(key).withColumn(out, F.coalesce(out, empty))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a test item."""
-    return with_hits(docs, benchmark, text_col, out="__hits").where("size(__hits) = 0").select(*docs.columns)
+    """``docs`` without the rows whose text holds a test item; columns stay as they are."""
+    hits = fresh_name(docs, "hits")
+    return with_hits(docs, benchmark, text_col, out=hits).where(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

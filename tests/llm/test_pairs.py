@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from siteweave.llm import common, decontaminate, neighbours, simhash
+from siteweave.llm import common, decontaminate, neighbours, registry, simhash
 
 
 def brute_fingerprint(text):
@@ -114,30 +115,75 @@ def shingle_share(text):
     return decontaminate.share(whole, there)
 
 
-def test_pruned_retrieval_equals_full_scoring():
-    random.seed(8)
+def brute_hits(text, items):
+    """Item ids by the rule on every passage, without any retrieval."""
+    words, out = decontaminate.words_of((text or "").lower()), []
+    for item, item_text in items:
+        own = decontaminate.words_of((item_text or "").lower())
+        if own:
+            n, parts = decontaminate.stride_of(len(own)), [own, *decontaminate.question_and_answer(item_text)]
+            passages = [words[s * n : (s + 2) * n] for s in range(len(words) // n + 1)]
+            if any(decontaminate.leaks([decontaminate.share(part, p) for part in parts]) for p in passages):
+                out.append(item)
+    return sorted(out)
+
+
+def planted(seed, n_items=40, n_docs=60):
+    """Items of common and rare words, and documents with damaged copies of them."""
+    rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)] + ["the", "of", "and"] * 60
-    items = [(i, " ".join(random.choice(vocabulary) for _ in range(random.randint(5, 50)))) for i in range(40)]
-    counts = {}
-    for _, t in items:
-        for w in set(t.split()):
-            counts[w] = counts.get(w, 0) + 1
-    index = decontaminate.Index(items, counts, len(items), sum(len(t.split()) for _, t in items) / len(items))
-    docs = [" ".join(random.choice(vocabulary) for _ in range(400)).split() for _ in range(30)]
-    for d in docs[:15]:
-        part = items[random.randrange(40)][1].split()
-        at = random.randrange(300)
-        d[at : at + len(part)] = [w for w in part if random.random() > 0.15]
-    ids = [np.array([index.terms.get(w, -1) for w in d], dtype=np.int32) for d in docs]
-    full = {}
-    for d, x in enumerate(ids):
-        for s in range(len(x) // index.stride + 1):
-            terms = set(x[s * index.stride : (s + 2) * index.stride].tolist())
-            for item in range(len(items)):
-                if (score := sum(v for part in index.weights[item] for t, v in part.items() if t in terms)) >= decontaminate.THRESHOLD:
-                    full[d, s, item] = score
-    found = {(d, s, i): index.score(set(ids[d][s * index.stride : (s + 2) * index.stride].tolist()), i) for d, s, i in index.candidates(ids)}
-    assert {k: round(v, 9) for k, v in found.items() if v >= decontaminate.THRESHOLD} == {k: round(v, 9) for k, v in full.items()} and full
+    text = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", "", ".", "?"]) for _ in range(n))
+    items = [(i, text(rng.randint(1, 70))) for i in range(n_items)]
+    docs = []
+    for d in range(n_docs):
+        words = text(rng.randint(0, 400)).split()
+        for _ in range(rng.randint(0, 3)):
+            part, at = items[rng.randrange(n_items)][1].split(), rng.randint(0, len(words))
+            if rng.random() < 0.5:
+                part = part[rng.randint(0, len(part) // 8) :]
+            else:
+                part[rng.randrange(len(part))] = "zzz"
+            words[at:at] = part
+        docs.append((d, " ".join(words)))
+    return items, docs
+
+
+def test_query_equals_the_rule_on_every_passage(spark, tmp_path):
+    items, docs = planted(8)
+    items += [items[3], (None, "nothing known about this nameless item"), (50, items[4][1])]
+    docs += [(100, None), (101, ""), (102, "x nothing known about this nameless item y"), (102, "x nothing known about this nameless item y")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda x: (x[0], -1 if x[1] is None else x[1])
+    got = sorted(((r["doc_id"], r["item_id"]) for r in registry.op5_decontaminate(spark, str(tmp_path)).collect()), key=key)
+    want = [(d, i) for d, t in docs for i in brute_hits(t, [(-1 if i is None else i, t2) for i, t2 in items])]
+    assert [key(x) for x in got] == sorted(want) and len(want) > 30
+
+
+def test_items_and_shards_never_change_another_items_hits(spark):
+    items, docs = planted(9)
+    long = (99, " ".join(f"long{i}" for i in range(1000)))
+    halves = (98, "first half of an item with many words in it. second half of the same item with some others")
+    docs += [(200, "first half of an item with many words in it " + "pad " * 300 + "second half of the same item with some others")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def hits(bench, **more):
+        bench = spark.createDataFrame(bench, "item_id long, text string")
+        return {r["doc_id"]: sorted(h["item_id"] for h in r["hits"]) for r in decontaminate.with_hits(frame, bench, **more).collect()}
+
+    few = hits([*items, halves])
+    assert few == {d: brute_hits(t, [*items, halves]) for d, t in docs} and any(few.values())
+    assert hits([*items, halves, long]) == few
+    assert hits([*items, halves, long], shard_words=300) == few
+    assert hits(items[:10]) == {d: [i for i in h if i < 10] for d, h in few.items()}
+
+
+def test_hits_beside_columns_of_internal_names(spark):
+    docs = spark.createDataFrame([(1, ITEMS[1][1], 7, "a", "b"), (2, "clean", 8, "c", "d")], "doc_id long, text string, __hits int, __key string, __body string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.drop_leaked(docs, bench).collect()] == [(2, "clean", 8, "c", "d")]
+    got = decontaminate.with_hits(docs, bench, shard_words=5).orderBy("doc_id").collect()
+    assert [(r["__hits"], r["__key"], r["__body"], [h["item_id"] for h in r["hits"]]) for r in got] == [(7, "a", "b", [2]), (8, "c", "d", [])]
 
 
 def test_neighbours(spark):
@@ -160,3 +206,36 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 180
     few = neighbours.search(df.where("vec_id < 4"), df.where("vec_id = 0")).collect()
     assert len(few) == 3 and neighbours.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def recall(spark, x, **more):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartitionByRange(3, "vec_id")
+    got, hit, asked = neighbours.search(df, df.where("vec_id % 20 = 0"), **more).toPandas(), 0, range(0, len(x), 20)
+    for q in asked:
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 11)) and np.array_equal(mine["score"], d[mine["vec_id"]])
+        hit += len({i for i in np.lexsort((np.arange(len(x)), d)) if i != q} & set(mine["vec_id"]) & set([i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]))
+    return hit / (10 * len(asked))
+
+
+def test_pruned_search_finds_nine_of_ten(spark, monkeypatch):
+    """Below ``least`` every cell is visited; with it at 0 the default share is pruned to, in blocks of 100 vectors."""
+    rng = np.random.default_rng(10)
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    flat = rng.normal(size=(2000, 16)).astype(np.float32)
+    assert recall(spark, flat) >= 0.9 and recall(spark, flat, least=0) >= 0.9
+    centres = rng.normal(size=(40, 16)) * 6
+    clustered = (centres[np.arange(2000) // 50] + rng.normal(size=(2000, 16))).astype(np.float32)
+    assert recall(spark, clustered, least=0) >= 0.9 and recall(spark, clustered, least=0, probe=0.1) >= 0.9
+
+
+def test_one_document_stays_whatever_the_columns_and_repeats(spark, monkeypatch):
+    rows = [(1, "a b c d", 1), (1, "a b c d", 2), (2, "A b c d", 3), (3, "other words than those", 4), (3, "still other words here", 5), (None, "a b c d", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int").withColumn("stays", F.lit("x"))
+    for most in (simhash.MOST_BROADCAST, 0):
+        monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns
+        got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+        assert got == [(0, "a b c d"), (1, "a b c d"), (3, "other words than those")]
