@@ -1,16 +1,24 @@
 """Personal data in texts by patterns and by learned contexts, with DataFrame functions alone.
 
 The base kinds (e-mail, IP, card and phone) are found by pattern and check. Their findings seed
-a bootstrap: a lexical pattern is the label in front of a slot (one or two words and a
-separator, as in ``contact: x``), an instance is what fills the slot. Spark scores the graph of
-patterns and instances in rounds: a pattern is worth the mean score of its distinct instances,
-a base finding is worth 1, any other instance the noisy-or of its other patterns. Patterns with
-support (base findings) and confidence then discover the identifiers in their other slots that
-no base kind covers. The graph is counted over every slot of the corpus; edges are distinct before any
-score, so copies and frequent labels add nothing.
-
-The patterns are written so that Java reads each text in one linear pass: possessive where that
-changes no match, and starting only where a run starts.
+a bootstrap over slots. A slot is an identifier-shaped filling (it holds a digit or @, and may go
+on over spaces in groups of digits) with its lexical patterns:
+
+- a label in front of it, one or two words and one of ``: = #``, as in ``contact: x``,
+- two words of prose in front of it, as in ``number is x``,
+- two words of prose after it, as in ``x or write``.
+
+Spark scores the graph of patterns and instances in rounds. A pattern is worth the mean score of
+its distinct instances; a base finding is worth 1, any other instance the noisy-or of the contexts
+that it has elsewhere, each at its best pattern. A context that the pattern itself matches has no
+vote, so a pattern never proves itself. Trusted are the patterns with enough support (base findings)
+and confidence; prose must also be specific: an identifier stands beside most occurrences of its
+two words in the corpus. Trusted patterns then discover the identifiers in their other slots that
+overlap no base finding. Discovered identifiers hold a digit, which tells them from words.
+
+The graph is counted over every slot of the corpus; edges are distinct before any score, so copies
+and frequent labels add nothing. The regular expressions are written so that Java reads each text
+in one linear pass: possessive where that changes no match, and starting only where a run starts.
 """
 
 from __future__ import annotations
@@ -18,19 +26,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
-from .spans import SPAN, located, no_spans, overlap, redacted
+from .common import fresh_name, write_table
+from .spans import SPAN, apart, beside, let, located, no_spans, redacted
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-SLOT = r"""(?<![\p{L}\p{N}])((?:\p{L}{2,24}[ _-])?\p{L}{2,24})["']?\x20?[:=#]\x20?["']?([^\s"'<>,;]{4,64})(?![^\s"'<>,;])"""
+OCTET = r"(?:0++|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
+_IN = r"""[^\s"'<>,;]"""
+_FILLING = rf"""({_IN}{{0,40}}?[0-9@]{_IN}{{0,64}}(?:\x20\(?[0-9]{_IN}{{0,24}}){{0,5}})(?!{_IN})"""
+_LABEL = r"""(?<![\p{L}\p{N}])((?:\p{L}{2,24}[\x20_-])?\p{L}{2,24})["']?\x20?([:=#])\x20?["'(]?"""
+_PROSE = r"(?<!\S)(\p{L}{1,24}\x20\p{L}{1,24})\x20"
+#: Groups: label, separator, prose before, filling, prose after.
+SLOT = rf"(?:{_LABEL}|{_PROSE}|(?<!\S)){_FILLING}(?=(?:\x20(\p{{L}}{{1,24}}\x20\p{{L}}{{1,24}})(?!\S))?)"
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.6
-#: Trusted labels that a plan holds.
-MOST_LABELS = 1000
+#: The share of a prose pattern's occurrences that must be slots.
+SPECIFIC = 0.5
+#: Trusted patterns that a plan holds.
+MOST_PATTERNS = 1000
 
 
 def luhn(digits: Column) -> Column:
@@ -57,58 +72,108 @@ def base_spans(text: Column) -> Column:
 
 
 def slots(text: Column) -> Column:
-    """Labelled slots as spans: kind is the lower-cased label, start and end are the filling's."""
-    value = lambda s: F.regexp_extract(s["match"], SLOT, 2)
-    fill = lambda s: F.struct(
-        (s["end"] - F.length(value(s))).alias("start"), F.lit(4).alias("rank"), s["end"].alias("end"),
-        F.lower(F.regexp_extract(s["match"], SLOT, 1)).alias("kind"), F.lower(value(s)).alias("match"),
-    )
-    return F.transform(located(text, SLOT, "slot", 4), fill)
+    """Slots with a pattern, as spans of their fillings (without closing punctuation).
+
+    ``match`` is the lower-cased filling and ``kind`` its patterns, joined by tabs: ``label:_``,
+    ``two words _`` and ``_ two words``.
+    """
+    group = lambda s, i: F.regexp_extract(s["match"], SLOT, i)
+
+    def slot(s: Column, after: Column) -> Column:
+        raw = group(s, 4)
+        filling = F.regexp_replace(raw, r"[.:!?)\]}]+$", "")
+        start = s["end"] - F.length(raw)
+        label = F.when(group(s, 1) != "", F.concat(F.lower(group(s, 1)), group(s, 2), F.lit("_")))
+        prose = F.when(group(s, 3) != "", F.concat(F.lower(group(s, 3)), F.lit(" _")))
+        right = F.when(after != "", F.concat(F.lit("_ "), F.lower(after)))
+        return F.struct(
+            start.alias("start"), F.lit(4).alias("rank"), (start + F.length(filling)).alias("end"),
+            F.array_join(F.array_compact(F.array(label, prose, right)), "\t").alias("kind"), F.lower(filling).alias("match"),
+        )
+
+    after = F.regexp_extract_all(text, F.lit(SLOT), F.lit(5))
+    found = F.zip_with(located(text, SLOT, "slot", 4), after, slot)
+    long_enough = lambda s: (s["kind"] != "") & F.length(s["match"]).between(4, 64) & s["match"].rlike("[0-9@]")
+    return F.when(text.rlike("[0-9@]"), F.filter(found, long_enough)).otherwise(no_spans())
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
-    """(label, confidence, seeds) from distinct ``edges`` (label, instance, seed boolean).
+    """(label, confidence, seeds) from distinct ``edges`` (context, instance, seed boolean).
 
-    ``seeds`` counts the label's instances that are base findings; a label with fewer than
-    ``support`` of them has confidence 0. A label's own vote is left out of the scores that it is
-    averaged over, so the confidence of a label that shares no instance is its share of seeds.
+    ``context`` holds the labels (patterns) of a slot, joined by tabs. ``seeds`` counts a label's
+    instances that are base findings; a label with fewer than ``support`` of them has confidence 0.
+    The contexts that a label matches have no vote in its own instances' scores, so the confidence
+    of a label whose instances stand nowhere else is its share of seeds.
     """
     proven = edges.groupBy("instance").agg(F.max("seed").alias("proven"))
-    edges = write_table(edges.select("label", "instance").join(proven, "instance"), "edges")
-    votes = edges.select("label").distinct().withColumn("vote", F.lit(0.0))
+    edges = write_table(edges.select("context", "instance").join(proven, "instance"), "edges")
+    labels = edges.select("context").distinct().withColumn("label", F.explode(F.split("context", "\t")))
+    votes = edges.select("context").distinct().withColumn("vote", F.lit(0.0))
     patterns = None
     for _ in range(rounds):
-        voted = edges.join(votes, "label")
-        told = voted.join(voted.groupBy("instance").agg(F.sum("vote").alias("votes")), "instance")
-        score = F.when(F.col("proven"), 1.0).otherwise(1 - F.exp(F.least(F.col("votes") - F.col("vote"), F.lit(0.0))))
-        patterns = told.groupBy("label").agg(F.avg(score).alias("mean"), F.count_if("proven").alias("seeds"))
+        voted = edges.join(votes, "context")
+        total = voted.groupBy("instance").agg(F.sum("vote").alias("votes"))
+        own = voted.join(labels, "context").groupBy("label", "instance").agg(F.max("proven").alias("proven"), F.sum("vote").alias("own"))
+        score = F.when(F.col("proven"), 1.0).otherwise(1 - F.exp(F.least(F.col("own") - F.col("votes"), F.lit(0.0))))
+        patterns = own.join(total, "instance").groupBy("label").agg(F.avg(score).alias("mean"), F.count_if("proven").alias("seeds"))
         patterns = write_table(patterns.select("label", "seeds", F.when(F.col("seeds") >= support, F.col("mean")).otherwise(0.0).alias("confidence")), "patterns")
-        votes = patterns.select("label", F.log1p(-F.least("confidence", F.lit(0.999))).alias("vote"))
+        best = labels.join(patterns, "label").groupBy("context").agg(F.max("confidence").alias("confidence"))
+        votes = best.select("context", (-F.log1p(-F.least("confidence", F.lit(0.999)))).alias("vote"))
     return patterns
 
 
+def specific(patterns: DataFrame, texts: DataFrame, filled: DataFrame, least: float = SPECIFIC) -> DataFrame:
+    """The labels of ``patterns`` that are no prose, or prose whose occurrences in ``texts`` (text) are mostly slots.
+
+    An occurrence is two neighbouring words, apart by one space, that are letters alone. Only the
+    words of ``patterns`` leave the scan.
+    """
+    words = F.trim(F.translate("label", "_", ""))
+    prose = patterns.where("label like '% \\\\_' or label like '\\\\_ %'").select("label", words.alias("pair"))
+    if prose.isEmpty():
+        return patterns.select("label")
+    neighbours = lambda w: F.zip_with(
+        F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)
+    )
+    pairs = F.flatten(F.transform(F.split(F.lower("text"), r"[^\S\x20]"), lambda line: let(F.split(line, " "), neighbours)))
+    asked = write_table(prose.select("pair").distinct(), "pairs")
+    found = texts.where("text is not null").select(F.explode(pairs).alias("pair")).join(asked, "pair", "left_semi")
+    seen = found.groupBy("pair").agg(F.count("*").alias("n"))
+    used = filled.select(F.explode(F.split("slot.kind", "\t")).alias("label")).groupBy("label").agg(F.count("*").alias("used"))
+    rated = prose.join(seen, "pair").join(used, "label").where(F.col("used") >= least * F.col("n")).select("label")
+    return patterns.join(prose, "label", "left_anti").select("label").union(rated)
+
+
 def _learn(docs: DataFrame, id_col: str, text_col: str, confidence: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Base spans and slots per row, the filled slots with what is known of them, and the trusted labels."""
+    """Base spans and slots per row, the slots that are free of base spans, and the trusted labels."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = lambda s: s.withField("match", F.lit(None).cast("string"))
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), base_spans(text).alias("base"), slots(text).alias("slots"))
     found = write_table(found.select("id", "h", F.transform("base", bare).alias("base"), "slots"), "pii")
-    whole = lambda s, b: (b["start"] <= s["start"]) & (b["end"] >= s["end"] - 1)  # noqa: E731  but for a full stop
-    seeded = F.transform(
-        "slots",
-        lambda s: F.struct(
-            s.alias("slot"),
-            F.exists("base", lambda b: whole(s, b)).alias("seed"),
-            F.exists("base", lambda b: overlap(s, b)).alias("known"),
-        ),
-    )
-    filled = (
-        found.where("size(slots) > 0").dropDuplicates(["id", "h"]).select("id", "h", F.explode(seeded).alias("x"))
-        .select("id", "h", "x.slot", "x.seed", "x.known", F.col("x.slot.kind").alias("label"), F.col("x.slot.match").alias("instance"))
+    base = F.col("base")
+    texts = found.where("size(slots) > 0").dropDuplicates(["id", "h"])
+    filled = texts.select(F.explode(beside(F.col("slots"), base, inside=True)).alias("x")).select(F.col("x.span").alias("slot"), F.col("x.hit").alias("seed"))
+    filled = write_table(filled, "slots")
+    edges = filled.groupBy(F.col("slot.kind").alias("context"), F.col("slot.match").alias("instance")).agg(F.max("seed").alias("seed"))
+    likely = write_table(score_patterns(edges).where(F.col("confidence") >= confidence).select("label"), "likely")
+    trusted = write_table(specific(likely, docs.select(F.col(text_col).alias("text")), filled), "trusted")
+    free = texts.select("id", "h", F.explode(F.filter(apart(F.col("slots"), base), lambda s: s["match"].rlike("[0-9]"))).alias("slot"))
+    return found, free, trusted
+
+
+def _context(slot: Column) -> Column:
+    return slot.withField("kind", F.lit("context")).withField("match", F.lit(None).cast("string"))
+
+
+def _joined(found: DataFrame, free: DataFrame, trusted: DataFrame) -> DataFrame:
+    labelled = free.select("id", "h", "slot", F.explode(F.split("slot.kind", "\t")).alias("label")).join(trusted, "label")
+    added = (
+        labelled.select("id", "h", _context(F.col("slot")).alias("slot")).distinct().groupBy("id", "h")
+        .agg(F.collect_list("slot").cast(f"array<{SPAN}>").alias("added"))
+        .select(F.col("id").alias("id2"), F.col("h").alias("h2"), "added")
     )
-    edges = write_table(filled.groupBy("label", "instance").agg(F.max("seed").alias("seed")), "slots")
-    trusted = write_table(score_patterns(edges).where(F.col("confidence") >= confidence).select("label"), "trusted")
-    return found, filled, trusted
+    joined = found.join(added, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
+    return joined.select("id", "h", "base", F.coalesce("added", no_spans()).alias("added"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = CONFIDENCE) -> DataFrame:
@@ -118,51 +183,30 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     id, or have none, are kept apart by the text's hash. Texts are read whole; other columns are
     not read; an empty table gives an empty one.
     """
-    found, filled, trusted = _learn(docs, id_col, text_col, confidence)
-    span = F.struct(F.col("slot.start").alias("start"), F.lit(4).alias("rank"), F.col("slot.end").alias("end"), F.lit("context").alias("kind"), F.lit(None).cast("string").alias("match"))
-    added = (
-        filled.where("not known and instance rlike '[0-9]'").join(trusted, "label").groupBy("id", "h")
-        .agg(F.collect_list(span).cast(f"array<{SPAN}>").alias("added"))
-        .select(F.col("id").alias("id2"), F.col("h").alias("h2"), "added")
-    )
-    joined = found.join(added, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
-    return joined.select("id", "h", "base", F.coalesce("added", no_spans()).alias("added"))
+    return _joined(*_learn(docs, id_col, text_col, confidence))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = CONFIDENCE) -> DataFrame:
     """``docs`` with every finding in its text replaced by the kind in brackets; null texts stay null.
 
-    Columns and rows stay as they are otherwise. Texts are not shuffled: a second scan finds the
-    spans again, with the trusted labels in the plan. Should there be more than ``MOST_LABELS``
-    of them, the spans come by a join instead.
+    Columns and rows stay as they are otherwise, whatever the columns are called. Texts are not
+    shuffled: a second scan finds the spans again, with the trusted patterns in the plan. Should
+    there be more than ``MOST_PATTERNS`` of them, the spans come by a join instead.
     """
-    _, _, trusted = _learn(docs, id_col, text_col, confidence)
-    labels = [r["label"] for r in trusted.limit(MOST_LABELS + 1).collect()]
+    learned = _learn(docs, id_col, text_col, confidence)
+    labels = [r["label"] for r in learned[2].limit(MOST_PATTERNS + 1).collect()]
     text = F.col(text_col)
-    if len(labels) > MOST_LABELS:
-        return _redact_joined(docs, id_col, text_col, confidence)
-    spans = base_spans(text)
-    if labels:
-        known = F.array(*[F.lit(x) for x in labels])
-        fresh = lambda s: F.array_contains(known, s["kind"]) & s["match"].rlike("[0-9]") & ~F.exists("__base", lambda b: overlap(s, b))
-        more = F.transform(F.filter(slots(text), fresh), lambda s: s.withField("kind", F.lit("context")))
-        spans = F.concat("__base", more)
-        docs_ = docs.withColumn("__base", base_spans(text))
-    else:
-        docs_ = docs
-    found = docs_.withColumn("__spans", spans)
-    new = F.when(F.size("__spans") > 0, redacted(text, F.col("__spans"))).otherwise(text)
-    return found.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
-
-
-def _redact_joined(docs: DataFrame, id_col: str, text_col: str, confidence: float) -> DataFrame:
-    found = find_pii(docs, id_col, text_col, confidence)
-    found = write_table(
-        found.select("id", "h", F.concat("base", "added").alias("__spans")).where("size(__spans) > 0").dropDuplicates(["id", "h"])
-        .select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__spans"),
-        "pii-spans",
-    )
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__h"))
-    joined = docs.join(found, same, "left")
-    new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans")))
-    return joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    replaced = lambda df, new: df.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    if len(labels) > MOST_PATTERNS:
+        name = {k: fresh_name(docs, k) for k in ("id", "h", "spans")}
+        spans = _joined(*learned).select(F.col("id").alias(name["id"]), F.col("h").alias(name["h"]), F.concat("base", "added").alias(name["spans"]))
+        spans = write_table(spans.where(F.size(name["spans"]) > 0).dropDuplicates([name["id"], name["h"]]), "pii-spans")
+        same = F.col(id_col).eqNullSafe(F.col(name["id"])) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(name["h"]))
+        return replaced(docs.join(spans, same, "left"), F.when(F.col(name["spans"]).isNull(), text).otherwise(redacted(text, F.col(name["spans"]))))
+    base = base_spans(text)
+    if not labels:
+        return replaced(docs, F.when(text.isNotNull(), let(base, lambda b: redacted(text, b))))
+    known = F.array(*[F.lit(x) for x in labels])
+    taken = lambda s: s["match"].rlike("[0-9]") & F.arrays_overlap(F.split(s["kind"], "\t"), known)
+    fresh = lambda b: F.transform(apart(F.filter(slots(text), taken), b), _context)
+    return replaced(docs, F.when(text.isNotNull(), let(base, lambda b: let(F.concat(b, fresh(b)), lambda s: redacted(text, s)))))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_table
-from .spans import SPAN, located, no_spans, overlap
+from .spans import SPAN, apart, located, no_spans
 
 SCOPE = 256
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -61,10 +61,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = write_table(found.select("id", "h", bare(F.col("base")).alias("base"), bare(F.col("weak")).alias("weak")), "secrets")
     role = F.create_map([F.lit(x) for pair in ROLES.items() for x in pair])
     parts = found.where("size(weak) > 0 and size(weak) + size(base) > 1").dropDuplicates(["id", "h"])
-    apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: overlap(w, b)))
+    alone = apart(F.col("weak"), F.col("base"))
     window = lambda a, b: F.explode(F.sequence(F.floor(a / scope), F.floor(b / scope)))
-    weak = parts.select("id", "h", F.explode(apart).alias("w")).withColumn("window", window(F.col("w.start"), F.col("w.end")))
-    others = parts.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.explode(F.concat("base", apart)).alias("o"))
+    weak = parts.select("id", "h", F.explode(alone).alias("w")).withColumn("window", window(F.col("w.start"), F.col("w.end")))
+    others = parts.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.explode(F.concat("base", alone)).alias("o"))
     others = others.select("id2", "h2", "o", role[F.col("o.kind")].alias("role")).where("role <> 'endpoint'")
     others = others.withColumn("window2", window(F.col("o.start") - scope, F.col("o.end") + scope))
     near = weak.join(
