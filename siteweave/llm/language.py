@@ -2,8 +2,11 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The probability
 of a word is the sum, over all ways to cut it into pieces, of the product of the pieces'
-probabilities; the forward algorithm gives it in one pass over the word. A text's score for a
-language is the sum of its words' log-probabilities; softmax turns the scores into a posterior.
+probabilities; the forward algorithm gives it in one pass over the word, rescaled as it goes, so
+that words of any length stay within doubles. Long words are first cut where no piece holds the
+two characters: no segmentation crosses such a place, so the product of the parts is exact. A
+text's score for a language is the sum of its words' log-probabilities; softmax turns the scores
+into a posterior.
 
 Probabilities are learned by expectation-maximisation. ``DOCS_PER_LANG`` bounds the labelled
 documents of each language that take part (chosen by a hash of the id, in expectation that
@@ -26,21 +29,19 @@ from .pieces import PieceTable, code_matrix, equal_lengths, load_pieces
 
 DOCS_PER_LANG = 400
 ROUNDS = 3
-#: Words are cut after so many code points, which also keeps probabilities within doubles.
-WORD = 32
+#: Longer words are cut where no piece crosses; places between two rescalings, and of a long word at a time.
+LONG, RESCALE, STRETCH = 32, 16, 1 << 14
 #: A code point that no piece covers, and what each piece counts besides its expected count.
 UNSEEN, SMOOTH = 1e-7, 0.1
-CACHE_WORDS = 200_000
+#: Words that a worker keeps, and the length up to which it keeps them.
+CACHE_WORDS, KEPT_LENGTH = 200_000, 256
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words, marked after a space; long ones in stretches of ``WORD``."""
-    words = (SPACE + text.lower().replace(SPACE, " ").replace(" ", " " + SPACE)).split()
-    if max(map(len, words)) <= WORD:
-        return words
-    return [w[i : i + WORD] for w in words for i in range(0, len(w), WORD)]
+    """Lower-cased words, marked after a space."""
+    return (SPACE + text.lower().replace(SPACE, " ").replace(" ", " " + SPACE)).split()
 
 
 class Lattice:
@@ -48,19 +49,23 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.table = PieceTable(pieces, list(range(len(pieces))))
-        self.size = len(pieces)
-
-    def _forward(self, arcs: list, prob: np.ndarray, n: int) -> np.ndarray:
-        alpha = np.zeros((arcs[1].shape[0], n + 1, prob.shape[1]))
-        alpha[:, 0] = 1.0
-        for end in range(1, n + 1):
-            for length in range(1, min(end, len(arcs) - 1) + 1):
-                piece = arcs[length][:, end - length]
-                if length == 1:
-                    alpha[:, end] += alpha[:, end - 1] * prob[piece]
-                elif len(at := np.nonzero(piece >= 0)[0]):
-                    alpha[at, end] += alpha[at, end - length] * prob[piece[at]]
-        return alpha
+        self.pieces, self.size = pieces, len(pieces)
+        self.inside = {p[j : j + 2] for p in pieces for j in range(len(p) - 1)}
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text; long ones in parts that no piece crosses."""
+        words = words_of(text) if text.strip() else []
+        if max(map(len, words), default=0) <= LONG:
+            return words
+        return [part for w in words for part in ([w] if len(w) <= LONG else self._cut(w))]
+
+    def _cut(self, word: str) -> list[str]:
+        out, at = [], 0
+        for j in range(1, len(word)):
+            if word[j - 1 : j + 1] not in self.inside:
+                out.append(word[at:j])
+                at = j
+        return [*out, word[at:]]
 
     def _arcs(self, codes: np.ndarray) -> list:
         arcs = self.table.lattice(codes)
@@ -71,27 +76,59 @@ class Lattice:
         """(words, languages). ``prob`` is (pieces + 1, languages), the last row for the unseen."""
         out, where = np.empty((len(words), prob.shape[1])), {w: i for i, w in enumerate(words)}
         for group in equal_lengths(words):
-            n = len(group[0])
-            out[[where[w] for w in group]] = np.log(self._forward(self._arcs(code_matrix(group, n)), prob, n)[:, n])
+            out[[where[w] for w in group]] = self._forward(code_matrix(group, len(group[0])), prob)
         return out
 
+    def _forward(self, codes: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        """Log of the sum over all segmentations of words of one length, with the last places' sums alone in memory."""
+        count, n, width = codes.shape[0], codes.shape[1], self.table.width
+        ring = np.zeros((width + 1, count, prob.shape[1]))
+        ring[0] = 1.0
+        logs = np.zeros((count, prob.shape[1]))
+        for first in range(0, n, STRETCH):
+            # Arcs that end in this stretch start up to ``width`` places before it.
+            low = max(0, first - width)
+            arcs = self._arcs(codes[:, low : first + STRETCH])
+            for end in range(first + 1, min(first + STRETCH, n) + 1):
+                now = ring[end % (width + 1)]
+                for length in range(1, min(end, len(arcs) - 1) + 1):
+                    piece, before = arcs[length][:, end - length - low], ring[(end - length) % (width + 1)]
+                    if length == 1:
+                        np.multiply(before, prob[piece], out=now)
+                    elif len(at := np.nonzero(piece >= 0)[0]):
+                        now[at] += before[at] * prob[piece[at]]
+                if end % RESCALE == 0:
+                    top = ring.max(axis=0)
+                    ring /= top
+                    logs += np.log(top)
+        return logs + np.log(ring[n % (width + 1)])
+
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words, taken ``counts`` times; ``prob`` is (pieces + 1,)."""
-        out, where = np.zeros(self.size + 1), {w: i for i, w in enumerate(words)}
+        """Expected uses of each piece in the words, taken ``counts`` times; ``prob`` is (pieces + 1,).
+
+        Forward and backward sums are kept as logarithms.
+        """
+        out, where, log_prob = np.zeros(self.size + 1), {w: i for i, w in enumerate(words)}, np.log(prob)
         for group in equal_lengths(words):
             n = len(group[0])
             arcs = self._arcs(code_matrix(group, n))
-            alpha = self._forward(arcs, prob[:, None], n)[:, :, 0]
-            beta = np.zeros_like(alpha)
-            beta[:, n] = 1.0
-            weight = counts[[where[w] for w in group]] / alpha[:, n]
+            alpha = np.full((len(group), n + 1), -np.inf)
+            alpha[:, 0] = 0.0
+            for end in range(1, n + 1):
+                for length in range(1, min(end, len(arcs) - 1) + 1):
+                    piece = arcs[length][:, end - length]
+                    at = np.nonzero(piece >= 0)[0]
+                    alpha[at, end] = np.logaddexp(alpha[at, end], alpha[at, end - length] + log_prob[piece[at]])
+            beta = np.full_like(alpha, -np.inf)
+            beta[:, n] = 0.0
+            weight, whole = counts[[where[w] for w in group]], alpha[:, n]
             for start in range(n - 1, -1, -1):
                 for length in range(1, min(n - start, len(arcs) - 1) + 1):
                     piece = arcs[length][:, start]
                     at = np.nonzero(piece >= 0)[0]
-                    used = prob[piece[at]] * beta[at, start + length]
-                    beta[at, start] += used
-                    out += np.bincount(piece[at], alpha[at, start] * used * weight[at], self.size + 1)
+                    used = log_prob[piece[at]] + beta[at, start + length]
+                    beta[at, start] = np.logaddexp(beta[at, start], used)
+                    out += np.bincount(piece[at], np.exp(alpha[at, start] + used - whole[at]) * weight[at], self.size + 1)
         return out
 
 
@@ -105,7 +142,7 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log-probability of each text in each language."""
-        split = [words_of(t) if t.strip() else [] for t in texts]
+        split = [self.lattice.split(t) for t in texts]
         new = list(set().union(*split).difference(self.index))
         if len(self.index) + len(new) > CACHE_WORDS:
             self.index.clear()
@@ -118,6 +155,9 @@ class Scorer:
         for i, words in enumerate(split):
             if words:
                 out[i] = self.logs[list(map(self.index.__getitem__, words))].sum(axis=0)
+        if any(len(w) > KEPT_LENGTH for w in new):
+            self.index.clear()
+            self.logs = self.logs[:0]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -153,11 +193,13 @@ def learn(docs: DataFrame, pieces_path: str, text_col: str = "text", lang_col: s
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("learn")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(chance < take[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    fixed = spark.sparkContext.broadcast(lattice)
+
     def count(batches):
         for batch in batches:
             found: dict[tuple[str, str], int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in words_of(text) if text.strip() else []:
+                for w in fixed.value.split(text):
                     found[lang, w] = found.get((lang, w), 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()),
@@ -165,7 +207,6 @@ def learn(docs: DataFrame, pieces_path: str, text_col: str = "text", lang_col: s
 
     counted = sample.mapInArrow(count, "lang string, word string, n long")
     words = write_table(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
-    fixed = spark.sparkContext.broadcast(lattice)
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(prob)
 
@@ -196,7 +237,8 @@ def predict(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str =
     """``docs`` with a struct ``out`` of lang_pred and score (the posterior, 0 to 1).
 
     ``und`` with score 0 for a null text, a text without a letter, or if nothing was learned.
-    Ties go to the language that sorts first. Other columns pass through.
+    Ties go to the language that sorts first. Other columns pass through; one named like ``out``
+    is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     kind = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
