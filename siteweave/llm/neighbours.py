@@ -7,8 +7,10 @@ a share ``PROBE`` of all vectors), ranks a cell's codes by asymmetric distance t
 best ``SHORTLIST`` of each block again by the exact distance on the original vectors.
 
 Cells are dealt out in blocks of about ``BLOCK`` vectors by a hash, so a cell with a third of
-all vectors is many tasks; the queries of a cell are dealt out likewise. A block returns ``k``
-rows per query, and the final ranking is a top-k window.
+all vectors is many blocks. The index is shuffled once, each vector to its block; queries go to
+the blocks of the cells that they visit. A task takes its blocks in order: it holds one block and
+streams that block's queries, however many there are. A block returns ``k`` rows per query, and the
+final ranking is a top-k window.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ SAMPLE, ROUNDS = 8192, 8
 #: test vectors have hardly any clusters: half of them gives a recall of 0.86.
 MOST_CELLS, PROBE, LEAST = 1024, 0.75, 8192
 SUBSPACE, CODES = 2, 256
-BLOCK, QUERIES, SHORTLIST = 4096, 1024, 128
+BLOCK, SHORTLIST = 1 << 15, 128
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -59,7 +61,7 @@ class Quantiser:
         self.coarse = kmeans(sample, cells)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.parts = np.array_split(np.arange(sample.shape[1]), max(1, sample.shape[1] // SUBSPACE))
-        self.books = [kmeans(rest[:4096, p], CODES) for p in self.parts]
+        self.books = [kmeans(rest[:, p], CODES) for p in self.parts]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = nearest(x, self.coarse)
@@ -75,6 +77,37 @@ class Quantiser:
         return out
 
 
+class Block:
+    """The vectors of one block, which arrive before its queries."""
+
+    def __init__(self):
+        self.parts: list[pa.RecordBatch] = []
+        self.ready = None
+
+    def add(self, part: pa.RecordBatch) -> None:
+        self.parts.append(part)
+
+    def nearest(self, model: Quantiser, cell: int, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The ``k`` nearest of the shortlist of each query, ties to the smaller id."""
+        if self.ready is None:
+            rows = pa.Table.from_batches(self.parts)
+            codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(rows.num_rows, -1).astype(np.int64)
+            self.ready = rows["id"].to_numpy(), _matrix(rows["vector"]), codes + np.arange(codes.shape[1]) * CODES
+        ids, x, codes = self.ready
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for who, q in zip(asked.column("id").to_numpy(), _matrix(asked.column("vector")), strict=True):
+            near = model.table(q, cell).ravel()[codes].sum(axis=1)
+            last = min(SHORTLIST, len(near)) - 1
+            short = np.nonzero(near <= np.partition(near, last)[last])[0]
+            short = short[near[short].argsort(kind="stable")][: SHORTLIST + 1]
+            short = short[ids[short] != who]
+            d = np.sqrt(((x[short] - q) ** 2).sum(axis=1))
+            best = np.lexsort((ids[short], d))[:k]
+            out.append((np.full(len(best), who), ids[short][best], d[best]))
+        columns = [np.concatenate([o[i] for o in out]) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], names=["query_id", "vec_id", "score"])
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -82,13 +115,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, vector): rows that take part, with vectors as arrays of doubles.
+    """(id, vector): rows that take part, with vectors as arrays of floats if they were, else of doubles.
 
     Rows without an id take no part, nor do vectors that are null, zero, hold a null or a
     non-finite component, or are not of the most frequent length (of equally frequent ones the
     greatest).
     """
-    x = F.col(vector_col).cast("array<double>")
+    kind = vectors.select(vector_col).dtypes[0][1]
+    x = F.col(vector_col) if kind == "array<float>" else F.col(vector_col).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("vector")).where(
         F.col("id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists(x, lambda v: v != 0)
@@ -98,12 +132,13 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-           probe: float = PROBE) -> DataFrame:
+           probe: float = PROBE, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries``.
 
     ``queries`` has the columns of ``vectors``; a row is no neighbour of the query with its id.
     The score is the Euclidean distance in double precision; ties go to the smaller id. A
-    repeated id is one candidate, at its nearest vector; a repeated query is asked once.
+    repeated id is one candidate, at its nearest vector; a repeated query is asked once. A query
+    visits cells that hold a share ``probe`` of the vectors, ``least`` of them if there are.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -123,7 +158,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *batch.columns, packed], names=["cell", "id", "vector", "codes"])
 
-    index = write_table(index.mapInArrow(encode, "cell int, id long, vector array<double>, codes binary"), "inverted-file")
+    kind = index.schema["vector"].dataType.simpleString()
+    index = write_table(index.mapInArrow(encode, f"cell int, id long, vector {kind}, codes binary"), "inverted-file")
     sizes = np.zeros(len(model.value.coarse), dtype=np.int64)
     for row in index.groupBy("cell").count().collect():
         sizes[row["cell"]] = row["count"]
@@ -133,42 +169,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     def cells(column: pa.Array) -> pa.Array:
         order = distances(_matrix(column), model.value.coarse).argsort(axis=1, kind="stable")
         covered = sizes[order].cumsum(axis=1)
-        enough = (covered < min(n, max(k + 1, LEAST, probe * n))).sum(axis=1) + 1
+        enough = (covered < min(n, max(k + 1, least, probe * n))).sum(axis=1) + 1
         return pa.array([o[:e].tolist() for o, e in zip(order, enough, strict=True)], pa.list_(pa.int32()))
 
-    visits = write_table(asked.withColumn("cell", F.explode(cells("query"))), "visits")
-    crowds = np.zeros(len(sizes), dtype=np.int64)
-    for row in visits.groupBy("cell").count().collect():
-        crowds[row["cell"]] = row["count"]
-    lookup = lambda per, most: F.element_at(F.array(*[F.lit(int(-(-c // most) or 1)) for c in per]), F.col("cell") + 1)
-    blocks, turns = lookup(sizes, BLOCK), lookup(crowds, QUERIES)
-    left = index.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("long")).withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1)))
-    right = visits.withColumn("turn", F.pmod(F.xxhash64("query_id"), turns).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))
-    )
-
-    def rank(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if rows.num_rows and asks.num_rows:
-            rows = rows.sort_by("id")
-            ids, x = rows["id"].to_numpy(), _matrix(rows["vector"])
-            codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-            codes += np.arange(codes.shape[1]) * CODES
-            cell = rows["cell"][0].as_py()
-            for who, q in zip(asks["query_id"].to_numpy(), _matrix(asks["query"]), strict=True):
-                near = model.value.table(q, cell).ravel()[codes].sum(axis=1)
-                last = min(SHORTLIST, len(near)) - 1
-                short = np.nonzero(near <= np.partition(near, last)[last])[0]
-                short = short[near[short].argsort(kind="stable")][: SHORTLIST + 1]
-                short = short[ids[short] != who]
-                d = np.sqrt(((x[short] - q) ** 2).sum(axis=1))
-                best = np.lexsort((ids[short], d))[:k]
-                out.append((np.full(len(best), who), ids[short][best], d[best]))
-        columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
-
-    keys = ["cell", "block", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
+    blocks = F.element_at(F.array(*[F.lit(int(-(-c // BLOCK) or 1)) for c in sizes]), F.col("cell") + 1)
+    left = index.select("cell", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(0).alias("side"), "id", "vector", "codes")
+    visits = asked.withColumn("cell", F.explode(cells("query")))
+    right = visits.select(
+        "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("side"), F.col("query_id").alias("id"),
+        F.col("query").alias("vector"), F.lit(None).cast("binary").alias("codes"),
+    )
+    dealt = left.unionByName(right).repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "id")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Block()
+        for batch in batches:
+            place = batch.select(["cell", "block", "side"]).to_pandas().to_numpy()
+            cuts = np.nonzero(np.any(place[1:] != place[:-1], axis=1))[0] + 1
+            for at, to in zip([0, *cuts], [*cuts, len(place)], strict=True):
+                if at == to:
+                    continue
+                part, (cell, block, side) = batch.slice(at, to - at), place[at]
+                if now != (cell, block):
+                    now, held = (cell, block), Block()
+                if side == 0:
+                    held.add(part)
+                elif held.parts:
+                    yield held.nearest(model.value, int(cell), part, k)
+
+    found = dealt.mapInArrow(rank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
