@@ -1,11 +1,16 @@
 """WARC archives with one Zstandard frame per record and a shared dictionary.
 
 A ``.warc.zst`` archive opens with a skippable frame that holds the dictionary; each record is
-one frame after it. Every task writes its partition as one archive, trained on the first
-payloads it sees, through Spark's own text writer: a row is the bytes of a frame, and the line
-separator is an empty skippable frame, which every reader passes over. So archives are committed
-and recovered like any other output, on any file system that Spark writes. They are read with
-Spark's binary source, frame by frame, and headers, lengths and digests are validated.
+one frame after it. Every task trains a dictionary on the first payloads it sees and writes its
+partition as archives of a bounded size through Spark's own text writer: a row is the bytes of a
+frame, and the line separator is an empty skippable frame, which every reader passes over. The
+writer starts a new file after ``ARCHIVE_ROWS`` rows; each file's first row is the dictionary, and
+empty rows end a file early once it holds ``ARCHIVE_BYTES``. So archives are committed and
+recovered like any other output, on any file system that Spark writes.
+
+The reader takes archives of any origin with Spark's binary source, one per task at a time, decodes frame by
+frame, and validates headers, lengths and digests. It gives generic records of all types, in
+batches, with their payloads only if asked for.
 """
 
 from __future__ import annotations
@@ -23,15 +28,19 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, write_table
 
-DICTIONARY_MAGIC = 0x184D2A5D
+DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: An empty skippable frame in ASCII, which separates the frames.
 SEPARATOR = "P*M\x18\0\0\0\0"
 DUPLICATE_BYTES = 1000
 #: Payloads that a dictionary is trained on, the bytes taken of each, and its size.
 TRAINED_ON, TRAINED_BYTES, DICTIONARY_BYTES = 64, 8192, 16384
 LEVEL, FEED = 3, 1 << 15
+#: Rows (frames) of an archive, and compressed bytes after which it takes no more records.
+ARCHIVE_ROWS, ARCHIVE_BYTES = 4096, 64 << 20
+#: Records of one batch that the reader gives.
+BATCH = 256
 ID = "urn:page:"
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_bytes long, payload_digest string, block_bytes long"
 
 
 def dictionary_frame(payloads: list[bytes]) -> tuple[bytes, zstandard.ZstdCompressionDict]:
@@ -68,58 +77,82 @@ def _headers(block: bytes) -> tuple[str, dict[str, str]]:
 
 
 def parse_record(raw: bytes) -> dict:
-    """The record's page, payload and references; ValueError if a header or length is wrong."""
+    """A record of any type: its names, lengths, SHA-1 and payload; ValueError if a header, length or digest is wrong.
+
+    The payload of an HTTP message is its body, that of any other record its block. A revisit
+    leaves its payload out, so length and digest are those that it states.
+    """
     head, sep, rest = raw.partition(b"\r\n\r\n")
     version, fields = _headers(head)
     if not sep or not version.startswith("WARC/1."):
         raise ValueError(f"no WARC header: {raw[:40]!r}")
-    length = int(fields["content-length"])
+    if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"}.difference(fields):
+        raise ValueError(f"a record lacks {sorted(missing)}")
+    length, kind, name = int(fields["content-length"]), fields["warc-type"], fields["warc-record-id"].strip("<>")
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
-        raise ValueError(f"a record says {length} bytes and has {len(rest) - 4}")
-    http, sep, payload = rest[:length].partition(b"\r\n\r\n")
-    status, http_fields = _headers(http)
-    kind, said = fields["warc-type"], int(http_fields["content-length"])
-    if not sep or not status.startswith("HTTP/") or kind not in ("response", "revisit"):
-        raise ValueError(f"a {kind} record without an HTTP header")
-    name, _, coded = fields["warc-payload-digest"].partition(":")
-    digest = base64.b32decode(coded)
-    if name != "sha1" or kind == "response" and (len(payload) != said or hashlib.sha1(payload).digest() != digest):
-        raise ValueError(f"the payload of {fields['warc-record-id']} doesn't match its length or digest")
-    number = lambda x: int(x) if (x := x.strip("<>").removeprefix(ID)) else None
-    refers = fields.get("warc-refers-to")
+        raise ValueError(f"{name} says {length} bytes and has {len(rest) - 4}")
+    block = payload = rest[:length]
+    said, encoded = None, False
+    if fields.get("content-type", "").replace(" ", "").startswith("application/http"):
+        http, sep, payload = block.partition(b"\r\n\r\n")
+        status, http_fields = _headers(http)
+        if kind in ("response", "revisit") and (not sep and block[-2:] != b"\r\n" or not status.startswith("HTTP/")):
+            raise ValueError(f"{name} is a {kind} without an HTTP header")
+        said, encoded = http_fields.get("content-length"), "transfer-encoding" in http_fields
+    elif kind == "revisit":
+        payload = b""
+    stated = fields.get("warc-payload-digest", "")
+    digest = None
+    if stated.lower().startswith("sha1:"):
+        coded = stated[5:]
+        digest = bytes.fromhex(coded) if len(coded) == 40 else base64.b32decode(coded.upper())
+    if kind != "revisit" and not encoded:
+        found = hashlib.sha1(payload).digest()
+        if said is not None and int(said) != len(payload) or digest not in (None, found):
+            raise ValueError(f"the payload of {name} doesn't match its length or digest")
+        digest = found
+    size = (None if said is None else int(said)) if kind == "revisit" else len(payload)
     return {
-        "page_id": number(fields["warc-record-id"]), "payload_bytes": said, "payload_digest": digest.hex(),
-        "record_type": kind, "refers_to": number(refers) if refers else None, "payload": payload,
+        "record_id": name, "record_type": kind, "target_uri": fields.get("warc-target-uri"), "date": fields["warc-date"],
+        "refers_to": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None, "payload_bytes": size,
+        "payload_digest": digest.hex() if digest else None, "block_bytes": length, "payload": payload,
     }
 
 
-def frames(archive: bytes) -> Iterator[bytes]:
-    """The decoded frames of an archive, each held alone; the dictionary comes from the leading frame."""
+def frames(archive: bytes | pa.Buffer) -> Iterator[bytes]:
+    """The decoded frames of an archive, each held alone; the dictionary comes from the leading frame.
+
+    A dictionary that is itself a Zstandard frame is decoded first.
+    """
     at, reader, view = 0, None, memoryview(archive)
-    while at < len(archive):
+    whole = len(view)
+    while at < whole:
         magic = int.from_bytes(view[at : at + 4], "little")
         if magic & 0xFFFFFFF0 == 0x184D2A50:
             size = int.from_bytes(view[at + 4 : at + 8], "little")
-            if at + 8 + size > len(archive):
+            if at + 8 + size > whole:
                 raise ValueError("a skippable frame is cut short")
             if magic == DICTIONARY_MAGIC:
                 if at:
                     raise ValueError("the dictionary doesn't lead the archive")
-                reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(view[at + 8 : at + 8 + size])))
+                made = bytes(view[at + 8 : at + 8 + size])
+                if int.from_bytes(made[:4], "little") == FRAME_MAGIC:
+                    made = zstandard.ZstdDecompressor().decompressobj().decompress(made)
+                reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(made))
             at += 8 + size
             continue
         one, parts = (reader or zstandard.ZstdDecompressor()).decompressobj(), []
         while not one.eof:
-            if at >= len(archive):
+            if at >= whole:
                 raise ValueError("a frame is cut short")
             parts.append(one.decompress(view[at : at + FEED]))
             at += FEED
-        at = min(at, len(archive)) - len(one.unused_data)
+        at = min(at, whole) - len(one.unused_data)
         yield b"".join(parts)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """One archive per partition of ``pages`` under ``path``.
+    """Archives of each partition of ``pages`` under ``path``; ``ARCHIVE_ROWS`` and ``ARCHIVE_BYTES`` bound each.
 
     Of rows with equal payloads of ``DUPLICATE_BYTES`` or more, the largest id is the response and
     the others revisit it; rows that share that id are all responses. Null html is an empty payload.
@@ -135,42 +168,62 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.join(known, "digest", "left").select("page_id", "url", "payload", "digest", F.expr("nullif(first, page_id)").alias("refers_to"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
+        writer, head, row, size = None, b"", 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             out = []
             if writer is None:
                 head, made = dictionary_frame([p.as_py() for p in batch.column(2)[:TRAINED_ON]])
-                out.append(head)
                 writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=made)
             for page_id, url, payload, digest, refers_to in zip(*batch.columns, strict=True):
+                if size >= ARCHIVE_BYTES:
+                    out += [b""] * (-row % ARCHIVE_ROWS)
+                    row, size = 0, 0
+                if row % ARCHIVE_ROWS == 0:
+                    out.append(head)
+                    row, size = 1, len(head)
                 raw = record(page_id.as_py(), url.as_py(), payload.as_py(), bytes.fromhex(digest.as_py()), refers_to.as_py())
                 out.append(writer.compress(raw))
+                row, size = row + 1, size + len(out[-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     packed = rows.mapInArrow(pack, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    packed.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 0).option("compression", "none").text(path)
+    packed.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_ROWS).option("compression", "none").text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the archives under ``path``; a malformed archive fails the job."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+    """A row per record of the archives under ``path`` (with its payload, if asked for); a malformed archive fails the job."""
     files = spark.read.format("binaryFile").load(path).select("content")
+    schema = RECORD + (", payload binary" if payloads else "")
+    kinds = {"payload_bytes": pa.int64(), "block_bytes": pa.int64(), "payload": pa.binary()}
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def batch_of(found: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], kinds.get(n, pa.string())) for n in names], names=names)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for content in batch.column(0):
-                found = [parse_record(f) for f in frames(content.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], k) for n, k in zip(names, kinds, strict=True)], names=names)
+                found: list[dict] = []
+                for frame in frames(content.as_buffer()):
+                    one = parse_record(frame)
+                    found.append({n: one[n] for n in names})
+                    if len(found) == BATCH:
+                        yield batch_of(found)
+                        found = []
+                if found:
+                    yield batch_of(found)
 
-    return files.mapInArrow(unpack, RECORD)
+    return files.mapInArrow(unpack, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes ``pages`` as archives in the shared folder and returns what is read back."""
+    """Writes ``pages`` as archives in the shared folder and returns what is read back, under the pages' ids."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    return read_archives(spark, path)
+    page = lambda c: F.nullif(F.regexp_extract(c, f"^{ID}(-?[0-9]*)$", 1), F.lit("")).cast("long")
+    return read_archives(spark, path).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
