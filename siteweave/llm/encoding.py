@@ -41,6 +41,10 @@ class PieceModel:
     """What encoding needs of a byte-pair model; plain arrays, so that Spark can broadcast it."""
 
     def __init__(self, pieces: list[str], scores: np.ndarray, ordinary: np.ndarray):
+        if len(pieces) >= 1 << 16:
+            raise ValueError(f"{len(pieces)} pieces don't fit into 16 bits")
+        if missing := [f"<0x{b:02X}>" for b in range(256) if f"<0x{b:02X}>" not in pieces]:
+            raise ValueError(f"the model has no byte fallback: {missing[:3]}")
         self.pieces = pieces
         self.unknown = len(pieces)
         self.byte_ids = np.array([pieces.index(f"<0x{b:02X}>") for b in range(256)], dtype=np.uint16)
@@ -236,10 +240,12 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids from ``encode``; byte pieces that are not UTF-8 become U+FFFD."""
-        if not ids:
-            return ""
-        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u2").tolist()))
-        return raw.decode("utf-8", "replace")[1:]
+        return self.text_of(np.frombuffer(ids, "<u2").tolist())
+
+    def text_of(self, ids: list[int]) -> str:
+        if ids and not 0 <= min(ids) <= max(ids) < len(self.bytes_of):
+            raise ValueError(f"no piece has the id {max(ids)}")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -266,6 +272,26 @@ def slices(texts: list[str], most: int = SLICE):
         yield run
 
 
+#: Texts on which a model must agree with the search before it is used.
+_PROBES = ["", " a", "The  quick brown fox, 12 times.", "naïve façade – über Ñandú", "x\n\ty  z", "unbelievably internationalisation", "ﬁ①Å é"]
+
+
+def checked_model(path: str) -> PieceModel:
+    """The model of a file; ValueError unless it is of the byte-pair kind with byte fallback and no normaliser.
+
+    The kind is told by what the library gives for a few texts, which a unigram model or a
+    normaliser would change.
+    """
+    import sentencepiece
+
+    model = PieceModel(*load_pieces(path))
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    own = [np.frombuffer(b, "<u2").tolist() for b in Encoder(model).encode(_PROBES)]
+    if own != [library.encode(t) for t in _PROBES]:
+        raise ValueError(f"{path} is no byte-pair model with an identity normaliser")
+    return model
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "encoded") -> DataFrame:
     """``docs`` with a struct ``out``: ids, n_tokens, and whether the ids decode to the text.
 
@@ -274,7 +300,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
     whole; other columns pass through, and one named like ``out`` is replaced.
     """
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(PieceModel(*load_pieces(model_path)))
+    shared = spark.sparkContext.broadcast(checked_model(model_path))
     kind = StructType([
         StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", IntegerType()),
         StructField("round_trip", BooleanType()),
@@ -295,3 +321,20 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
         return pa.StructArray.from_arrays([lists, pa.array(counts), pa.array(same, pa.bool_())], names=["ids", "n_tokens", "round_trip"])
 
     return docs.withColumn(out, run(F.col(text_col)))
+
+
+def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
+    """``rows`` with a string ``out``: the text of an array of ids, as ``encode`` gives them.
+
+    Null ids give null, no ids the empty text, and byte pieces that are no UTF-8 U+FFFD. An id
+    outside the vocabulary fails the job. Other columns pass through; one named like ``out`` is
+    replaced.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(checked_model(model_path))
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        worker = _worker(shared.value)
+        return pa.array([None if ids is None else worker.text_of(ids) for ids in column.to_pylist()], pa.string())
+
+    return rows.withColumn(out, run(F.col(ids_col)))

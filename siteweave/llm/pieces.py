@@ -27,6 +27,7 @@ class PieceTable:
         self.powers = np.concatenate((np.ones(1, np.uint64), self.powers[:-1]))
         self.keys: list[np.ndarray] = [np.empty(0, np.uint64)]
         self.ids: list[np.ndarray] = [np.empty(0, np.int32)]
+        self.codes: list[np.ndarray] = [np.empty((0, 0), np.uint32)]
         self.filters: list[np.ndarray] = [np.zeros(1, bool)]
         by_length: dict[int, list[tuple[str, int]]] = {}
         for piece, i in zip(pieces, ids, strict=True):
@@ -38,6 +39,9 @@ class PieceTable:
             order = np.argsort(keys)
             self.keys.append(keys[order])
             self.ids.append(np.array([i for _, i in found], dtype=np.int32)[order])
+            self.codes.append(codes[order])
+            if len(np.unique(keys)) < len(keys):
+                raise ValueError(f"two pieces of length {length} are equal or share a key")
             bits = np.zeros(1 << FILTER_BITS, dtype=bool)
             bits[self._slot(keys)] = True
             self.filters.append(bits)
@@ -66,7 +70,10 @@ class PieceTable:
                 at = np.nonzero(self.filters[length][self._slot(sub)])
                 probe = sub[at]
                 place = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-                ids[at] = np.where(keys[place] == probe, self.ids[length][place], -1)
+                hit = np.nonzero(keys[place] == probe)[0]
+                row, start, place = at[0][hit], at[1][hit], place[hit]
+                true = (codes[row[:, None], start[:, None] + np.arange(length)] == self.codes[length][place]).all(axis=1)
+                ids[row[true], start[true]] = self.ids[length][place[true]]
             out.append(ids)
         return out
 
