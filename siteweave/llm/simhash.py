@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import connected_components, write_table
+from .common import connected_components, fresh_name, write_table
 
 SEED = 42
 WORDS = 3
@@ -131,18 +131,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(write_table(named, "components"), "fingerprint").select("id", "fingerprint", "component_id")
 
 
+#: Ids that are broadcast to drop rows; more are joined by a sort, which spills.
+MOST_BROADCAST = 2_000_000
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the smallest id.
 
-    Columns stay as they are. Repeated rows of the smallest id are reduced to one; rows with a
-    null id cannot be told apart by it and stay.
+    Columns stay as they are. Rows that share an id share its fate, and of those that stay one is
+    left: that of the least text, then of the least hash of the row. Rows with a null id cannot be
+    told apart by it and stay. Only the ids to drop meet the documents, so texts aren't shuffled
+    unless those ids are more than ``MOST_BROADCAST``.
     """
-    found = near_duplicates(docs, id_col, text_col).where("id = component_id")
-    kept = write_table(found.groupBy(F.col("id").alias(id_col)).agg(F.count("*").alias("__copies")), "kept")
-    # Both sides are always dealt by id: which plan runs doesn't change with the size of ``kept``.
-    pick = lambda cond: docs.join(kept.where(cond).select(id_col).hint("shuffle_hash"), id_col, "left_semi")
-    single, several = pick("__copies = 1"), pick("__copies > 1").dropDuplicates([id_col])
-    out = single
-    if not kept.where("__copies > 1").isEmpty():
-        out = out.unionByName(several)
-    return out.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    name = fresh_name(docs, "id")
+    found = near_duplicates(docs, id_col, text_col).where("id is not null")
+    fate = found.groupBy("id").agg(F.max(F.col("id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    fate = write_table(fate.select(F.col("id").alias(name), "stays"), "fate")
+    size = fate.agg(F.count("*").alias("n"), F.count_if("stays").alias("several")).first()
+    known = F.broadcast(fate) if size["n"] <= MOST_BROADCAST else fate.hint("merge")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = docs[id_col] == known[name]
+    out = docs.join(known, same, "left_anti")
+    if size["several"]:
+        again = docs.join(known.where("stays"), same, "left_semi").groupBy(F.col(id_col).alias(name))
+        row = F.struct(*columns)
+        again = again.agg(F.min_by(row, F.struct(F.col(text_col), F.xxhash64(*columns))).alias("row"))
+        out = out.unionByName(again.select("row.*"))
+    return out.select(*columns)
