@@ -111,8 +111,8 @@ def format_turns(turns: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Columns: conv_id, turn, at (place of the turn in the conversation, from 0), ids, loss_start
     and loss_end (the open span within the segment, empty unless an assistant's), chars, and
     offset (ids before the segment in its conversation). Null texts and roles count as empty.
-    Turns of equal number go by role and text, repeated rows stay; turns without a number come
-    first, and rows without a conversation form one. Further columns are not read.
+    Turns of equal number go by a hash of role and text, repeated rows stay; turns without a number
+    come first, and rows without a conversation form one. Further columns are not read.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +125,8 @@ def format_turns(turns: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                  pa.array(ends, pa.int32()), pa.array(chars, pa.int64())],
                 names=["conv_id", "turn", "key", "ids", "loss_start", "loss_end", "chars"])
 
-    tie = F.concat_ws("\n", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    kept = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.xxhash64(tie).alias("key"))
+    tie = F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    kept = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", tie.alias("key"))
     segments = kept.mapInArrow(encode, "conv_id long, turn long, key long, ids array<int>, loss_start int, loss_end int, chars long")
     order = Window.partitionBy("conv_id").orderBy("turn", "key")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

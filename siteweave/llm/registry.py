@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, encoding, language, neighbours, pii, secrets, simhash, spans, token_counts, warc
 from .common import table
 
-TOKENIZERS = "/opt/tokenizers"
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKEN_LIMIT = 512
 
 
@@ -31,10 +31,15 @@ def op2_chat(spark, sf_dir):
     return chat.read_back(chat.format_turns(turns, BYTE_RANKS, token_counts.PATTERN), BYTE_RANKS, token_counts.PATTERN)
 
 
-OP2_SQL = """
-with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e as (select *, length(regexp_replace(text, '([\\[<])(␛*)(INST\\]|/INST\\]|s>|/s>|<SYS>>|</SYS>>|ROLE\\]|/ROLE\\]|/TURN\\])', '\\1\\2␛\\3', 'g')) as n from t)
+OP2_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (
+  select *, length(regexp_replace(
+    text, '([\[<])(␛*)(INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|ROLE\]|/ROLE\]|/TURN\])', '\1\2␛\3', 'g')) as n
+  from t)
 select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
@@ -117,27 +122,46 @@ def queries():
 
 def _found_sql(kind, rank, pattern, keep):
     """SQL for the spans of one pattern: leftmost non-overlapping matches, the gaps between them, and a filter on a match."""
-    return f"""select doc_id, {rank} as rank, '{kind}' as kind, p0 as s, p0 + length(m) as e from (
-  select doc_id, unnest(ms) as m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda g: length(g))), 0))) as p0
-  from (select doc_id, regexp_extract_all(x, '{pattern}') as ms, regexp_split_to_array(x, '{pattern}') as gaps from t)) where {keep}"""
-
-
-_ASSIGN = secrets.ASSIGN.replace("'", "''")
+    pattern = pattern.replace("'", "''")
+    return f"""
+  select doc_id, {rank} as rank, '{kind}' as kind, p0 as s, p0 + length(m) as e from (
+    select doc_id, unnest(ms) as m, unnest(list_transform(range(1, len(ms) + 1), lambda i:
+      list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+      + coalesce(list_sum(list_transform(ms[1:i-1], lambda g: length(g))), 0))) as p0
+    from (
+      select doc_id, regexp_extract_all(x, '{pattern}') as ms, regexp_split_to_array(x, '{pattern}') as gaps from t))
+  where {keep}"""
+
+
+_GROUP = "regexp_extract(m, '{}', 2)".format(secrets.ASSIGN.replace("'", "''"))
 OP3_SQL = f"""
 with t as (select doc_id, coalesce(text, '') as x from documents),
-b as ({_found_sql("assign", 0, _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6")} union all
- {_found_sql("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20")} union all {_found_sql("hex", 2, "[0-9a-f]+", "length(m) >= 24")}),
-wk as ({_found_sql("weak_id", 3, secrets.WEAK["weak_id"].replace("'", "''"), "true")} union all
- {_found_sql("weak_secret", 4, "[A-Za-z0-9+/=_-]+", "regexp_full_match(m, '[A-Za-z0-9+/]{40}')")} union all {_found_sql("endpoint", 5, secrets.WEAK["endpoint"].replace("'", "''"), "true")}),
+b as ({_found_sql("assign", 0, secrets.ASSIGN, f"length({_GROUP}) >= 6")}
+  union all {_found_sql("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20")}
+  union all {_found_sql("hex", 2, "[0-9a-f]+", "length(m) >= 24")}),
+wk as ({_found_sql("weak_id", 3, secrets.WEAK["weak_id"], "true")}
+  union all {_found_sql("weak_secret", 4, "[A-Za-z0-9+/=_-]+", "regexp_full_match(m, '[A-Za-z0-9+/]{40}')")}
+  union all {_found_sql("endpoint", 5, secrets.WEAK["endpoint"], "true")}),
 w as (select * from wk where not exists (select 1 from b where b.doc_id = wk.doc_id and b.s < wk.e and wk.s < b.e)),
-o as (select *, case when kind in ('access', 'weak_id') then 'id' when kind = 'endpoint' then 'endpoint' else 'secret' end as role from (select * from b union all select * from w)),
-n as (select w.doc_id, w.rank, w.kind, w.s, w.e, bool_or(role = 'id') as by_id, bool_or(role = 'secret') as by_secret from w join o on w.doc_id = o.doc_id and o.s - w.e <= {secrets.SCOPE} and w.s - o.e <= {secrets.SCOPE} group by all),
-a as (select doc_id, rank, kind, s, e from b union all select doc_id, rank, kind, s, e from n
- where (kind = 'weak_secret' and by_id) or (kind = 'weak_id' and by_secret) or (kind = 'endpoint' and by_id and by_secret)),
-g as (select doc_id, count_if(kind = 'assign') as n_assign, count_if(kind = 'access') as n_access, count_if(kind = 'hex') as n_hex,
- string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (where rank < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans from a group by 1)
-select t.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
- sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join g on t.doc_id = g.doc_id
+o as (
+  select *, case when kind in ('access', 'weak_id') then 'id' when kind = 'endpoint' then 'endpoint' else 'secret' end as role
+  from (select * from b union all select * from w)),
+n as (
+  select w.doc_id, w.rank, w.kind, w.s, w.e, bool_or(role = 'id') as by_id, bool_or(role = 'secret') as by_secret
+  from w join o on w.doc_id = o.doc_id and o.s - w.e <= {secrets.SCOPE} and w.s - o.e <= {secrets.SCOPE} group by all),
+a as (
+  select doc_id, rank, kind, s, e from b
+  union all
+  select doc_id, rank, kind, s, e from n
+  where (kind = 'weak_secret' and by_id) or (kind = 'weak_id' and by_secret) or (kind = 'endpoint' and by_id and by_secret)),
+g as (
+  select doc_id, count_if(kind = 'assign') as n_assign, count_if(kind = 'access') as n_access, count_if(kind = 'hex') as n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (where rank < 3) as base,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans
+  from a group by 1)
+select t.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
+  coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join g on t.doc_id = g.doc_id
 """
 
 OP6_SQL = """
