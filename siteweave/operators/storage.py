@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 def stable(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint: what is derived from it twice sees the same rows and partitions.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine), a new temporary one.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a new temporary
+    one if the master is local, and an error on a cluster, which wouldn't share it.
     """
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-siteweave-"))
     return df.checkpoint()
