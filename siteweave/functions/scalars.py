@@ -194,24 +194,24 @@ def parse_site_strict(c) -> Column:
     )
 
 
-#: Tails of a site string by parser mode: chromosome, first and second position (fixed values).
-SITE_TAILS = [
-    ("tail_pattern_1", r"^((?i:chr).+?)[_:](\d+)(?:\s*[-~/:;,]\s*(\d+))?$"),
-    ("tail_pattern_2", r"^((?i:chr).+?)[_:](\d+)[_:](\d+)$"),
-    ("right_tail_fallback", r"^((?i:chr).+)[_:](\d+)(?:[-~/:;,_](\d+))?$"),
-]
-
-
 def parse_site(c) -> Column:
-    """FN-18: struct of chrom, lo, hi, interval and mode; coordinates stay null where nothing is documented."""
+    """FN-18: struct of chrom, lo, hi, interval and mode; coordinates stay null where nothing is documented.
+
+    A site is a name that starts with chr, _ or :, and one number, or two joined by a range sign; a
+    number before a last _ or : belongs to the name. Outer quotes and brackets go. Every string that
+    looser tails accept is read by this one first, so a parsed site has one mode.
+    """
     raw = safe_text(c)
     z = F.regexp_replace(F.translate(raw, "−–—", "---"), r"""^["'\[\]() ]+|["'\[\]() ]+$""", "")
-    out = F.when(raw == "", _site(None, None, None, F.lit("missing")))
-    for mode, pattern in SITE_TAILS:
-        a = F.regexp_extract(z, pattern, 2).try_cast("bigint")
-        b = F.coalesce(F.regexp_extract(z, pattern, 3).try_cast("bigint"), a)
-        out = out.when(z.rlike(pattern), _site(chromosome_of_accession(F.regexp_extract(z, pattern, 1)), F.least(a, b), F.greatest(a, b), F.lit(mode)))
-    return out.otherwise(_site(None, None, None, F.lit("unparsed")))
+    name, number, sign = r"^((?i:chr).+?)", r"[_:](\d+)", r"\s*[-~/:;,]\s*"
+    ranged = name + number + "(?:" + sign + r"(\d+))?$"
+    first, second = F.regexp_extract(z, ranged, 2).try_cast("bigint"), F.regexp_extract(z, ranged, 3).try_cast("bigint")
+    second = F.coalesce(second, first)
+    found = _site(chromosome_of_accession(F.regexp_extract(z, ranged, 1)), F.least(first, second), F.greatest(first, second), F.lit("tail_pattern_1"))
+    return (
+        F.when(raw == "", _site(None, None, None, F.lit("missing"))).when(z.rlike(ranged), found)
+        .otherwise(_site(None, None, None, F.lit("unparsed")))
+    )
 
 
 def _site(chrom, lo, hi, mode) -> Column:

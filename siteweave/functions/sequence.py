@@ -24,10 +24,18 @@ def base_frequencies(seq: Column) -> list[Column]:
     return [base_fraction(seq, b).alias(f"freq_{b}") for b in DNA]
 
 
+def letters(text: Column) -> Column:
+    """The letters of a text: cut once, as a substring of a long text would be searched from its start each time."""
+    return F.split(text, "")
+
+
 def windows(text: Column, k: int, step: int = 1) -> Column:
-    """All k-letter windows of a text, in order."""
-    last = F.length(text) - k
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.substr(text, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All k-letter windows of a text, in order; those that start at multiples of ``step``."""
+    if step == k:
+        return F.regexp_extract_all(text, F.lit(f"(?s).{{{k}}}"), F.lit(0))
+    at = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - k + 1, F.lit(step)), lambda i: F.array_join(F.slice(x, i, k), ""))
+    cut = F.transform(F.array(letters(text)), at)[0]
+    return F.when(F.length(text) >= k, cut).otherwise(F.array().cast("array<string>"))
 
 
 def kmer_frequencies(df: DataFrame, key: str, text: str, k: int, alphabet: str | None = DNA) -> DataFrame:
@@ -45,12 +53,20 @@ def kmer_frequencies(df: DataFrame, key: str, text: str, k: int, alphabet: str |
     return counted.select(key, "kmer", "n", (F.col("n") / F.col("__all")).alias("frequency"))
 
 
-def codon_columns(cds: Column) -> list[Column]:
-    """FN-30: share of each of the 61 sense codons among the sense codons, without a stop at the end."""
-    codons = F.filter(windows(cds, 3, 3), lambda c: c.rlike("^[ACGT]{3}$") & ~c.isin(*STOPS))
-    names = ["".join(c) for c in product(DNA, repeat=3) if "".join(c) not in STOPS]
-    count = lambda codon: F.size(F.filter(codons, lambda x: x == codon))
-    return [F.coalesce(F.try_divide(count(c), F.size(codons)), F.lit(0.0)).alias(f"codon_{c}") for c in names]
+def sense_codons() -> list[str]:
+    return [c for c in ("".join(x) for x in product(DNA, repeat=3)) if c not in STOPS]
+
+
+def codon_frequencies(df: DataFrame, key: str, cds: str) -> DataFrame:
+    """FN-30: ``key`` and codon_<c>, the share of each of the 61 sense codons among them, from one count per sequence.
+
+    ``key`` must be unique; sequences without a sense codon have zeros.
+    """
+    codons = df.select(key, F.explode(windows(F.col(cds), 3, 3)).alias("codon")).where(F.col("codon").isin(sense_codons()))
+    counted = codons.groupBy(key, "codon").agg(F.count("*").alias("n"))
+    total = F.sum("n")
+    wide = counted.groupBy(key).agg(*[(F.coalesce(F.sum(F.when(F.col("codon") == c, F.col("n"))), F.lit(0)) / total).alias(f"codon_{c}") for c in sense_codons()])
+    return df.select(key).join(wide, key, "left").fillna(0.0, [f"codon_{c}" for c in sense_codons()])
 
 
 def positional_onehot(seq: Column, anchor: Column, offsets, prefix: str) -> list[Column]:
@@ -63,22 +79,29 @@ def positional_onehot(seq: Column, anchor: Column, offsets, prefix: str) -> list
     return out
 
 
-def start_positions(seq: Column, codon: str = "ATG") -> Column:
-    """0-based positions of a codon in any frame."""
-    n = F.length(seq)
-    return F.when(n >= 3, F.filter(F.sequence(F.lit(0), n - 3), lambda i: F.substr(seq, i + 1, F.lit(3)) == codon)).otherwise(F.array().cast("array<int>"))
+def _codons_at(seq: Column) -> Column:
+    """The three letters at each position of a sequence, in order."""
+    return windows(seq, 3)
 
 
 def upstream_starts(utr5: Column) -> Column:
-    """FN-31: start codons in a 5' UTR."""
-    return F.size(start_positions(utr5))
+    """FN-31: start codons in a 5' UTR, in any frame."""
+    return F.size(F.filter(_codons_at(utr5), lambda c: c == "ATG"))
 
 
 def uorf_count(utr5: Column) -> Column:
-    """FN-31: start codons with a stop in their frame inside the UTR."""
-    stop = lambda j: F.substr(utr5, j + 1, F.lit(3)).isin(*STOPS)
-    stops = F.filter(F.sequence(F.lit(0), F.greatest(F.length(utr5) - 3, F.lit(0))), stop)
-    return F.size(F.filter(start_positions(utr5), lambda i: F.exists(stops, lambda j: (j > i) & ((j - i) % 3 == 0))))
+    """FN-31: start codons with a stop in their frame inside the UTR.
+
+    A start has one exactly if it lies before its frame's last stop, so one look at each codon is
+    enough.
+    """
+    last = lambda x, f: F.coalesce(F.array_max(F.transform(x, lambda c, i: F.when(c.isin(*STOPS) & (i % 3 == f), i))), F.lit(-1))
+
+    def count(both: Column) -> Column:
+        return F.size(F.filter(F.transform(both["codons"], lambda c, i: (c == "ATG") & (i < F.get(both["last"], i % 3))), lambda hit: hit))
+
+    with_last = F.transform(F.array(_codons_at(utr5)), lambda x: F.struct(x.alias("codons"), F.array(last(x, 0), last(x, 1), last(x, 2)).alias("last")))
+    return F.transform(with_last, count)[0]
 
 
 def start_context(seq: Column, start: Column) -> list[Column]:

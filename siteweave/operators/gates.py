@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QC = "check_id string, dataset string, status string, observed string, expected string"
@@ -12,17 +12,18 @@ class GateError(ValueError):
     """A gate that failed, with its checks."""
 
 
-def checks(spark: SparkSession, df: DataFrame, dataset: str, tests: dict[str, tuple[Column, str, float]]) -> DataFrame:
-    """QC-01, 02, 03, 04, 07: a PASS or FAIL row per check, from one aggregate over ``df``.
+def checks(spark: SparkSession, df: DataFrame, dataset: str, tests: dict[str, tuple]) -> DataFrame:
+    """QC-01, 02, 03, 04, 07: a row per check, from one aggregate over ``df``.
 
-    A check is an aggregate, one of ==, >=, <=, and the expected value; a null result fails.
+    A check is an aggregate, one of ==, >=, <=, the expected value and, where a miss doesn't stop
+    the run, the status of a miss (WARN or REVIEW instead of FAIL). A null result is a miss.
     """
-    row = df.agg(*[c.cast("double").alias(name) for name, (c, _, _) in tests.items()]).first()
+    row = df.agg(*[t[0].cast("double").alias(name) for name, t in tests.items()]).first()
     tell = {"==": lambda a, b: a == b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
     out = []
-    for name, (_, op, want) in tests.items():
+    for name, (_, op, want, *miss) in tests.items():
         good = row[name] is not None and tell[op](row[name], want)
-        out.append((name, dataset, "PASS" if good else "FAIL", str(row[name]), f"{op} {want}"))
+        out.append((name, dataset, "PASS" if good else (miss[0] if miss else "FAIL"), str(row[name]), f"{op} {want}"))
     return spark.createDataFrame(out, QC)
 
 
@@ -73,6 +74,39 @@ def require_frozen(contract: DataFrame, status: str = "status", wanted: str = "F
         raise GateError(f"the earlier stage isn't {wanted}: {[r[status] for r in rows]}")
 
 
+def centre_u(motif: str) -> Column:
+    """QC-03: share of motifs with U in the middle, among those that are known."""
+    m = F.col(motif)
+    return F.avg(F.when(m.isNotNull(), ((F.length(m) == 5) & (F.substring(m, 3, 1) == "U")).cast("double")))
+
+
+def one_base(start: str, end: str) -> Column:
+    """QC-03: share of one-base intervals among those with both ends."""
+    return F.avg((F.col(end) - F.col(start) == 1).cast("double"))
+
+
+def replicates_agree(df: DataFrame, first: str, second: str, least: float = 0.85) -> DataFrame:
+    """QC-05: (n, spearman, status) of two replicates over the rows that have both; FAIL below ``least`` or where it is undefined."""
+    from .ranks import percentile_ranks
+
+    both = df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"))
+    ranked = percentile_ranks(percentile_ranks(both, "a", out="ra"), "b", out="rb")
+    found = ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("spearman"))
+    return found.withColumn("status", F.when(F.coalesce(F.col("spearman") >= least, F.lit(False)), "PASS").otherwise("FAIL"))
+
+
+def direction_flags(table: DataFrame, order: str, value: str, low: str, group: list[str] = ()) -> DataFrame:
+    """QC-08: per group whether all values lie on one side of one half, whether all intervals lie above it, and whether
+    values never fall along ``order`` (null values are left out)."""
+    group = list(group)
+    known = table.where(F.col(value).isNotNull())
+    before = F.lag(value).over(Window.partitionBy(*group).orderBy(order))  # a result table: a handful of rows per group
+    side = F.signum(F.col(value) - 0.5)
+    return known.withColumn("__rises", F.coalesce(F.col(value) >= before, F.lit(True))).groupBy(*group).agg(
+        (F.min(side) == F.max(side)).alias("direction_consistent"), F.min(F.col(low) > 0.5).alias("interval_above_half"), F.min("__rises").alias("monotone")
+    )
+
+
 def flags(row: dict) -> dict[str, bool | None]:
     """QC-08: descriptive flags of a metrics row: interval above chance, enriched top."""
     low, lift = row.get("auroc_low"), row.get("lift_0.1")

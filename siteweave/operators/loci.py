@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import primary_region
 from ..functions.special import wilson
 
 
@@ -114,17 +115,24 @@ def interval_support(sites: DataFrame, calls: DataFrame, key: str, chrom: str, l
     )
 
 
-def annotate(points: DataFrame, features: DataFrame, key: str, on: list[str], pos: str, start: str, end: str, gene: str, width: int) -> DataFrame:
+def annotate(points: DataFrame, features: DataFrame, key: str, on: list[str], pos: str, start: str, end: str, gene: str, width: int,
+             transcript: str | None = None, region: str | None = None) -> DataFrame:
     """JN-11, 12: genes that hold each point and unique_gene, multi_gene_ambiguous or no_exon.
 
-    Features that overlap a point are few, so their sets stay small.
+    With ``transcript`` and ``region`` also the transcripts, the set of regions and the primary region
+    (FN-20). Features that overlap a point are few, so their sets stay small.
     """
-    hits = within(points.select(key, *on, pos).distinct(), features.select(*on, start, end, gene), on, pos, start, end, width)
-    seen = hits.groupBy(key).agg(F.sort_array(F.collect_set(gene)).alias("genes"))
+    more = [c for c in (transcript, region) if c]
+    hits = within(points.select(key, *on, pos).distinct(), features.select(*on, start, end, gene, *more), on, pos, start, end, width)
+    sets = {"genes": gene} | ({"transcripts": transcript} if transcript else {}) | ({"regions": region} if region else {})
+    seen = hits.groupBy(key).agg(*[F.sort_array(F.collect_set(c)).alias(name) for name, c in sets.items()])
     joined = points.join(seen, key, "left")
     n = F.coalesce(F.size("genes"), F.lit(0))
     status = F.when(n == 0, "no_exon").when(n == 1, "unique_gene").otherwise("multi_gene_ambiguous")
-    return joined.select(*points.columns, n.alias("n_genes"), F.array_join("genes", "|").alias("genes"), F.when(n == 1, F.col("genes")[0]).alias("unique_gene"), status.alias("gene_status"))
+    extra = [F.array_join(c, "|").alias(c) for c in sets if c != "genes"] + ([primary_region(F.col("regions")).alias("primary_region")] if region else [])
+    return joined.select(
+        *points.columns, n.alias("n_genes"), F.array_join("genes", "|").alias("genes"), F.when(n == 1, F.col("genes")[0]).alias("unique_gene"), status.alias("gene_status"), *extra
+    )
 
 
 def attach(df: DataFrame, values: DataFrame, on: list[str]) -> tuple[DataFrame, Column]:
@@ -200,11 +208,12 @@ def class_counts(df: DataFrame, group: list[str], label: str) -> DataFrame:
 
 def continuum(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """AGG-04: n, mean, median and quartiles by class."""
-    x = F.col(value).cast("double")
-    return df.groupBy(*group).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"),
-        *[F.percentile(x, F.lit(q)).alias(name) for q, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))],
-    )
+    from .ranks import quantiles
+
+    means = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    at = quantiles(df, group, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    joined = means.alias("l").join(at.alias("r"), reduce(lambda p, q: p & q, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in group]), "left")
+    return joined.select("l.*", "q25", "median", "q75")
 
 
 def ordered_as(summary: DataFrame, group: str, order: list[str], value: str = "median") -> bool:

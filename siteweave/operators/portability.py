@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from .ranks import expected_budget, layered_percentile, percentile_ranks, tie_inclusive_top
-from .resample import draw, interval, row_weights, weighted_auroc
+from .resample import draw, interval, row_bootstrap
 from .stats import auroc, average_precision, macro_auroc, score_by
+from .storage import stable
 
-C_GRID = (0.001, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
+#: Inverse penalties that tuning tries (fixed values).
+C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 LEAST_SCALE = 1e-12
 
 
@@ -88,43 +90,67 @@ def dealt_folds(units: DataFrame, unit: str, k: int, seed: int) -> DataFrame:
 
 
 def tune(train: DataFrame, features: list[str], label: str, unit: str, target: str, grid=C_GRID, folds: int = 5) -> tuple[float, list[dict]]:
-    """ML-04: the C with the best mean macro AUROC over folds; a tie goes to the smallest. Folds with one class are skipped."""
-    split = grouped_folds(train, unit, folds).persist()
-    rows = []
+    """ML-04: the C with the best mean macro AUROC over folds; a tie goes to the smallest. Folds with one class are skipped.
+
+    Units stay whole, and folds are dealt so that their numbers of units differ by one at most. All
+    held-out scores of the grid are columns of one table, and all their AUROCs come from one pass.
+    """
+    dealt = dealt_folds(train, unit, folds, 0)
+    split = stable(train.select(unit, target, label, *[f for f in features if f not in (unit, target, label)]).join(dealt, unit))
+    classes = split.groupBy("fold").agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")).collect()
+    pos, n = sum(r["pos"] or 0 for r in classes), sum(r["n"] for r in classes)
+    usable = sorted(r["fold"] for r in classes if 0 < pos - (r["pos"] or 0) < n - r["n"])
+    scores = []
     for c in sorted(grid):
-        scores = []
-        for f in range(folds):
-            inside = split.where(F.col("fold") != f)
-            if inside.select(label).distinct().count() < 2:
-                continue
-            held = with_score(split.where(F.col("fold") == f), fit_ranker(inside, features, label, unit, c))
-            if (got := macro_auroc(held, "score", label, target).first()["macro_auroc"]) is not None:
-                scores.append(got)
-        rows.append({"C": c, "macro_auroc": float(np.mean(scores)) if scores else None, "folds": len(scores)})
-    split.unpersist()
+        score = F.lit(None).cast("double")
+        for f in usable:
+            score = F.when(F.col("fold") == f, linear_score(fit_ranker(split.where(F.col("fold") != f), features, label, unit, c))).otherwise(score)
+        scores.append(F.struct(F.lit(float(c)).alias("C"), score.alias("score")))
+    held = split.select("fold", target, label, F.explode(F.array(*scores)).alias("s")).select("fold", target, label, "s.*")
+    macro = macro_auroc(held, "score", label, target, ["C", "fold"]).groupBy("C").agg(F.avg("macro_auroc").alias("macro_auroc"), F.count("macro_auroc").alias("folds"))
+    found = {r["C"]: r for r in macro.collect()}
+    rows = [{"C": float(c), "macro_auroc": found[c]["macro_auroc"] if c in found else None, "folds": found[c]["folds"] if c in found else 0} for c in map(float, sorted(grid))]
     scored = [r for r in rows if r["macro_auroc"] is not None]
-    best = next((r["C"] for r in scored if r["macro_auroc"] >= max(x["macro_auroc"] for x in scored) - 1e-10), min(grid))
+    best = next((r["C"] for r in scored if r["macro_auroc"] >= max(x["macro_auroc"] for x in scored) - 1e-10), float(min(grid)))
     return best, rows
 
 
-def leave_target_out(tasks: DataFrame, features: list[str], label: str, unit: str, target: str, c: float | None = None) -> DataFrame:
-    """ML-05: every task row scored by a ranker that never saw its target."""
-    out = None
-    for t in [r[0] for r in tasks.select(target).distinct().orderBy(target).collect()]:
+#: A target list longer than this isn't looped over.
+MOST_TARGETS = 50
+
+
+def leave_target_out(tasks: DataFrame, features: list[str], label: str, unit: str, target: str, c: float | None = None, grid=C_GRID) -> DataFrame:
+    """ML-05: every task row scored by a ranker that never saw its target; C is tuned on the other targets unless given."""
+    targets = [r[0] for r in tasks.select(target).distinct().orderBy(target).limit(MOST_TARGETS + 1).collect()]
+    if len(targets) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} values of {target}")
+    score = F.lit(None).cast("double")
+    for t in targets:
         train = tasks.where(F.col(target) != t)
-        chosen = c if c is not None else tune(train, features, label, unit, target)[0]
-        part = with_score(tasks.where(F.col(target) == t), fit_ranker(train, features, label, unit, chosen))
+        chosen = c if c is not None else tune(train, features, label, unit, target, grid)[0]
+        score = F.when(F.col(target) == t, linear_score(fit_ranker(train, features, label, unit, chosen))).otherwise(score)
+    return tasks.withColumn("score", score)
+
+
+def model_comparison(tasks: DataFrame, feature_sets: dict[str, list[str]], label: str, unit: str, target: str, c: float | None = None, grid=C_GRID) -> DataFrame:
+    """ML-05: (model, target, n, n_pos, auroc) of every feature set, each target scored by rankers that never saw it."""
+    out = None
+    for name, features in feature_sets.items():
+        scored = leave_target_out(tasks, features, label, unit, target, c, grid)
+        part = auroc(scored, "score", label, [target]).select(F.lit(name).alias("model"), target, "n", "n_pos", "auroc")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def evaluate(df: DataFrame, score: str, label: str, key: str, replicates: int = 200, seed: int = 1) -> dict:
-    """ML-08: n, positives, prevalence, AUROC with interval, AP, precision and lift of shares and budgets."""
+    """ML-08: n, positives, prevalence, AUROC and lift of the top tenth with intervals, AP, precision and lift of shares and budgets."""
     out = auroc(df, score, label).first().asDict()
     out["prevalence"] = out["n_pos"] / out["n"] if out["n"] else None
     out |= average_precision(df, score, label).first().asDict()
-    boot = interval(weighted_auroc(row_weights(df, key, replicates, seed), score, label), "auroc").first()
-    out |= {"auroc_low": boot["ci_low"], "auroc_high": boot["ci_high"]}
+    boot = stable(row_bootstrap(df, [score], label, key, replicates, seed, fraction=0.1))
+    low, lift = interval(boot, f"auroc_{score}").first(), interval(boot, f"lift_{score}").first()
+    above = boot.agg(F.avg((F.col(f"auroc_{score}") > 0.5).cast("double")).alias("x")).first()["x"]
+    out |= {"auroc_low": low["ci_low"], "auroc_high": low["ci_high"], "auroc_above_half": above, "lift_low": lift["ci_low"], "lift_high": lift["ci_high"]}
     for f in (0.1, 0.2):
         top = tie_inclusive_top(df, score, label, f).first()
         out |= {f"precision_{f:g}": top["precision"], f"lift_{f:g}": top["lift"]}
@@ -134,11 +160,39 @@ def evaluate(df: DataFrame, score: str, label: str, key: str, replicates: int =
     return out
 
 
-def verdict(metrics: dict, least_auroc: float = 0.5, least_lift: float = 1.0) -> str:
-    """ML-10: supported if the interval of the AUROC is above chance and the top tenth is enriched."""
-    if metrics.get("auroc_low") is None or metrics.get("lift_0.1") is None:
-        return "not_evaluable"
-    return "supported" if metrics["auroc_low"] > least_auroc and metrics["lift_0.1"] > least_lift else "not_supported"
+#: Thresholds of the development choice: a model is useful from the first three on, the larger one gains from the last two on (fixed values).
+USEFUL_AUROC, USEFUL_LOW, USEFUL_LIFT, GAIN, GAIN_SHARE = 0.58, 0.50, 1.15, 0.02, 0.80
+
+
+def development_choice(auroc_: dict[str, Column], low: dict[str, Column], lift: dict[str, Column], gain: Column, gain_share: Column) -> list[Column]:
+    """ML-10: status and choice between a ``full`` and a ``simple`` model, given by those keys in each mapping.
+
+    ``lift`` is that of the top tenth, ``gain`` the difference of the two AUROCs, and ``gain_share`` the
+    share of its bootstrap above 0. Unknown values count as not reached.
+    """
+    useful = {m: F.coalesce((auroc_[m] >= USEFUL_AUROC) & (low[m] > USEFUL_LOW) & (lift[m] >= USEFUL_LIFT), F.lit(False)) for m in ("full", "simple")}
+    gains = F.coalesce((gain >= GAIN) & (gain_share >= GAIN_SHARE), F.lit(False))
+    pick = lambda both, full, simple, none: F.when(useful["full"] & gains, both).when(useful["full"], full).when(useful["simple"], simple).otherwise(none)
+    status = pick("READY_FOR_LOCKBOX", "USEFUL_WITH_MODEST_GAIN", "SIMPLE_MODEL_ONLY", "NO_USEFUL_RANKING")
+    return [status.alias("status"), pick("full", "full_qualified", "simple", "none").alias("selected")]
+
+
+#: Thresholds of the lockbox: positives, AUROC, its lower limit and lift of the top fifth for the strong verdict;
+#: positives, AUROC, share of the bootstrap above one half and lift of either top share for the weaker one (fixed values).
+STRONG = (15, 0.60, 0.50, 1.20)
+SUPPORTIVE = (10, 0.55, 0.90, 1.15)
+
+
+def lockbox_verdict(n_pos: Column, auroc_: Column, low: Column, above_half: Column, lift10: Column, lift20: Column) -> Column:
+    """ML-10: what an untouched evaluation says: too few positives, validated, supported or not confirmed."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    strong = sure((n_pos >= STRONG[0]) & (auroc_ >= STRONG[1]) & (low > STRONG[2]) & (lift20 >= STRONG[3]))
+    lifted = sure(lift10 >= SUPPORTIVE[3]) | sure(lift20 >= SUPPORTIVE[3])
+    supportive = sure((n_pos >= SUPPORTIVE[0]) & (auroc_ >= SUPPORTIVE[1]) & (above_half >= SUPPORTIVE[2])) & lifted
+    return (
+        F.when(sure(n_pos < SUPPORTIVE[0]) | n_pos.isNull(), "INCONCLUSIVE_LOW_POWER").when(strong, "EXTERNALLY_VALIDATED")
+        .when(supportive, "EXTERNALLY_SUPPORTED").otherwise("NOT_CONFIRMED")
+    )
 
 
 def alignment_diagnostic(tasks: DataFrame, alignment: str, label: str, target: str) -> DataFrame:

@@ -87,27 +87,55 @@ def percentile_ranks(df: DataFrame, value: str, group: list[str] = (), zero_base
     return df.alias("l").join(ranked.alias("r"), cond, "left").select("l.*", out)
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """A column per named quantile of ``value`` by group, interpolated between neighbouring values; none for groups without values.
+
+    From the histogram's running counts, so a group's distinct values never meet in one task.
+    """
+    group = list(group)
+    hist = with_totals(histogram(df.withColumn("__v", F.col(value).cast("double")), group, "__v"), group, ["n"])
+    ranked = running(hist, group, [F.col("__v")], ["n"])
+    out = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("total_n") - 1)
+        holds = lambda i: F.max(F.when((F.col("cum_n") - F.col("n") <= i) & (i < F.col("cum_n")), F.col("__v")))
+        low, high, part = holds(F.floor(place)), holds(F.ceil(place)), F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(name))
+    return ranked.groupBy(*group).agg(*out)
+
+
 def reference_percentile(df: DataFrame, reference: DataFrame, score: str, group: list[str] = (), out: str = "percentile") -> DataFrame:
     """WIN-04: mid-rank percentile (below + equal / 2) / n of each score against the reference of its group.
 
     Also ``<out>_n``, the size of that reference; both null where there is none.
     """
-    group = list(group)
-    hist = histogram(reference, group, score).select(*group, score, F.col("n").alias("ref"))
-    asked = histogram(df, group, score).select(*group, score, F.lit(0).cast("long").alias("ref"))
-    both = hist.unionByName(asked).groupBy(*group, score).agg(F.sum("ref").alias("ref"))
-    placed = running(with_totals(both, group, ["ref"]), group, [F.col(score)], ["ref"])
+    return layers_of(df, reference, score, {out: list(group)})
+
+
+def layers_of(df: DataFrame, reference: DataFrame, score: str, layers: dict[str, list[str]]) -> DataFrame:
+    """WIN-04: a percentile and its reference's size for each of several groupings, from one running sum.
+
+    Every grouping is a layer of one keyed histogram: the layer's number and its group's values as text.
+    """
+    names = list(layers)
+    key = lambda cols: F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(c).cast("string").alias(c) for c in cols]))
+    tags = F.array(*[F.struct(F.lit(i).alias("layer"), key(layers[n]).alias("key")) for i, n in enumerate(names)])
+    spread = lambda x: x.where(F.col(score).isNotNull()).select(F.col(score).alias("__s"), F.explode(tags).alias("t")).select("t.*", "__s")
+    hist = spread(reference).groupBy("layer", "key", "__s").agg(F.count("*").alias("ref"))
+    asked = spread(df).distinct().withColumn("ref", F.lit(0).cast("long"))
+    both = hist.unionByName(asked).groupBy("layer", "key", "__s").agg(F.sum("ref").alias("ref"))
+    placed = running(with_totals(both, ["layer", "key"], ["ref"]), ["layer", "key"], [F.col("__s")], ["ref"])
     share = F.when(F.col("total_ref") > 0, (F.col("cum_ref") - F.col("ref") / 2) / F.col("total_ref"))
-    placed = placed.select(*group, score, share.alias(out), F.nullif("total_ref", F.lit(0)).alias(f"{out}_n"))
-    cond = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in group], F.col(f"l.{score}") == F.col(f"r.{score}"))
-    return df.alias("l").join(placed.alias("r"), cond, "left").select("l.*", out, f"{out}_n")
+    placed = placed.select("layer", "key", "__s", share.alias("share"), F.nullif("total_ref", F.lit(0)).alias("size"))
+    for i, name in enumerate(names):
+        own = placed.where(F.col("layer") == i).select(F.col("key").alias("__k"), F.col("__s").alias("__v"), F.col("share").alias(name), F.col("size").alias(f"{name}_n"))
+        df = df.withColumn("__key", key(layers[name])).join(own, (F.col("__key") == F.col("__k")) & (F.col(score) == F.col("__v")), "left").drop("__key", "__k", "__v")
+    return df
 
 
 def layered_percentile(df: DataFrame, reference: DataFrame, score: str, pattern: str, breadth: str, least: int = 20) -> DataFrame:
     """WIN-04: percentile by pattern if the reference has ``least`` there, else by breadth, else over all."""
-    z = reference_percentile(df, reference, score, [pattern], "p_pattern")
-    z = reference_percentile(z, reference, score, [breadth], "p_breadth_only")
-    z = reference_percentile(z, reference, score, [], "p_all")
+    z = layers_of(df, reference, score, {"p_pattern": [pattern], "p_breadth_only": [breadth], "p_all": []})
     by_pattern = F.when(F.col("p_pattern_n") >= least, F.col("p_pattern"))
     by_breadth = F.when(F.col("p_breadth_only_n") >= least, F.col("p_breadth_only")).otherwise(F.col("p_all"))
     mode = F.when(by_pattern.isNotNull(), "same_source_pattern").otherwise("same_source_breadth")

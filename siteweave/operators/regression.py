@@ -130,20 +130,88 @@ def logistic_cluster(df: DataFrame, outcome: str, predictors: list[str], cluster
         cells.unpersist()
 
 
-def label_models(df: DataFrame, labels: str, predictors: list[str], cluster: str, least: int = 20) -> list[dict]:
-    """ST-15, 28: a model per label of an array column with at least ``least`` rows that have it."""
-    counts = df.select(F.explode(labels).alias("label")).groupBy("label").count().where(F.col("count") >= least).orderBy("label").collect()
+def with_interaction(df: DataFrame, x: str, group: str, level: str, out: str) -> DataFrame:
+    """ST-13: ``df`` with an indicator ``<out>`` of a group's level and its product ``<x>_x_<out>`` with a predictor."""
+    flag = (F.col(group) == level).cast("double")
+    return df.withColumns({out: flag, f"{x}_x_{out}": F.col(x).cast("double") * flag})
+
+
+def label_models(df: DataFrame, labels: str, declared: list[str], predictors: list[str], cluster: str, effect: str, least: int = 20) -> list[dict]:
+    """ST-15: the ``effect`` term of a model for each declared label of an array column, with BH q across labels.
+
+    Labels with fewer than ``least`` rows are left out.
+    """
+    held = F.coalesce(F.col(labels), F.array().cast(df.schema[labels].dataType))
+    counts = df.agg(*[F.count_if(F.array_contains(held, v)).alias(f"n{i}") for i, v in enumerate(declared)], F.count("*").alias("n")).first()
     out = []
-    for row in counts:
-        fit = logistic_cluster(df.withColumn("__y", F.array_contains(labels, row["label"]).cast("int")), "__y", predictors, cluster)
-        out += [{"label": row["label"], "cases": row["count"]} | r for r in fit.rows()]
+    for i, v in enumerate(declared):
+        if counts[f"n{i}"] >= least and counts[f"n{i}"] < counts["n"]:
+            fit = logistic_cluster(df.withColumn("__y", F.array_contains(held, v).cast("int")), "__y", predictors, cluster)
+            row = next(r for r in fit.rows() if r["term"] == effect)
+            out.append({"label": v, "cases": counts[f"n{i}"]} | row)
+    for r, q in zip(out, bh([r["p"] for r in out]), strict=True):
+        r["q"] = q
     return out
 
 
+def single_label_models(df: DataFrame, labels: str, declared: list[str], scopes: dict[str, tuple[Column, list[str]]], cluster: str, effect: str, least: int = 10) -> list[dict]:
+    """ST-28: which label a row has, among rows with exactly one, by scope (a condition and its predictors); BH q within each scope."""
+    single = df.where(F.size(labels) == 1)
+    return [{"scope": name} | r for name, (keep, xs) in scopes.items() for r in label_models(single.where(keep), labels, declared, xs, cluster, effect, least)]
+
+
+def bh(p: list[float | None]) -> list[float | None]:
+    """Benjamini-Hochberg q of a short list; null stays null and doesn't count."""
+    known = sorted((x, i) for i, x in enumerate(p) if x is not None)
+    out: list[float | None] = [None] * len(p)
+    least = 1.0
+    for rank in range(len(known), 0, -1):
+        x, i = known[rank - 1]
+        least = min(least, x * len(known) / rank)
+        out[i] = least
+    return out
+
+
+#: Most levels of a fixed effect.
+MOST_LEVELS = 200
+
+
+def dataset_design(df: DataFrame, dataset: str, slopes: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], list[str]]:
+    """ST-16, 18: ``df`` with an indicator per dataset but the first, and one per product with each of ``slopes``.
+
+    Also the names of the indicators and of the products. ValueError beyond ``MOST_LEVELS`` datasets.
+    """
+    levels = [r[0] for r in df.select(dataset).where(F.col(dataset).isNotNull()).distinct().orderBy(dataset).limit(MOST_LEVELS + 1).collect()]
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} values of {dataset}")
+    flags = {f"dataset::{v}": (F.col(dataset) == v).cast("double") for v in levels[1:]}
+    products = {f"{x}::{v}": F.col(x).cast("double") * (F.col(dataset) == v).cast("double") for x in slopes for v in levels[1:]}
+    return df.withColumns(flags | products), list(flags), list(products)
+
+
+def fixed_effects_ols(df: DataFrame, outcome: str, predictors: list[str], dataset: str, cluster: str) -> Fit:
+    """ST-16: least squares with an intercept per dataset and cluster-robust SE."""
+    rows, flags, _ = dataset_design(df.dropna(subset=[outcome, *predictors, dataset, cluster]), dataset)
+    return ols_cluster(rows, outcome, [*predictors, *flags], cluster)
+
+
+def interaction_test(df: DataFrame, outcome: str, slope: str, others: list[str], dataset: str, cluster: str) -> dict:
+    """ST-18: joint Wald test of a predictor's slope over datasets, and the slope of each dataset. ValueError with fewer than two."""
+    known = df.dropna(subset=[outcome, slope, *others, dataset, cluster])
+    rows, flags, products = dataset_design(known, dataset, (slope,))
+    if not products:
+        raise ValueError(f"an interaction needs two values of {dataset}")
+    fit = ols_cluster(rows, outcome, [slope, *others, *flags, *products], cluster)
+    first = known.agg(F.min(dataset).alias("d")).first()["d"]
+    base = float(fit.beta[fit.terms.index(slope)])
+    slopes = {str(first): base} | {t.split("::", 1)[1]: base + float(fit.beta[fit.terms.index(t)]) for t in products}
+    return fit.wald(products) | {"n": fit.n, "n_clusters": fit.clusters, "slopes": slopes}
+
+
 def ols_cluster(df: DataFrame, outcome: str, predictors: list[str], cluster: str) -> Fit:
     """ST-16, 18: least squares with cluster-robust SE, from two aggregates."""
-    known = df.select(outcome, *predictors, F.col(cluster).alias("__c")).dropna()
-    xs = [F.lit(1.0), *[F.col(p).cast("double") for p in predictors]]
+    known = df.select(outcome, *[F.col(f"`{p}`") for p in predictors], F.col(cluster).alias("__c")).dropna()
+    xs = [F.lit(1.0), *[F.col(f"`{p}`").cast("double") for p in predictors]]
     y, k = F.col(outcome).cast("double"), len(predictors) + 1
     row = known.agg(*_products(xs, F.lit(1.0), "h"), *[F.sum(x * y).alias(f"g{i}") for i, x in enumerate(xs)], F.count("*").alias("n")).first()
     inv = np.linalg.pinv(_unpack(row, "h", k))
@@ -263,3 +331,9 @@ def fixed_effect(effects: DataFrame, group: list[str], beta: str, se: str) -> Da
 def stability(table: DataFrame, group: list[str], beta: str) -> DataFrame:
     """ST-22: whether an effect keeps its sign over the rows of a group."""
     return table.groupBy(*group).agg((F.min(F.signum(beta)) == F.max(F.signum(beta))).alias("sign_stable"), F.count("*").alias("n"))
+
+
+def heterogeneity_flags(meta: DataFrame, q: str | None = None, least_i2: float = 50.0, level: float = 0.05) -> DataFrame:
+    """ST-22: ``meta`` with high_i2 (I-squared of at least ``least_i2``) and, of an interaction's ``q``, interaction_significant."""
+    out = meta.withColumn("high_i2", F.col("i2") >= least_i2)
+    return out.withColumn("interaction_significant", F.col(q) < level) if q else out

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import histogram, running
+from .ranks import bh_adjust, histogram, running, with_totals
 from .stats import auroc_of
+from .storage import stable
 
 #: Draws from one dataset that one row of a plan stands for.
 RUN = 10000
@@ -54,25 +55,48 @@ def cluster_bootstrap_auroc(df: DataFrame, score: str, label: str, cluster: str,
     return auroc_of(weighted, score, ["rep"]).select("rep", "auroc")
 
 
-def row_weights(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """RS-02, 06: ``df`` once per replicate that drew the row, with its multiplicity m; paired scores share weights."""
-    rows = numbered(df, [key])
-    n = rows.count()
-    return rows.join(multiplicities(df.sparkSession, n, replicates, seed), "idx") if n else rows.select("*", F.lit(0).alias("rep"), F.lit(0).alias("m")).limit(0)
+def row_bootstrap(df: DataFrame, scores: list[str], label: str, key: str, replicates: int, seed: int, fraction: float | None = None) -> DataFrame:
+    """RS-02, 06: (rep, auroc_<score>, ...) of rows drawn with replacement; several scores share the draws.
 
-
-def weighted_auroc(weighted: DataFrame, score: str, label: str) -> DataFrame:
-    """(rep, auroc) of rows with multiplicities."""
+    With ``fraction`` also lift_<score> of that top share, ties at its edge included. Rows of equal
+    scores and label are one cell: rows are numbered cell by cell (``key`` orders nothing but equal
+    cells), a draw falls into a cell's run of numbers, and only cells are weighted.
+    """
     y = F.col(label).cast("long")
-    cells = weighted.where(F.col(score).isNotNull() & y.isNotNull()).groupBy("rep", score)
-    return auroc_of(cells.agg(F.sum(F.col("m") * y).alias("pos"), F.sum(F.col("m") * (1 - y)).alias("neg")), score, ["rep"]).select("rep", "auroc")
+    known = df.where(y.isNotNull())
+    for s in scores:
+        known = known.where(F.col(s).isNotNull())
+    cells = known.groupBy(*scores, y.alias("y")).agg(F.count("*").alias("size"))
+    cells = running(cells, [], [*[F.col(s) for s in scores], F.col("y")], ["size"])
+    cells = cells.select(*scores, "y", (F.col("cum_size") - F.col("size")).alias("first"), (F.col("cum_size") - 1).alias("last"))
+    cells = stable(cells)
+    n = (cells.agg(F.max("last").alias("n")).first()["n"] or -1) + 1
+    names = [f"auroc_{s}" for s in scores] + ([f"lift_{s}" for s in scores] if fraction is not None else [])
+    if not n:
+        return df.sparkSession.createDataFrame([], ", ".join(["rep long", *[f"{c} double" for c in names]]))
+    width = max(1, n // 1000)
+    drawn = multiplicities(df.sparkSession, n, replicates, seed)
+    spread = cells.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    hit = drawn.withColumn("bin", F.floor(F.col("idx") / width)).join(spread, "bin").where(F.col("idx").between(F.col("first"), F.col("last")))
+    cell = stable(hit.groupBy("rep", *scores).agg(F.sum(F.col("m") * F.col("y")).alias("pos"), F.sum(F.col("m") * (1 - F.col("y"))).alias("neg")))
+    out = None
+    for s in scores:
+        hist = cell.groupBy("rep", s).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
+        part = auroc_of(hist, s, ["rep"]).select("rep", F.col("auroc").alias(f"auroc_{s}"))
+        if fraction is not None:
+            top = running(with_totals(hist, ["rep"], ["n", "pos"]), ["rep"], [F.col(s).desc()], ["n"])
+            inside = F.col("cum_n") - F.col("n") < F.greatest(F.ceil(F.lit(fraction) * F.col("total_n")), F.lit(1))
+            rate = lambda p, q: F.try_divide(F.sum(F.when(inside, F.col(p))), F.sum(F.when(inside, F.col(q))))
+            lift = F.try_divide(rate("pos", "n"), F.max("total_pos") / F.max("total_n"))
+            part = part.join(top.groupBy("rep").agg(lift.alias(f"lift_{s}")), "rep")
+        out = part if out is None else out.join(part, "rep")
+    return out
 
 
 def paired_difference(df: DataFrame, scores: tuple[str, str], label: str, key: str, replicates: int, seed: int) -> DataFrame:
-    """RS-06: interval of AUROC(second) - AUROC(first) and the share of replicates above 0."""
-    weighted = row_weights(df.where(F.col(scores[0]).isNotNull() & F.col(scores[1]).isNotNull()), key, replicates, seed)
-    a, b = (weighted_auroc(weighted, s, label).withColumnRenamed("auroc", f"a{i}") for i, s in enumerate(scores))
-    diffs = a.join(b, "rep").withColumn("delta", F.col("a1") - F.col("a0"))
+    """RS-06: interval of AUROC(second) - AUROC(first) over shared draws, and the share of replicates above 0."""
+    both = row_bootstrap(df, list(scores), label, key, replicates, seed)
+    diffs = both.withColumn("delta", F.col(f"auroc_{scores[1]}") - F.col(f"auroc_{scores[0]}"))
     q = lambda p: F.percentile(F.col("delta"), F.lit(p))
     return diffs.agg(q(0.025).alias("ci_low"), q(0.975).alias("ci_high"), F.avg((F.col("delta") > 0).cast("double")).alias("p_above_0"), F.count("delta").alias("n_boot"))
 
@@ -153,6 +177,27 @@ def slope_differences(df: DataFrame, unit: str, outcome: str, slopes: dict[str,
     return grams.mapInPandas(solve, "rep long, name string, beta double")
 
 
+def slope_contrasts(replicates: DataFrame, observed: DataFrame) -> DataFrame:
+    """RS-07: per pair of models the observed difference, its interval, a two-sided p and its BH q.
+
+    ``replicates`` has rep, name and beta; ``observed`` has name and beta.
+    """
+    pair = lambda df, on: df.alias("a").join(df.alias("b"), on=[F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [F.col("a.name") < F.col("b.name")])
+    diff = F.col("a.beta") - F.col("b.beta")
+    drawn = pair(replicates, ["rep"]).select(F.col("a.name").alias("map_a"), F.col("b.name").alias("map_b"), diff.alias("d"))
+    share = lambda c: (F.count_if(c) + 1) / (F.count("d") + 1)
+    low, high = share(F.col("d") <= 0), share(F.col("d") >= 0)
+    told = drawn.groupBy("map_a", "map_b").agg(
+        F.percentile("d", F.lit(0.025)).alias("ci_low"), F.percentile("d", F.lit(0.975)).alias("ci_high"),
+        F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p"), F.count("d").alias("n_boot"),
+    )
+    named = observed.select("name", "beta")
+    seen = named.alias("a").join(named.alias("b"), F.col("a.name") < F.col("b.name")).select(
+        F.col("a.name").alias("map_a"), F.col("b.name").alias("map_b"), diff.alias("difference")
+    )  # a handful of models
+    return bh_adjust(told.join(seen, ["map_a", "map_b"]), "p")
+
+
 def r2_bootstrap(paired: DataFrame, dataset: str, unit: str, y: str, models: list[str], replicates: int, seed: int, hierarchical: bool = False) -> DataFrame:
     """RS-08, 09: (rep, dataset, r2_<model>): units drawn within datasets; datasets drawn first if ``hierarchical``.
 

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resample import draw, numbered
+from .storage import stable
+
 #: Penalties from 1e-4 to 1e16; infinity leaves the intercept alone.
 ALPHAS = [*(10.0**e for e in range(-4, 17)), float("inf")]
 TIE = 1e-10
@@ -70,60 +73,127 @@ def squared_error(b: np.ndarray, n: float, s: np.ndarray, p: np.ndarray) -> floa
     return float(c @ p @ c - 2 * b[k] * (c @ s) + n * b[k] ** 2)
 
 
-def choose(folds: dict, inside: list, alphas: list[float]) -> tuple[float, bool]:
-    """ML-14: the penalty with the least error over ``inside`` folds; ties go to the stronger. Whether it is at the grid's weak end."""
-    total = {f: folds[f] for f in inside}
+def choose(folds: dict, inside: list, alphas: list[float]) -> tuple[float, bool, bool]:
+    """ML-14: the penalty with the least error over ``inside`` folds, ties to the stronger, and two flags.
+
+    The first flag tells whether it is at the grid's weak end; the second whether the greatest finite
+    penalty is materially better than the intercept alone, so that the grid's end isn't resolved.
+    """
     errors = np.zeros(len(alphas))
     for held in inside:
-        n, s, p = (sum(total[f][i] for f in inside if f != held) for i in range(3))
-        errors += [squared_error(b, *total[held]) for b in solve_ridge(n, s, p, alphas)]
+        n, s, p = (sum(folds[f][i] for f in inside if f != held) for i in range(3))
+        errors += [squared_error(b, *folds[held]) for b in solve_ridge(n, s, p, alphas)]
     good = np.nonzero(errors <= errors.min() * (1 + TIE))[0]
-    return alphas[good[-1]], bool(good[-1] == 0)
+    last = len(alphas) - 1
+    unresolved = not np.isfinite(alphas[last]) and bool(good[-1] == last - 1)
+    return alphas[good[-1]], bool(good[-1] == 0), unresolved
+
+
+def _folds(f: pd.DataFrame, fold: str, k: int) -> dict:
+    return {r[0]: (r[1], np.asarray(r[2]), _full(np.asarray(r[3]), k)) for r in zip(f[fold], f["n"], f["s"], f["p"], strict=True)}
+
+
+def _fit(folds: dict, inside: list, alphas: list[float]) -> tuple[np.ndarray, float, bool, bool]:
+    """Coefficients on ``inside`` folds with the penalty chosen among them, and what ``choose`` says."""
+    alpha, edge, unresolved = choose(folds, inside, alphas) if len(inside) > 1 else (alphas[-1], False, False)
+    n, s, p = (sum(folds[x][i] for x in inside) for i in range(3))
+    return solve_ridge(n, s, p, [alpha])[0], alpha, edge, unresolved
+
+
+MODEL = "alpha double, boundary boolean, unresolved boolean, coefficients array<double>"
 
 
 def nested_ridge(df: DataFrame, keys: list[str], fold: str, features: list[str], outcome: str, alphas: list[float] = ALPHAS) -> DataFrame:
-    """ML-13, 14, 15: keys, fold, alpha, boundary and coefficients (intercept last) for each outer fold.
+    """ML-13, 14, 15: keys, fold, alpha, boundary, unresolved and coefficients (intercept last) for each outer fold.
 
-    The penalty is chosen on the other folds alone. A fold without a train set is left out.
+    The penalty is chosen on the other folds alone. A fold without a train set is left out. With
+    ``repeated_folds`` the repeat is one of ``keys``.
     """
     k = len(features) + 1
     grams = fold_grams(df, keys, fold, features, outcome)
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*keys, fold])
 
     def solve(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        folds = {r[0]: (r[1], np.asarray(r[2]), _full(np.asarray(r[3]), k)) for r in zip(f[fold], f["n"], f["s"], f["p"], strict=True)}
-        out = []
+        folds, out = _folds(f, fold, k), []
         for outer in sorted(folds):
-            inside = [x for x in sorted(folds) if x != outer]
-            if not inside:
-                continue
-            alpha, edge = choose(folds, inside, alphas) if len(inside) > 1 else (alphas[-1], False)
-            n, s, p = (sum(folds[x][i] for x in inside) for i in range(3))
-            out.append((*key, outer, alpha, edge, solve_ridge(n, s, p, [alpha])[0]))
-        return pd.DataFrame(out, columns=[*keys, fold, "alpha", "boundary", "coefficients"])
+            if inside := [x for x in sorted(folds) if x != outer]:
+                b, alpha, edge, unresolved = _fit(folds, inside, alphas)
+                out.append((*key, outer, alpha, edge, unresolved, b))
+        return pd.DataFrame(out, columns=[*keys, fold, "alpha", "boundary", "unresolved", "coefficients"])
+
+    return grams.groupBy(*keys).applyInPandas(solve, f"{kinds}, {MODEL}")
 
-    return grams.groupBy(*keys).applyInPandas(solve, f"{kinds}, alpha double, boundary boolean, coefficients array<double>")
+
+def require_resolved(models: DataFrame) -> DataFrame:
+    """ML-14: ``models``; ValueError if a penalty at the grid's strong end is materially better than none of the features."""
+    if (bad := models.where("unresolved").first()) is not None:
+        raise ValueError(f"the penalty isn't resolved: {bad.asDict()}")
+    return models
 
 
 def out_of_fold(df: DataFrame, models: DataFrame, keys: list[str], fold: str, features: list[str], out: str = "prediction") -> DataFrame:
     """ML-13: every row predicted by the model that never saw its fold."""
     joined = df.join(models.select(*keys, fold, F.col("coefficients").alias("__b")), [*keys, fold])
-    value = F.element_at("__b", -1)
-    for i, f in enumerate(features):
-        value = value + F.col("__b")[i] * F.col(f).cast("double")
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    parts = F.zip_with(x, F.slice("__b", 1, len(features)), lambda v, b: v * b)
+    value = F.aggregate(parts, F.element_at("__b", -1), lambda total, p: total + p)
     return joined.withColumn(out, value).drop("__b")
 
 
-def residual_addition(df: DataFrame, keys: list[str], fold: str, base: list[str], added: list[str], outcome: str) -> DataFrame:
-    """ML-16: out-of-fold base prediction plus a low-dimensional fit of its residuals on ``added``.
+def residual_models(df: DataFrame, keys: list[str], fold: str, base: list[str], added: list[str], outcome: str, alphas: list[float] = ALPHAS) -> DataFrame:
+    """ML-16: per outer fold the base model plus a least-squares fit of its residuals on ``added``.
 
-    The residuals that the second fit learns from are out-of-fold themselves, and never from the
-    fold that it predicts.
+    The residuals of a train fold come from a base model, penalty included, of the folds that are
+    neither it nor the outer one, so nothing that touches a fold's predictions has seen its
+    outcomes. A residual is linear in outcome and features, so the second fit's sums follow from
+    the same fold sums. Coefficients are those of ``base``, ``added`` and the intercept.
     """
-    first = out_of_fold(df, nested_ridge(df, keys, fold, base, outcome), keys, fold, base, "base_prediction")
-    left = first.withColumn("__residual", F.col(outcome) - F.col("base_prediction"))
-    second = nested_ridge(left, keys, fold, added, "__residual", [0.0, 0.0])
-    return out_of_fold(left, second, keys, fold, added, "__more").withColumn("prediction", F.col("base_prediction") + F.col("__more")).drop("__residual", "__more")
+    features, nb = [*base, *added], len(base)
+    k = len(features) + 1
+    grams = fold_grams(df, keys, fold, features, outcome)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*keys, fold])
+    own = [*range(nb), k - 1]
+    extra = list(range(nb, k - 1))
+
+    def second_sums(n: float, s: np.ndarray, p: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Products of (1, added) with themselves and with the residual of the base model ``b`` in one fold."""
+        x = np.zeros((len(extra) + 1,) * 2)
+        x[0, 0], x[0, 1:], x[1:, 0], x[1:, 1:] = n, s[extra], s[extra], p[np.ix_(extra, extra)]
+        c = np.concatenate((-b[:nb], [1.0]))
+        return x, np.concatenate(([c @ s[own] - n * b[nb]], p[np.ix_(extra, own)] @ c - b[nb] * s[extra]))
+
+    def solve(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        whole, out = _folds(f, fold, k), []
+        folds = {x: (n, s[own], p[np.ix_(own, own)]) for x, (n, s, p) in whole.items()}
+        for outer in sorted(folds):
+            inside = [x for x in sorted(folds) if x != outer]
+            if len(inside) < 2:
+                continue
+            b, alpha, edge, unresolved = _fit(folds, inside, alphas)
+            x, y = np.zeros((len(extra) + 1,) * 2), np.zeros(len(extra) + 1)
+            for held in inside:
+                nuisance = _fit(folds, [z for z in inside if z != held], alphas)
+                more = second_sums(*whole[held], nuisance[0])
+                x, y, edge, unresolved = x + more[0], y + more[1], edge or nuisance[2], unresolved or nuisance[3]
+            g = np.linalg.pinv(x) @ y
+            out.append((*key, outer, alpha, edge, unresolved, np.concatenate((b[:nb], g[1:], [b[nb] + g[0]]))))
+        return pd.DataFrame(out, columns=[*keys, fold, "alpha", "boundary", "unresolved", "coefficients"])
+
+    return grams.groupBy(*keys).applyInPandas(solve, f"{kinds}, {MODEL}")
+
+
+def residual_addition(df: DataFrame, keys: list[str], fold: str, base: list[str], added: list[str], outcome: str) -> DataFrame:
+    """ML-16: every row's ``prediction`` by the residual model of its fold."""
+    models = residual_models(df, keys, fold, base, added, outcome)
+    return out_of_fold(df, models, keys, fold, [*base, *added])
+
+
+def repeated_folds(df: DataFrame, unit: str, k: int, repeats: int, seed: int) -> DataFrame:
+    """ML-12, 15: ``df`` once per repeat, with folds of units dealt anew; sizes differ by one at most in each repeat."""
+    spread = df.select(unit).distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    dealt = numbered(spread.withColumn("__d", draw(seed, "repeat", unit)), ["__d", unit], "__i", ["repeat"])
+    # Written once: the models and their predictions read the same rows.
+    return stable(df.join(dealt.select(unit, "repeat", (F.col("__i") % k).cast("int").alias("fold")), unit))
 
 
 def tuning_diagnostics(models: DataFrame, group: list[str]) -> DataFrame:

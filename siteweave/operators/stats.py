@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.special import normal_p
 from .loci import class_counts
 from .ranks import bh_adjust, histogram, running, with_totals
+from .storage import stable
 
 
 def auroc(df: DataFrame, score: str, label: str, group: list[str] = ()) -> DataFrame:
@@ -78,6 +79,37 @@ def transfer(rows: DataFrame, side: str, train: str, test: str, category: str, l
     return auroc(scored, "log_ratio", label).select(F.lit(train).alias("train"), F.lit(test).alias("test"), "n", "n_pos", "auroc")
 
 
+def transfer_test(rows: DataFrame, side: str, train: str, test: str, category: str, label: str, replicates: int, seed: int, alpha: float = 0.5, universe: int | None = 256) -> DataFrame:
+    """ST-06: ``transfer`` with the counts of both sides, a bootstrap interval over categories and the permutation p of the mapping.
+
+    Interval and p are null where the AUROC is.
+    """
+    from .resample import cluster_bootstrap_auroc, interval, mapping_permutation
+
+    learned = rows.where(F.col(side) == train)
+    table = log_ratio(learned, category, label, alpha, universe)
+    scored = stable(score_by(rows.where(F.col(side) == test), table, category))
+    seen = auroc(scored, "log_ratio", label).crossJoin(scored.agg(F.count_if(F.col("seen") == 0).alias("n_unseen")))  # one row each
+    ci = interval(cluster_bootstrap_auroc(scored, "log_ratio", label, category, replicates, seed), "auroc")
+    dealt = mapping_permutation(scored, category, "log_ratio", label, replicates, seed + 1).withColumnRenamed("auroc", "__drawn")
+    p = dealt.crossJoin(seen.select("auroc")).agg(((F.count_if(F.col("__drawn") >= F.col("auroc")) + 1) / (F.count("__drawn") + 1)).alias("p_upper"))  # one row
+    n = learned.where(F.col(category).isNotNull()).agg(F.count("*").alias("n_train"))
+    both = seen.crossJoin(ci.select("ci_low", "ci_high")).crossJoin(p).crossJoin(n)  # one row each
+    known = lambda c: F.when(F.col("auroc").isNotNull(), F.col(c)).alias(c)
+    return both.select(F.lit(train).alias("train"), F.lit(test).alias("test"), "n_train", "n", "n_pos", "n_unseen", "auroc", known("ci_low"), known("ci_high"), known("p_upper"))
+
+
+def decomposed(table: DataFrame, x: str, y: str, w: str, component: str = "component", residual: str = "residual") -> DataFrame:
+    """ST-08: ``table`` with the part of ``y`` that the weighted line on ``x`` explains, and the rest.
+
+    The line is fitted where ``y`` is known and its weight positive; the component covers every row with ``x``.
+    """
+    line = weighted_line(table.where(F.col(w) > 0), x, y, w)
+    joined = table.crossJoin(line.select(F.col("slope").alias("__b"), F.col("intercept").alias("__a")))  # one row
+    part = F.col("__a") + F.col("__b") * F.col(x)
+    return joined.withColumns({component: part, residual: F.col(y) - part}).drop("__a", "__b")
+
+
 def category_auroc(scored: DataFrame, category: str, score: str, label: str, least: int = 20, group: list[str] = ()) -> DataFrame:
     """ST-07: AUROC of a fixed score inside each category; null below ``least`` rows or with a single class."""
     per = auroc(scored, score, label, [*group, category])
@@ -109,13 +141,15 @@ def log_odds_table(counts: DataFrame, a: str, b: str, c: str, d: str) -> DataFra
 
 def positional_log_odds(df: DataFrame, motif: str, label: str, group: list[str], letters: list[str], positions: dict[int, int]) -> DataFrame:
     """ST-09: log odds of each letter at each position (name to 1-based place), by group, with BH q by group."""
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("position"), F.lit(x).alias("letter"), (F.substring(motif, at, 1) == x).alias("has"))
-        for name, at in positions.items() for x in letters
-    ]))
-    rows = df.select(*group, label, cells.alias("c")).select(*group, label, "c.*")
-    counted = rows.groupBy(*group, "position", "letter").agg(
-        *[F.count_if((F.col(label) == y) & (F.col("has") == h)).alias(f"n{y}{int(h)}") for y in (1, 0) for h in (True, False)]
+    # Letters are counted per position before the table of cells is spread.
+    at = F.explode(F.array(*[F.struct(F.lit(name).alias("position"), F.substring(motif, place, 1).alias("found")) for name, place in positions.items()]))
+    counted = df.select(*group, label, at.alias("c")).groupBy(*group, "c.position", "c.found").agg(
+        F.count_if(F.col(label) == 1).alias("y1"), F.count_if(F.col(label) == 0).alias("y0")
+    )
+    spread = counted.withColumn("letter", F.explode(F.array(*[F.lit(x) for x in letters])))
+    has = F.col("found") == F.col("letter")
+    counted = spread.groupBy(*group, "position", "letter").agg(
+        *[F.coalesce(F.sum(F.when(has if h else ~has, F.col(f"y{y}"))), F.lit(0)).alias(f"n{y}{int(h)}") for y in (1, 0) for h in (True, False)]
     )
     return bh_adjust(log_odds_table(counted, "n11", "n10", "n01", "n00"), "p", group)
 

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint: what is derived from it twice sees the same rows and partitions.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset, a new temporary folder if the master is local.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a new temporary
-    one if the master is local, and an error on a cluster, which wouldn't share it.
+    On a cluster a temporary folder wouldn't be shared, so a missing setting is an error there.
     """
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-siteweave-"))
+        found = tempfile.mkdtemp(prefix="spark-siteweave-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint: what is derived from it twice sees the same rows and partitions."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

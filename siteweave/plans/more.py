@@ -9,21 +9,22 @@ from ..functions import sequence as sq
 from ..operators import loci, portability, ranks, regression, resample, stats
 from ..sources import files, ingest
 from .mapping import TECHNOLOGIES, calls, heldout, lines, table, union
-from .queries import _EFFECTS, _TASKS, _cells, _dense, _effects, query
+from .queries import _DRAW, _EFFECTS, _TASKS, REPLICATES, _cells, _dense, _effects, query
 
-_WORDS = "w as (select doc_id, upper(substr(text, 1 + (doc_id % 7)::int, 5)) as raw from documents)"
+_WORDS = "w as (select doc_id, unnest(string_split(text, ' ')) as raw from documents)"
 
 
-def _words(spark, sf):
-    """A five-letter stretch of each document."""
-    return table(spark, sf, "documents").select("doc_id", F.upper(F.substr("text", (1 + F.col("doc_id") % 7).cast("int"), F.lit(5))).alias("raw"))
-
-
-@query(f"""with {_WORDS}, m as (select doc_id, regexp_replace(translate(trim(raw), 'ΨT', 'UU'), '[^ACGU]', '', 'g') as m from w)
- select doc_id, m as motif, case when length(m) <> 5 then 'out_of_validated_domain_invalid_length' when substr(m, 3, 1) <> 'U' then 'out_of_validated_domain_center_not_U'
-  when substr(m, 2, 1) = 'U' or substr(m, 4, 1) = 'U' then 'out_of_validated_domain_consecutive_U' else 'in_validated_domain' end as status from m""", mapped=False)
+@query(f"""with {_WORDS}, m as (
+  select doc_id, regexp_replace(translate(upper(trim(raw)), 'ΨT', 'UU'), '[^ACGU]', '', 'g') as m from w),
+ s as (
+  select doc_id, m, case when length(m) <> 5 then 'out_of_validated_domain_invalid_length' when substr(m, 3, 1) <> 'U' then 'out_of_validated_domain_center_not_U'
+   when substr(m, 2, 1) = 'U' or substr(m, 4, 1) = 'U' then 'out_of_validated_domain_consecutive_U' else 'in_validated_domain' end as status
+  from m)
+ select doc_id, m as motif, status, count(*) as n from s group by all""", mapped=False)
 def motif_domain(spark, sf):
-    return _words(spark, sf).select("doc_id", fn.rna("raw").alias("motif")).withColumn("status", fn.domain_status(F.col("motif")))
+    """The motifs that are left of each document's words, and their status."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("raw")).select("doc_id", fn.rna("raw").alias("motif"))
+    return words.groupBy("doc_id", "motif", fn.domain_status(F.col("motif")).alias("status")).agg(F.count("*").alias("n"))
 
 
 _MOTIFS = """m as (select l_orderkey * 10 + l_linenumber as id, l_suppkey as pos, case l_returnflag when 'A' then '+' when 'N' then '-' else '.' end as strand,
@@ -36,7 +37,10 @@ def _motifs(spark, sf):
     p, s, o = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
     motif = F.concat(pick("ACGU", p % 4), pick("ACGUU", s % 5), F.lit("U"), pick("UUCGA", F.floor(p / 4) % 5), pick("ACGU", o % 4))
     strand = F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "N", "-").otherwise(".")
-    return table(spark, sf, "lineitem").select((o * 10 + F.col("l_linenumber")).alias("id"), s.alias("pos"), strand.alias("strand"), motif.alias("motif"))
+    return table(spark, sf, "lineitem").select(
+        (o * 10 + F.col("l_linenumber")).alias("id"), s.alias("pos"), strand.alias("strand"), motif.alias("motif"),
+        F.col("l_linestatus").alias("side"), F.col("l_linenumber").alias("line"),
+    )
 
 
 @query(f"""with {_MOTIFS} select distinct id, motif, lf + rt + 1 as run_length, case when strand = '+' then pos - lf when strand = '-' then pos - rt end as run_start,
@@ -48,69 +52,115 @@ def u_run_intervals(spark, sf):
     ).distinct()
 
 
+_FLANKS = ", ".join(f"(substr(motif, {off + 3}, 1) = '{b}')::int as \"motif_{off:+d}_{b}\"" for off in (-2, -1, 1, 2) for b in fn.BASES)
+
+
 @query(f"""with {_MOTIFS} select motif, count(*) as n, regexp_full_match(motif, 'U[ACGU]UA[AG]') as pus7, regexp_full_match(motif, 'U[CG]UAG') as pus7_strict,
- regexp_full_match(motif, 'GUUC[ACGU]') as trub1, regexp_full_match(motif, '...U.') as plus1_u, (substr(motif, 1, 1) = 'A')::int as "motif_-2_A", (substr(motif, 5, 1) = 'G')::int as "motif_+2_G" from m group by motif""", mapped=False)
+ regexp_full_match(motif, 'GUUC[ACGU]') as trub1, regexp_full_match(motif, '...U.') as plus1_u, {_FLANKS},
+ regexp_full_match(motif, '.[ACG]U[ACG].') as single_u from m group by motif""", mapped=False)
 def motif_flags(spark, sf):
     counts = _motifs(spark, sf).groupBy("motif").agg(F.count("*").alias("n"))
-    hot = [c for c in fn.flank_onehot(F.col("motif"))]
-    return counts.select("motif", "n", *fn.motif_classes(F.col("motif")), *hot).select("motif", "n", *fn.MOTIF_CLASSES, "`motif_-2_A`", "`motif_+2_G`")
-
-
-@query(f"""with {_MOTIFS}, q as (select id, strand, pos, case when strand = '+' then pos - lf when strand = '-' then pos - rt end as s, case when strand = '+' then pos + rt when strand = '-' then pos + lf end as e, coalesce(strand in ('+', '-') and lf < 2 and rt < 2, false) as c from r),
- a as (select * from q where id % 3 = 0), x as (select distinct strand, pos from q where id % 3 = 1 and pos % 4 <> 0), y as (select distinct strand, s, e from q where id % 3 = 1 and pos % 4 <> 0 and c)
- select distinct a.id, case when x.pos is not null then 'exact' when a.c and y.s is not null then 'complete_U_run' else 'none' end as x_mode from a left join x on a.strand = x.strand and a.pos = x.pos left join y on a.strand = y.strand and a.s = y.s and a.e = y.e""", mapped=False)
+    m = F.col("motif")
+    return counts.select("motif", "n", *fn.motif_classes(m), *fn.flank_onehot(m), fn.single_u(m).alias("single_u"))
+
+
+@query("""with x as (select l_orderkey * 10 + l_linenumber as id, l_linestatus as side, l_suppkey + 100 * l_linenumber as pos,
+  case l_returnflag when 'A' then '+' when 'N' then '-' else '.' end as strand,
+  substr('ACGU', 1 + (l_partkey % 4)::int, 1) || substr('ACGUU', 1 + (l_suppkey % 5)::int, 1) || 'U' || substr('UUCGA', 1 + ((l_partkey // 4) % 5)::int, 1)
+   || substr('ACGU', 1 + (l_orderkey % 4)::int, 1) as motif from lineitem),
+ r as (select *, length(regexp_extract(substr(motif, 1, 2), '(U*)$', 1)) as lf, length(regexp_extract(substr(motif, 4, 2), '^(U*)', 1)) as rt from x),
+ q as (
+  select id, side, strand, pos, case when strand = '+' then pos - lf when strand = '-' then pos - rt end as s,
+   case when strand = '+' then pos + rt when strand = '-' then pos + lf end as e, coalesce(strand in ('+', '-') and lf < 2 and rt < 2, false) as c
+  from r),
+ a as (select distinct id, strand, pos, s, e, c from q where side = 'F'), y as (select distinct strand, pos from q where side = 'O'),
+ z as (select distinct strand, s, e from q where side = 'O' and c)
+ select a.id, a.pos, a.strand, case when y.pos is not null then 'exact' when a.c and z.s is not null then 'complete_U_run' else 'none' end as x_mode,
+  (y.pos is not null or (a.c and z.s is not null))::int as x_support
+ from a left join y on a.strand = y.strand and a.pos = y.pos left join z on a.strand = z.strand and a.s = z.s and a.e = z.e""", mapped=False)
 def run_matches(spark, sf):
-    m = _motifs(spark, sf).withColumn("r", fn.u_run_interval(F.col("pos"), F.col("strand"), F.col("motif")))
-    m = m.select("id", "strand", "pos", F.col("r.start").alias("s"), F.col("r.end").alias("e"), F.coalesce("r.complete", F.lit(False)).alias("c"))
-    other = m.where("id % 3 = 1 and pos % 4 <> 0")
-    return loci.run_matches(m.where("id % 3 = 0"), other, ["strand", "pos"], ["strand", "s", "e"], "c", "x").select("id", "x_mode").distinct()
+    m = _motifs(spark, sf).withColumn("pos", F.col("pos") + 100 * F.col("line"))
+    m = m.withColumn("r", fn.u_run_interval(F.col("pos"), F.col("strand"), F.col("motif")))
+    m = m.select("id", "side", "strand", "pos", F.col("r.start").alias("s"), F.col("r.end").alias("e"), F.coalesce("r.complete", F.lit(False)).alias("c")).distinct()
+    found = loci.run_matches(m.where("side = 'F'"), m.where("side = 'O'"), ["strand", "pos"], ["strand", "s", "e"], "c", "x")
+    return found.select("id", "pos", "strand", "x_mode", "x_support")
+
+
+@query(r"""with s as (select o_orderkey as k, o_custkey % 9 as c from orders)
+ select k, case k % 5 when 0 then 'chr' || c when 1 then 'chrUn_x_v1' when 2 then 'chr2' end as chrom, case k % 5 when 0 then k when 1 then k when 2 then k end as lo,
+  case k % 5 when 0 then k + 3 when 1 then k when 2 then k + 5 end as hi, case k % 5 when 0 then 1 when 1 then 0 when 2 then 1 end as interval,
+  case k % 5 when 3 then 'unparsed' when 4 then 'missing' else 'tail_pattern_1' end as mode,
+  case when k % 5 = 0 then 'chr' || c end as strict_chrom, case when k % 5 = 0 then k::varchar end as strict_first, case when k % 5 = 0 then (k + 3)::varchar end as strict_second
+ from s""", mapped=False)
+def site_strings(spark, sf):
+    rows = site_texts(spark, sf).select("k", fn.parse_site("site").alias("f"), fn.parse_site_strict("site").alias("s"))
+    return rows.select("k", "f.*", F.col("s.chrom").alias("strict_chrom"), F.col("s.first").alias("strict_first"), F.col("s.second").alias("strict_second"))
 
 
-@query(r"""with s as (select o_orderkey as k, case o_orderkey % 5 when 0 then 'chr' || (o_custkey % 9) || '_' || o_orderkey || '-' || (o_orderkey + 3) when 1 then 'chrUn_x_v1_' || o_orderkey when 2 then 'chr2:' || (o_orderkey + 5) || '-' || o_orderkey when 3 then 'none' else '' end as z from orders)
- select k, case k % 5 when 0 then k when 1 then k when 2 then k end as lo, case k % 5 when 0 then k + 3 when 1 then k when 2 then k + 5 end as hi, case k % 5 when 3 then 'unparsed' when 4 then 'missing' else 'tail_pattern_1' end as mode, (k % 5 = 0) as strict from s""", mapped=False)
-def site_strings(spark, sf):
+def site_texts(spark, sf):
+    """Orders as site strings: ranges in two spellings, a contig with underscores, a word and a blank."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     text = lambda *p: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in p])
-    z = (
+    site = (
         F.when(k % 5 == 0, text("chr", c % 9, "_", k, "-", k + 3)).when(k % 5 == 1, text("chrUn_x_v1_", k))
         .when(k % 5 == 2, text("chr2:", k + 5, "-", k)).when(k % 5 == 3, "none").otherwise("")
     )
-    rows = table(spark, sf, "orders").select(k.alias("k"), fn.parse_site(z).alias("f"), fn.parse_site_strict(z).isNotNull().alias("strict"))
-    return rows.select("k", "f.lo", "f.hi", "f.mode", "strict")
+    return table(spark, sf, "orders").select(k.alias("k"), site.alias("site"))
 
 
-@query("""select event_id, event_id % 100 as n, upper(event_type) as kind from events where event_id % 3 < 2""", mapped=False)
+@query("""select event_id, event_id % 100 as n, event_type as symbol, case event_id % 3 when 2 then null else 'NM_' || (event_id % 7) || '.1' end as transcript,
+ case event_id % 3 when 0 then 'MANE Select' end as tag from events""", mapped=False)
 def annotation_attributes(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 3 < 2")
-    n, kind = (F.col("event_id") % 100).cast("string"), F.col("event_type")
-    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('gene "'), kind, F.lit('"; db_xref "X:1"; db_xref "GeneID:'), n, F.lit('";'))).otherwise(F.concat(F.lit("gene="), kind, F.lit(";Dbxref=A:2,GeneID:"), n))
-    a = fn.attributes(line)
-    return e.select("event_id", fn.gene_id(a).cast("bigint").alias("n"), F.upper(fn.gene_symbol(a)).alias("kind"))
+    """Attributes in quoted, assigned and bare form."""
+    e = table(spark, sf, "events")
+    n, kind, tx = (F.col("event_id") % 100).cast("string"), F.col("event_type"), (F.col("event_id") % 7).cast("string")
+    quoted = F.concat(F.lit('gene "'), kind, F.lit('"; db_xref "X:1"; db_xref "GeneID:'), n, F.lit('"; transcript_id "NM_'), tx, F.lit('.1"; tag "MANE Select";'))
+    assigned = F.concat(F.lit("gene="), kind, F.lit(";Dbxref=A:2,GeneID:"), n, F.lit(";Parent=rna-NM_"), tx, F.lit(".1"))
+    bare = F.concat(F.lit("gene_name "), kind, F.lit("; gene_id gene-"), n)
+    a = fn.attributes(F.when(F.col("event_id") % 3 == 0, quoted).when(F.col("event_id") % 3 == 1, assigned).otherwise(bare))
+    return e.select(
+        "event_id", fn.gene_id(a).cast("bigint").alias("n"), fn.gene_symbol(a).alias("symbol"), fn.transcript_id(a).alias("transcript"), fn.attribute(a, "tag").alias("tag")
+    )
 
 
-_SEQ = "d as (select doc_id, translate(substr(lower(text), 1, 300), 'ehtns', 'AATGC') as t from documents), s as (select doc_id, regexp_replace(t, '[^ACGT]', '', 'g') as s from d)"
+_SEQ = "s as (select doc_id, regexp_replace(translate(lower(text), 'ehtns', 'AATGC'), '[^ACGT]', '', 'g') as s from documents)"
 
 
 def _sequences(spark, sf):
-    """A nucleotide string made of the letters of each document's first 300 characters."""
-    t = F.translate(F.substr(F.lower("text"), F.lit(1), F.lit(300)), "ehtns", "AATGC")
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(t, "[^ACGT]", "").alias("s"))
+    """A nucleotide string made of the letters of each whole document."""
+    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.translate(F.lower("text"), "ehtns", "AATGC"), "[^ACGT]", "").alias("s"))
 
 
-@query(f"""with {_SEQ}, p as (select doc_id, s, unnest(range(1, greatest(length(s) - 1, 1))) as i from s), a as (select doc_id, s, i from p where substr(s, i, 3) = 'ATG'),
- u as (select doc_id, i, count_if(substr(s, j, 3) in ('TAA', 'TAG', 'TGA')) as n from (select *, unnest(range(i + 3, length(s) - 1, 3)) as j from a) group by 1, 2)
- select s.doc_id, (select count(*) from a where a.doc_id = s.doc_id)::int as starts, (select count(*) from u where u.doc_id = s.doc_id and n > 0)::int as uorfs from s""", mapped=False)
+@query(f"""with {_SEQ}, p as (select doc_id, i, substr(s, i, 3) as c from (select doc_id, s, unnest(range(1, greatest(length(s) - 1, 1))) as i from s)),
+ z as (select doc_id, i % 3 as f, max(i) as last from p where c in ('TAA', 'TAG', 'TGA') group by 1, 2),
+ a as (select p.doc_id, count(*) as starts, count_if(i < last) as uorfs from p left join z on p.doc_id = z.doc_id and i % 3 = f where c = 'ATG' group by 1)
+ select s.doc_id, coalesce(starts, 0)::int as starts, coalesce(uorfs, 0)::int as uorfs from s left join a on s.doc_id = a.doc_id""", mapped=False)
 def upstream_orfs(spark, sf):
     s = F.col("s")
     return _sequences(spark, sf).select("doc_id", sq.upstream_starts(s).alias("starts"), sq.uorf_count(s).alias("uorfs"))
 
 
-@query(f"""with {_SEQ}, c as (select doc_id, substr(s, i, 3) as c from (select doc_id, s, unnest(range(1, greatest(length(s) - 1, 1), 3)) as i from s)), g as (select doc_id, count(*) as n, count_if(c = 'AAA') as aaa, count_if(c = 'GCA') as gca from c where c not in ('TAA', 'TAG', 'TGA') group by 1)
- select s.doc_id, coalesce(aaa / n, 0.0) as codon_AAA, coalesce(gca / n, 0.0) as codon_GCA, coalesce((substr(s, 6, 1) in ('A', 'G'))::int, 0) as kozak_minus3_purine, coalesce((substr(s, 12, 1) = 'G')::int, 0) as kozak_plus4_g, substr(s, 9, 3) = 'ATG' as start_is_atg
- from s left join g on s.doc_id = g.doc_id""", "codon_AAA codon_GCA", mapped=False)
-def codons_and_context(spark, sf):
-    rows = _sequences(spark, sf).select("doc_id", "s", *sq.codon_columns(F.col("s")), *sq.start_context(F.col("s"), F.lit(8)))
-    return rows.select("doc_id", "codon_AAA", "codon_GCA", "kozak_minus3_purine", "kozak_plus4_g", "start_is_atg")
+_CODONS = ", ".join(f"coalesce(count_if(c = '{c}') / nullif(count(c), 0), 0.0) as codon_{c}" for c in sq.sense_codons())
+
+
+@query(f"""with {_SEQ}, c as (select doc_id, substr(s, i, 3) as c from (select doc_id, s, unnest(range(1, greatest(length(s) - 1, 1), 3)) as i from s)),
+ k as (select doc_id, c from c where c not in ('TAA', 'TAG', 'TGA')) select s.doc_id, {_CODONS} from s left join k on s.doc_id = k.doc_id group by 1""",
+       " ".join(f"codon_{c}" for c in sq.sense_codons()), mapped=False)
+def codon_frequencies(spark, sf):
+    return sq.codon_frequencies(_sequences(spark, sf), "doc_id", "s")
+
+
+@query(f"""with {_SEQ}, l as (select *, least(8, length(s)) as a, least(11, length(s)) as b, length(s) as n from s)
+ select doc_id, coalesce((substr(s, 6, 1) in ('A', 'G') and length(s) >= 6)::int, 0) as kozak_minus3_purine, coalesce((substr(s, 12, 1) = 'G')::int, 0) as kozak_plus4_g,
+  substr(s, 9, 3) = 'ATG' as start_is_atg, a as utr5_length, b - a as cds_length, n - b as utr3_length,
+  ln(1 + a) as log1p_utr5_length, ln(1 + b - a) as log1p_cds_length, ln(1 + n - b) as log1p_utr3_length from l""",
+       "log1p_utr5_length log1p_cds_length log1p_utr3_length", mapped=False)
+def start_context(spark, sf):
+    s = F.col("s")
+    end = lambda n: F.least(F.lit(n), F.length(s))
+    lengths = [c.cast("long") if i % 2 == 0 else c for i, c in enumerate(sq.region_lengths(s, end(8), end(11)))]
+    names = [f"{p}{k}_length" for k in ("utr5", "cds", "utr3") for p in ("", "log1p_")]
+    return _sequences(spark, sf).select("doc_id", *sq.start_context(s, F.lit(8)), *[c.alias(n) for c, n in zip(lengths, names, strict=True)])
 
 
 _EXONS = "x as (select distinct l_orderkey as tx, case when l_orderkey % 2 = 0 then '+' else '-' end as strand, l_linenumber * 1000 as s, l_linenumber * 1000 + 10 + l_orderkey % 50 as e from lineitem)"
@@ -233,13 +283,13 @@ def reference_freeze(spark, sf):
     return files.freeze(rows, "name", "h", "path")
 
 
-@query("""with n as (select c_custkey, case c_custkey % 4 when 0 then 'a Ψ' when 1 then ' a  b ' when 2 then 'a/b' else '' end as raw, c_custkey // 40 as sheet, c_custkey % 40 as col from customer where c_custkey < 400),
+@query("""with n as (select c_custkey, case c_custkey % 4 when 0 then 'a Ψ' when 1 then ' a  b ' when 2 then 'a/b' else '' end as raw, c_custkey // 40 as sheet, c_custkey % 40 as col from customer),
  b as (select *, case c_custkey % 4 when 0 then 'a_psi' when 3 then 'unnamed' else 'a_b' end as base from n), r as (select *, row_number() over (partition by sheet, base order by col) as i from b)
  select 'f' as file, sheet, col, case when i = 1 then base else base || '__dup' || i end as name, trim(raw) as raw_name from r""", mapped=False)
 def column_names(spark, sf):
     k = F.col("c_custkey")
     raw = F.when(k % 4 == 0, "a Ψ").when(k % 4 == 1, " a  b ").when(k % 4 == 2, "a/b").otherwise("")
-    cells = table(spark, sf, "customer").where("c_custkey < 400").select(
+    cells = table(spark, sf, "customer").select(
         F.lit("f").alias("file"), F.floor(k / 40).alias("sheet"), F.lit(0).alias("row"), (k % 40).alias("col"), raw.alias("value")
     )
     heads = cells.select("file", "sheet").distinct().withColumn("header_row", F.lit(0))
@@ -268,18 +318,47 @@ def leave_one_out_rows(spark, sf):
     return ranks.leave_one_out(_effects(spark, sf), "dataset").select("omitted", "dataset", "beta")
 
 
-@query()
-def dataset_r2_bootstrap(spark, sf):
-    """Bootstrap of R-squared by dataset with datasets drawn first."""
+_R2 = f"""with e as (select vec_id, label as ds, embedding[1]::double as y, embedding[2]::double as f1, embedding[3]::double as f2 from embeddings),
+ r as (select *, row_number() over (partition by ds order by vec_id) - 1 as idx, count(*) over (partition by ds) as n from e),
+ s as (select ds, any_value(n) as n from r group by 1), reps as (select rep from range({REPLICATES}) a(rep)),
+ {{levels}},
+ d as (
+  select rep, ds, times, {_DRAW.format(parts="'31', ds, rep, i")} % n as idx, count(*) as m
+  from (select rep, ds, times, n, unnest(range(n)) as i from lv) group by 1, 2, 3, 4),
+ z as (
+  select rep, ds, times, sum(m * y * y) - sum(m * y) ** 2 / sum(m) as t, sum(m * (y - f1) ** 2) as a, sum(m * (y - f2) ** 2) as b
+  from d join r using (ds, idx) group by 1, 2, 3)
+ """
+_DRAWN_SETS = f"""k as (select ds, row_number() over (order by ds) - 1 as d, count(*) over () as c from s),
+ dr as (select rep, {_DRAW.format(parts="'32', rep, i")} % c as d, count(*) as times from reps, (select distinct c from k), (select unnest(range(c)) as i from (select distinct c from k)) group by 1, 2),
+ lv as (select rep, k.ds, times, n from dr join k using (d) join s on s.ds = k.ds)"""
+
+
+def _paired(spark, sf):
     rows, features = _dense(spark, sf)
-    return resample.r2_bootstrap(rows, "ds", "vec_id", "y", features[:2], 5, 31, hierarchical=True)
+    return rows.select("ds", "vec_id", "y", *features[:2])
+
+
+@query(_R2.replace("{levels}", _DRAWN_SETS) + "select rep, ds, times, 1 - a / t as r2_f1, 1 - b / t as r2_f2 from z", "r2_f1 r2_f2", mapped=False)
+def dataset_r2_bootstrap(spark, sf):
+    """RS-09: bootstrap of R-squared by dataset with datasets drawn first."""
+    return resample.r2_bootstrap(_paired(spark, sf), "ds", "vec_id", "y", ["f1", "f2"], REPLICATES, 31, hierarchical=True)
+
+
+@query(_R2.replace("{levels}", "lv as (select rep, ds, 1 as times, n from s, reps)") + """, x as (select ds, b, a, t, (1 - b / t) - (1 - a / t) as delta from z)
+ select ds, quantile_cont(delta, .025) as ci_low, quantile_cont(delta, .975) as ci_high, count(delta) as n_boot from x group by 1""", "ci_low ci_high", mapped=False)
+def r2_delta_intervals(spark, sf):
+    """RS-08: interval of the difference of two models' R-squared by dataset."""
+    drawn = resample.r2_bootstrap(_paired(spark, sf), "ds", "vec_id", "y", ["f1", "f2"], REPLICATES, 31)
+    delta = F.col("r2_f2") - F.col("r2_f1")
+    return drawn.groupBy("ds").agg(F.percentile(delta, F.lit(0.025)).alias("ci_low"), F.percentile(delta, F.lit(0.975)).alias("ci_high"), F.count(delta).alias("n_boot"))
 
 
 @query()
 def ranker_evaluation(spark, sf):
-    """The evaluation record of a score."""
+    """The evaluation record of a score; each of its numbers has a query of its own with SQL."""
     rows = union(spark, sf).where("cell = 'F'")
-    got = portability.evaluate(rows, "score", "y", "locus", replicates=10)
+    got = portability.evaluate(rows, "score", "y", "locus", replicates=REPLICATES)
     return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in sorted(got.items())], "metric string, value double")
 
 
@@ -296,4 +375,4 @@ def call_counts(spark, sf):
 @query("""select dataset, count(*) as n, quantile_cont(l_extendedprice / l_quantity, .5) as median from ln group by 1""", "median")
 def outcome_medians(spark, sf):
     rows = lines(spark, sf).withColumn("v", F.col("l_extendedprice") / F.col("l_quantity"))
-    return rows.groupBy("dataset").agg(F.count("*").alias("n"), F.percentile("v", F.lit(0.5)).alias("median"))
+    return rows.groupBy("dataset").agg(F.count("*").alias("n")).join(ranks.quantiles(rows, ["dataset"], "v", {"median": 0.5}), "dataset")

@@ -219,17 +219,41 @@ def top_k(spark, sf):
     return ranks.top_share(union(spark, sf).withColumn("key", F.concat("cell", "locus")), "score", "y", "key", k=200)
 
 
-_ODDS = """with w as (select cell, y, x."position", x.letter, upper(substr(motif, x."at", 1)) = x.letter as has from u,
-  (select "position", "at", letter from (values ('m7', 7), ('p9', 9), ('p10', 10)) a("position", "at"), (values ('E'), ('S'), ('M'), ('P'), ('-'), ('1'), ('2')) b(letter)) x),
- c as (select cell, "position", letter, count_if(y = 1 and has)::bigint as n11, count_if(y = 1 and not has)::bigint as n10, count_if(y = 0 and has)::bigint as n01, count_if(y = 0 and not has)::bigint as n00 from w group by 1, 2, 3),
- l as (select *, ln((n11 + .5) * (n00 + .5) / ((n10 + .5) * (n01 + .5))) as log_or, sqrt(1 / (n11 + .5) + 1 / (n10 + .5) + 1 / (n01 + .5) + 1 / (n00 + .5)) as se from c)
- select *, exp(log_or) as odds_ratio, exp(log_or - 1.96 * se) as ci_low, exp(log_or + 1.96 * se) as ci_high, log_or / se as z from l"""
-
-
-@query(_ODDS, "log_or se odds_ratio ci_low ci_high z")
+def sql_p(z: str) -> str:
+    """SQL for the two-sided normal p of ``z``: the complement of erf's series of positive terms."""
+    return f"""case when {z} is null then null when abs({z}) > 8 then 0.0 when {z} = 0 then 1.0
+  else 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 150), lambda k:
+    exp(-({z}) * ({z}) / 2 + k * ln(4.0) + lgamma(k + 1) + (2 * k + 1) * ln(abs({z}) / sqrt(2.0)) - lgamma(2 * k + 2)))) end"""
+
+
+def sql_bh(source: str, group: str = "1") -> str:
+    """SQL for the rows of ``source`` with q, Benjamini and Hochberg's adjustment of its column p."""
+    return f"""select * exclude (rk, t), case when p is not null then least(min(p * t / rk) over (partition by {group} order by p desc), 1.0) end as q from (
+  select *, rank() over (partition by {group} order by p) + count(*) over (partition by {group}, p) - 1 as rk, count(p) over (partition by {group}) as t from {source})"""
+
+
+_ODDS = """with w as (
+  select cell, y, x."position", x.letter, upper(substr(motif, x."at", 1)) = x.letter as has
+  from u, (
+    select "position", "at", letter
+    from (values ('m7', 7), ('p9', 9), ('p10', 10)) a("position", "at"), (values ('E'), ('S'), ('M'), ('P'), ('-'), ('1'), ('2')) b(letter)) x),
+ c as (
+  select cell, "position", letter, count_if(y = 1 and has)::bigint as n11, count_if(y = 1 and not has)::bigint as n10,
+    count_if(y = 0 and has)::bigint as n01, count_if(y = 0 and not has)::bigint as n00
+  from w group by 1, 2, 3),
+ l as (
+  select *, ln((n11 + .5) * (n00 + .5) / ((n10 + .5) * (n01 + .5))) as log_or,
+    sqrt(1 / (n11 + .5) + 1 / (n10 + .5) + 1 / (n01 + .5) + 1 / (n00 + .5)) as se
+  from c),
+ z as (
+  select *, exp(log_or) as odds_ratio, exp(log_or - 1.96 * se) as ci_low, exp(log_or + 1.96 * se) as ci_high, log_or / se as z from l),
+ pz as (select *, """ + sql_p("z") + """ as p from z)
+ """
+
+
+@query(_ODDS + sql_bh("pz", 'cell'), "log_or se odds_ratio ci_low ci_high z p q")
 def position_base_log_odds(spark, sf):
-    out = stats.positional_log_odds(union(spark, sf), "motif", "y", ["cell"], ["E", "S", "M", "P", "-", "1", "2"], {"m7": 7, "p9": 9, "p10": 10})
-    return out.drop("p", "q")
+    return stats.positional_log_odds(union(spark, sf), "motif", "y", ["cell"], ["E", "S", "M", "P", "-", "1", "2"], {"m7": 7, "p9": 9, "p10": 10})
 
 
 @query("""with m as (select motif, count(*) as n, sum(y) as k, avg(y) as r from u group by 1), p as (select *, exp(-abs(r - .2) * sqrt(n) * 10) as p from m where n > 5),
@@ -241,9 +265,9 @@ def bh_qvalues(spark, sf):
     return ranks.bh_adjust(m.select("motif", p.alias("p")), "p")
 
 
-@query()
+@query(_ODDS + 'select cell, "position", letter, z, p from pz', "z p")
 def normal_tails(spark, sf):
-    """Two-sided p of the log odds; DuckDB has no erfc, so the tests hold it to the C library."""
+    """Two-sided p of the log odds."""
     z = position_base_log_odds(spark, sf).select("cell", "position", "letter", "z")
     return z.withColumn("p", normal_p(F.col("z")))
 
@@ -365,7 +389,8 @@ def random_effects_meta(spark, sf):
     return regression.meta_analysis(effects, ["feature"], "beta", "se")
 
 
-REPLICATES = 20
+#: Replicates of registered bootstraps and permutations.
+REPLICATES = 200
 _DRAW = "('0x' || substr(md5(concat_ws('|', {parts})), 1, 12))::bigint"
 
 
@@ -384,14 +409,26 @@ def _learned(spark, sf):
     return stats.score_by(u.where("cell = 'O'"), stats.log_ratio(u.where("cell = 'F'"), "motif", "y", 0.5, 256), "motif")
 
 
-@query(f"""with c as (select motif, count_if(y = 0) as n0, count_if(y = 1) as n1 from u where cell = 'F' group by 1), t as (select sum(n0) as t0, sum(n1) as t1 from c),
+_MAPPING = f"""with c as (select motif, count_if(y = 0) as n0, count_if(y = 1) as n1 from u where cell = 'F' group by 1),
+ t as (select sum(n0) as t0, sum(n1) as t1 from c),
  f as (select motif, round(ln((n1 + .5) / (t1 + 128)) - ln((n0 + .5) / (t0 + 128)), 12) as lr from c, t),
- o as (select u.motif, coalesce(min(lr), min(round(ln(.5 / (t1 + 128)) - ln(.5 / (t0 + 128)), 12))) as s, sum(y) as p, sum(1 - y) as q from u left join f on u.motif = f.motif, t where cell = 'O' group by 1),
+ o as (
+  select u.motif, coalesce(min(lr), min(round(ln(.5 / (t1 + 128)) - ln(.5 / (t0 + 128)), 12))) as s, sum(y) as p, sum(1 - y) as q
+  from u left join f on u.motif = f.motif, t where cell = 'O' group by 1),
  i as (select *, row_number() over (order by motif) as idx from o),
- d as (select rep, p, q, row_number() over (partition by rep order by {_DRAW.format(parts="'12', rep, motif")}, motif) as idx from i, range({REPLICATES}) a(rep)),
+ d as (
+  select rep, p, q, row_number() over (partition by rep order by {_DRAW.format(parts="'{seed}', rep, motif")}, motif) as idx
+  from i, range({REPLICATES}) a(rep)),
  h as (select rep, i.s, sum(d.p) as p, sum(d.q) as q from d join i using (idx) group by 1, 2),
- r as (select *, sum(q) over (partition by rep order by s) as cq from h)
- select rep, sum(p * (cq - q / 2.0)) / nullif(sum(p)::double * sum(q), 0) as auroc from r group by 1""", "auroc")
+ r as (select *, sum(q) over (partition by rep order by s) as cq from h),
+ m as (select rep, sum(p * (cq - q / 2.0)) / nullif(sum(p)::double * sum(q), 0) as auroc from r group by 1)
+ """
+_OBSERVED = """, ho as (select s, sum(p) as p, sum(q) as q from o group by 1), ro as (select *, sum(q) over (order by s) as cq from ho),
+ seen as (select sum(p * (cq - q / 2.0)) / nullif(sum(p)::double * sum(q), 0) as auroc, sum(p) + sum(q) as n, sum(p) as n_pos from ro)
+ """
+
+
+@query(_MAPPING.replace("{seed}", "12") + "select * from m", "auroc")
 def mapping_permutation(spark, sf):
     return resample.mapping_permutation(_learned(spark, sf), "motif", "log_ratio", "y", REPLICATES, 12)
 
@@ -403,7 +440,11 @@ def stratified_permutation(spark, sf):
     return resample.stratified_permutation(union(spark, sf).where("cell = 'F'"), "breadth", "y", "motif", "locus", REPLICATES, 13)
 
 
-@query()
+@query(_MAPPING.replace("{seed}", "12") + _OBSERVED + """, k as (
+  select count(m.auroc) as permutations, (count_if(m.auroc >= seen.auroc) + 1) / (count(m.auroc) + 1) as p_upper,
+    (count_if(m.auroc <= seen.auroc) + 1) / (count(m.auroc) + 1) as p_lower
+  from m, seen)
+ select *, least(1.0, 2 * least(p_upper, p_lower)) as p_two_sided from k""", "p_upper p_lower p_two_sided")
 def permutation_p(spark, sf):
     """The p-values of the mapping permutation against the AUROC as observed."""
     observed = stats.auroc(_learned(spark, sf), "log_ratio", "y").first()["auroc"]
@@ -416,39 +457,172 @@ def random_sets(spark, sf):
     return resample.random_sets(union(spark, sf).groupBy("motif").agg(F.avg("score").alias("v")), "motif", "v", 10, REPLICATES, 14)
 
 
-@query()
+def sql_auc(source: str, score: str, keys: str = "rep") -> str:
+    """SQL for the AUROC by ``keys`` of a table with m, y and a score; ties count one half."""
+    return f"""select {keys}, sum(p * (cq - q / 2.0)) / nullif(sum(p)::double * sum(q), 0) as auroc from (
+  select *, sum(q) over (partition by {keys} order by s) as cq from (
+    select {keys}, {score} as s, sum(m * y) as p, sum(m * (1 - y)) as q from {source} group by {keys}, {score})) group by {keys}"""
+
+
+_ROW_DRAWS = f"""with f as (select score, breadth, y, row_number() over (order by score, breadth, y) - 1 as idx from u where cell = 'F'),
+ g as (select count(*) as n from f),
+ d as (
+  select rep, {_DRAW.format(parts="'15', rep, i")} % g.n as idx, count(*) as m
+  from range({REPLICATES}) a(rep), g, (select unnest(range(n)) as i from g) group by 1, 2),
+ w as (select rep, score, breadth, y, m from d join f using (idx))"""
+
+
+@query(f"""{_ROW_DRAWS}, a as ({sql_auc('w', 'score')}), b as ({sql_auc('w', 'breadth')}),
+ x as (select b.auroc - a.auroc as delta from a join b using (rep))
+ select quantile_cont(delta, .025) as ci_low, quantile_cont(delta, .975) as ci_high, avg((delta > 0)::int) as p_above_0, count(delta) as n_boot from x""",
+       "ci_low ci_high p_above_0")
 def paired_delta_auroc(spark, sf):
     """Interval of the difference of two scores' AUROC over the same row draws."""
     rows = union(spark, sf).where("cell = 'F'").withColumn("other", F.col("breadth").cast("double"))
-    return resample.paired_difference(rows, ("score", "other"), "y", "locus", 5, 15)
+    return resample.paired_difference(rows, ("score", "other"), "y", "locus", REPLICATES, 15)
 
 
-@query()
+def _burdens(spark, sf):
+    return regression.standardised(_functional(spark, sf), {"x": F.log1p("burden"), "w": F.log1p("breadth_sum"), "l": F.log("len")}, unit="gene")
+
+
+_STANDARD = f"""{_TE}, fb as (select gene, count(*) as burden, sum(breadth) as breadth_sum from u where cell = 'F' group by 1),
+ g0 as (
+  select distinct tz.gene, ln(1 + coalesce(burden, 0)) as x0, ln(1 + coalesce(breadth_sum, 0)) as w0, ln(p_size) as l0
+  from tz join part on tz.gene = p_partkey left join fb on tz.gene = fb.gene),
+ gs as (
+  select gene, (x0 - avg(x0) over ()) / nullif(stddev_pop(x0) over (), 0) as x, (w0 - avg(w0) over ()) / nullif(stddev_pop(w0) over (), 0) as w,
+    (l0 - avg(l0) over ()) / nullif(stddev_pop(l0) over (), 0) as l
+  from g0),
+ st as (select gene, dataset, z, x, w, l from tz join gs using (gene) where z is not null)"""
+
+
+def _slope_sql(x: str, weight: str) -> str:
+    """SQL for the coefficient of ``x`` beside l, from weighted sums."""
+    s = lambda e: f"sum({weight} * {e})"
+    c = lambda a, b: f"({s(f'{a} * {b}')} - {s(a)} * {s(b)} / sum({weight}))"
+    return f"({c(x, 'z')} * {c('l', 'l')} - {c('l', 'z')} * {c(x, 'l')}) / ({c(x, x)} * {c('l', 'l')} - {c(x, 'l')} ** 2)"
+
+
+_SLOPES = f"""with {_STANDARD}, i as (select gene, row_number() over (order by gene) - 1 as idx from (select distinct gene from st)),
+ c as (select count(*) as n from i),
+ d as (
+  select rep, {_DRAW.format(parts="'16', rep, i")} % c.n as idx, count(*) as m
+  from range({REPLICATES}) a(rep), c, (select unnest(range(n)) as i from c) group by 1, 2),
+ r as (select rep, {_slope_sql('x', 'm')} as bx, {_slope_sql('w', 'm')} as bw from d join i using (idx) join st using (gene) group by 1),
+ o as (select {_slope_sql('x', '1')} as ox, {_slope_sql('w', '1')} as ow from st)"""
+
+
+@query(f"{_SLOPES} select rep, 'burden' as name, bx as beta from r union all select rep, 'breadth', bw from r", "beta")
 def slope_differences(spark, sf):
-    """Bootstrap of the difference of two burdens' coefficients, genes drawn whole."""
-    rows = regression.standardised(_functional(spark, sf), {"x": F.log1p("burden"), "w": F.log1p("breadth_sum"), "l": F.log("len")}, unit="gene")
-    return resample.slope_differences(rows, "gene", "z", {"burden": ["x", "l"], "breadth": ["w", "l"]}, REPLICATES, 16)
+    """Bootstrap of two burdens' coefficients, genes drawn whole."""
+    return resample.slope_differences(_burdens(spark, sf), "gene", "z", {"burden": ["x", "l"], "breadth": ["w", "l"]}, REPLICATES, 16)
+
+
+@query(f"""{_SLOPES}, k as (
+  select 'breadth' as map_a, 'burden' as map_b, quantile_cont(bw - bx, .025) as ci_low, quantile_cont(bw - bx, .975) as ci_high,
+    least(1.0, 2 * least((count_if(bw - bx <= 0) + 1) / (count(*) + 1), (count_if(bw - bx >= 0) + 1) / (count(*) + 1))) as p, count(*) as n_boot
+  from r)
+ select k.*, ow - ox as difference, p as q from k, o""", "ci_low ci_high p difference q")
+def slope_contrasts(spark, sf):
+    """The pairwise contrasts of those coefficients."""
+    rows = _burdens(spark, sf)
+    betas = [("burden", float(regression.ols_cluster(rows, "z", ["x", "l"], "gene").beta[1])), ("breadth", float(regression.ols_cluster(rows, "z", ["w", "l"], "gene").beta[1]))]
+    return resample.slope_contrasts(slope_differences(spark, sf), spark.createDataFrame(betas, "name string, beta double"))
+
+
+def sql_saturated(source: str, cells: str, terms: dict[str, list[int]], parameters: int, exponentiate: bool = True) -> str:
+    """SQL for a saturated logistic model with cluster-robust errors.
+
+    ``source`` has y, the cluster g and the cell's number k (``cells``); a term is a combination of
+    the cells' logits. The information of such a model is diagonal in cells.
+    """
+    rows = ", ".join(f"('{t}', {k}, {c}.0)" for t, cs in terms.items() for k, c in enumerate(cs))
+    return f"""src as (select y, g::varchar as g, {cells} as k from {source}),
+ pc as (select k, count(*) as nk, avg(y) as pk from src group by 1), tc as (select * from (values {rows}) v(term, k, c)),
+ sg as (select g, k, sum(y - pk) as sk from src join pc using (k) group by 1, 2),
+ vt as (select term, sum(v * v) as v from (select term, g, sum(c * sk / (nk * pk * (1 - pk))) as v from sg join pc using (k) join tc using (k) group by 1, 2) group by 1),
+ bt as (select term, sum(c * ln(pk / (1 - pk))) as beta from pc join tc using (k) group by 1),
+ sz as (select count(*) as n, count(distinct g) as n_clusters from src),
+ zt as (
+  select term, beta, sqrt(v * n_clusters / greatest(n_clusters - 1, 1) * (n - 1) / greatest(n - {parameters}, 1)) as se, n, n_clusters
+  from bt join vt using (term), sz),
+ ft as (
+  select term, beta, se, beta / nullif(se, 0) as z, {sql_p('(beta / nullif(se, 0))')} as p, exp(beta) as odds_ratio,
+    exp(beta - 1.96 * se) as ci_low, exp(beta + 1.96 * se) as ci_high, n, n_clusters
+  from zt)"""
+
+
+FIT = "beta se z p odds_ratio ci_low ci_high"
+
+
+@query(f"""with {sql_saturated("(select y, motif as g, breadth >= 2 as f from u where cell = 'F')", 'f::int', {'intercept': [1, 0], 'multi': [-1, 1]}, 2)} select * from ft""", FIT)
+def logit_cluster(spark, sf):
+    """Held-out support by multiple evidence with motif-clustered SE."""
+    rows = union(spark, sf).where("cell = 'F'").withColumn("multi", (F.col("breadth") >= 2).cast("int"))
+    return regression.logistic_cluster(rows, "y", ["multi"], "motif").table(spark)
 
 
 @query()
-def logit_cluster(spark, sf):
-    """Held-out support by technology with motif-clustered SE."""
+def logit_technologies(spark, sf):
+    """Held-out support by technology with motif-clustered SE; tests hold the fit to published coefficients."""
     fit = regression.logistic_cluster(union(spark, sf).where("cell = 'F'"), "y", [f"{t}_support" for t in TECHNOLOGIES], "motif")
     return fit.table(spark)
 
 
-@query()
+def sql_ols(source: str, x: str, other: str, parameters: str, term: str) -> str:
+    """SQL for the row of one coefficient beside another predictor, both free of what the intercepts take up.
+
+    ``source`` has z, the cluster gene and the predictors, all as deviations from their intercept's mean.
+    """
+    return f"""ra_{x} as (select *, {x} - {other} * (sum({x} * {other}) over () / sum({other} * {other}) over ()) as xt,
+    {other} - {x} * (sum({x} * {other}) over () / sum({x} * {x}) over ()) as ot from {source}),
+ rb_{x} as (select *, sum(xt * z) over () / sum(xt * xt) over () as b, sum(ot * z) over () / sum(ot * ot) over () as c from ra_{x}),
+ rc_{x} as (select gene, sum(xt * (z - b * {x} - c * {other})) as s, any_value(b) as b, sum(xt * xt) as q, count(*) as n from rb_{x} group by 1),
+ rd_{x} as (select any_value(b) as beta, sqrt(sum(s * s) / sum(q) ** 2 * count(*) / (count(*) - 1) * (sum(n) - 1) / (sum(n) - {parameters})) as se, sum(n)::bigint as n, count(*) as n_clusters from rc_{x}),
+ re_{x} as (select '{term}' as term, beta, se, beta / se as z, {sql_p('(beta / se)')} as p, beta - 1.96 * se as ci_low, beta + 1.96 * se as ci_high, n, n_clusters from rd_{x})"""
+
+
+_CENTRED = f"{_STANDARD}, ce as (select gene, z - avg(z) over () as z, x - avg(x) over () as x, l - avg(l) over () as l from st)"
+_WITHIN = f"{_STANDARD}, nd as (select count(distinct dataset) as k from st), ce as (select gene, z - avg(z) over v as z, x - avg(x) over v as x, l - avg(l) over v as l from st window v as (partition by dataset))"
+
+
+@query(f"with {_CENTRED}, {sql_ols('ce', 'x', 'l', '3', 'x')}, {sql_ols('ce', 'l', 'x', '3', 'l')} select * from re_x union all select * from re_l", "beta se z p ci_low ci_high")
 def ols_cluster(spark, sf):
-    """Outcome by burden and size, genes as clusters."""
-    rows = regression.standardised(_functional(spark, sf), {"x": F.log1p("burden"), "l": F.log("len")}, unit="gene")
-    return regression.ols_cluster(rows, "z", ["x", "l"], "gene").table(spark, exponentiate=False)
+    """Outcome by burden and size, genes as clusters; the slopes."""
+    fit = regression.ols_cluster(_burdens(spark, sf), "z", ["x", "l"], "gene")
+    return fit.table(spark, exponentiate=False).where("term <> 'intercept'")
+
+
+_PARAMETERS = "(select k + 2 from nd)"
+
+
+@query(f"with {_WITHIN}, {sql_ols('ce', 'x', 'l', _PARAMETERS, 'x')}, {sql_ols('ce', 'l', 'x', _PARAMETERS, 'l')} select * from re_x union all select * from re_l", "beta se z p ci_low ci_high")
+def ols_fixed_effects(spark, sf):
+    """ST-16: the slopes with an intercept per dataset."""
+    fit = regression.fixed_effects_ols(_burdens(spark, sf), "z", ["x", "l"], "dataset", "gene")
+    return fit.table(spark, exponentiate=False).where("term in ('x', 'l')")
+
+
+@query()
+def burden_by_dataset(spark, sf):
+    """ST-18: the joint test of the burden's slope over datasets, and the slopes; tests hold it to a direct solution."""
+    got = regression.interaction_test(_burdens(spark, sf), "z", "x", ["l"], "dataset", "gene")
+    return spark.createDataFrame(
+        [(d, b, got["chi2"], got["df"], got["p"], got["n"], got["n_clusters"]) for d, b in sorted(got["slopes"].items())],
+        "dataset string, slope double, chi2 double, df int, p double, n long, n_clusters long",
+    )
+
+
+#: Components of an embedding: the outcome and the features.
+DENSE = 64
 
 
 def _dense(spark, sf):
     e = table(spark, sf, "embeddings")
-    features = [F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(1, 17)]
+    features = [F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(1, DENSE)]
     rows = e.select("vec_id", F.col("label").alias("ds"), F.col("embedding")[0].cast("double").alias("y"), *features)
-    return portability.grouped_folds(rows, "vec_id", 5, 21), [f"f{i}" for i in range(1, 17)]
+    return portability.grouped_folds(rows, "vec_id", 5, 21), [f"f{i}" for i in range(1, DENSE)]
 
 
 @query()
@@ -471,7 +645,7 @@ def ridge_tuning(spark, sf):
 def residual_addition(spark, sf):
     """Out-of-fold fit of a base model plus a few added features on its residuals."""
     rows, features = _dense(spark, sf)
-    return stats.fit_scores(ridge.residual_addition(rows, ["ds"], "fold", features[:12], features[12:], "y"), ["ds"], "y", "prediction")
+    return stats.fit_scores(ridge.residual_addition(rows, ["ds"], "fold", features[:60], features[60:], "y"), ["ds"], "y", "prediction")
 
 
 @query(f"select vec_id, label as ds, ({_DRAW.format(parts=chr(39) + '21' + chr(39) + ', vec_id')} % 5)::int as fold from embeddings", mapped=False)
@@ -504,17 +678,27 @@ def _tasks(spark, sf):
     return tasks.withColumn("fp_alignment", F.col("log_ratio") * (F.col("source_R") - F.col("source_A")))
 
 
-FEATURES = ["source_A", "source_N", "log_ratio", "seen", "fp_alignment"]
+#: Feature sets from breadth alone to provenance, fingerprint and context (ML-05).
+FEATURE_SETS = {
+    "breadth": ["source_breadth"], "provenance": ["source_breadth", "source_A", "source_N"],
+    "full": ["source_breadth", "source_A", "source_N", "log_ratio", "seen", "fp_alignment"], "context": ["source_breadth", "source_A", "source_N", "log_ratio"],
+}
 
 
 @query()
 def loto_metrics(spark, sf):
-    """AUROC by held-out technology of rankers that never saw it."""
-    scored = portability.leave_target_out(_tasks(spark, sf), FEATURES, "target_reported", "locus", "target", c=0.1)
-    return stats.auroc(scored, "score", "target_reported", ["target"])
+    """AUROC by feature set and held-out technology of rankers that never saw it, at a fixed penalty."""
+    return portability.model_comparison(_tasks(spark, sf), FEATURE_SETS, "target_reported", "locus", "target", c=0.1)
 
 
-@query()
+_ALIGNED = f"""with {_TASKS}, c as (select motif, count_if(y = 0) as n0, count_if(y = 1) as n1 from u where cell = 'O' group by 1),
+ tt as (select sum(n0) as t0, sum(n1) as t1, count(*) as k from c),
+ f as (select motif, round(ln((n1 + .5) / (t1 + .5 * k)) - ln((n0 + .5) / (t0 + .5 * k)), 12) as lr from c, tt),
+ al as (select target, target_reported as y, -(coalesce(lr, 0.0) * (sr - sa)) as s from tk left join f on tk.motif = f.motif where cell = 'F' and source_breadth = 1)"""
+
+
+@query(f"""{_ALIGNED}, r as (select *, {_RANKED.format(g='target')} from al)
+ select target, count(*) as n, sum(y)::bigint as n_pos, {_AUC} as auroc from r group by 1""", "auroc")
 def alignment_diagnostic(spark, sf):
     return portability.alignment_diagnostic(_tasks(spark, sf), "fp_alignment", "target_reported", "target")
 
@@ -665,7 +849,7 @@ def sensitivity_subsets(spark, sf):
 
 
 def queries() -> dict[str, Build]:
-    from . import more  # noqa: F401  registers its queries
+    from . import ingested, modelled, more  # noqa: F401  register their queries
 
     return {name: q.run for name, q in QUERIES.items()}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GTF = "seqname string, source string, feature string, start string, end string, score string, strand string, frame string, attributes string"
@@ -69,16 +69,27 @@ def read_fasta(spark: SparkSession, path: str, wanted: DataFrame | None = None,
     return rows.withColumn("__bare", bare(F.col("accession"))).join(names, "__bare", "left_semi").select("accession", "seq")
 
 
-def manifest(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """SRC-06: path, bytes and sha256 of files, and their status against ``expected`` (name, sha256)."""
-    files = spark.read.format("binaryFile").load(path).select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("found_sha256")
-    )
+#: Larger files are listed without a hash: their content would be one row.
+MOST_BYTES = 1 << 30
+
+
+def manifest(spark: SparkSession, path: str, expected: DataFrame | None = None, name: Column | None = None) -> DataFrame:
+    """SRC-06: path, bytes and sha256 of files, and their status against ``expected`` (name, sha256).
+
+    ``name`` is an expression on ``path``, by default its last part. Files beyond ``MOST_BYTES`` are
+    TOO_LARGE and never read.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    named = (F.element_at(F.split("path", "/"), -1) if name is None else name).alias("name")
+    small = listed.where(F.col("length") <= MOST_BYTES).select("path", named, F.col("length").alias("bytes"), F.sha2("content", 256).alias("found_sha256"))
+    large = listed.where(F.col("length") > MOST_BYTES).select("path", named, F.col("length").alias("bytes"), F.lit(None).cast("string").alias("found_sha256"))
+    files = small.unionByName(large)
+    too_large = F.col("bytes") > MOST_BYTES
     if expected is None:
-        return files.withColumn("status", F.lit("PRESENT"))
+        return files.withColumn("status", F.when(too_large, "TOO_LARGE").otherwise("PRESENT"))
     joined = files.join(expected, "name", "full_outer")
     status = (
-        F.when(F.col("path").isNull(), "MISSING").when(F.col("sha256").isNull(), "PRESENT")
+        F.when(F.col("path").isNull(), "MISSING").when(too_large, "TOO_LARGE").when(F.col("sha256").isNull(), "PRESENT")
         .when(F.col("sha256") == F.col("found_sha256"), "HASH_OK").otherwise("HASH_MISMATCH")
     )
     return joined.withColumn("status", status)

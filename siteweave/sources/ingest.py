@@ -101,6 +101,23 @@ def matrix_long(cells: DataFrame, transpose: bool = False) -> DataFrame:
     return joined.groupBy(*SHEET, F.concat(F.col(first), F.lit("U"), F.col(second)).alias("motif")).agg(F.avg("x").alias("response"))
 
 
+def oriented_matrix(cells: DataFrame, least: tuple[int, int] = (5, 20)) -> DataFrame:
+    """SRC-14: each sheet's matrix in the orientation with the greater +1U effect (ST-26); rows first on a tie.
+
+    Columns: file, sheet, motif, response, orientation and effect.
+    """
+    from ..operators.stats import plus_one_effect
+
+    both = matrix_long(cells).withColumn("orientation", F.lit("rows_first")).unionByName(
+        matrix_long(cells, transpose=True).withColumn("orientation", F.lit("columns_first"))
+    )
+    flagged = both.withColumn("__u", F.col("motif").rlike("^...U"))
+    effects = plus_one_effect(flagged, "response", "__u", least, [*SHEET, "orientation"])
+    best = F.max_by(F.struct("orientation", "effect"), F.struct(F.coalesce("effect", F.lit(float("-inf"))), F.col("orientation")))
+    chosen = effects.groupBy(*SHEET).agg(best.alias("b")).select(*SHEET, "b.*")
+    return both.join(chosen, [*SHEET, "orientation"])
+
+
 def choose_response(headers: DataFrame, weights: dict[str, float], n_valid: str, n_motifs: str) -> DataFrame:
     """SRC-15: per sheet the column with the best positive header score among those covering max(50, half) of the motifs.
 
@@ -120,6 +137,13 @@ def anchor_score(candidates: DataFrame, group: list[str], value: str, n_anchor:
     return per.withColumn("anchor_score", -F.abs(F.col("n_high") - n_anchor) / 5 - 20 * F.abs(F.col("mean") - mean_anchor))
 
 
+def best_anchored(scored: DataFrame, group: list[str], candidate: str) -> DataFrame:
+    """SRC-16: per group the candidate with the best anchor score; ties go to the smaller candidate."""
+    rest = [c for c in scored.columns if c not in group]
+    best = F.min_by(F.struct(*rest), F.struct(-F.col("anchor_score"), F.col(candidate)))
+    return scored.groupBy(*group).agg(best.alias("b")).select(*group, "b.*") if group else scored.agg(best.alias("b")).select("b.*")
+
+
 def base_window(df: DataFrame, columns: list[str]) -> list[str] | None:
     """SRC-18: the first five neighbouring columns that hold bases, the middle one U or T; None if there are none."""
     share = lambda c, letters: F.avg(F.upper(F.trim(F.col(f"`{c}`"))).isin(*letters).cast("double"))
@@ -221,6 +245,25 @@ def normalise_calls(df: DataFrame, dataset_id: str, assay: str, cell_line: str,
     return df.select(*[made[c].alias(c) for c in CALLS])
 
 
+def assay_context(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SRC-28: normalised calls with a centred motif, their single-U flag and U-run fields; and QC counts per dataset and assay.
+
+    Rows without a locus or such a motif are counted and left out.
+    """
+    centred = (F.length("motif") == 5) & (F.substring("motif", 3, 1) == "U")
+    known = F.coalesce(centred, F.lit(False))
+    placed = F.col("base_locus_id").isNotNull()
+    counts = calls.groupBy("dataset_id", "assay").agg(
+        F.count("*").alias("n_rows"), F.count_if(~placed).alias("n_without_locus"), F.count_if(~known).alias("n_without_motif"),
+        F.count_if(known & placed).alias("n_kept"), F.count_if(known & placed & fn.single_u(F.col("motif"))).alias("n_single_u"),
+        F.count_distinct(F.when(known & placed, F.col("base_locus_id"))).alias("n_loci"),
+    )
+    run = fn.u_run_interval(F.col("pos1"), F.col("strand"), F.col("motif"))
+    kept = calls.where(known & placed).withColumn("single_u", fn.single_u(F.col("motif"))).withColumn("__run", run)
+    fields = {"run_start": "start", "run_end": "end", "run_complete": "complete", "run_length": "length"}
+    return kept.withColumns({k: F.col(f"__run.{v}") for k, v in fields.items()}).drop("__run"), counts
+
+
 def positive_calls(df: DataFrame, flag: str, keys: list[str]) -> DataFrame:
     """SRC-29: distinct valid coordinates of rows that the source itself calls."""
     valid = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
@@ -245,6 +288,15 @@ def header_above(cells: DataFrame, blocks: DataFrame, reach: int = 10) -> DataFr
     return joined.groupBy(*SHEET, "col", "first_row").agg(F.max_by("header", "row").alias("header"))
 
 
+def tokens_around(cells: DataFrame, blocks: DataFrame, tokens: list[str], reach: int = 8) -> DataFrame:
+    """SRC-31: for each block (file, sheet, col, first_row) the tokens that cells within ``reach`` rows and columns hold."""
+    text = F.upper(fn.safe_text("value"))
+    named = cells.select(*SHEET, F.col("row").alias("__row"), F.col("col").alias("__col"), F.explode(F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(text, F.upper(t)))).alias("token"))
+    near = blocks.join(named, SHEET).where((F.abs(F.col("__row") - F.col("first_row")) <= reach) & (F.abs(F.col("__col") - F.col("col")) <= reach))
+    found = near.groupBy(*SHEET, "col", "first_row").agg(F.array_join(F.sort_array(F.collect_set("token")), "|").alias("tokens"))
+    return blocks.select(*SHEET, "col", "first_row").join(found, [*SHEET, "col", "first_row"], "left")
+
+
 def complete_calibration(df: DataFrame, motif: str, response: str, universe: int = 256) -> DataFrame:
     """SRC-30: the table itself if it has each of ``universe`` motifs with a number; ValueError if not."""
     row = df.agg(F.count_distinct(motif).alias("n"), F.count_if(F.col(response).isNull()).alias("missing")).first()
@@ -274,5 +326,8 @@ def site_parser_audit(df: DataFrame, column: str) -> DataFrame:
 
 def rescaled_fraction(df: DataFrame, column: str) -> DataFrame:
     """FN-25: a column divided by 100 if its median is above 1.5."""
-    median = df.agg(F.percentile(F.col(column).cast("double"), F.lit(0.5)).alias("m")).first()["m"]
+    from ..operators.ranks import quantiles
+
+    found = quantiles(df, [], column, {"m": 0.5}).first()
+    median = found["m"] if found else None
     return df.withColumn(column, F.col(column) / 100) if median is not None and median > 1.5 else df

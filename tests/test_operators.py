@@ -185,6 +185,137 @@ def test_ridge_equals_a_direct_solution(spark):
     assert ridge.out_of_fold(df, models, ["d"], "fold", ["a", "b", "c"]).count() == 120
 
 
+def _ridge_rows(spark, y, x, n_folds=4):
+    cols = [f"c{j}" for j in range(x.shape[1])]
+    rows = [("d", i % n_folds, i, float(y[i]), *map(float, x[i])) for i in range(len(y))]
+    return spark.createDataFrame(rows, "d string, fold int, i int, y double, " + ", ".join(f"{c} double" for c in cols)), cols
+
+
+def _direct_ridge(x, y, alpha):
+    mean, sd = x.mean(0), x.std(0)
+    z = (x - mean) / sd
+    b = np.zeros(x.shape[1]) if alpha == float("inf") else np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - y.mean())) / sd
+    return b, y.mean() - b @ mean
+
+
+def _direct_alpha(x, y, fold, inside):
+    errors = []
+    for a in ridge.ALPHAS:
+        e = 0.0
+        for held in inside:
+            tr, va = np.isin(fold, [f for f in inside if f != held]), fold == held
+            b, c = _direct_ridge(x[tr], y[tr], a)
+            e += ((y[va] - x[va] @ b - c) ** 2).sum()
+        errors.append(e)
+    good = [i for i, e in enumerate(errors) if e <= min(errors) * (1 + 1e-9)]
+    return ridge.ALPHAS[good[-1]]
+
+
+def test_residual_addition_equals_a_direct_computation_and_never_leaks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(160, 5))
+    y = x @ [1.0, -2.0, 0.5, 0.8, -0.6] + rng.normal(size=160)
+    fold = np.arange(160) % 4
+    df, cols = _ridge_rows(spark, y, x)
+    predict = lambda frame: {r["i"]: r["prediction"] for r in ridge.residual_addition(frame, ["d"], "fold", cols[:3], cols[3:], "y").collect()}
+    got = predict(df)
+    for outer in range(4):
+        inside = [f for f in range(4) if f != outer]
+        tr, te = fold != outer, fold == outer
+        b, c = _direct_ridge(x[tr][:, :3], y[tr], _direct_alpha(x[:, :3], y, fold, inside))
+        resid = np.empty(160)
+        for held in inside:
+            rest = [f for f in inside if f != held]
+            bb, cc = _direct_ridge(x[np.isin(fold, rest)][:, :3], y[np.isin(fold, rest)], _direct_alpha(x[:, :3], y, fold, rest))
+            resid[fold == held] = y[fold == held] - x[fold == held][:, :3] @ bb - cc
+        z = np.column_stack([np.ones(tr.sum()), x[tr][:, 3:]])
+        g = np.linalg.lstsq(z, resid[tr], rcond=None)[0]
+        want = x[te][:, :3] @ b + c + g[0] + x[te][:, 3:] @ g[1:]
+        assert np.allclose([got[i] for i in np.nonzero(te)[0]], want, atol=1e-8)
+    for outer in (0, 2):
+        other = predict(df.withColumn("y", F.when(F.col("fold") == outer, F.col("y") * -3 + F.col("i")).otherwise(F.col("y"))))
+        assert all(abs(other[i] - got[i]) < 1e-12 for i in range(160) if fold[i] == outer)
+        assert any(abs(other[i] - got[i]) > 1e-3 for i in range(160) if fold[i] != outer)
+
+
+def test_repeated_folds_and_tuning_flags(spark):
+    df = spark.createDataFrame([(i,) for i in range(23)], "u long")
+    dealt = ridge.repeated_folds(df, "u", 5, 2, 3)
+    sizes = [r["count"] for r in dealt.groupBy("repeat", "fold").count().collect()]
+    assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1
+    assert dealt.groupBy("u").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() > 0
+    models = spark.createDataFrame([(1, False), (2, True)], "fold int, unresolved boolean")
+    with pytest.raises(ValueError):
+        ridge.require_resolved(models)
+    assert ridge.require_resolved(models.where("fold = 1")).count() == 1
+
+
+def test_fixed_effects_and_interaction_equal_a_direct_solution(spark):
+    rng = np.random.default_rng(4)
+    n = 240
+    gene, ds = np.arange(n) // 3, np.arange(n) % 3
+    x, w = rng.normal(size=n // 3)[gene], rng.normal(size=n // 3)[gene]
+    y = 0.4 * x * (ds + 1) - 0.3 * w + 0.2 * ds + rng.normal(size=n)
+    df = spark.createDataFrame([(str(g), f"s{d}", float(a), float(b), float(c)) for g, d, a, b, c in zip(gene, ds, x, w, y, strict=True)], "g string, d string, x double, w double, y double")
+
+    def direct(X):
+        inv = np.linalg.inv(X.T @ X)
+        beta = inv @ X.T @ y
+        r = y - X @ beta
+        meat = sum(np.outer(s, s) for k in range(n // 3) for s in [X[gene == k].T @ r[gene == k]])
+        k = n // 3
+        return beta, inv @ meat @ inv * k / (k - 1) * (n - 1) / (n - X.shape[1])
+
+    flags = [ds == 1, ds == 2]
+    beta, cov = direct(np.column_stack([np.ones(n), x, w, *flags]))
+    fit = regression.fixed_effects_ols(df, "y", ["x", "w"], "d", "g")
+    assert fit.terms == ["intercept", "x", "w", "dataset::s1", "dataset::s2"] and np.allclose(fit.beta, beta) and np.allclose(fit.cov, cov)
+    beta, cov = direct(np.column_stack([np.ones(n), x, w, *flags, *[x * f for f in flags]]))
+    got = regression.interaction_test(df, "y", "x", ["w"], "d", "g")
+    assert got["df"] == 2 and abs(got["chi2"] - beta[5:] @ np.linalg.inv(cov[5:, 5:]) @ beta[5:]) < 1e-8
+    assert np.allclose([got["slopes"][s] for s in ("s0", "s1", "s2")], [beta[1], beta[1] + beta[5], beta[1] + beta[6]])
+    with pytest.raises(ValueError):
+        regression.interaction_test(df.where("d = 's0'"), "y", "x", ["w"], "d", "g")
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, None if i % 17 == 0 else float(rng.integers(0, 9))) for g in ("a", "b") for i in range(1, 90)] + [("c", 3.0), ("d", None)]
+    got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in ranks.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.975}).collect()}
+    for g in "abc":
+        assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g and v is not None], [0.1, 0.5, 0.975]))
+    assert "d" not in got
+
+
+def test_tuning_takes_the_least_of_equal_penalties(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 50, "t", float(v := rng.normal()), int(v + rng.normal() > 0)) for i in range(120)]
+    best, table = portability.tune(spark.createDataFrame(rows, "u long, t string, a double, y int"), ["a"], "y", "u", "t", grid=(0.1, 1.0), folds=3)
+    assert best == 0.1 and [r["C"] for r in table] == [0.1, 1.0] and all(r["folds"] == 3 and abs(r["macro_auroc"] - table[0]["macro_auroc"]) < 1e-12 for r in table)
+
+
+def test_evaluation_agrees_with_its_parts(spark):
+    rows = [(i, float(i % 7), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, s double, y int")
+    got = portability.evaluate(df, "s", "y", "k", replicates=50)
+    assert got["auroc"] == stats.auroc(df, "s", "y").first()["auroc"] and got["auroc_low"] <= got["auroc"] <= got["auroc_high"] and got["lift_low"] <= got["lift_high"]
+    boot = resample.row_bootstrap(df, ["s"], "y", "k", 4, 1).collect()
+    idx = sorted(rows, key=lambda r: (r[1], r[2]))
+    import hashlib
+
+    for r in boot:
+        drawn = [idx[int(hashlib.md5(f"1|{r['rep']}|{i}".encode()).hexdigest()[:12], 16) % 90] for i in range(90)]
+        pos, neg = [s for _, s, y in drawn if y], [s for _, s, y in drawn if not y]
+        assert abs(r["auroc_s"] - np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg])) < 1e-12
+
+
+def test_checks_can_warn(spark):
+    df = spark.createDataFrame([(1,), (3,)], "k int")
+    qc = gates.checks(spark, df, "d", {"n": (F.count("*"), "==", 2), "few": (F.count("*"), ">=", 5, "WARN")})
+    assert gates.run_status(qc) == "WARN" and {r["check_id"]: r["status"] for r in qc.collect()} == {"n": "PASS", "few": "WARN"}
+    assert gates.replicates_agree(df.selectExpr("k as a", "-k as b"), "a", "b").first()["status"] == "FAIL"
+
+
 def test_gates_fire(spark):
     df = spark.createDataFrame([(1,), (1,), (None,)], "k int")
     qc = gates.checks(spark, df, "d", {"unique": (gates.unique("k"), "==", 0), "n": (F.count("*"), "==", 3)})
