@@ -91,8 +91,10 @@ def test_sequences(spark):
     df = spark.createDataFrame([(1, "ACGTNACG"), (2, "AC")], "k int, s string")
     got = {(r["k"], r["kmer"]): (r["n"], r["frequency"]) for r in sq.kmer_frequencies(df, "k", "s", 3).collect()}
     assert got == {(1, "ACG"): (2, 2 / 6), (1, "CGT"): (1, 1 / 6)}
-    codons = df.select(*sq.codon_columns(F.lit("ATGAAATAA"))).first().asDict()
-    assert codons["codon_ATG"] == 0.5 and codons["codon_AAA"] == 0.5 and len(codons) == 61
+    cds = spark.createDataFrame([(1, "ATGAAATAA"), (2, ""), (3, "TAANNN")], "k int, s string")
+    codons = {r["k"]: r.asDict() for r in sq.codon_frequencies(cds, "k", "s").collect()}
+    assert codons[1]["codon_ATG"] == 0.5 and codons[1]["codon_AAA"] == 0.5 and len(codons[1]) == 62
+    assert all(v == 0.0 for k in (2, 3) for c, v in codons[k].items() if c != "k")
 
 
 def test_projection(spark):
