@@ -44,6 +44,8 @@ SLOT = rf"(?:{_LABEL}|{_PROSE}|(?<!\S)){_FILLING}(?=(?:\x20(\p{{L}}{{1,24}}\x20\
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.6
 #: The share of a prose pattern's occurrences that must be slots.
 SPECIFIC = 0.5
+#: Bits of the map that keeps words of no pattern in the scan.
+BITS = 1 << 21
 #: Trusted patterns that a plan holds.
 MOST_PATTERNS = 1000
 
@@ -122,22 +124,33 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPOR
     return patterns
 
 
+def bitmap(pairs: DataFrame, bits: int = BITS) -> Column:
+    """A constant array of longs with the bit of every ``pair``'s hash set; its size doesn't depend on the pairs."""
+    place = F.pmod(F.xxhash64("pair"), F.lit(bits))
+    words = pairs.groupBy(F.floor(place / 64).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("w"))
+    found = {r["at"]: r["w"] for r in words.collect()}  # bits / 64 at most
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(bits // 64))), ",").cast("array<bigint>")
+
+
 def specific(patterns: DataFrame, texts: DataFrame, filled: DataFrame, least: float = SPECIFIC) -> DataFrame:
     """The labels of ``patterns`` that are no prose, or prose whose occurrences in ``texts`` (text) are mostly slots.
 
-    An occurrence is two neighbouring words, apart by one space, that are letters alone. Only the
-    words of ``patterns`` leave the scan.
+    An occurrence is two neighbouring words, apart by one space, that are letters alone. A bitmap
+    of the patterns' hashes keeps other words from leaving the scan; what passes is counted before
+    it meets the patterns, so words that many patterns share cost no more than their count.
     """
     words = F.trim(F.translate("label", "_", ""))
-    prose = patterns.where("label like '% \\\\_' or label like '\\\\_ %'").select("label", words.alias("pair"))
+    prose = write_table(patterns.where("label like '% \\_' or label like '\\_ %'").select("label", words.alias("pair")), "prose")
     if prose.isEmpty():
         return patterns.select("label")
     neighbours = lambda w: F.zip_with(
         F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)
     )
     pairs = F.flatten(F.transform(F.split(F.lower("text"), r"[^\S\x20]"), lambda line: let(F.split(line, " "), neighbours)))
-    asked = write_table(prose.select("pair").distinct(), "pairs")
-    found = texts.where("text is not null").select(F.explode(pairs).alias("pair")).join(asked, "pair", "left_semi")
+    known = bitmap(prose)
+    place = F.pmod(F.xxhash64("pair"), F.lit(BITS))
+    marked = F.call_function("bit_get", F.get(known, F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1
+    found = texts.where("text is not null").select(F.explode(pairs).alias("pair")).where(marked)
     seen = found.groupBy("pair").agg(F.count("*").alias("n"))
     used = filled.select(F.explode(F.split("slot.kind", "\t")).alias("label")).groupBy("label").agg(F.count("*").alias("used"))
     rated = prose.join(seen, "pair").join(used, "label").where(F.col("used") >= least * F.col("n")).select("label")
