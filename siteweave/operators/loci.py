@@ -62,6 +62,14 @@ def three_valued_match(sites: DataFrame, heldout: DataFrame, coordinate: list[st
     return joined.select(*sites.columns, said.alias(out))
 
 
+def require_few_conflicts(matched: DataFrame, column: str = "reported", most: float = 0.01) -> DataFrame:
+    """JN-09: ``matched`` (of ``three_valued_match``); ValueError if more than ``most`` of its rows are null."""
+    share = matched.agg(F.avg(F.col(column).isNull().cast("double")).alias("s")).first()["s"]
+    if share is not None and share > most:
+        raise ValueError(f"{share:.2%} of the rows have another motif at their coordinate; at most {most:.2%} may")
+    return matched
+
+
 def group_disjoint(df: DataFrame, key: str, group: str) -> DataFrame:
     """JN-04: rows whose key is in one group only; a key of several groups leaves all of them."""
     single = df.groupBy(key).agg(F.count_distinct(group).alias("__n")).where("__n > 1").select(key)
@@ -278,6 +286,14 @@ def pivoted_contrast(df: DataFrame, key: str, column: str, pair: tuple[str, str]
     return wide.withColumn("contrast", F.col(pair[0]) - F.col(pair[1]))
 
 
+def complete_pairs(df: DataFrame, key: str, column: str, pair: tuple[str, str], universe: int) -> DataFrame:
+    """AGG-11: ``df``; ValueError unless each of ``universe`` keys has both members of the pair."""
+    n = df.where(F.col(column).isin(*pair)).groupBy(key).agg(F.count_distinct(column).alias("n")).where("n = 2").count()
+    if n != universe:
+        raise ValueError(f"{n} keys of {universe} have both of {pair}")
+    return df
+
+
 def macro_support(deltas: DataFrame, group: list[str], value: str) -> DataFrame:
     """AGG-15: mean over datasets, positive datasets, and whether the mean and most datasets are positive."""
     out = deltas.groupBy(*group).agg(F.avg(value).alias("macro"), F.count_if(F.col(value) > 0).alias("n_positive"), F.count(value).alias("n"))

@@ -183,6 +183,28 @@ def transcript_projection(spark, sf):
     return sq.project(spans, exons, "tx", "start", "end", "strand")
 
 
+@query("""with x as (select distinct l_orderkey as tx, case when l_orderkey % 2 = 0 then '+' else '-' end as strand, l_linenumber * 1000 as s, l_linenumber * 1000 + 10 + l_orderkey % 50 as e from lineitem),
+ o as (select *, coalesce(sum(e - s + 1) over (partition by tx order by case when strand = '-' then -e else s end rows between unbounded preceding and 1 preceding), 0) as o from x),
+ i as (
+  select distinct tx, 'start_codon' as feature, s + 1 as a, s + 3 as b from x where s = 1000 union all select distinct tx, 'stop_codon', s + 2, s + 4 from x where s = 4000 and tx % 3 = 0
+  union all select tx, 'CDS', s, e from x),
+ c as (
+  select i.tx, i.feature, i.a, i.b, o + case when strand = '+' then greatest(i.a, s) - s else e - least(i.b, e) end as f, o + case when strand = '+' then least(i.b, e) - s else e - greatest(i.a, s) end as l
+  from i join o on i.tx = o.tx where i.a <= e and i.b >= s),
+ p as (select tx, feature, a, b, min(f) as f, max(l) + 1 as l from c group by 1, 2, 3, 4),
+ m as (
+  select tx, min(f) filter (where feature = 'start_codon') as sa, max(l) filter (where feature = 'stop_codon') as sb, min(f) filter (where feature = 'CDS') as ca, max(l) filter (where feature = 'CDS') as cb
+  from p group by 1)
+ select tx, case when sa is not null and sb is not null then sa else ca end::bigint as cds_start, case when sa is not null and sb is not null then sb else cb end::bigint as cds_end from m""", mapped=False)
+def coding_spans(spark, sf):
+    """FN-33: the coding span of each transcript, from its codons or its coding exons."""
+    exons = _exons(spark, sf)
+    part = lambda df, f, a, b: df.select("tx", F.lit(f).alias("feature"), a.alias("start"), b.alias("end")).distinct()
+    s, e = F.col("start"), F.col("end")
+    features = part(exons.where("start = 1000"), "start_codon", s + 1, s + 3).unionByName(part(exons.where("start = 4000 and tx % 3 = 0"), "stop_codon", s + 2, s + 4)).unionByName(part(exons, "CDS", s, e))
+    return sq.coding_span(sq.project(features, exons, "tx", "start", "end", "strand"), "tx", "feature")
+
+
 @query("""with s as (select gene, count(*) as n_loci from u where cell = 'F' group by 1), l as (select gene, count(*) as n_labels from u where cell = 'O' and y = 1 group by 1)
  select s.gene, n_loci, coalesce(n_labels, 0)::bigint as n_labels, case when n_loci = 1 then case coalesce(n_labels, 0) when 1 then 'resolved_assigned' when 0 then 'resolved_not_assigned' else 'invalid_multiplicity' end
   else case when coalesce(n_labels, 0) = 0 then 'resolved_all_not_assigned' when n_labels = n_loci then 'resolved_all_assigned' else 'ambiguous_duplicate_gene' end end as mapping_status from s left join l on s.gene = l.gene""")
