@@ -19,14 +19,26 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
     return left.join(right, on, how)
 
 
-def two_technology_union(a: DataFrame, b: DataFrame, key: str, motif: str, names: tuple[str, str]) -> DataFrame:
-    """JN-01, 02: every locus of either table with its class and the motif both agree on (null if they don't)."""
-    x = a.select(key, F.col(motif).alias("__a"), F.lit(True).alias("__in_a"))
-    y = b.select(key, F.col(motif).alias("__b"), F.lit(True).alias("__in_b"))
+def two_technology_union(a: DataFrame, b: DataFrame, key: str, motif: str, names: tuple[str, str], fields: tuple[str, ...] = ()) -> DataFrame:
+    """JN-01, 02: every locus of either table with its class and the motif both agree on (null if they don't).
+
+    ``fields`` are taken from the first table, and from the second where the first lacks them.
+    """
+    side = lambda df, tag: df.select(key, F.col(motif).alias(f"__{tag}"), F.lit(True).alias(f"__in_{tag}"), *[F.col(c).alias(f"__{tag}_{c}") for c in fields])
     both = F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull()
     kind = F.when(both, "shared").when(F.col("__in_a").isNotNull(), f"{names[0]}_exclusive_reported").otherwise(f"{names[1]}_exclusive_reported")
     agreed = F.when(both, F.when(F.col("__a") == F.col("__b"), F.col("__a"))).otherwise(F.coalesce("__a", "__b"))
-    return x.join(y, key, "full_outer").select(key, kind.alias("class"), agreed.alias(motif), F.when(both, F.col("__a") == F.col("__b")).alias("motifs_agree"))
+    filled = [F.coalesce(f"__a_{c}", f"__b_{c}").alias(c) for c in fields]
+    joined = side(a, "a").join(side(b, "b"), key, "full_outer")
+    return joined.select(key, kind.alias("class"), agreed.alias(motif), F.when(both, F.col("__a") == F.col("__b")).alias("motifs_agree"), *filled)
+
+
+def require_agreement(union: DataFrame, least: float = 0.999) -> DataFrame:
+    """JN-02: ``union``; ValueError if fewer than ``least`` of the shared loci agree on their motif."""
+    share = union.where("class = 'shared'").agg(F.avg(F.coalesce("motifs_agree", F.lit(False)).cast("double")).alias("s")).first()["s"]
+    if share is not None and share < least:
+        raise ValueError(f"{share:.4f} of the shared loci agree on their motif; at least {least} must")
+    return union
 
 
 def technology_union(calls: DataFrame, key: list[str], technology: str, technologies: list[str], single: dict[str, str] = {}) -> tuple[DataFrame, DataFrame]:

@@ -221,6 +221,20 @@ def attached_coverage(spark, sf):
     return joined.agg(F.count("*").alias("n"), coverage.alias("coverage"))
 
 
+@query("""with x as (select locus, min(motif) as motif, min(gene) as gene, min(score) as score from calls where cell = 'F' and tech = 'A' group by 1),
+ z as (select locus, min(motif) as motif, min(gene) as gene, min(score) as score from calls where cell = 'F' and tech = 'N' group by 1)
+ select coalesce(x.locus, z.locus) as locus, case when x.locus is null then 'N_exclusive_reported' when z.locus is null then 'A_exclusive_reported' else 'shared' end as class,
+  case when x.locus is null or z.locus is null then coalesce(x.motif, z.motif) when x.motif = z.motif then x.motif end as motif,
+  case when x.locus is not null and z.locus is not null then x.motif = z.motif end as motifs_agree, coalesce(x.gene, z.gene) as gene, coalesce(x.score, z.score) as score
+ from x full join z on x.locus = z.locus""", "score")
+def two_technology_union(spark, sf):
+    """JN-02: every locus of two technologies with its class, agreed motif and fields of whichever has them; the agreement is gated."""
+    side = lambda t: calls(spark, sf).where((F.col("cell") == "F") & (F.col("tech") == t)).groupBy("locus").agg(
+        F.min("motif").alias("motif"), F.min("gene").alias("gene"), F.min("score").alias("score")
+    )
+    return loci.require_agreement(loci.two_technology_union(side("A"), side("N"), "locus", "motif", ("A", "N"), ("gene", "score")))
+
+
 @query("""with a as (select motif, avg(y) as r from u group by 1), b as (select motif, sum(y) / count(*)::double + 0.001 * (length(motif) % 3) as r from u group by 1) select count(*) as n, max(abs(a.r - b.r)) as max_abs_difference from a join b on a.motif = b.motif""", "max_abs_difference")
 def version_difference(spark, sf):
     u = union(spark, sf)

@@ -98,6 +98,21 @@ def test_two_technologies_and_disagreeing_motifs(spark):
     assert got == {"1": ("A_exclusive_reported", "x"), "2": ("shared", None), "3": ("B_exclusive_reported", "z")}
 
 
+def test_gates_of_joins(spark):
+    shared = spark.createDataFrame([("shared", True), ("shared", False), ("A_exclusive_reported", None)], "class string, motifs_agree boolean")
+    with pytest.raises(ValueError):
+        loci.require_agreement(shared)
+    assert loci.require_agreement(shared, 0.5).count() == 3
+    matched = spark.createDataFrame([(1,), (None,), (0,)], "reported int")
+    with pytest.raises(ValueError):
+        loci.require_few_conflicts(matched)
+    assert loci.require_few_conflicts(matched.where("reported is not null")).count() == 2
+    pairs = spark.createDataFrame([("k", "A"), ("k", "B"), ("l", "A")], "k string, t string")
+    with pytest.raises(ValueError):
+        loci.complete_pairs(pairs, "k", "t", ("A", "B"), 2)
+    assert loci.complete_pairs(pairs, "k", "t", ("A", "B"), 1).count() == 3
+
+
 def test_checked_join(spark):
     one, two = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1,), (1,)], "k int")
     assert loci.checked_join(two, one, ["k"]).count() == 2
