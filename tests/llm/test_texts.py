@@ -343,6 +343,15 @@ def test_chat_round_trip(spark):
         assert chat.unescape(said) == (text or "") and not any(c in said for c in chat.CONTROLS)
 
 
+def test_order_of_equal_and_unnumbered_turns(spark):
+    rows = [(20, 0, "user", "b\nc"), (20, 0, "user\nb", "c"), (20, None, "", "x"), (20, 1, "", "y"), (20, 0, "assistant", "z"), (20, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key = F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    want = [(r["role"] or "", r["text"] or "") for r in turns.orderBy(F.col("turn").asc_nulls_first(), key).collect()]
+    got = chat.read_back(chat.format_turns(turns.repartition(3), registry.BYTE_RANKS, token_counts.PATTERN), registry.BYTE_RANKS, token_counts.PATTERN).first()
+    assert got["n_turns"] == 6 and got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in want).encode()).hexdigest()
+
+
 def test_archives(spark):
     rows = [(1, "http://a\r\nb", None), (2, None, "x" * 2000), (3, "u", "x" * 2000), (3, "u", "x" * 2000), (None, "n", "x" * 2000), (5, "é", "short"), (6, "é", "short"), (7, "q", "P*M\x18" * 3000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0)).repartition(3)
