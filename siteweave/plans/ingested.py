@@ -169,7 +169,8 @@ def oriented_matrix(spark, sf):
 @query("""with h as (
   select l_suppkey % 8 as sheet, l_linenumber as col, case l_linenumber % 4 when 0 then 'Psi level' when 1 then 'p-value' when 2 then 'signal level' else 'note' end as name,
     count(*) as n_valid, count(distinct l_partkey) as n_motifs from lineitem group by 1, 2),
- s as (select *, (case when lower(name) like '%psi%' then 3.0 else 0 end + case when lower(name) like '%level%' then 1.0 else 0 end - case when lower(name) like 'p-value%' then 5.0 else 0 end)::double as header_score from h),
+ s as (select *, (case when lower(name) like '%psi%' then 3.0 else 0 end + case when lower(name) like '%level%' then 1.0 else 0 end - case
+    when lower(name) like 'p-value%' then 5.0 else 0 end)::double as header_score from h),
  g as (select *, row_number() over (partition by sheet order by header_score desc, n_valid desc, col) as i from s where n_valid >= greatest(50.0, n_motifs * .5) and header_score > 0)
  select 'f' as file, h.sheet, g.name, g.header_score, case when g.name is null then 'RESPONSE_UNRESOLVED' else 'RESOLVED' end as status
  from (select distinct sheet from h) h left join g on h.sheet = g.sheet and i = 1""", "header_score", mapped=False)
@@ -211,7 +212,8 @@ def base_window(spark, sf):
     return spark.createDataFrame([("|".join(found) if found else None,)], "columns string")
 
 
-@query("""with r as (select o_orderkey as k, case when o_custkey % 3 = 0 then 'A549 cells' else 'K562' end as a, case o_orderstatus when 'F' then 'in a549' when 'O' then 'A5490' else '' end as b from orders),
+@query("""with r as (select o_orderkey as k, case when o_custkey % 3 = 0 then 'A549 cells' else 'K562' end as a, case o_orderstatus when 'F' then 'in a549'
+    when 'O' then 'A5490' else '' end as b from orders),
  n as (select count_if(regexp_matches(a, '(?i)\\bA549\\b')) as na, count_if(regexp_matches(b, '(?i)\\bA549\\b')) as nb from r)
  select k, a, b from r, n where regexp_matches(case when na >= nb then a else b end, '(?i)\\bA549\\b')""".replace("\\\\", "\\"), mapped=False)
 def rows_of_cell_line(spark, sf):
@@ -283,7 +285,8 @@ _RUNS = """lf as (select *, length(regexp_extract(substr(motif, 1, 2), '(U*)$',
 
 
 @query(f"""with {_SOURCE}, {_RUNS} select id::varchar as raw_id, chrom || ':' || strand || ':' || pos1 as base_locus_id, motif, regexp_full_match(motif, '.[ACG]U[ACG].') as single_u,
- case when strand = '+' then pos1 - lf else pos1 - rt end as run_start, case when strand = '+' then pos1 + rt else pos1 + lf end as run_end, lf < 2 and rt < 2 as run_complete, lf + rt + 1 as run_length
+ case when strand = '+' then pos1 - lf else pos1 - rt end as run_start, case when strand = '+' then pos1 + rt
+    else pos1 + lf end as run_end, lf < 2 and rt < 2 as run_complete, lf + rt + 1 as run_length
  from lf where strand is not null and pos1 is not null and motif is not null""", mapped=False)
 def assay_context(spark, sf):
     """SRC-28, FN-12, 14: calls with a centred motif and their U-run."""
@@ -292,8 +295,10 @@ def assay_context(spark, sf):
 
 
 @query(f"""with {_SOURCE}, k as (select *, strand is not null and pos1 is not null as placed, motif is not null as known from nc)
- select 'd1' as dataset_id, 'ELAP' as assay, count(*) as n_rows, count_if(not placed)::bigint as n_without_locus, count_if(not known)::bigint as n_without_motif, count_if(placed and known)::bigint as n_kept,
-  count_if(placed and known and regexp_full_match(motif, '.[ACG]U[ACG].'))::bigint as n_single_u, count(distinct case when placed and known then chrom || strand || pos1 end) as n_loci from k""", mapped=False)
+ select 'd1' as dataset_id, 'ELAP' as assay, count(*) as n_rows, count_if(not placed)::bigint as n_without_locus,
+    count_if(not known)::bigint as n_without_motif, count_if(placed and known)::bigint as n_kept,
+  count_if(placed and known and regexp_full_match(motif, '.[ACG]U[ACG].'))::bigint as n_single_u, count(distinct case
+    when placed and known then chrom || strand || pos1 end) as n_loci from k""", mapped=False)
 def assay_counts(spark, sf):
     """SRC-28: what the context loader kept and left out."""
     return ingest.assay_context(_normalised(spark, sf))[1]
@@ -328,8 +333,10 @@ def ordinal_confidence(spark, sf):
     return ingest.ordinal_confidence(_source(spark, sf).select("id", "conf"), "conf").select("id", "confidence_label", "confidence")
 
 
-@query("""with b as (select l_suppkey % 6 as sheet, l_linenumber as col, 5 + (l_suppkey % 3) as first_row from lineitem group by all), h as (select sheet, col, first_row - 2 as r, 'Head ' || col as v from b union all select sheet, col, first_row - 4, 'far' from b
-  union all select sheet, col, first_row - 1, '12' from b), t as (select sheet, col, first_row, max_by(v, r) as header from (select b.*, h.r, h.v from b join h on b.sheet = h.sheet and b.col = h.col where r between first_row - 3 and first_row - 1 and v <> '12') group by 1, 2, 3)
+@query("""with b as (select l_suppkey % 6 as sheet, l_linenumber as col, 5 + (l_suppkey % 3) as first_row from lineitem
+    group by all), h as (select sheet, col, first_row - 2 as r, 'Head ' || col as v from b union all select sheet, col, first_row - 4, 'far' from b
+  union all select sheet, col, first_row - 1, '12' from b), t as (select sheet, col, first_row, max_by(v, r) as header from (select b.*, h.r, h.v from b
+    join h on b.sheet = h.sheet and b.col = h.col where r between first_row - 3 and first_row - 1 and v <> '12') group by 1, 2, 3)
  select 'f' as file, sheet, col, first_row, header from t""", mapped=False)
 def headers_above(spark, sf):
     """SRC-31: the text above each block."""
@@ -339,7 +346,8 @@ def headers_above(spark, sf):
 
 @query("""with b as (select l_suppkey % 6 as sheet, l_linenumber as col, 5 + (l_suppkey % 3) as first_row from lineitem group by all),
  n as (select sheet, col as c, first_row - 4 as r, 'FAR' as t from b union all select sheet, col, first_row - 2, 'HEAD' from b)
- select 'f' as file, b.sheet, b.col, b.first_row, string_agg(distinct t, '|' order by t) as tokens from b left join n on n.sheet = b.sheet and abs(r - first_row) <= 3 and abs(c - b.col) <= 3 group by all""", mapped=False)
+ select 'f' as file, b.sheet, b.col, b.first_row, string_agg(distinct t, '|' order by t) as tokens from b left
+    join n on n.sheet = b.sheet and abs(r - first_row) <= 3 and abs(c - b.col) <= 3 group by all""", mapped=False)
 def tokens_around(spark, sf):
     """SRC-31: named tokens near each block."""
     blocks, cells = _blocks(spark, sf)
@@ -356,14 +364,18 @@ def _blocks(spark, sf):
 
 
 _SPELLED = """sp as (
-  select c_custkey as k, case c_custkey % 6 when 0 then 'chr' || (c_nationkey + 1) when 1 then 'MT' when 2 then 'X' when 3 then 'NC_0000' || lpad((c_nationkey % 24 + 1)::varchar, 2, '0') || '.9' when 4 then 'NC_012920.1' else 'KI270' end as chr,
-    case c_custkey % 4 when 0 then ' AUΨgc ' when 1 then 'auGC' when 2 then 'PsiAGCU' else 'A-C' end as label, case c_custkey % 3 when 0 then '' when 1 then ' ' else null end as first_, c_name as second_
+  select c_custkey as k, case c_custkey % 6 when 0 then 'chr' || (c_nationkey + 1) when 1 then 'MT' when 2 then 'X'
+    when 3 then 'NC_0000' || lpad((c_nationkey % 24 + 1)::varchar, 2, '0') || '.9' when 4 then 'NC_012920.1' else 'KI270' end as chr,
+    case c_custkey % 4 when 0 then ' AUΨgc ' when 1 then 'auGC' when 2 then 'PsiAGCU' else 'A-C' end as label, case c_custkey % 3 when 0 then '' when 1 then ' '
+    else null end as first_, c_name as second_
   from customer)"""
 
 
 @query(f"""with {_SPELLED} select k, case k % 6 when 1 then 'chrM' when 2 then 'chrX' else chr end as chrom,
- case k % 6 when 1 then 'chrM' when 2 then 'chrX' when 3 then case regexp_extract(chr, '0000(..)', 1)::int when 23 then 'chrX' when 24 then 'chrY' else 'chr' || regexp_extract(chr, '0000(..)', 1)::int end when 4 then 'chrM' else chr end as accession_chrom,
- case k % 4 when 0 then 'AUUGC' when 1 then 'AUUGC' when 2 then null else null end as context, case k % 4 when 3 then 'AC' end as pair, case k % 4 when 0 then 'AUUGC' end as strict, case k % 4 when 0 then 'AUUGC' end as motif, second_ as first_of from sp""", mapped=False)
+ case k % 6 when 1 then 'chrM' when 2 then 'chrX' when 3 then case regexp_extract(chr, '0000(..)', 1)::int when 23 then 'chrX' when 24 then 'chrY'
+    else 'chr' || regexp_extract(chr, '0000(..)', 1)::int end when 4 then 'chrM' else chr end as accession_chrom,
+ case k % 4 when 0 then 'AUUGC' when 1 then 'AUUGC' when 2 then null else null end as context, case k % 4 when 3 then 'AC' end as pair, case k % 4
+    when 0 then 'AUUGC' end as strict, case k % 4 when 0 then 'AUUGC' end as motif, second_ as first_of from sp""", mapped=False)
 def label_scalars(spark, sf):
     """FN-05, 06, 08, 09, SRC-26: chromosomes, accessions, context labels and the first value that isn't blank."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
@@ -397,10 +409,13 @@ def site_parser_audit(spark, sf):
 _FEATURES = "(values (0, 'CDS'), (1, 'five_prime_UTR'), (2, 'three_prime_UTR'), (3, 'UTR'), (4, 'exon'), (5, 'gene'), (6, 'stop_codon')) v(i, f)"
 
 
-@query(f"""with r as (select l_partkey as k, case f when 'CDS' then 'CDS' when 'stop_codon' then 'CDS' when 'five_prime_UTR' then '5UTR' when 'three_prime_UTR' then '3UTR' when 'UTR' then 'UTR' when 'exon' then 'EXON_OTHER' end as region
+@query(f"""with r as (select l_partkey as k, case f when 'CDS' then 'CDS' when 'stop_codon' then 'CDS' when 'five_prime_UTR' then '5UTR'
+    when 'three_prime_UTR' then '3UTR' when 'UTR' then 'UTR' when 'exon' then 'EXON_OTHER' end as region
   from lineitem join {_FEATURES} on i = (l_orderkey + l_linenumber) % 7 where l_tax < .04), s as (select k, list_sort(list(distinct region) filter (where region is not null)) as rs from r group by 1)
- select k, coalesce(array_to_string(rs, '|'), '') as regions, case when rs is null or len(rs) = 0 then 'UNANNOTATED' when list_contains(rs, 'CDS') then 'CDS' when list_contains(rs, '5UTR') and not list_contains(rs, '3UTR') then '5UTR'
-  when list_contains(rs, '3UTR') and not list_contains(rs, '5UTR') then '3UTR' when list_contains(rs, 'UTR') then 'UTR' when list_contains(rs, 'EXON_OTHER') then 'EXON_OTHER' else 'MULTI' end as primary_region from s""", mapped=False)
+ select k, coalesce(array_to_string(rs, '|'), '') as regions, case when rs is null or len(rs) = 0 then 'UNANNOTATED' when list_contains(rs, 'CDS') then 'CDS'
+    when list_contains(rs, '5UTR') and not list_contains(rs, '3UTR') then '5UTR'
+  when list_contains(rs, '3UTR') and not list_contains(rs, '5UTR') then '3UTR' when list_contains(rs, 'UTR') then 'UTR'
+    when list_contains(rs, 'EXON_OTHER') then 'EXON_OTHER' else 'MULTI' end as primary_region from s""", mapped=False)
 def region_labels(spark, sf):
     """FN-20: regions of features and the primary region of a set."""
     names = F.array(*[F.lit(x) for x in ("CDS", "five_prime_UTR", "three_prime_UTR", "UTR", "exon", "gene", "stop_codon")])
@@ -418,10 +433,14 @@ def rescaled_fractions(spark, sf):
     return ingest.rescaled_fraction(ingest.rescaled_fraction(rows, "a"), "b")
 
 
-@query("""with x as (select cell, locus, (rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0) / count(*) over () as p, breadth, case when gene % 5 = 0 then 'out' else 'in_validated_domain' end as d from u)
+@query("""with x as (select cell, locus, (rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0) / count(*) over () as p, breadth, case
+    when gene % 5 = 0 then 'out' else 'in_validated_domain' end as d from u)
  select cell, locus, case when d = 'out' then 'out_of_validated_domain' when breadth >= 2 then 'multi_technology_supported' else 'single_source_ranked' end as evidence_layer,
-  case when d = 'out' then 'not_scored_outside_validated_locally-single-U_domain' when breadth >= 2 then 'orthogonal_source_support_present; portability score is supplementary' else 'use portability percentile/rank to prioritize orthogonal validation' end as interpretation,
-  case when p >= .9 then 'high_validation_priority' when p >= .75 then 'elevated_validation_priority' when p >= .25 then 'intermediate_validation_priority' else 'lower_validation_priority' end as priority from x""")
+  case when d = 'out' then 'not_scored_outside_validated_locally-single-U_domain'
+    when breadth >= 2 then 'orthogonal_source_support_present; portability score is supplementary'
+    else 'use portability percentile/rank to prioritize orthogonal validation' end as interpretation,
+  case when p >= .9 then 'high_validation_priority' when p >= .75 then 'elevated_validation_priority' when p >= .25 then 'intermediate_validation_priority'
+    else 'lower_validation_priority' end as priority from x""")
 def evidence_labels(spark, sf):
     """FN-36: evidence layers, how scores may be read, and bands of their percentiles."""
     from ..operators.ranks import percentile_ranks
@@ -432,7 +451,8 @@ def evidence_labels(spark, sf):
 
 
 @query("""with g as (select distinct upper(split_part(p_name, ' ', 1)) as t, min(split_part(p_name, ' ', 1)) as gene from part group by 1),
- r as (select c_custkey as k, upper(trim(case c_custkey % 3 when 0 then split_part(p_name, ' ', 1) when 1 then p_name || ' (x)' else c_mktsegment end)) as v from customer join part on p_partkey = c_custkey % 100),
+ r as (select c_custkey as k, upper(trim(case c_custkey % 3 when 0 then split_part(p_name, ' ', 1) when 1 then p_name || ' (x)' else c_mktsegment end)) as v
+    from customer join part on p_partkey = c_custkey % 100),
  t as (select k, v, unnest(list_distinct(list_append(regexp_extract_all(v, '[A-Z0-9][A-Z0-9.-]*'), v))) as t from r),
  h as (select k, max(case when t.t = v then gene end) as exact, min(gene) as one, count(distinct gene) as n from t join g on g.t = t.t group by 1)
  select r.k, coalesce(exact, case when n = 1 then one end) as gene from r left join h on r.k = h.k""", mapped=False)
@@ -471,7 +491,8 @@ def agreeing_collapse(spark, sf):
     return loci.agreeing_collapse(calls(spark, sf), ["locus"], "motif")
 
 
-@query("""select unnest(list_filter(['cell', 'breadth', 'y'], lambda c: true)) as "column" from (select 1) where (select count(distinct cell) > 1 and count(distinct breadth) > 1 and count(distinct y) > 1 from u)""")
+@query("""select unnest(list_filter(['cell', 'breadth', 'y'], lambda c: true)) as "column" from (select 1)
+    where (select count(distinct cell) > 1 and count(distinct breadth) > 1 and count(distinct y) > 1 from u)""")
 def varying_columns(spark, sf):
     """AGG-20: columns without those that are constant."""
     rows = union(spark, sf).select("cell", "breadth", "y", F.lit(1).alias("one"), F.lit(None).cast("string").alias("none"))
@@ -479,7 +500,8 @@ def varying_columns(spark, sf):
 
 
 @query("""select source, n from (select 'both' as source, count(*) as n from (select locus from calls where tech = 'A' intersect select locus from calls where tech = 'N')
- union all select 'first', count(*) from (select locus from calls where tech = 'A' except select locus from calls where tech = 'N') union all select 'all', count(*) from (select locus from calls where tech in ('A', 'N')))""")
+ union all select 'first', count(*) from (select locus from calls where tech = 'A' except select locus from calls where tech = 'N') union all
+    select 'all', count(*) from (select locus from calls where tech in ('A', 'N')))""")
 def key_sets(spark, sf):
     """AGG-13: tagged union, intersection and difference of two technologies' loci."""
     side = lambda t: calls(spark, sf).where(F.col("tech") == t).select("locus", F.lit(t).alias("source"))

@@ -89,7 +89,8 @@ _GUARD = """g as (select breadth, count(*) as n, sum(y)::bigint as positives fro
  r as (select *, n >= 100 and positives between 1 and n - 1 as enough from g)"""
 
 
-@query(f"""with {_GUARD} select breadth, n, positives, case when enough then ln(positives / (n - positives)) end as log_odds, case when enough then 'RUN' else 'NOT_RUN' end as status from r""", "log_odds")
+@query(f"""with {_GUARD} select breadth, n, positives, case when enough then ln(positives / (n - positives)) end as log_odds, case when enough then 'RUN'
+    else 'NOT_RUN' end as status from r""", "log_odds")
 def guarded_sensitivity(spark, sf):
     """ST-29: a sensitivity analysis by breadth that is only run with enough rows and both classes."""
     rows = union(spark, sf).where("score >= 10").groupBy("breadth").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
@@ -98,7 +99,8 @@ def guarded_sensitivity(spark, sf):
 
 
 _FIXED_P = f"""with {_FUNCTIONAL}, s as (
-  select dataset, count(*) as n, sum(z) as y, sum(z * z) as yy, sum(burden) as x, sum(burden * burden) as xx, sum(burden * z) as xy, sum(len) as l, sum(len * len) as ll, sum(len * z) as ly from fx where z is not null group by 1),
+  select dataset, count(*) as n, sum(z) as y, sum(z * z) as yy, sum(burden) as x, sum(burden * burden) as xx, sum(burden * z) as xy, sum(len) as l,
+    sum(len * len) as ll, sum(len * z) as ly from fx where z is not null group by 1),
  r as (select dataset, (xy - x * y / n) ** 2 / ((xx - x * x / n) * (yy - y * y / n)) as a, (ly - l * y / n) ** 2 / ((ll - l * l / n) * (yy - y * y / n)) as b from s)"""
 
 
@@ -117,7 +119,8 @@ def r2_increments(spark, sf):
  bh as (select rep, s, sum(w * p) as p, sum(w * q) as q from bd join cl using (idx) join o using (motif) group by 1, 2), br as (select *, sum(q) over (partition by rep order by s) as cq from bh),
  ba as (select sum(p * (cq - q / 2.0)) / nullif(sum(p)::double * sum(q), 0) as auroc from br group by rep)
  select 'F' as train, 'O' as test, (select count(*) from u where cell = 'F') as n_train, seen.n::bigint as n, seen.n_pos::bigint as n_pos,
-  (select count(*) from f2 where motif not in (select motif from u where cell = 'F')) as n_unseen, seen.auroc, (select quantile_cont(auroc, .025) from ba) as ci_low, (select quantile_cont(auroc, .975) from ba) as ci_high,
+  (select count(*) from f2 where motif not in (select motif from u where cell = 'F')) as n_unseen, seen.auroc, (select quantile_cont(auroc, .025)
+    from ba) as ci_low, (select quantile_cont(auroc, .975) from ba) as ci_high,
   (select (count_if(m.auroc >= seen.auroc) + 1) / (count(*) + 1) from m) as p_upper from seen""", "auroc ci_low ci_high p_upper")
 def transfer_test(spark, sf):
     """ST-06: the transfer between cells with its interval and permutation p."""
@@ -139,9 +142,12 @@ def decomposed_scores(spark, sf):
  f as (select distinct l_suppkey % 3 as chrom, l_partkey * 10 % 7000 as s, l_partkey * 10 % 7000 + 12 as e, 'g' || (l_partkey % 40) as gene, 't' || (l_partkey % 80) as tx,
   case l_partkey % 4 when 0 then 'CDS' when 1 then '5UTR' when 2 then '3UTR' else 'EXON_OTHER' end as region from lineitem),
  h as (select k, list_sort(list(distinct gene)) as g, list_sort(list(distinct tx)) as t, list_sort(list(distinct region)) as r from p join f on p.chrom = f.chrom and pos between s and e group by 1)
- select p.k, coalesce(len(g), 0)::int as n_genes, array_to_string(g, '|') as genes, case when len(g) = 1 then g[1] end as unique_gene, case when g is null then 'no_exon' when len(g) = 1 then 'unique_gene' else 'multi_gene_ambiguous' end as gene_status,
-  array_to_string(t, '|') as transcripts, array_to_string(r, '|') as regions, case when r is null then 'UNANNOTATED' when list_contains(r, 'CDS') then 'CDS' when list_contains(r, '5UTR') and not list_contains(r, '3UTR') then '5UTR'
-  when list_contains(r, '3UTR') and not list_contains(r, '5UTR') then '3UTR' when list_contains(r, 'EXON_OTHER') then 'EXON_OTHER' else 'MULTI' end as primary_region from p left join h on p.k = h.k""", mapped=False)
+ select p.k, coalesce(len(g), 0)::int as n_genes, array_to_string(g, '|') as genes, case when len(g) = 1 then g[1] end as unique_gene, case
+    when g is null then 'no_exon' when len(g) = 1 then 'unique_gene' else 'multi_gene_ambiguous' end as gene_status,
+  array_to_string(t, '|') as transcripts, array_to_string(r, '|') as regions, case when r is null then 'UNANNOTATED' when list_contains(r, 'CDS') then 'CDS'
+    when list_contains(r, '5UTR') and not list_contains(r, '3UTR') then '5UTR'
+  when list_contains(r, '3UTR') and not list_contains(r, '5UTR') then '3UTR' when list_contains(r, 'EXON_OTHER') then 'EXON_OTHER'
+    else 'MULTI' end as primary_region from p left join h on p.k = h.k""", mapped=False)
 def region_annotation(spark, sf):
     """JN-11: genes, transcripts, regions and the primary region of points."""
     n, p = F.col("l_suppkey") % 3, F.col("l_partkey")
@@ -185,7 +191,8 @@ _MEASURES = """mm as (
 
 @query(f"""with {_MEASURES} select motif, case when f and g then 'READY_FOR_LOCKBOX' when f then 'USEFUL_WITH_MODEST_GAIN' when s then 'SIMPLE_MODEL_ONLY' else 'NO_USEFUL_RANKING' end as status,
  case when f and g then 'full' when f then 'full_qualified' when s then 'simple' else 'none' end as selected,
- case when n_pos < 10 then 'INCONCLUSIVE_LOW_POWER' when n_pos >= 15 and a >= .6 and low > .5 and l20 >= 1.2 then 'EXTERNALLY_VALIDATED' when a >= .55 and above >= .9 and (l10 >= 1.15 or l20 >= 1.15) then 'EXTERNALLY_SUPPORTED' else 'NOT_CONFIRMED' end as verdict from mu""")
+ case when n_pos < 10 then 'INCONCLUSIVE_LOW_POWER' when n_pos >= 15 and a >= .6 and low > .5 and l20 >= 1.2 then 'EXTERNALLY_VALIDATED'
+    when a >= .55 and above >= .9 and (l10 >= 1.15 or l20 >= 1.15) then 'EXTERNALLY_SUPPORTED' else 'NOT_CONFIRMED' end as verdict from mu""")
 def decision_rules(spark, sf):
     """ML-10: the development choice and the lockbox verdict, over a table of measures."""
     y = F.avg("y")
@@ -248,12 +255,14 @@ def _scored(spark, sf):
   select pattern, d.score, sum(case when rh.score < d.score - 1e-9 then n else 0 end) / sum(n)::double as p, sum(n) as np from ds d, rh group by 1, 2),
  pa as (select d.score, sum(case when rh.score < d.score - 1e-9 then n else 0 end) / sum(n)::double as p from ds d, rh group by 1),
  x as (
-  select sd.id, sd.motif, sd.pattern as source_pattern, sd.score, case when np >= 20 then pp.p end as pattern_percentile, pa.p as breadth_percentile, case when sd.score is not null then case when np >= 20 then 'same_source_pattern' else 'same_source_breadth' end end as reference_used,
+  select sd.id, sd.motif, sd.pattern as source_pattern, sd.score, case when np >= 20 then pp.p end as pattern_percentile, pa.p as breadth_percentile, case
+    when sd.score is not null then case when np >= 20 then 'same_source_pattern' else 'same_source_breadth' end end as reference_used,
    case when sd.score is not null then (rank() over (partition by sd.pattern order by sd.score nulls last) + (count(*) over (partition by sd.pattern, sd.score) - 1) / 2.0) / count(sd.score) over (partition by sd.pattern) end as within_input_percentile
   from sd left join pp on sd.pattern = pp.pattern and sd.score = pp.score left join pa on sd.score = pa.score)
  select *, coalesce(pattern_percentile, breadth_percentile) as reference_percentile, case when score is null then 'out_of_validated_domain' else 'single_source_ranked' end as evidence_layer,
   case when coalesce(pattern_percentile, breadth_percentile) >= .9 then 'high_validation_priority' when coalesce(pattern_percentile, breadth_percentile) >= .75 then 'elevated_validation_priority'
-   when coalesce(pattern_percentile, breadth_percentile) >= .25 then 'intermediate_validation_priority' when coalesce(pattern_percentile, breadth_percentile) is not null then 'lower_validation_priority' end as priority from x""",
+   when coalesce(pattern_percentile, breadth_percentile) >= .25 then 'intermediate_validation_priority' when
+    coalesce(pattern_percentile, breadth_percentile) is not null then 'lower_validation_priority' end as priority from x""",
        "score pattern_percentile breadth_percentile within_input_percentile reference_percentile", mapped=False)
 def scored_sites(spark, sf):
     """ML-18: sites scored by a frozen ranker, with percentiles and labels."""
@@ -263,7 +272,8 @@ def scored_sites(spark, sf):
 
 
 @query(f"""with {_SOURCE}, r as (select avg((motif is not null)::int) as k, avg((source_end - source_start = 1)::int) as o, avg((motif[3] = 'U')::int) as c from nc)
- select 'calls' as dataset, 'centre_u' as check_id, case when c >= 1 then 'PASS' else 'FAIL' end as status from r union all select 'calls', 'one_base', case when o >= .9 then 'PASS' else 'WARN' end from r
+ select 'calls' as dataset, 'centre_u' as check_id, case when c >= 1 then 'PASS' else 'FAIL' end as status from r union all select 'calls', 'one_base', case
+    when o >= .9 then 'PASS' else 'WARN' end from r
  union all select 'calls', 'motif_known', case when k >= .95 then 'PASS' else 'REVIEW' end from r""", mapped=False)
 def source_gates(spark, sf):
     """QC-01, 03, 04: middle letters, one-base intervals and coverage of a source; misses that only warn or ask for review."""
@@ -292,7 +302,8 @@ def expected_counts(spark, sf):
     return gates.expected_counts(c, "tech", expected)
 
 
-@query(f"""with a as (select motif, count(*) as n, sum(y) as k from u group by 1), r as (select cell, y, {_RANKED.format(g='cell').replace('order by s', 'order by score').replace(', s)', ', score)')} from u),
+@query(f"""with a as (select motif, count(*) as n, sum(y) as k from u
+    group by 1), r as (select cell, y, {_RANKED.format(g='cell').replace('order by s', 'order by score').replace(', s)', ', score)')} from u),
  s as (select cell, {_AUC} as auroc from r group by 1) select cell, auroc, abs(auroc - .5) <= .035 as reproduced from s""", "auroc")
 def frozen_auroc(spark, sf):
     """QC-06: whether the AUROC of each cell is within the tolerance of its frozen value."""
@@ -310,7 +321,8 @@ def direction_flags(spark, sf):
     return gates.direction_flags(rates, "breadth", "rate", "ci_low", ["cell"])
 
 
-@query("""select 'calls' as label, case when count(*) >= 0 then 'READY' end as status, null::varchar as missing from lineitem union all select 'orders', 'MISSING', 'l_tax' from (select count(*) from orders)""", mapped=False)
+@query("""select 'calls' as label, case when count(*) >= 0 then 'READY' end as status, null::varchar as missing from lineitem union all
+    select 'orders', 'MISSING', 'l_tax' from (select count(*) from orders)""", mapped=False)
 def required_columns(spark, sf):
     """QC-09: inputs checked for the columns that a stage needs."""
     out = []

@@ -173,8 +173,11 @@ def _exons(spark, sf):
     ).distinct()
 
 
-@query(f"""with {_EXONS}, o as (select *, coalesce(sum(e - s + 1) over (partition by tx order by case when strand = '-' then -e else s end rows between unbounded preceding and 1 preceding), 0) as o from x),
- i as (select distinct tx, 1005 as s, 3020 as e from x), c as (select i.tx, i.s as a, i.e as b, x.strand, o + case when x.strand = '+' then greatest(i.s, x.s) - x.s else x.e - least(i.e, x.e) end as f, o + case when x.strand = '+' then least(i.e, x.e) - x.s else x.e - greatest(i.s, x.s) end as l
+@query(f"""with {_EXONS}, o as (select *, coalesce(sum(e - s + 1) over (partition by tx order by case when strand = '-' then -e
+    else s end rows between unbounded preceding and 1 preceding), 0) as o from x),
+ i as (select distinct tx, 1005 as s, 3020 as e from x), c as (select i.tx, i.s as a, i.e as b, x.strand, o + case
+    when x.strand = '+' then greatest(i.s, x.s) - x.s else x.e - least(i.e, x.e) end as f, o + case when x.strand = '+' then least(i.e, x.e) - x.s
+    else x.e - greatest(i.s, x.s) end as l
   from i join o x on i.tx = x.tx where i.s <= x.e and i.e >= x.s)
  select tx, a as "start", b as "end", min(f)::bigint as tx_start, max(l)::bigint + 1 as tx_end from c group by 1, 2, 3""", mapped=False)
 def transcript_projection(spark, sf):
@@ -183,19 +186,22 @@ def transcript_projection(spark, sf):
     return sq.project(spans, exons, "tx", "start", "end", "strand")
 
 
-@query("""with x as (select distinct l_orderkey as tx, case when l_orderkey % 2 = 0 then '+' else '-' end as strand, l_linenumber * 1000 as s, l_linenumber * 1000 + 10 + l_orderkey % 50 as e from lineitem),
+@query("""with x as (select distinct l_orderkey as tx, case when l_orderkey % 2 = 0 then '+'
+    else '-' end as strand, l_linenumber * 1000 as s, l_linenumber * 1000 + 10 + l_orderkey % 50 as e from lineitem),
  o as (select *, coalesce(sum(e - s + 1) over (partition by tx order by case when strand = '-' then -e else s end rows between unbounded preceding and 1 preceding), 0) as o from x),
  i as (
   select distinct tx, 'start_codon' as feature, s + 1 as a, s + 3 as b from x where s = 1000 union all select distinct tx, 'stop_codon', s + 2, s + 4 from x where s = 4000 and tx % 3 = 0
   union all select tx, 'CDS', s, e from x),
  c as (
-  select i.tx, i.feature, i.a, i.b, o + case when strand = '+' then greatest(i.a, s) - s else e - least(i.b, e) end as f, o + case when strand = '+' then least(i.b, e) - s else e - greatest(i.a, s) end as l
+  select i.tx, i.feature, i.a, i.b, o + case when strand = '+' then greatest(i.a, s) - s else e - least(i.b, e) end as f, o + case
+    when strand = '+' then least(i.b, e) - s else e - greatest(i.a, s) end as l
   from i join o on i.tx = o.tx where i.a <= e and i.b >= s),
  p as (select tx, feature, a, b, min(f) as f, max(l) + 1 as l from c group by 1, 2, 3, 4),
  m as (
   select tx, min(f) filter (where feature = 'start_codon') as sa, max(l) filter (where feature = 'stop_codon') as sb, min(f) filter (where feature = 'CDS') as ca, max(l) filter (where feature = 'CDS') as cb
   from p group by 1)
- select tx, case when sa is not null and sb is not null then sa else ca end::bigint as cds_start, case when sa is not null and sb is not null then sb else cb end::bigint as cds_end from m""", mapped=False)
+ select tx, case when sa is not null and sb is not null then sa else ca end::bigint as cds_start, case when sa is not null and sb is not null then sb
+    else cb end::bigint as cds_end from m""", mapped=False)
 def coding_spans(spark, sf):
     """FN-33: the coding span of each transcript, from its codons or its coding exons."""
     exons = _exons(spark, sf)
@@ -206,14 +212,17 @@ def coding_spans(spark, sf):
 
 
 @query("""with s as (select gene, count(*) as n_loci from u where cell = 'F' group by 1), l as (select gene, count(*) as n_labels from u where cell = 'O' and y = 1 group by 1)
- select s.gene, n_loci, coalesce(n_labels, 0)::bigint as n_labels, case when n_loci = 1 then case coalesce(n_labels, 0) when 1 then 'resolved_assigned' when 0 then 'resolved_not_assigned' else 'invalid_multiplicity' end
-  else case when coalesce(n_labels, 0) = 0 then 'resolved_all_not_assigned' when n_labels = n_loci then 'resolved_all_assigned' else 'ambiguous_duplicate_gene' end end as mapping_status from s left join l on s.gene = l.gene""")
+ select s.gene, n_loci, coalesce(n_labels, 0)::bigint as n_labels, case when n_loci = 1 then case coalesce(n_labels, 0) when 1 then 'resolved_assigned'
+    when 0 then 'resolved_not_assigned' else 'invalid_multiplicity' end
+  else case when coalesce(n_labels, 0) = 0 then 'resolved_all_not_assigned' when n_labels = n_loci then 'resolved_all_assigned'
+    else 'ambiguous_duplicate_gene' end end as mapping_status from s left join l on s.gene = l.gene""")
 def label_multiplicity(spark, sf):
     u = union(spark, sf)
     return loci.label_by_gene(u.where("cell = 'F'"), u.where("cell = 'O' and y = 1"), "gene")
 
 
-@query("""with h as (select locus, max(score) as s from u where cell = 'O' group by 1), j as (select a.locus, h.locus is not null as f from u a left join h on a.locus = h.locus where a.cell = 'F') select count(*) as n, avg(f::int) as coverage from j""", "coverage")
+@query("""with h as (select locus, max(score) as s from u where cell = 'O' group by 1), j as (select a.locus, h.locus is not null as f from u a left
+    join h on a.locus = h.locus where a.cell = 'F') select count(*) as n, avg(f::int) as coverage from j""", "coverage")
 def attached_coverage(spark, sf):
     u = union(spark, sf)
     other = u.where("cell = 'O'").groupBy("locus").agg(F.max("score").alias("s"))
@@ -235,7 +244,8 @@ def two_technology_union(spark, sf):
     return loci.require_agreement(loci.two_technology_union(side("A"), side("N"), "locus", "motif", ("A", "N"), ("gene", "score")))
 
 
-@query("""with a as (select motif, avg(y) as r from u group by 1), b as (select motif, sum(y) / count(*)::double + 0.001 * (length(motif) % 3) as r from u group by 1) select count(*) as n, max(abs(a.r - b.r)) as max_abs_difference from a join b on a.motif = b.motif""", "max_abs_difference")
+@query("""with a as (select motif, avg(y) as r from u group by 1), b as (select motif, sum(y) / count(*)::double + 0.001 * (length(motif) % 3) as r from u
+    group by 1) select count(*) as n, max(abs(a.r - b.r)) as max_abs_difference from a join b on a.motif = b.motif""", "max_abs_difference")
 def version_difference(spark, sf):
     u = union(spark, sf)
     a = u.groupBy("motif").agg(F.avg("y").alias("r"))
@@ -243,7 +253,8 @@ def version_difference(spark, sf):
     return loci.largest_difference(a, b, ["motif"], "r")
 
 
-@query("""with d as (select cell, pattern, avg(y) - .19 as d from u group by 1, 2) select cell, avg(d) as macro, count_if(d > 0)::bigint as n_positive, count(d) as n, avg(d) > 0 and count_if(d > 0) * 2 > count(d) as supported from d group by 1""", "macro")
+@query("""with d as (select cell, pattern, avg(y) - .19 as d from u group by 1, 2) select cell, avg(d) as macro,
+    count_if(d > 0)::bigint as n_positive, count(d) as n, avg(d) > 0 and count_if(d > 0) * 2 > count(d) as supported from d group by 1""", "macro")
 def macro_support(spark, sf):
     d = union(spark, sf).groupBy("cell", "pattern").agg((F.avg("y") - 0.19).alias("d"))
     return loci.macro_support(d, ["cell"], "d")
@@ -260,18 +271,21 @@ def sign_stability(spark, sf):
 
 
 @query("""with r as (select pattern, y, rank() over (partition by pattern order by score) + (count(*) over (partition by pattern, score) - 1) / 2.0 as rk from u where cell = 'F')
- select pattern, count(*) as n, sum(y)::bigint as n_pos, case when count(*) >= 300 then (sum(case when y = 1 then rk end) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y)::double * sum(1 - y), 0) end as auroc from r group by 1""", "auroc")
+ select pattern, count(*) as n, sum(y)::bigint as n_pos, case when count(*) >= 300 then (sum(case when y = 1 then rk end) -
+    sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y)::double * sum(1 - y), 0) end as auroc from r group by 1""", "auroc")
 def category_auroc(spark, sf):
     return stats.category_auroc(union(spark, sf).where("cell = 'F'"), "pattern", "score", "y", 300)
 
 
-@query("""with x as (select motif like '%STANDARD' as f, breadth::double as v from u where cell = 'F') select count_if(f)::bigint as n_flagged, count_if(not f)::bigint as n_rest, (quantile_cont(ln(1 + v), .5) filter (where f)) - (quantile_cont(ln(1 + v), .5) filter (where not f)) as effect from x""", "effect")
+@query("""with x as (select motif like '%STANDARD' as f, breadth::double as v from u where cell = 'F') select count_if(f)::bigint as n_flagged,
+    count_if(not f)::bigint as n_rest, (quantile_cont(ln(1 + v), .5) filter (where f)) - (quantile_cont(ln(1 + v), .5) filter (where not f)) as effect from x""", "effect")
 def plus_one_effect(spark, sf):
     rows = union(spark, sf).where("cell = 'F'").select(F.col("motif").endswith("STANDARD").alias("f"), F.col("breadth").cast("double").alias("v"))
     return stats.plus_one_effect(rows, "v", "f")
 
 
-@query("""with m as (select motif, avg(score) as a, avg(breadth) as b from u group by 1) select count(*) as n, avg(a) as mean_a, median(a) as median_a, avg(b) as mean_b, median(b) as median_b from m where motif like '%PROMO'""", "mean_a median_a mean_b median_b")
+@query("""with m as (select motif, avg(score) as a, avg(breadth) as b from u group by 1)
+    select count(*) as n, avg(a) as mean_a, median(a) as median_a, avg(b) as mean_b, median(b) as median_b from m where motif like '%PROMO'""", "mean_a median_a mean_b median_b")
 def set_summary(spark, sf):
     m = union(spark, sf).groupBy("motif").agg(F.avg("score").alias("a"), F.avg("breadth").alias("b")).withColumn("f", F.col("motif").endswith("PROMO"))
     return stats.set_summary(m, "f", ["a", "b"])
@@ -310,7 +324,8 @@ def weighted_moments(spark, sf):
 
 
 @query("""with k as (select c_mktsegment || (c_nationkey % 2) as name, md5((c_nationkey // 24)::varchar) as h, c_name as path from customer)
- select name, count(distinct h) as n_hashes, case when count(distinct h) = 1 then min(path) end as path, case when count(distinct h) = 1 then min(h) end as h, case when count(distinct h) = 1 then 'FROZEN' else 'REFERENCE_CONFLICT' end as status from k group by 1""", mapped=False)
+ select name, count(distinct h) as n_hashes, case when count(distinct h) = 1 then min(path) end as path, case when count(distinct h) = 1 then min(h) end as h,
+    case when count(distinct h) = 1 then 'FROZEN' else 'REFERENCE_CONFLICT' end as status from k group by 1""", mapped=False)
 def reference_freeze(spark, sf):
     n = F.col("c_nationkey")
     rows = table(spark, sf, "customer").select(
@@ -332,7 +347,8 @@ def column_names(spark, sf):
     return ingest.column_names(cells, heads)
 
 
-@query(r"""with h as (select sheet, min("row") as top from (select c_custkey % 100 as sheet, c_custkey // 100 as "row" from customer) group by 1) select 'f' as file, c_custkey % 100 as sheet, c_custkey // 100 as "row", c_name as a, c_nationkey::varchar as b
+@query(r"""with h as (select sheet, min("row") as top from (select c_custkey % 100 as sheet, c_custkey // 100 as "row" from customer) group by 1)
+    select 'f' as file, c_custkey % 100 as sheet, c_custkey // 100 as "row", c_name as a, c_nationkey::varchar as b
  from customer, h where c_custkey % 100 = sheet and c_custkey // 100 > top""", mapped=False)
 def cell_records(spark, sf):
     cells = _cells(spark, sf)
@@ -366,7 +382,8 @@ _R2 = f"""with e as (select vec_id, label as ds, embedding[1]::double as y, embe
   from d join r using (ds, idx) group by 1, 2, 3)
  """
 _DRAWN_SETS = f"""k as (select ds, row_number() over (order by ds) - 1 as d, count(*) over () as c from s),
- dr as (select rep, {_DRAW.format(parts="'32', rep, i")} % c as d, count(*) as times from reps, (select distinct c from k), (select unnest(range(c)) as i from (select distinct c from k)) group by 1, 2),
+ dr as (select rep, {_DRAW.format(parts="'32', rep, i")} % c as d, count(*) as times from reps, (select distinct c from k), (select unnest(range(c)) as i
+    from (select distinct c from k)) group by 1, 2),
  lv as (select rep, k.ds, times, n from dr join k using (d) join s on s.ds = k.ds)"""
 
 

@@ -76,7 +76,8 @@ def provenance_rates(spark, sf):
     return loci.rate_table(tasks, ["target", "source_pattern"], "target_reported")
 
 
-@query("""with x as (select locus, min(motif) as motif from calls where cell = 'F' and tech = 'A' group by 1), z as (select locus, min(motif) as motif from calls where cell = 'F' and tech = 'N' group by 1)
+@query("""with x as (select locus, min(motif) as motif from calls where cell = 'F' and tech = 'A' group by 1), z as (select locus, min(motif) as motif
+    from calls where cell = 'F' and tech = 'N' group by 1)
  select case when x.locus is null then 'N_exclusive_reported' when z.locus is null then 'A_exclusive_reported' else 'shared' end as class,
   count(*) as n, count(distinct coalesce(x.motif, z.motif)) as n_motifs, count_if(coalesce(x.motif = z.motif, false))::bigint as n_agree from x full join z on x.locus = z.locus group by 1""")
 def two_technology_classes(spark, sf):
@@ -167,9 +168,11 @@ def within_group_pct(spark, sf):
 
 
 @query("""with f as (select pattern, breadth, score from u where cell = 'F'), o as (select locus, pattern, breadth, score + .5 * (gene % 2) as score from u where cell = 'O'),
- p as (select locus, any_value(o.breadth) as breadth, any_value(o.score) as score, (count_if(f.score < o.score) + .5 * count_if(f.score = o.score)) / nullif(count(f.score), 0) as pp, count(f.score) as np
+ p as (select locus, any_value(o.breadth) as breadth, any_value(o.score) as score, (count_if(f.score < o.score) + .5 *
+    count_if(f.score = o.score)) / nullif(count(f.score), 0) as pp, count(f.score) as np
   from o left join f on o.pattern = f.pattern group by locus),
- b as (select locus, (count_if(f.score < o.score) + .5 * count_if(f.score = o.score)) / nullif(count(f.score), 0) as pb, count(f.score) as nb from o left join f on o.breadth = f.breadth group by locus),
+ b as (select locus, (count_if(f.score < o.score) + .5 * count_if(f.score = o.score)) / nullif(count(f.score), 0) as pb, count(f.score) as nb from o left
+    join f on o.breadth = f.breadth group by locus),
  a as (select locus, (count_if(f.score < o.score) + .5 * count_if(f.score = o.score)) / count(*) as pa from (select distinct score from o) s join f on true join o on o.score = s.score group by locus)
  select locus, case when np >= 20 then pp end as pattern_percentile, case when nb >= 20 then pb else pa end as breadth_percentile,
   coalesce(case when np >= 20 then pp end, case when nb >= 20 then pb else pa end) as reference_percentile,
@@ -199,8 +202,10 @@ def tie_inclusive_top(spark, sf):
     return ranks.tie_inclusive_top(union(spark, sf), "score", "y", 0.1, ["cell"])
 
 
-@query(_CUT + """k as (select *, least(1000, tn)::bigint as k from c), e as (select cell, max(k) as k, sum(least(n, k - (cn - n)) * p / n::double) as e, min(score) as b, max(tp) / max(tn)::double as base from k where cn - n < k group by 1)
- select cell, k, e as expected_positives, e / k as expected_precision, e / k / base as expected_lift, b as boundary_score from e""", "expected_positives expected_precision expected_lift boundary_score")
+@query(_CUT + """k as (select *, least(1000, tn)::bigint as k from c), e as (select cell, max(k) as k,
+    sum(least(n, k - (cn - n)) * p / n::double) as e, min(score) as b, max(tp) / max(tn)::double as base from k where cn - n < k group by 1)
+ select cell, k, e as expected_positives, e / k as expected_precision, e / k / base as expected_lift, b as boundary_score
+    from e""", "expected_positives expected_precision expected_lift boundary_score")
 def budget_k_expected(spark, sf):
     return ranks.expected_budget(union(spark, sf), "score", "y", 1000, ["cell"])
 
@@ -285,24 +290,29 @@ def _intervals(spark, sf):
     return iv.withColumn("hi", F.col("lo") + 6), pt
 
 
-@query(_DAYS + """, p as (select distinct id, chrom, pos from pt), h as (select id, count(distinct feature) as n_genes, min(feature) as f from p join iv on p.chrom = iv.chrom and pos between lo and lo + 6 group by 1)
+@query(_DAYS + """, p as (select distinct id, chrom, pos from pt), h as (select id, count(distinct feature) as n_genes, min(feature) as f from p
+    join iv on p.chrom = iv.chrom and pos between lo and lo + 6 group by 1)
  select p.id, coalesce(n_genes, 0)::int as n_genes, case when n_genes = 1 then f end as unique_gene,
-  case when n_genes is null then 'no_exon' when n_genes = 1 then 'unique_gene' else 'multi_gene_ambiguous' end as gene_status from (select distinct id from p) p left join h on p.id = h.id""", mapped=False)
+  case when n_genes is null then 'no_exon' when n_genes = 1 then 'unique_gene' else 'multi_gene_ambiguous' end as gene_status from (select distinct id from p) p
+    left join h on p.id = h.id""", mapped=False)
 def interval_annotation(spark, sf):
     iv, pt = _intervals(spark, sf)
     out = loci.annotate(pt.select("id", "chrom", "pos").distinct(), iv, "id", ["chrom"], "pos", "lo", "hi", "feature", 16)
     return out.select("id", "n_genes", "unique_gene", "gene_status").distinct()
 
 
-@query(_DAYS + """, h as (select feature, count(distinct strand) as n, string_agg(distinct strand, '|' order by strand) as s from iv join pt on pt.chrom = iv.chrom and pos between lo and lo + 6 group by 1)
+@query(_DAYS + """, h as (select feature, count(distinct strand) as n, string_agg(distinct strand, '|' order by strand) as s from iv
+    join pt on pt.chrom = iv.chrom and pos between lo and lo + 6 group by 1)
  select iv.feature, (coalesce(n, 0) > 0)::int as x_support, (coalesce(n, 0) > 1)::int as x_strand_ambiguous, s as x_strands from iv left join h on iv.feature = h.feature""", mapped=False)
 def interval_support(spark, sf):
     iv, pt = _intervals(spark, sf)
     return loci.interval_support(iv, pt, "feature", "chrom", "lo", "hi", "pos", "strand", 16, "x").select("feature", "x_support", "x_strand_ambiguous", "x_strands")
 
 
-@query("""with g as (select p_partkey as gene, p_size as len from part), c as (select gene, count_if(tech = 'A') as a, count_if(tech = 'N') as n, count_if(tech = 'R') as r from calls where cell = 'F' group by 1)
- select g.gene, coalesce(a, 0)::bigint as "A_count", coalesce(n, 0)::bigint as "N_count", coalesce(r, 0)::bigint as "R_count", coalesce(a, 0) * 1000.0 / len as "A_per_kb", coalesce(n, 0) * 1000.0 / len as "N_per_kb", coalesce(r, 0) * 1000.0 / len as "R_per_kb"
+@query("""with g as (select p_partkey as gene, p_size as len from part), c as (select gene, count_if(tech = 'A') as a, count_if(tech = 'N') as n,
+    count_if(tech = 'R') as r from calls where cell = 'F' group by 1)
+ select g.gene, coalesce(a, 0)::bigint as "A_count", coalesce(n, 0)::bigint as "N_count", coalesce(r, 0)::bigint as "R_count",
+    coalesce(a, 0) * 1000.0 / len as "A_per_kb", coalesce(n, 0) * 1000.0 / len as "N_per_kb", coalesce(r, 0) * 1000.0 / len as "R_per_kb"
  from g left join c on g.gene = c.gene""", '"A_per_kb" "N_per_kb" "R_per_kb"')
 def gene_burden(spark, sf):
     genes = table(spark, sf, "part").select(F.col("p_partkey").alias("gene"), F.col("p_size").alias("len"))
@@ -310,7 +320,8 @@ def gene_burden(spark, sf):
 
 
 @query("""with c as (select gene, count(*) as naive, count_if(breadth >= 2) as b2, count_if(breadth = 3) as b3, sum(breadth) as s from u where cell = 'F' group by 1)
- select p_partkey as gene, coalesce(naive, 0)::bigint as naive, coalesce(b2, 0)::bigint as breadth_2plus, coalesce(b3, 0)::bigint as breadth_3, coalesce(s, 0)::bigint as breadth_sum, (coalesce(s, 0) - coalesce(naive, 0))::bigint as excess
+ select p_partkey as gene, coalesce(naive, 0)::bigint as naive, coalesce(b2, 0)::bigint as breadth_2plus, coalesce(b3, 0)::bigint as breadth_3,
+    coalesce(s, 0)::bigint as breadth_sum, (coalesce(s, 0) - coalesce(naive, 0))::bigint as excess
  from part left join c on p_partkey = gene""")
 def tech_burden(spark, sf):
     genes = table(spark, sf, "part").select(F.col("p_partkey").alias("gene"))
@@ -343,7 +354,8 @@ _FUNCTIONAL = f"""{_TE}, fb as (select gene, count(*) as burden, sum(breadth) as
  fx as (select tz.gene, dataset, z, p_size as len, coalesce(burden, 0) as burden from tz join part on tz.gene = p_partkey left join fb on tz.gene = fb.gene)"""
 
 
-@query(f"""with {_FUNCTIONAL}, s as (select dataset, sum(len) as sw, sum(len * burden) as sx, sum(len * z) as sy, sum(len * burden * burden) as sxx, sum(len * burden * z) as sxy, sum(len * z * z) as syy from fx group by 1)
+@query(f"""with {_FUNCTIONAL}, s as (select dataset, sum(len) as sw, sum(len * burden) as sx, sum(len * z) as sy, sum(len * burden * burden) as sxx,
+    sum(len * burden * z) as sxy, sum(len * z * z) as syy from fx group by 1)
  select dataset, (sxy - sx * sy / sw) / (sxx - sx * sx / sw) as slope, (sy - (sxy - sx * sy / sw) / (sxx - sx * sx / sw) * sx) / sw as intercept,
   (sxy - sx * sy / sw) ** 2 / ((sxx - sx * sx / sw) * (syy - sy * sy / sw)) as r2 from s""", "slope intercept r2")
 def weighted_ls(spark, sf):
@@ -352,7 +364,8 @@ def weighted_ls(spark, sf):
 
 
 _EFFECTS = f"""{_FUNCTIONAL}, n as (select *, (ln(1 + burden) - avg(ln(1 + burden)) over w) / stddev_pop(ln(1 + burden)) over w as x from fx window w as (partition by dataset)),
- m as (select dataset, count(*) as n, avg(x) as mx, avg(z) as my, sum((x) * z) - count(*) * avg(x) * avg(z) as sxy, sum(x * x) - count(*) * avg(x) ** 2 as sxx from n group by 1 having count(*) >= 100),
+ m as (select dataset, count(*) as n, avg(x) as mx, avg(z) as my, sum((x) * z) - count(*) * avg(x) * avg(z) as sxy, sum(x * x) - count(*) * avg(x) ** 2 as sxx
+    from n group by 1 having count(*) >= 100),
  e as (select n.dataset, m.n, sxy / sxx as beta, (z - my - sxy / sxx * (x - mx)) / greatest(1 - (1.0 / m.n + (x - mx) ** 2 / sxx), 1e-6) as a, (x - mx) / sxx as h from n join m on n.dataset = m.dataset),
  ef as (select dataset, any_value(beta) as beta, sqrt(sum((a * h) ** 2)) as se, any_value(n) as n from e group by 1)"""
 
@@ -434,7 +447,8 @@ def mapping_permutation(spark, sf):
 
 
 @query(f"""with o as (select motif, locus, breadth::double as v, y from u where cell = 'F'), n as (select motif, sum(y) as ones from o group by 1),
- d as (select rep, v, row_number() over (partition by rep, o.motif order by {_DRAW.format(parts="'13', rep, locus")}, locus) <= ones as y1 from o join n on o.motif = n.motif, range({REPLICATES}) a(rep))
+ d as (select rep, v, row_number() over (partition by rep, o.motif order by {_DRAW.format(parts="'13', rep, locus")}, locus) <= ones as y1 from o
+    join n on o.motif = n.motif, range({REPLICATES}) a(rep))
  select rep, avg(v) filter (where y1) - avg(v) filter (where not y1) as difference from d group by 1""", "difference")
 def stratified_permutation(spark, sf):
     return resample.stratified_permutation(union(spark, sf).where("cell = 'F'"), "breadth", "y", "motif", "locus", REPLICATES, 13)
@@ -451,7 +465,8 @@ def permutation_p(spark, sf):
     return resample.permutation_p(mapping_permutation(spark, sf), "auroc", observed if observed is not None else 0.5)
 
 
-@query(f"""with m as (select motif, avg(score) as v from u group by 1), d as (select rep, v, row_number() over (partition by rep order by {_DRAW.format(parts="'14', rep, motif")}, motif) as i from m, range({REPLICATES}) a(rep))
+@query(f"""with m as (select motif, avg(score) as v from u group by 1), d as (select rep, v,
+    row_number() over (partition by rep order by {_DRAW.format(parts="'14', rep, motif")}, motif) as i from m, range({REPLICATES}) a(rep))
  select rep, avg(v) as mean from d where i <= 10 group by 1""", "mean")
 def random_sets(spark, sf):
     return resample.random_sets(union(spark, sf).groupBy("motif").agg(F.avg("score").alias("v")), "motif", "v", 10, REPLICATES, 14)
@@ -579,7 +594,8 @@ def sql_ols(source: str, x: str, other: str, parameters: str, term: str) -> str:
     {other} - {x} * (sum({x} * {other}) over () / sum({x} * {x}) over ()) as ot from {source}),
  rb_{x} as (select *, sum(xt * z) over () / sum(xt * xt) over () as b, sum(ot * z) over () / sum(ot * ot) over () as c from ra_{x}),
  rc_{x} as (select gene, sum(xt * (z - b * {x} - c * {other})) as s, any_value(b) as b, sum(xt * xt) as q, count(*) as n from rb_{x} group by 1),
- rd_{x} as (select any_value(b) as beta, sqrt(sum(s * s) / sum(q) ** 2 * count(*) / (count(*) - 1) * (sum(n) - 1) / (sum(n) - {parameters})) as se, sum(n)::bigint as n, count(*) as n_clusters from rc_{x}),
+ rd_{x} as (select any_value(b) as beta, sqrt(sum(s * s) / sum(q) ** 2 * count(*) / (count(*) - 1) * (sum(n) - 1) / (sum(n) - {parameters})) as se,
+    sum(n)::bigint as n, count(*) as n_clusters from rc_{x}),
  re_{x} as (select '{term}' as term, beta, se, beta / se as z, {sql_p('(beta / se)')} as p, beta - 1.96 * se as ci_low, beta + 1.96 * se as ci_high, n, n_clusters from rd_{x})"""
 
 
@@ -655,7 +671,8 @@ def hash_folds(spark, sf):
 
 _TASKS = """ta as (select u.locus, u.cell, gene, motif, score, t as target, case t when 'A' then a when 'N' then n else r end as target_reported,
   case when t = 'A' then 0 else a end as sa, case when t = 'N' then 0 else n end as sn, case when t = 'R' then 0 else r end as sr from u, (values ('A'), ('N'), ('R')) v(t)),
- tk as (select *, sa + sn + sr as source_breadth, concat_ws('+', case when sa = 1 then 'A' end, case when sn = 1 then 'N' end, case when sr = 1 then 'R' end) as source_pattern from ta where sa + sn + sr >= 1)"""
+ tk as (select *, sa + sn + sr as source_breadth, concat_ws('+', case when sa = 1 then 'A' end, case when sn = 1 then 'N' end, case
+    when sr = 1 then 'R' end) as source_pattern from ta where sa + sn + sr >= 1)"""
 
 
 @query(f'with {_TASKS} select cell, locus, target, target_reported, sa as "source_A", sn as "source_N", sr as "source_R", source_breadth, source_pattern from tk')
@@ -720,20 +737,24 @@ def positional_onehot(spark, sf):
 
 
 @query("""with d as (select doc_id, translate(text, 'acgt', 'ACGT') as t from documents)
- select doc_id, case when length(t) > 0 then length(regexp_replace(t, '[^GC]', '', 'g')) / length(t) else 0.0 end as gc, case when length(t) > 0 then length(regexp_replace(t, '[^A]', '', 'g')) / length(t) else 0.0 end as a from d""", "gc a", mapped=False)
+ select doc_id, case when length(t) > 0 then length(regexp_replace(t, '[^GC]', '', 'g')) / length(t) else 0.0 end as gc, case
+    when length(t) > 0 then length(regexp_replace(t, '[^A]', '', 'g')) / length(t) else 0.0 end as a from d""", "gc a", mapped=False)
 def base_fractions(spark, sf):
     t = F.translate("text", "acgt", "ACGT")
     return table(spark, sf, "documents").select("doc_id", sq.gc_fraction(t).alias("gc"), sq.base_fraction(t, "A").alias("a"))
 
 
-@query("""with p as (select distinct o_custkey as g, datediff('day', date '1990-01-01', o_orderdate::date) as d from orders), f as (select *, coalesce((d - lag(d) over (partition by g order by d) > 30)::int, 0) as gap from p),
- b as (select *, sum(gap) over (partition by g order by d) as block from f) select g, block::bigint as block, min(d) as block_start, max(d) as block_end, count(*) as n from b group by 1, 2 having count(*) >= 2""", mapped=False)
+@query("""with p as (select distinct o_custkey as g, datediff('day', date '1990-01-01', o_orderdate::date) as d from orders), f as (select *,
+    coalesce((d - lag(d) over (partition by g order by d) > 30)::int, 0) as gap from p),
+ b as (select *, sum(gap) over (partition by g order by d) as block from f)
+    select g, block::bigint as block, min(d) as block_start, max(d) as block_end, count(*) as n from b group by 1, 2 having count(*) >= 2""", mapped=False)
 def gaps_islands_blocks(spark, sf):
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
     return ranks.blocks(table(spark, sf, "orders").select(F.col("o_custkey").alias("g"), day.alias("d")), ["g"], "d", 30, 2)
 
 
-_CELLS = """with ce as (select c_custkey % 100 as sheet, c_custkey // 100 as "row", 0 as col, c_name as v from customer union all select c_custkey % 100, c_custkey // 100, 1, c_mktsegment from customer
+_CELLS = """with ce as (select c_custkey % 100 as sheet, c_custkey // 100 as "row", 0 as col, c_name as v from customer union all
+    select c_custkey % 100, c_custkey // 100, 1, c_mktsegment from customer
  union all select c_custkey % 100, c_custkey // 100, 2, c_nationkey::varchar from customer) """
 
 
@@ -746,19 +767,23 @@ def _cells(spark, sf):
 
 @query(_CELLS + r""", s as (select sheet, "row", count_if(trim(v) <> '') + .25 * count_if(trim(v) <> '' and not regexp_full_match(trim(v), '[-+]?\d+(\.\d+)?')) +
   5 * max(0 + (lower(v) like '%machinery%')::int) + 5 * max((lower(v) like '%0000001%')::int) as score from ce where "row" < 25 group by 1, 2),
- o as (select *, row_number() over (partition by sheet order by score desc, "row") as i from s) select 'f' as file, sheet, "row" as header_row, score::double as score from o where i = 1""", "score", mapped=False)
+ o as (select *, row_number() over (partition by sheet order by score desc, "row") as i from s)
+    select 'f' as file, sheet, "row" as header_row, score::double as score from o where i = 1""", "score", mapped=False)
 def header_row_score(spark, sf):
     return ingest.header_rows(_cells(spark, sf), ["machinery", "0000001"])
 
 
 @query(r"""with l as (select 'p_name' as "column", p_name as v from part union all select 'p_size', p_size::varchar from part union all select 'p_retailprice', p_retailprice::varchar from part)
- select "column", count(*) as n_rows, count_if(trim(v) <> '')::bigint as n_filled, count_if(try_cast(replace(v, ',', '') as double) is not null) / count_if(trim(v) <> '')::double as numeric_share from l group by 1""", "numeric_share", mapped=False)
+ select "column", count(*) as n_rows, count_if(trim(v) <> '')::bigint as n_filled, count_if(try_cast(replace(v, ',', '') as double) is not null) /
+    count_if(trim(v) <> '')::double as numeric_share from l group by 1""", "numeric_share", mapped=False)
 def schema_profile(spark, sf):
     return ingest.profile(table(spark, sf, "part"), ["p_name", "p_size", "p_retailprice"])
 
 
-@query("""with p as (select (event_id % 7)::varchar as block, case when contains(lower(event_type), 'err') then 'bad' end as t1, case when contains(lower(event_type), 'click') then 'use' end as t2, case when contains(lower(event_type), 'view') then 'use' end as t3 from events),
- h as (select block, t1 as tag, 'err' as term from p where t1 is not null union all select block, t2, 'click' from p where t2 is not null union all select block, t3, 'view' from p where t3 is not null)
+@query("""with p as (select (event_id % 7)::varchar as block, case when contains(lower(event_type), 'err') then 'bad' end as t1, case
+    when contains(lower(event_type), 'click') then 'use' end as t2, case when contains(lower(event_type), 'view') then 'use' end as t3 from events),
+ h as (select block, t1 as tag, 'err' as term from p where t1 is not null union all select block, t2, 'click' from p where t2 is not null union all
+    select block, t3, 'view' from p where t3 is not null)
  select block, tag, string_agg(distinct term, '|' order by term) as terms, count(*) as n from h group by 1, 2""", mapped=False)
 def keyword_tags(spark, sf):
     cells = table(spark, sf, "events").select((F.col("event_id") % 7).cast("string").alias("block"), F.col("event_type").alias("value"))
@@ -772,7 +797,8 @@ def messy_numbers(spark, sf):
     return table(spark, sf, "events").select("event_id", fn.to_number(raw).alias("number"), fn.to_integer(raw).alias("whole"), fn.truthy(raw).alias("yes"))
 
 
-@query("""select tech, count(score) as n, avg(score) as mean, quantile_cont(score, .25) as q25, median(score) as median, quantile_cont(score, .75) as q75 from calls group by 1""", "mean q25 median q75")
+@query("""select tech, count(score) as n, avg(score) as mean, quantile_cont(score, .25) as q25, median(score) as median, quantile_cont(score, .75) as q75
+    from calls group by 1""", "mean q25 median q75")
 def continuum_summary(spark, sf):
     return loci.continuum(calls(spark, sf), ["tech"], "score")
 
@@ -782,13 +808,15 @@ def collapse_calls(spark, sf):
     return loci.collapse(calls(spark, sf), ["locus"], {"gene": "gene"}, ["score"], ["score"], ["tech"])
 
 
-@query("""with m as (select motif, cell, avg(y) as r from u group by 1, 2) select a.motif, a.r as "F", b.r as "O", a.r - b.r as contrast from m a join m b on a.motif = b.motif where a.cell = 'F' and b.cell = 'O'""", '"F" "O" contrast')
+@query("""with m as (select motif, cell, avg(y) as r from u group by 1, 2) select a.motif, a.r as "F", b.r as "O", a.r - b.r as contrast from m a
+    join m b on a.motif = b.motif where a.cell = 'F' and b.cell = 'O'""", '"F" "O" contrast')
 def pivot_contrast(spark, sf):
     rates = union(spark, sf).groupBy("motif", "cell").agg(F.avg("y").alias("r"))
     return loci.pivoted_contrast(rates, "motif", "cell", ("F", "O"), "r")
 
 
-@query("""with e as (select cell, motif, avg(y) - .19 as d from u group by 1, 2), w as (select a.motif, a.d as "d_F", b.d as "d_O" from e a join e b on a.motif = b.motif where a.cell = 'F' and b.cell = 'O')
+@query("""with e as (select cell, motif, avg(y) - .19 as d from u group by 1, 2), w as (select a.motif, a.d as "d_F", b.d as "d_O" from e a
+    join e b on a.motif = b.motif where a.cell = 'F' and b.cell = 'O')
  select *, least(abs("d_F"), abs("d_O")) as min_abs from w where sign("d_F") = sign("d_O")""", '"d_F" "d_O" min_abs')
 def replicated_effects(spark, sf):
     e = union(spark, sf).groupBy("cell", "motif").agg((F.avg("y") - 0.19).alias("d"))
@@ -804,7 +832,8 @@ def three_valued_match(spark, sf):
     return loci.three_valued_match(ln.where("tech = 'A'").select("gene", "slot", "motif").distinct(), held, ["gene", "slot"], "motif")
 
 
-@query("""with m as (select motif, avg(score) as a, avg(breadth) as b from u group by 1), r as (select *, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from m)
+@query("""with m as (select motif, avg(score) as a, avg(breadth) as b from u
+    group by 1), r as (select *, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from m)
  select count(*) as n, corr(a, b) as pearson, corr(ra, rb) as spearman from r""", "pearson spearman")
 def rank_correlation(spark, sf):
     m = union(spark, sf).groupBy("motif").agg(F.avg("score").alias("a"), F.avg("breadth").alias("b"))
@@ -812,7 +841,8 @@ def rank_correlation(spark, sf):
     return r.agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
 
 
-@query("""select 'rows' as check_id, case when count(*) >= 1 then 'PASS' else 'FAIL' end as status from u union all select 'unique', case when count(*) = count(distinct cell || locus) then 'PASS' else 'FAIL' end from u
+@query("""select 'rows' as check_id, case when count(*) >= 1 then 'PASS' else 'FAIL' end as status from u union all select 'unique', case
+    when count(*) = count(distinct cell || locus) then 'PASS' else 'FAIL' end from u
  union all select 'breadth', case when count_if(breadth <> a + n + r) = 0 then 'PASS' else 'FAIL' end from u union all select 'support', case when avg(y) >= .5 then 'PASS' else 'FAIL' end from u""")
 def quality_gates(spark, sf):
     u = union(spark, sf).withColumn("key", F.concat("cell", "locus"))
@@ -822,8 +852,10 @@ def quality_gates(spark, sf):
     }).select("check_id", "status")
 
 
-@query("""with v as (select distinct 'a' as "column", upper(p_name) as id from part union select distinct 'b', upper(p_type) from part), k as (select distinct upper(p_type) as id from part where p_size < 40),
- t as (select "column", count(*) as n_values from v group by 1) select v."column", 'type' as id_type, count(*) as n_hits, any_value(n_values) as n_values, count(*) / any_value(n_values)::double as share, count(*) / any_value(n_values)::double >= .3 as usable
+@query("""with v as (select distinct 'a' as "column", upper(p_name) as id from part union select distinct 'b', upper(p_type)
+    from part), k as (select distinct upper(p_type) as id from part where p_size < 40),
+ t as (select "column", count(*) as n_values from v group by 1)
+    select v."column", 'type' as id_type, count(*) as n_hits, any_value(n_values) as n_values, count(*) / any_value(n_values)::double as share, count(*) / any_value(n_values)::double >= .3 as usable
  from v join k on v.id = k.id join t on v."column" = t."column" group by 1""", "share", mapped=False)
 def identifier_audit(spark, sf):
     part = table(spark, sf, "part")
@@ -842,7 +874,8 @@ def representative_transcript(spark, sf):
     return loci.representative(x, "g", "tx", "s", "e")
 
 
-@query("""select subset, count(*) as n, sum(y)::bigint as k from (select y, unnest(list_filter([case when breadth >= 2 then 'multi' end, case when score >= 48 then 'high' end, 'all'], lambda x: x is not null)) as subset from u) group by 1""")
+@query("""select subset, count(*) as n, sum(y)::bigint as k from (select y, unnest(list_filter([case when breadth >= 2 then 'multi' end, case
+    when score >= 48 then 'high' end, 'all'], lambda x: x is not null)) as subset from u) group by 1""")
 def sensitivity_subsets(spark, sf):
     grid = stats.with_subsets(union(spark, sf), {"multi": F.col("breadth") >= 2, "high": F.col("score") >= 48, "all": F.lit(True)})
     return grid.groupBy("subset").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
