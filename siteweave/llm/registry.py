@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, encoding, language, neighbours, pii, secrets, simhash, spans, token_counts, warc
+from . import chat, decontaminate, divergence, encoding, language, lexical, mixing, neighbours, pii, secrets, simhash, spans, token_counts, warc
 from .common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -105,6 +107,18 @@ def op10_neighbours(spark, sf_dir):
     return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_mix(spark, sf_dir):
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {
         "op1_simhash": op1_simhash,
@@ -117,6 +131,9 @@ def queries():
         "op8_language": op8_language,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_neighbours": op10_neighbours,
+        "op11_divergence": op11_divergence,
+        "op12_mix": op12_mix,
+        "op13_search": op13_search,
     }
 
 
@@ -175,5 +192,68 @@ from d left join f using (payload_digest)
 """
 
 
+#: A-Z lowered and nothing else, as SQL.
+_FOLDED = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+OP11_SQL = rf"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all({_FOLDED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents),
+c as (
+  select lang, source, term, sum(n)::hugeint as n, count(*) as docs
+  from (select id, lang, source, term, count(*) as n
+    from (select row_number() over () as id, lang, source, ts from d), unnest(ts) as u(term) group by all)
+  group by all),
+k as (
+  select lang, term, sum(n)::hugeint as n from c group by all having sum(docs) >= {divergence.LEAST_DOCS}),
+g as (select distinct lang, source from d),
+v as (select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n, k.n as all_n
+  from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+t as (select *, sum(n) over s as total, sum(all_n) over s as all_total, count(*) over s as v from v window s as (partition by lang, source)),
+p as (
+  select *, 1 + {divergence.SCALE}::hugeint * (n + 2) // (total + 2 * v)::hugeint as p,
+    1 + {divergence.SCALE}::hugeint * (all_n + 2) // (all_total + 2 * v)::hugeint as q
+  from t),
+pair as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pair x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from p where n > 0 and p > q),
+r as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select * from pairs union all select * from terms))
+select lang, source, part, item, value::bigint as value, rank::integer as rank
+from r where part = 'pair' or rank <= {divergence.TOP}
+"""
+
+OP13_SQL = rf"""
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents),
+n as (select row, doc_id, len(ts)::bigint as n from d where len(ts) > 0),
+s as (select count(*)::bigint as docs, sum(n)::bigint as total from n),
+q as (
+  select distinct item_id, unnest(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+tf as (
+  select row, term, count(*)::bigint as tf from (select row, unnest(ts) as term from d)
+  where term in (select term from q) group by all),
+w as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::double))::bigint as w from tf, s group by term),
+x as (
+  select tf.term, n.doc_id, n.row, w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + 50 * n.n * s.docs // s.total))) as x
+  from tf join n using (row) join w on w.term = tf.term, s),
+r as (
+  select q.item_id, x.row, x.doc_id, sum(x.x)::bigint as score from q join x on x.term = q.term group by all having sum(x.x) > 0)
+select item_id, rank::integer as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r) where rank <= {lexical.TOP}
+"""
+
+
 def oracle_sql():
-    return {"op2_chat": OP2_SQL, "op3_secrets": OP3_SQL, "op6_warc": OP6_SQL}
+    return {"op2_chat": OP2_SQL, "op3_secrets": OP3_SQL, "op6_warc": OP6_SQL, "op11_divergence": OP11_SQL, "op13_search": OP13_SQL}
