@@ -9,9 +9,13 @@ A retrieved item counts as leaked if its five-word shingles are in the passage:
 them, or 0.8 of both the question's (all sentences but the last) and the answer's (the last).
 The retrieval threshold follows from that rule. At most as many of an item's terms can be absent
 as shingles may be, so a passage that satisfies the rule has at least the item's own BM25 score
-less its largest weights, that many of them (``least_score``). Impacts are divided by that
-score, so the threshold is 1 for all items; retrieval is complete, and which items leak doesn't
-depend on the weights, on other items, or on how the items are dealt to shards.
+less its largest weights, that many of them (``least_score``). Where a few rare terms hold nearly
+all of an item's score, as in items made from one template, that leaves almost nothing. Such an
+item (``LEAST_SHARE``) is retrieved by how many of its shingles each term touches instead, whatever
+the terms' frequencies (``touched``): once for the whole text and once for question and answer, the
+two ways to satisfy the rule; BM25 stays its reported score. Impacts are divided by the least sum,
+so the threshold is 1 for all items; retrieval is complete, and which items leak doesn't depend on
+the weights, on other items, or on how the items are dealt to shards.
 
 Block-max WAND runs in batches: each passage has a cursor per term, ordered by the item that it
 stands on. The pivot is the first item at which the terms' greatest impacts reach the threshold;
@@ -50,6 +54,8 @@ CURSORS = 1 << 18
 HITS = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
 FIELDS = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
 SLACK = 1e-9
+#: Items whose least score is a smaller share of their own are retrieved by the shingles that their terms touch.
+LEAST_SHARE = 0.1
 
 words_of = re.compile(r"\w+").findall
 
@@ -96,7 +102,23 @@ def least_score(weights: dict[str, float], parts: list[list[str]]) -> float:
     """The share of an item's own score that every passage which satisfies the rule reaches."""
     top = lambda part: sum(sorted((weights[w] for w in set(part)), reverse=True)[: absent_terms(part)])
     whole, question, answer = map(top, parts)
-    return max(1 - max(whole, question + answer) / sum(weights.values()), 0.01) - SLACK
+    return 1 - max(whole, question + answer) / sum(weights.values()) - SLACK
+
+
+def touched(parts: list[list[str]]) -> tuple[dict[str, float], float]:
+    """How many distinct shingles of the parts each term is in, and the least sum over a passage with enough of each part.
+
+    A shingle that lacks k of its terms takes k from the sum, all of its terms at most; so a passage
+    loses at most the largest shingles, as many as each part may lack.
+    """
+    counts: Counter[str] = Counter()
+    least = 0
+    for part in parts:
+        own = [set(s) for s in shingles(part, min(SHINGLE, len(part)))] if part else []
+        for terms in own:
+            counts.update(terms)
+        least += sum(sorted(map(len, own))[: int(np.ceil(OVERLAP * len(own) - SLACK))])
+    return {w: float(n) for w, n in counts.items()}, least * (1 - SLACK)
 
 
 def stride_of(n_words: int) -> int:
@@ -117,12 +139,15 @@ class Index:
             }
             parts = [words, *question_and_answer(text)]
             own = sum(weights.values())
+            shares = {w: x / own for w, x in weights.items()}
             least = least_score(weights, parts)
-            for w, x in weights.items():
-                if (t := self.terms.setdefault(w, len(self.terms))) == len(postings):
-                    postings.append([])
-                postings[t].append((len(self.items), x / own / least))
-            self.items.append((item, copies, least, parts))
+            place = len(self.items)  # of the item; one that is there twice has two numbers
+            for impact, bound in [(shares, least)] if least >= LEAST_SHARE else [touched(parts[:1]), touched(parts[1:])]:
+                for w, x in impact.items():
+                    if (t := self.terms.setdefault(w, len(self.terms))) == len(postings):
+                        postings.append([])
+                    postings[t].append((len(self.items), x / bound))
+                self.items.append((place, item, copies, shares, parts))
         sizes = np.array([len(p) for p in postings], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.who = np.array([j for p in postings for j, _ in p], dtype=np.int64)
@@ -153,8 +178,8 @@ class Index:
         at = np.minimum(np.searchsorted(self.block_keys, key), len(self.block_keys) - 1)
         return np.where(self.block_keys[at] == key, self.block_top[at], 0.0)
 
-    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
-        """(passage, item, score) at 1 or more, by block-max WAND.
+    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int]]:
+        """(passage, item) with a sum of impacts of 1 or more, by block-max WAND.
 
         ``passage`` ascends; each (passage, term) is there once.
         """
@@ -186,7 +211,7 @@ class Index:
             value[scored] = self.impact_at(term[scored], at_pivot[scored])
             score = np.add.reduceat(value, heads)
             for k in np.nonzero(promising & (score >= 1 - SLACK))[0].tolist():
-                found.append((int(passage[heads[k]]), int(at_pivot[heads[k]]), float(score[k])))
+                found.append((int(passage[heads[k]]), int(at_pivot[heads[k]])))
             later = np.minimum.reduceat(np.where(before, end, item), heads)
             skip = np.minimum((at_pivot // BLOCK + 1) * BLOCK, np.repeat(later, sizes))
             goal = np.minimum(np.where(good, at_pivot + 1, skip), end)
@@ -195,8 +220,8 @@ class Index:
             passage, term, item = passage[left], term[left], item[left]
         return found
 
-    def candidates(self, ids: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
-        """(text, stretch, item, score) that retrieval finds; ``ids`` holds -1 for words of no item."""
+    def candidates(self, ids: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """(text, stretch, item) that retrieval finds; ``ids`` holds -1 for words of no item."""
         stretches = [len(i) // self.stride + 1 for i in ids]
         base = np.concatenate(([0], np.cumsum(stretches)))
         flat = np.concatenate([*ids, np.empty(0, np.int64)]).astype(np.int64)
@@ -218,9 +243,9 @@ class Index:
         passage, term = pairs // len(self.top), pairs % len(self.top)
         found = []
         for part in self._parts(passage):
-            for p, item, score in self.retrieve(passage[part], term[part]):
+            for p, item in self.retrieve(passage[part], term[part]):
                 doc = int(np.searchsorted(base, p, "right")) - 1
-                found.append((doc, p - int(base[doc]), item, score))
+                found.append((doc, p - int(base[doc]), item))
         return found
 
     @staticmethod
@@ -235,14 +260,14 @@ class Index:
     def hits(self, split: list[list[str]], ids: list[np.ndarray]) -> list[list[dict]]:
         """The leaked items of each text's words, with their best passage's score and overlaps."""
         out: list[dict[int, dict]] = [{} for _ in split]
-        for doc, stretch, item, score in self.candidates(ids):
-            name, copies, least, parts = self.items[item]
+        for doc, stretch, item in self.candidates(ids):
+            place, name, copies, weights, parts = self.items[item]
             passage = split[doc][stretch * self.stride : (stretch + 2) * self.stride]
             shares = [share(p, passage) for p in parts]
             if leaks(shares):
-                row = dict(zip(FIELDS, (name, score * least, *shares), strict=True)) | {"copies": copies}
-                if row["score"] > out[doc].get(item, {"score": 0})["score"]:
-                    out[doc][item] = row
+                score = sum(weights.get(w, 0.0) for w in sorted(set(passage)))
+                if score > out[doc].get(place, {"score": -1})["score"]:
+                    out[doc][place] = dict(zip(FIELDS, (name, score, *shares), strict=True)) | {"copies": copies}
         return [[r for o in found.values() for r in [{k: o[k] for k in FIELDS}] * o["copies"]] for found in out]
 
 
