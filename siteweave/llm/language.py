@@ -15,10 +15,10 @@ many); everything else, scoring above all, covers every row and whole texts.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -36,7 +36,7 @@ UNSEEN, SMOOTH = 1e-7, 0.1
 #: Words that a worker keeps, and the length up to which it keeps them.
 CACHE_WORDS, KEPT_LENGTH = 200_000, 256
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def words_of(text: str) -> list[str]:
