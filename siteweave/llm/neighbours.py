@@ -26,9 +26,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import write_table
 
 SAMPLE, ROUNDS = 8192, 8
-#: The share of all vectors, and at least so many of them, that a query's cells hold. The public
-#: test vectors have hardly any clusters: half of them gives a recall of 0.86.
-MOST_CELLS, PROBE, LEAST = 1024, 0.75, 8192
+#: The share of all vectors that a query's cells hold. The public test vectors have hardly any
+#: clusters: half of them gives a recall of 0.86.
+MOST_CELLS, PROBE = 1024, 0.75
 SUBSPACE, CODES = 2, 256
 BLOCK, SHORTLIST = 1 << 15, 128
 
@@ -132,13 +132,14 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-           probe: float = PROBE, least: int = LEAST) -> DataFrame:
+           probe: float = PROBE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries``.
 
     ``queries`` has the columns of ``vectors``; a row is no neighbour of the query with its id.
     The score is the Euclidean distance in double precision; ties go to the smaller id. A
-    repeated id is one candidate, at its nearest vector; a repeated query is asked once. A query
-    visits cells that hold a share ``probe`` of the vectors, ``least`` of them if there are.
+    repeated id is one candidate, at its nearest vector; a repeated query is asked once, with the
+    least of its vectors, compared component by component. A query visits its nearest cells until
+    they hold a share ``probe`` of the vectors, and more than ``k`` of them.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -169,7 +170,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     def cells(column: pa.Array) -> pa.Array:
         order = distances(_matrix(column), model.value.coarse).argsort(axis=1, kind="stable")
         covered = sizes[order].cumsum(axis=1)
-        enough = (covered < min(n, max(k + 1, least, probe * n))).sum(axis=1) + 1
+        enough = (covered < min(n, max(k + 1, probe * n))).sum(axis=1) + 1
         return pa.array([o[:e].tolist() for o, e in zip(order, enough, strict=True)], pa.list_(pa.int32()))
 
     blocks = F.element_at(F.array(*[F.lit(int(-(-c // BLOCK) or 1)) for c in sizes]), F.col("cell") + 1)
