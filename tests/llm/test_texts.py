@@ -9,6 +9,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+import __spark_entry__
 import corpus_pipeline
 from siteweave.llm import chat, encoding, language, pieces, pii, registry, secrets, spans, token_counts, warc
 
@@ -304,7 +305,7 @@ def test_language_query_equals_an_exact_scorer(spark, data):
             logs.append(sum(cache[w, k] for w in (language.words_of(t) if t.strip() else [])))
         post = np.exp(np.array(logs) - max(logs))
         post /= post.sum()
-        if re.search(r"[^\W\d_]", t):
+        if any(c.isalpha() for c in t):
             assert abs(got[i]["score"] - post.max()) < 1e-6 and (got[i]["lang_pred"] == scorer.langs[int(post.argmax())] or post.max() < 0.5 + 1e-6)
         else:
             assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
@@ -313,11 +314,11 @@ def test_language_query_equals_an_exact_scorer(spark, data):
 def test_languages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     scorer = language.learn(docs.where(language.fold() != 2), registry.PIECE_MODEL, docs_per_lang=40, rounds=2)
-    odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "123 --", "en"), (None, "the and", None)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "123 --", "en"), (4, "½ ² 5", "en"), (5, "①② Ⅷ", "en"), (6, "٣٤ १२", "en"), (None, "the and", None)], "doc_id long, text string, lang string")
     got = language.predict(docs.select("doc_id", "text", "lang").union(odd).withColumn("score", F.lit(1)), scorer).collect()
-    right = [r["language"]["lang_pred"] == r["lang"] for r in got[:-4]]
+    right = [r["language"]["lang_pred"] == r["lang"] for r in got[:-7]]
     assert sum(right) >= 0.95 * len(right) and all(0 <= r["language"]["score"] <= 1 for r in got)
-    assert [r["language"]["lang_pred"] for r in got[-4:-1]] == ["und"] * 3
+    assert [r["language"]["lang_pred"] for r in got[-7:-1]] == ["und"] * 6 and {r["language"]["score"] for r in got[-7:-1]} == {0.0}
     nothing = language.learn(odd.limit(0), registry.PIECE_MODEL)
     assert {r["language"]["lang_pred"] for r in language.predict(odd, nothing).collect()} == {"und"}
 
@@ -457,7 +458,7 @@ def test_every_stage_equals_a_plain_computation(spark, data):
     values = [dict(zip(scorer.lattice.pieces, scorer.prob[:-1, k], strict=True)) for k in range(len(scorer.langs))]
 
     def clear(t):
-        if not t or not re.search(r"[^\W\d_]", t):
+        if not any(c.isalpha() for c in t or ""):
             return False
         logs = np.array([sum(exact_log(w, v, width, language.UNSEEN) for w in language.words_of(t)) for v in values])
         return 1 / np.exp(logs - logs.max()).sum() >= corpus_pipeline.LEAST_POSTERIOR
@@ -488,6 +489,66 @@ def test_every_stage_equals_a_plain_computation(spark, data):
     assert not ids & {10001, 10002, 10004, 10005, 10006} and len(ids) > 30
 
 
+def test_registered_tokens_and_pieces(spark, data):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    library = Tokenizer.from_file(registry.BYTE_BPE)
+    counts = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in docs.items()}
+    got = __spark_entry__.queries()["op7_token_counts"](spark, data)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}
+    assert {tuple(r) for r in got.collect()} == {(i, len(t.encode()), counts[i], counts[i] > 512) for i, t in docs.items()}
+    model = sentencepiece.SentencePieceProcessor(model_file=registry.PIECE_MODEL)
+    pieces = __spark_entry__.queries()["op9_sentencepiece"](spark, data).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in pieces} == {i: model.encode(t) for i, t in docs.items()} and len(pieces) == len(docs)
+
+
+def test_registered_personal_data(spark, data):
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    learned = {(i, a, e) for i, a, e in brute_context_spans(rows)[0]}
+    found = __spark_entry__.queries()["op4_pii"](spark, data)
+    assert found.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    got = {r["doc_id"]: r for r in found.collect()}
+    kinds = ["email", "ip", "card", "phone", pii.KINDS[4]]
+    for i, t in rows:
+        base = brute_pii(t)
+        text = lambda spans: ",".join(f"{kinds[k]}:{a}:{e}" for a, k, e in sorted(spans))
+        assert [got[i][f"n_{k}"] for k in kinds[:4]] == [sum(s[1] == n for s in base) for n in range(4)]
+        assert got[i]["base_sha256"] == hashlib.sha256(text(base).encode()).hexdigest()
+        assert got[i]["spans"] == text(base + [(a, 4, e) for j, a, e in learned if j == i])
+    assert len(got) == len(rows) and sum(bool(brute_pii(t)) for _, t in rows) > 3
+
+
+def test_registered_languages(spark, data):
+    import zlib
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    found = __spark_entry__.queries()["op8_language"](spark, data)
+    assert found.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    got = found.collect()
+    assert len(got) == len(docs) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r["held_out"] and docs[r["doc_id"]]["lang"] and any(c.isalpha() for c in docs[r["doc_id"]]["text"] or "")]
+    assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) >= 0.95 * len(held) > 0
+
+
+def test_registered_pipeline(spark, data):
+    """The registered run over the whole given table: its stages one after another, and their outcome by plain means."""
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = {r["doc_id"]: list(r["ids"]) for r in __spark_entry__.queries()["pipeline"](spark, data).collect()}
+    said = {r["doc_id"]: r for r in corpus_pipeline.identify_language(spark, docs, data).collect()}
+    rows = [(i, r["text"]) for i, r in said.items()]
+    prints = {i: brute_fingerprint(t) for i, t in rows}
+    roots = brute_components(prints)
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    rows = [(i, t) for i, t in rows if roots[i] == i and not brute_hits(t, bench)]
+    model = sentencepiece.SentencePieceProcessor(model_file=registry.PIECE_MODEL)
+    assert got == {i: model.encode(t) for i, t in brute_redacted(rows).items()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "simhash", "decontaminate", "pii", "sentencepiece"] and 0 < len(got) < docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_equal_sql(spark, data, name):
     same(registry.queries()[name](spark, data), connect(data), registry.oracle_sql()[name])
