@@ -194,6 +194,10 @@ def parse_site_strict(c) -> Column:
     )
 
 
+#: The documented form of a site (fixed format).
+SITE = r"^((?i:chr).+?)[_:](\d+)(?:\s*[-~/:;,]\s*(\d+))?$"
+
+
 def parse_site(c) -> Column:
     """FN-18: struct of chrom, lo, hi, interval and mode; coordinates stay null where nothing is documented.
 
@@ -203,13 +207,11 @@ def parse_site(c) -> Column:
     """
     raw = safe_text(c)
     z = F.regexp_replace(F.translate(raw, "−–—", "---"), r"""^["'\[\]() ]+|["'\[\]() ]+$""", "")
-    name, number, sign = r"^((?i:chr).+?)", r"[_:](\d+)", r"\s*[-~/:;,]\s*"
-    ranged = name + number + "(?:" + sign + r"(\d+))?$"
-    first, second = F.regexp_extract(z, ranged, 2).try_cast("bigint"), F.regexp_extract(z, ranged, 3).try_cast("bigint")
+    first, second = F.regexp_extract(z, SITE, 2).try_cast("bigint"), F.regexp_extract(z, SITE, 3).try_cast("bigint")
     second = F.coalesce(second, first)
-    found = _site(chromosome_of_accession(F.regexp_extract(z, ranged, 1)), F.least(first, second), F.greatest(first, second), F.lit("tail_pattern_1"))
+    found = _site(chromosome_of_accession(F.regexp_extract(z, SITE, 1)), F.least(first, second), F.greatest(first, second), F.lit("tail_pattern_1"))
     return (
-        F.when(raw == "", _site(None, None, None, F.lit("missing"))).when(z.rlike(ranged), found)
+        F.when(raw == "", _site(None, None, None, F.lit("missing"))).when(z.rlike(SITE), found)
         .otherwise(_site(None, None, None, F.lit("unparsed")))
     )
 
@@ -241,26 +243,36 @@ def primary_region(regions: Column) -> Column:
     )
 
 
+_BLANK = " \t\n\r\f\v"
+
+
 def attributes(c) -> Column:
-    """FN-21: map of annotation attributes, quoted (k "v") or assigned (k=v, URL-decoded); repeats joined by commas."""
+    """FN-21: map of annotation attributes; the values of a repeated key are joined by commas.
+
+    Assigned fields (k=v) come first, all of them; then quoted ones (k "v"), each value that the key
+    doesn't have yet. Without either, fields of a key and a bare value count, all of them. Assigned
+    and bare values lose outer quotes and are URL-decoded (a plus stays one); what can't be decoded
+    stays as it is.
+    """
     z = safe_text(c)
-    quoted = F.regexp_extract_all(z, F.lit(r'([A-Za-z0-9_.:-]+)\s+"[^"]*"'), F.lit(1))
-    quoted_values = F.regexp_extract_all(z, F.lit(r'[A-Za-z0-9_.:-]+\s+"([^"]*)"'), F.lit(1))
-    field = r"(?:^|;)\s*([^=;\s]+)\s*="
-    assigned = F.regexp_extract_all(z, F.lit(field), F.lit(1))
-    assigned_values = F.transform(
-        F.regexp_extract_all(z, F.lit(r"(?:^|;)\s*[^=;\s]+\s*=([^;]*)"), F.lit(1)), lambda v: F.try_url_decode(F.regexp_replace(F.trim(v), '^"|"$', ""))
-    )
-    bare = F.filter(F.split(z, ";"), lambda f: F.trim(f).rlike(r"^[A-Za-z0-9_.:-]+\s+.+$"))
-    bare_keys = F.transform(bare, lambda f: F.regexp_extract(F.trim(f), r"^(\S+)\s+(.+)$", 1))
-    bare_values = F.transform(bare, lambda f: F.regexp_extract(F.trim(f), r"^(\S+)\s+(.+)$", 2))
-    keys, values = F.concat(assigned, quoted), F.concat(assigned_values, quoted_values)
-    keys, values = F.when(F.size(keys) > 0, keys).otherwise(bare_keys), F.when(F.size(keys) > 0, values).otherwise(bare_values)
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    entry = lambda k: F.struct(
-        k.alias("key"), F.array_join(F.array_distinct(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])), ",").alias("value")
-    )
-    return F.map_from_entries(F.transform(F.array_distinct(keys), entry))
+    trim = lambda x: F.btrim(x, F.lit(_BLANK))
+
+    def decoded(x: Column) -> Column:
+        bare = F.btrim(trim(x), F.lit('"'))
+        return F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    fields = F.transform(F.split(z, ";"), trim)
+    named = F.filter(F.transform(fields, lambda f: F.when(F.contains(f, F.lit("=")), pair(trim(F.substring_index(f, "=", 1)), decoded(F.regexp_replace(f, "^[^=]*=", ""))))), lambda p: p["k"] != "")
+    form = r'([A-Za-z0-9_.:-]+)\s+"([^"]*)"'
+    quoted = F.zip_with(F.regexp_extract_all(z, F.lit(form), F.lit(1)), F.regexp_extract_all(z, F.lit(form), F.lit(2)), pair)
+    plain = r"^([A-Za-z0-9_.:-]+)\s+(.+)$"
+    bare = F.transform(F.filter(fields, lambda f: f.rlike(plain)), lambda f: pair(F.regexp_extract(f, plain, 1), decoded(F.regexp_extract(f, plain, 2))))
+    assigned = F.when((F.size(named) == 0) & (F.size(quoted) == 0), bare).otherwise(named)
+    of = lambda pairs, k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
+    entry = lambda k: F.struct(k.alias("key"), F.array_join(F.concat(of(assigned, k), F.array_except(of(quoted, k), of(assigned, k))), ",").alias("value"))
+    keys = F.array_distinct(F.transform(F.concat(assigned, quoted), lambda p: p["k"]))
+    return F.map_from_entries(F.transform(keys, entry))
 
 
 def attribute(attrs: Column, *keys: str) -> Column:
@@ -296,11 +308,20 @@ def strip_version(c) -> Column:
     return F.regexp_replace(safe_text(c), r"\.\d+$", "")
 
 
+#: Confidence labels with their ordinals, in the order in which they are looked for, and their spellings with a gap (fixed values).
+CONFIDENCE = (("highest", 3), ("higher", 2), ("lower", 1))
+CONFIDENCE_SPLIT = (r"\bhigh[-_ ]est\b", r"\bhigh[-_ ]er\b", r"\blow[-_ ]er\b")
+
+
 def confidence(c) -> Column:
-    """FN-23: struct of label and ordinal (highest 3, higher 2, lower 1); ``unresolved:x`` has no ordinal."""
+    """FN-23: struct of label and ordinal (highest 3, higher 2, lower 1); ``unresolved:x`` has no ordinal.
+
+    Whole words of any label come before spellings with a gap.
+    """
     z = F.lower(safe_text(c))
-    rank = F.when(z.rlike(r"highest|\bhigh[-_ ]?est\b"), 3).when(z.rlike(r"higher|\bhigh[-_ ]?er\b"), 2).when(z.rlike(r"lower|\blow[-_ ]?er\b"), 1)
-    label = F.when(rank == 3, "highest").when(rank == 2, "higher").when(rank == 1, "lower")
+    said = [(F.contains(z, F.lit(label)), label, n) for label, n in CONFIDENCE] + [(z.rlike(form), label, n) for (label, n), form in zip(CONFIDENCE, CONFIDENCE_SPLIT, strict=True)]
+    first = lambda i: F.coalesce(*[F.when(x[0], F.lit(x[i])) for x in said])
+    rank, label = first(2), first(1)
     label = F.when(z.isin("", "nan", "none"), F.lit(None)).otherwise(F.coalesce(label, F.concat(F.lit("unresolved:"), z)))
     return F.struct(label.alias("label"), rank.cast("double").alias("ordinal"))
 

@@ -1,9 +1,12 @@
-"""Sequence features as column expressions over whole sequences."""
+"""Sequence features as column expressions; k-mers as rolling codes, over whole sequences or their pieces."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +41,65 @@ def windows(text: Column, k: int, step: int = 1) -> Column:
     return F.when(F.length(text) >= k, cut).otherwise(F.array().cast("array<string>"))
 
 
+#: Longest k of which a code of two bits a letter fits into a long.
+MOST_K = 31
+_CODE = np.full(256, 4, np.uint8)
+_CODE[list(DNA.encode())] = range(4)
+
+
+def kmer_codes(text: bytes, k: int) -> np.ndarray:
+    """Codes of the clean k-letter windows of a text, two bits a letter, in order; linear in its length for any k."""
+    letters = _CODE[np.frombuffer(text, np.uint8)]
+    n = len(letters) - k + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    # Windows of a power of two letters double; the rest of k is put in front, power by power.
+    out, done, power, width = np.zeros(n, np.int64), 0, np.where(letters < 4, letters, 0).astype(np.int64), 1
+    while done < k:
+        if (k >> (width.bit_length() - 1)) & 1:
+            out = (out << (2 * width)) | power[done : done + n]
+            done += width
+        if done < k:
+            power = (power[: len(power) - width] << (2 * width)) | power[width:]
+            width *= 2
+    bad = np.concatenate(([0], np.cumsum(letters > 3)))
+    return out[bad[k:] == bad[: n]]
+
+
+def _code_counts(k: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, codes, counts = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                found, n = np.unique(kmer_codes((text.as_py() or "").encode("ascii", "replace"), k), return_counts=True)
+                key.append(np.full(len(found), i))
+                codes.append(found)
+                counts.append(n)
+            rows = np.concatenate([*key, np.empty(0, np.int64)]).astype(np.int64)
+            columns = [batch.column(0).take(pa.array(rows)), *[pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)) for x in (codes, counts)]]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "code", "n"])
+
+    return count
+
+
+def _kmer(code: Column, k: int) -> Column:
+    letter = lambda i: F.substring(F.lit(DNA), F.shiftright(code, 2 * (k - 1 - i)).bitwiseAND(F.lit(3).cast("long")).cast("int") + 1, F.lit(1))
+    return F.concat(*[letter(i) for i in range(k)])
+
+
 def kmer_frequencies(df: DataFrame, key: str, text: str, k: int, alphabet: str | None = DNA) -> DataFrame:
     """FN-29: (key, kmer, n, frequency): clean windows counted, all windows in the denominator.
 
+    DNA k-mers up to ``MOST_K`` letters are rolling codes, counted per sequence in its task.
     ``alphabet`` None takes every window.
     """
+    if alphabet == DNA and k <= MOST_K:
+        kind = df.schema[key].dataType.simpleString()
+        rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.greatest(F.length(text) - k + 1, F.lit(0)).cast("long").alias("all"))
+        found = rows.select("key", "text").mapInArrow(_code_counts(k), f"key {kind}, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
+        sizes = rows.where("all > 0").groupBy("key").agg(F.max("all").alias("all"))
+        joined = found.join(sizes, "key")
+        return joined.select(F.col("key").alias(key), _kmer(F.col("code"), k).alias("kmer"), "n", (F.col("n") / F.col("all")).alias("frequency"))
     # Letters are split once per row: a substring of a long text would be searched from its start each time.
     split = df.select(key, F.greatest(F.length(text) - k + 1, F.lit(0)).alias("__all"), F.split(text, "").alias("__letters")).where("__all > 0")
     pieces = F.transform(F.sequence(F.lit(1), F.size("__letters") - k + 1), lambda i: F.array_join(F.slice("__letters", i, k), ""))
@@ -53,6 +110,24 @@ def kmer_frequencies(df: DataFrame, key: str, text: str, k: int, alphabet: str |
     return counted.select(key, "kmer", "n", (F.col("n") / F.col("__all")).alias("frequency"))
 
 
+def chunk_kmers(chunks: DataFrame, k: int, record: str = "record", offset: str = "offset", chunk: str = "chunk") -> DataFrame:
+    """FN-29: ``kmer_frequencies`` of sequences in pieces (``files.fasta_chunks``), a row per record and k-mer.
+
+    A piece takes the first k - 1 letters of the next ones along, so windows across borders count
+    once and a sequence is spread over as many tasks as it has pieces. Pieces are at least k - 1 letters
+    long but for the last; k is ``MOST_K`` at most.
+    """
+    after = Window.partitionBy(record).orderBy(offset)
+    heads = chunks.select(record, offset, F.length(chunk).alias("size"), F.left(F.col(chunk), F.lit(k - 1)).alias("head"))
+    nexts = heads.select(record, offset, F.coalesce(F.lead("head").over(after), F.lit("")).alias("__next"))  # k letters per piece
+    totals = heads.groupBy(record).agg(F.greatest(F.sum("size") - k + 1, F.lit(0)).alias("all"))
+    whole = chunks.join(nexts, [record, offset]).select(F.col(record).alias("key"), F.concat(chunk, "__next").alias("text"))
+    kind = chunks.schema[record].dataType.simpleString()
+    found = whole.mapInArrow(_code_counts(k), f"key {kind}, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
+    joined = found.withColumnRenamed("key", record).join(totals, record)
+    return joined.select(record, _kmer(F.col("code"), k).alias("kmer"), "n", (F.col("n") / F.col("all")).alias("frequency"))
+
+
 def sense_codons() -> list[str]:
     return [c for c in ("".join(x) for x in product(DNA, repeat=3)) if c not in STOPS]
 
@@ -70,11 +145,18 @@ def codon_frequencies(df: DataFrame, key: str, cds: str) -> DataFrame:
 
 
 def positional_onehot(seq: Column, anchor: Column, offsets, prefix: str) -> list[Column]:
-    """FN-27: 0/1 per offset from a 0-based anchor and base; all 0 outside the sequence."""
+    """FN-27: 0/1 per offset from a 0-based anchor and base; all 0 outside the sequence.
+
+    The stretch around the anchor is cut out once; each offset looks into that.
+    """
+    offsets = list(offsets)
+    low, high = min(offsets, default=0), max(offsets, default=0)
+    first = F.greatest(anchor + low, F.lit(0))
+    near = F.when(anchor + high >= 0, F.substr(seq, first + 1, anchor + high - first + 1))
     out = []
     for off in offsets:
         at = anchor + off
-        base = F.when((at >= 0) & (at < F.length(seq)), F.substr(seq, at + 1, F.lit(1)))
+        base = F.when(at >= 0, F.substr(near, at - first + 1, F.lit(1)))
         out += [F.coalesce((base == b).cast("int"), F.lit(0)).alias(f"{prefix}_{off:+d}_{b}") for b in DNA]
     return out
 

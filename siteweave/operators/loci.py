@@ -104,21 +104,42 @@ def run_matches(sites: DataFrame, external: DataFrame, locus: list[str], run: li
     return joined.select(*sites.columns, (mode != "none").cast("int").alias(f"{out}_support"), mode.alias(f"{out}_mode"))
 
 
-def within(points: DataFrame, intervals: DataFrame, on: list[str], pos: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
-    """Points joined with the closed intervals that hold them, through equal bins of ``width``.
+def _level(start: str, end: str, width: int) -> Column:
+    """0 up to ``width``, and one more for each doubling of the length."""
+    size = F.col(end) - F.col(start) + 1
+    return F.greatest(F.ceil(F.log2(size / F.lit(float(width)))), F.lit(0)).cast("int")
+
+
+def _bin(position: Column, level: Column, width: int) -> Column:
+    return F.floor(position / (F.lit(float(width)) * F.pow(F.lit(2.0), level)))
 
-    A point falls into one bin and an interval into those it touches, so the join is a hash or
-    merge join on ``on`` and the bin, never a nested loop. Interval columns besides ``on`` come
-    along; with ``how='left'`` a point outside all intervals, or without a position, stays.
+
+def within(points: DataFrame, intervals: DataFrame, on: list[str], pos: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
+    """Points joined with the closed intervals that hold them, through bins as wide as the intervals.
+
+    An interval's level is its length in doublings of ``width``, and its bins are as wide as that, so
+    it falls into one or two of them however long it is. A point falls into one bin of each level
+    that occurs (64 at most). The join is a hash or merge join on ``on``, level and bin, never a nested
+    loop. Interval columns besides ``on`` come along; with ``how='left'`` a point outside all
+    intervals, or without a position, stays. Intervals without an end, or that end before they
+    start, hold nothing.
     """
-    bins = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
     known = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
-    spread = known.withColumn("__bin", F.explode(bins))
-    placed = points.withColumn("__bin", F.floor(F.col(pos) / width))
-    cond = reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"i.{k}") for k in [*on, "__bin"]])
+    known = known.withColumn("__level", _level(start, end, width))
+    levels = sorted(r["__level"] for r in known.select("__level").distinct().collect())
+    at = lambda c: _bin(F.col(c), F.col("__level"), width)
+    spread = known.withColumn("__bin", F.explode(F.sequence(at(start), at(end))))
+    probed = points if how == "inner" else points.select(*on, pos).where(F.col(pos).isNotNull()).distinct()
+    placed = probed.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("__bin", at(pos))
+    cond = reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"i.{k}") for k in [*on, "__level", "__bin"]])
     cond = cond & F.col(f"p.{pos}").between(F.col(f"i.{start}"), F.col(f"i.{end}"))
-    joined = placed.alias("p").join(spread.alias("i"), cond, how)
-    return joined.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"i.{c}") for c in intervals.columns if c not in on])
+    more = [c for c in intervals.columns if c not in on]
+    joined = placed.alias("p").join(spread.alias("i"), cond)
+    if how == "inner":
+        return joined.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"i.{c}") for c in more])
+    held = joined.select(*[F.col(f"p.{c}").alias(f"__{c}") for c in [*on, pos]], *[F.col(f"i.{c}") for c in more])
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{c}") == F.col(f"h.__{c}") for c in [*on, pos]])
+    return points.alias("a").join(held.alias("h"), same, how).select("a.*", *[F.col(f"h.{c}") for c in more])
 
 
 def interval_support(sites: DataFrame, calls: DataFrame, key: str, chrom: str, lo: str, hi: str, pos: str, strand: str, width: int, out: str) -> DataFrame:

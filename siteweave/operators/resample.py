@@ -1,14 +1,23 @@
-"""Bootstrap and permutation tests with draws that are hashes, so any partitioning gives the same result.
+"""Bootstrap and permutation tests whose draws any partitioning repeats.
 
-Replicates join to aggregates (clusters, score cells), never to rows, except where a row is what
-is drawn. A replicate's statistic is the grouped form of the statistic itself.
+Replicates meet aggregates (clusters, cells of equal rows), never rows. A replicate's statistic is
+the grouped form of the statistic itself. Where rows are what is drawn, counts are drawn for their
+cells (``draws``), or, for R-squared, for chunks of rows and then inside the chunk.
+
+``by_row=True`` draws every row by a hash instead, rows times replicates: SQL can repeat these
+draws, so the statistics are held to SQL with them. Both kinds have the same distribution.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .draws import cell_counts, chunked, drawn_chunks, split, stream
 from .ranks import bh_adjust, histogram, running, with_totals
 from .stats import auroc_of
 from .storage import stable
@@ -55,30 +64,21 @@ def cluster_bootstrap_auroc(df: DataFrame, score: str, label: str, cluster: str,
     return auroc_of(weighted, score, ["rep"]).select("rep", "auroc")
 
 
-def row_bootstrap(df: DataFrame, scores: list[str], label: str, key: str, replicates: int, seed: int, fraction: float | None = None) -> DataFrame:
+def row_bootstrap(df: DataFrame, scores: list[str], label: str, key: str, replicates: int, seed: int, fraction: float | None = None, by_row: bool = False) -> DataFrame:
     """RS-02, 06: (rep, auroc_<score>, ...) of rows drawn with replacement; several scores share the draws.
 
     With ``fraction`` also lift_<score> of that top share, ties at its edge included. Rows of equal
-    scores and label are one cell: rows are numbered cell by cell (``key`` orders nothing but equal
-    cells), a draw falls into a cell's run of numbers, and only cells are weighted.
+    scores and label are one cell, and a replicate is a count per cell (``draws.cell_counts``). With
+    ``by_row``, rows are numbered cell by cell (``key`` orders nothing but equal cells) and each draw
+    is a hash that falls into a cell's run of numbers. Rows with a null score or label take no part.
     """
     y = F.col(label).cast("long")
     known = df.where(y.isNotNull())
     for s in scores:
         known = known.where(F.col(s).isNotNull())
     cells = known.groupBy(*scores, y.alias("y")).agg(F.count("*").alias("size"))
-    cells = running(cells, [], [*[F.col(s) for s in scores], F.col("y")], ["size"])
-    cells = cells.select(*scores, "y", (F.col("cum_size") - F.col("size")).alias("first"), (F.col("cum_size") - 1).alias("last"))
-    cells = stable(cells)
-    n = (cells.agg(F.max("last").alias("n")).first()["n"] or -1) + 1
-    names = [f"auroc_{s}" for s in scores] + ([f"lift_{s}" for s in scores] if fraction is not None else [])
-    if not n:
-        return df.sparkSession.createDataFrame([], ", ".join(["rep long", *[f"{c} double" for c in names]]))
-    width = max(1, n // 1000)
-    drawn = multiplicities(df.sparkSession, n, replicates, seed)
-    spread = cells.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    hit = drawn.withColumn("bin", F.floor(F.col("idx") / width)).join(spread, "bin").where(F.col("idx").between(F.col("first"), F.col("last")))
-    cell = stable(hit.groupBy("rep", *scores).agg(F.sum(F.col("m") * F.col("y")).alias("pos"), F.sum(F.col("m") * (1 - F.col("y"))).alias("neg")))
+    counted = _hashed_counts(cells, scores, replicates, seed) if by_row else cell_counts(cells, "size", [*scores, "y"], replicates, seed)
+    cell = stable(counted.groupBy("rep", *scores).agg(F.sum(F.col("m") * F.col("y")).alias("pos"), F.sum(F.col("m") * (1 - F.col("y"))).alias("neg")))
     out = None
     for s in scores:
         hist = cell.groupBy("rep", s).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
@@ -93,9 +93,22 @@ def row_bootstrap(df: DataFrame, scores: list[str], label: str, key: str, replic
     return out
 
 
-def paired_difference(df: DataFrame, scores: tuple[str, str], label: str, key: str, replicates: int, seed: int) -> DataFrame:
+def _hashed_counts(cells: DataFrame, scores: list[str], replicates: int, seed: int) -> DataFrame:
+    """(rep, <scores>, y, m) of cells, a hash per draw."""
+    cells = running(cells, [], [*[F.col(s) for s in scores], F.col("y")], ["size"])
+    cells = stable(cells.select(*scores, "y", (F.col("cum_size") - F.col("size")).alias("first"), (F.col("cum_size") - 1).alias("last")))
+    last = cells.agg(F.max("last").alias("n")).first()["n"]
+    n = 0 if last is None else last + 1
+    width = max(1, n // 1000)
+    drawn = multiplicities(cells.sparkSession, n, replicates, seed) if n else cells.select(F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("idx"), F.lit(0).cast("long").alias("m")).limit(0)
+    spread = cells.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    hit = drawn.withColumn("bin", F.floor(F.col("idx") / width)).join(spread, "bin").where(F.col("idx").between(F.col("first"), F.col("last")))
+    return hit.select("rep", *scores, "y", "m")
+
+
+def paired_difference(df: DataFrame, scores: tuple[str, str], label: str, key: str, replicates: int, seed: int, by_row: bool = False) -> DataFrame:
     """RS-06: interval of AUROC(second) - AUROC(first) over shared draws, and the share of replicates above 0."""
-    both = row_bootstrap(df, list(scores), label, key, replicates, seed)
+    both = row_bootstrap(df, list(scores), label, key, replicates, seed, by_row=by_row)
     diffs = both.withColumn("delta", F.col(f"auroc_{scores[1]}") - F.col(f"auroc_{scores[0]}"))
     q = lambda p: F.percentile(F.col("delta"), F.lit(p))
     return diffs.agg(q(0.025).alias("ci_low"), q(0.975).alias("ci_high"), F.avg((F.col("delta") > 0).cast("double")).alias("p_above_0"), F.count("delta").alias("n_boot"))
@@ -124,9 +137,35 @@ def permutation_p(replicates: DataFrame, value: str, observed: float) -> DataFra
     )
 
 
-def stratified_permutation(df: DataFrame, value: str, label: str, stratum: str, key: str, replicates: int, seed: int) -> DataFrame:
-    """RS-04: (rep, difference) of mean value between labels, which are dealt anew inside each stratum."""
+def stratified_permutation(df: DataFrame, value: str, label: str, stratum: str, key: str, replicates: int, seed: int, by_row: bool = False) -> DataFrame:
+    """RS-04: (rep, difference) of mean value between labels, which are dealt anew inside each stratum.
+
+    Rows of one value and stratum are one cell; a replicate's labels 1 are a multivariate
+    hypergeometric count per cell, so no row is repeated. With ``by_row`` every row is ranked by a
+    hash instead. Rows with a null take no part; with one label only, the difference is null.
+    """
     rows = df.select(stratum, key, F.col(value).cast("double").alias("v"), F.col(label).cast("long").alias("y")).dropna()
+    if by_row:
+        return _hashed_permutation(rows, stratum, key, replicates, seed)
+    cells = rows.groupBy(F.col(stratum).alias("__stratum"), "v").agg(F.count("*").alias("size"))
+    chunks = chunked(cells, ["__stratum"], ["v"], "size", ["v"])
+    ones = rows.groupBy(F.col(stratum).alias("__stratum")).agg(F.sum("y").alias("n"))
+    reps = ones.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    asked = drawn_chunks(chunks, ["__stratum"], reps, seed, False).withColumn("__g", F.xxhash64("__stratum", "chunk")).select("rep", "__g", "n", "sizes", "v")
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            sums = [float(split(np.asarray(s, np.int64), int(n), False, stream(seed, r, g, 1)) @ np.asarray(v)) for r, g, n, s, v in zip(f["rep"], f["__g"], f["n"], f["sizes"], f["v"], strict=True)]
+            yield pd.DataFrame({"rep": f["rep"], "v1": sums}).groupby("rep", as_index=False).sum()
+
+    dealt = asked.mapInPandas(deal, "rep long, v1 double").groupBy("rep").agg(F.sum("v1").alias("v1"))
+    all_ = rows.agg(F.count("*").alias("n"), F.sum("y").alias("n1"), F.sum("v").alias("v"))  # one row
+    both = df.sparkSession.range(replicates).select(F.col("id").alias("rep")).join(dealt, "rep", "left").crossJoin(all_).where("n > 0")
+    v1 = F.coalesce("v1", F.lit(0.0))
+    return both.select("rep", (F.try_divide(v1, F.col("n1")) - F.try_divide(F.col("v") - v1, F.col("n") - F.col("n1"))).alias("difference"))
+
+
+def _hashed_permutation(rows: DataFrame, stratum: str, key: str, replicates: int, seed: int) -> DataFrame:
     ones = rows.groupBy(stratum).agg(F.sum("y").alias("ones"))
     spread = rows.join(ones, stratum).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = spread.withColumn("__draw", draw(seed, "rep", key)).withColumn("__one", F.lit(1).cast("long"))
@@ -137,10 +176,25 @@ def stratified_permutation(df: DataFrame, value: str, label: str, stratum: str,
 
 
 def random_sets(df: DataFrame, key: str, value: str, k: int, replicates: int, seed: int) -> DataFrame:
-    """RS-05: (rep, mean) of ``k`` distinct rows drawn in each replicate."""
-    spread = df.select(key, value).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    w = Window.partitionBy("rep").orderBy(draw(seed, "rep", key), key)
-    return spread.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("rep").agg(F.avg(value).alias("mean"))
+    """RS-05: (rep, mean) of ``k`` distinct rows drawn in each replicate: those with the smallest draws.
+
+    Of n rows the k smallest draws lie under about k / n of their range, so only rows under a bound
+    somewhat above leave the scan, a few more than k per replicate. A replicate with fewer than k
+    under it, which hardly ever occurs, is drawn again without the bound.
+    """
+    rows = df.select(key, value)
+    bound = int(min(1.0, (k + 8 * k**0.5 + 16) / max(rows.count(), 1)) * (1 << 48))
+
+    def drawn(reps: DataFrame | None, most: int) -> DataFrame:
+        spread = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)) if reps is None else F.array(*[F.lit(r) for r in reps])))
+        return spread.withColumn("__draw", draw(seed, "rep", key)).where(F.col("__draw") <= most)
+
+    near = stable(drawn(None, bound))
+    full = {r["rep"] for r in near.groupBy("rep").count().where(F.col("count") >= k).collect()}  # a row per replicate
+    short = sorted(set(range(replicates)) - full)
+    found = near if not short or bound >= 1 << 48 else near.where(~F.col("rep").isin(short)).unionByName(drawn(short, 1 << 48))
+    w = Window.partitionBy("rep").orderBy("__draw", key)
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("rep").agg(F.avg(value).alias("mean"))
 
 
 def slope_differences(df: DataFrame, unit: str, outcome: str, slopes: dict[str, list[str]], replicates: int, seed: int) -> DataFrame:
@@ -198,22 +252,64 @@ def slope_contrasts(replicates: DataFrame, observed: DataFrame) -> DataFrame:
     return bh_adjust(told.join(seen, ["map_a", "map_b"]), "p")
 
 
-def r2_bootstrap(paired: DataFrame, dataset: str, unit: str, y: str, models: list[str], replicates: int, seed: int, hierarchical: bool = False) -> DataFrame:
-    """RS-08, 09: (rep, dataset, r2_<model>): units drawn within datasets; datasets drawn first if ``hierarchical``.
+#: Rows of a dataset, about, that share one random stream and one row of sums.
+CHUNK_ROWS = 2048
+
 
-    A hierarchical replicate has a row per dataset drawn, with its multiplicity; macro values are
-    weighted means over them. Draws are made in runs of ``RUN``, which are dealt to all tasks.
+def r2_bootstrap(paired: DataFrame, dataset: str, unit: str, y: str, models: list[str], replicates: int, seed: int, hierarchical: bool = False, by_row: bool = False) -> DataFrame:
+    """RS-08, 09: (rep, dataset, times, r2_<model>): units drawn within datasets; datasets drawn first if ``hierarchical``.
+
+    A hierarchical replicate has a row per dataset drawn, with its multiplicity ``times``; macro
+    values are weighted means over them. Rows are dealt once into chunks of about ``CHUNK_ROWS`` by
+    a hash of the unit; a replicate's draws are split over a dataset's chunks, drawn inside the
+    chunk, and leave it as sums. With ``by_row`` every draw is a hash of its number instead. Rows
+    with a null take no part.
     """
-    rows = paired.select(dataset, unit, F.col(y).alias("y"), *models).dropna()
-    rows = numbered(rows, [unit], group=[dataset])
+    rows = paired.select(dataset, unit, F.col(y).cast("double").alias("y"), *models).dropna()
+    if by_row:
+        return _hashed_r2(paired, rows, dataset, unit, models, replicates, seed, hierarchical)
     sizes = rows.groupBy(dataset).agg(F.count("*").alias("n"))
-    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    if hierarchical:
-        named = numbered(sizes.select(dataset), [dataset], "d")
-        drawn = multiplicities(paired.sparkSession, named.count(), replicates, seed + 1).withColumnRenamed("idx", "d").withColumnRenamed("m", "times")
-        reps = reps.join(named, dataset).join(drawn, ["rep", "d"]).drop("d")
-    else:
-        reps = reps.withColumn("times", F.lit(1).cast("long"))
+    reps = _replicates(paired, sizes, dataset, replicates, seed, hierarchical)
+    count = F.ceil(F.col("n") / CHUNK_ROWS)
+    cells = F.array(F.col("y"), *[F.col(m).cast("double") for m in models])
+    placed = rows.join(sizes, dataset).select(dataset, F.pmod(F.xxhash64(F.lit("chunk"), unit), count).alias("chunk"), F.col(unit).alias("__u"), cells.alias("__v"))
+    held = placed.groupBy(dataset, "chunk").agg(F.sort_array(F.collect_list(F.struct("__u", "__v"))).alias("__r"))  # about ``CHUNK_ROWS``
+    chunks = stable(held.select(dataset, "chunk", F.size("__r").cast("long").alias("size"), F.flatten("__r.__v").alias("values")))
+    asked = drawn_chunks(chunks, [dataset], reps, seed, True).withColumn("__g", F.xxhash64(dataset, "chunk"))
+    width = 1 + len(models)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for rep, name, g, n, size, values in zip(f["rep"], f[dataset], f["__g"], f["n"], f["size"], f["values"], strict=True):
+                v = np.asarray(values, dtype=float).reshape(size, width)
+                m = np.bincount(stream(seed, rep, g, 1).integers(0, size, int(n)), minlength=size)
+                out.append((rep, name, n, m @ v[:, 0], m @ v[:, 0] ** 2, *(m @ (v[:, :1] - v[:, 1:]) ** 2)))
+            names = ["rep", dataset, "n", "s", "ss", *[f"e{i}" for i in range(len(models))]]
+            yield pd.DataFrame(out, columns=names).groupby(["rep", dataset], as_index=False).sum()
+
+    kinds = ", ".join(["rep long", f"`{dataset}` {paired.schema[dataset].dataType.simpleString()}", "n long", "s double", "ss double", *[f"e{i} double" for i in range(len(models))]])
+    total = F.sum("ss") - F.sum("s") ** 2 / F.sum("n")
+    found = asked.select("rep", dataset, "__g", "n", "size", "values").mapInPandas(sums, kinds).groupBy("rep", dataset).agg(
+        *[(1 - F.try_divide(F.sum(f"e{i}"), total)).alias(f"r2_{m}") for i, m in enumerate(models)]
+    )
+    return reps.select("rep", dataset, "times").join(found, ["rep", dataset])
+
+
+def _replicates(paired: DataFrame, sizes: DataFrame, dataset: str, replicates: int, seed: int, hierarchical: bool) -> DataFrame:
+    """(rep, dataset, n, times): which datasets are in which replicate."""
+    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    if not hierarchical:
+        return reps.withColumn("times", F.lit(1).cast("long"))
+    named = numbered(sizes.select(dataset), [dataset], "d")
+    drawn = multiplicities(paired.sparkSession, named.count(), replicates, seed + 1).withColumnRenamed("idx", "d").withColumnRenamed("m", "times")
+    return reps.join(named, dataset).join(drawn, ["rep", "d"]).drop("d")
+
+
+def _hashed_r2(paired: DataFrame, rows: DataFrame, dataset: str, unit: str, models: list[str], replicates: int, seed: int, hierarchical: bool) -> DataFrame:
+    """A hash per draw; draws are made in runs of ``RUN``, which are dealt to all tasks."""
+    rows = numbered(rows, [unit], group=[dataset])
+    reps = _replicates(paired, rows.groupBy(dataset).agg(F.count("*").alias("n")), dataset, replicates, seed, hierarchical)
     runs = reps.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
     spread = int(paired.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = runs.repartition(spread, "rep", dataset, "first")

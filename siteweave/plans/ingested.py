@@ -89,7 +89,7 @@ def fasta_scan(spark, sf):
     """SRC-05: the sequences of some accessions of a wrapped FASTA file, named without their versions."""
     docs = table(spark, sf, "documents")
     letters = F.regexp_replace(F.upper("text"), "[^ACGTU]", "")
-    record = F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(".1 of a document\n"), F.regexp_replace(letters, "(.{60})", "$1\n"))
+    record = F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(".1 of a document, A->G > it\n"), F.regexp_replace(letters, "(.{60})", "$1\n"))
     path = _path(spark, "fasta")
     docs.select(record.alias("value")).write.text(path)
     return files.read_fasta(spark, path, docs.where("lang = 'en'").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("accession")))
@@ -235,7 +235,11 @@ def coordinate_columns(spark, sf):
     return spark.createDataFrame([(got["status"], got.get("chrom"), got.get("pos"))], "status string, chrom string, pos string")
 
 
-@query("select unnest(['p_size', 'p_retailprice', 'twice']) as \"column\" from (select count_if(p_size + 0 <> p_size) as n from part) where n = 0", mapped=False)
+@query("""with l as (
+  select p_partkey as k, unnest(['p_size', 'p_retailprice', 'again', 'twice', 'price']) as name, unnest([0, 1, 2, 3, 4]) as i,
+    unnest([p_size::double, p_retailprice::double, (p_size + 0)::double, (p_size * 2)::double, p_retailprice::double]) as v from part),
+ same as (select a.i from l a join l b on a.k = b.k and b.i < a.i group by a.i, b.i having bool_and(a.v is not distinct from b.v))
+ select distinct name as "column" from l where i not in (select i from same)""", mapped=False)
 def distinct_columns(spark, sf):
     """SRC-23: value columns without repetitions of earlier ones."""
     part = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_size") + 0).alias("again"), (F.col("p_size") * 2).alias("twice"), F.col("p_retailprice").alias("price"))

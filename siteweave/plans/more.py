@@ -395,18 +395,25 @@ def _paired(spark, sf):
 @query(_R2.replace("{levels}", _DRAWN_SETS) + "select rep, ds, times, 1 - a / t as r2_f1, 1 - b / t as r2_f2 from z", "r2_f1 r2_f2", mapped=False)
 def dataset_r2_bootstrap(spark, sf):
     """RS-09: bootstrap of R-squared by dataset with datasets drawn first."""
-    return resample.r2_bootstrap(_paired(spark, sf), "ds", "vec_id", "y", ["f1", "f2"], REPLICATES, 31, hierarchical=True)
+    return resample.r2_bootstrap(_paired(spark, sf), "ds", "vec_id", "y", ["f1", "f2"], REPLICATES, 31, hierarchical=True, by_row=True)
 
 
 @query(_R2.replace("{levels}", "lv as (select rep, ds, 1 as times, n from s, reps)") + """, x as (select ds, b, a, t, (1 - b / t) - (1 - a / t) as delta from z)
  select ds, quantile_cont(delta, .025) as ci_low, quantile_cont(delta, .975) as ci_high, count(delta) as n_boot from x group by 1""", "ci_low ci_high", mapped=False)
 def r2_delta_intervals(spark, sf):
     """RS-08: interval of the difference of two models' R-squared by dataset."""
-    drawn = resample.r2_bootstrap(_paired(spark, sf), "ds", "vec_id", "y", ["f1", "f2"], REPLICATES, 31)
+    drawn = resample.r2_bootstrap(_paired(spark, sf), "ds", "vec_id", "y", ["f1", "f2"], REPLICATES, 31, by_row=True)
     delta = F.col("r2_f2") - F.col("r2_f1")
     return drawn.groupBy("ds").agg(F.percentile(delta, F.lit(0.025)).alias("ci_low"), F.percentile(delta, F.lit(0.975)).alias("ci_high"), F.count(delta).alias("n_boot"))
 
 
+@query()
+def r2_by_chunks(spark, sf):
+    """RS-08, 09: bootstrap of R-squared over all components' models, datasets drawn first, drawn chunk by chunk."""
+    rows, features = _dense(spark, sf)
+    return resample.r2_bootstrap(rows, "ds", "vec_id", "y", features, REPLICATES, 31, hierarchical=True)
+
+
 @query()
 def ranker_evaluation(spark, sf):
     """The evaluation record of a score; each of its numbers has a query of its own with SQL."""

@@ -91,10 +91,11 @@ def cross_cell_disjoint(spark, sf):
     return loci.group_disjoint(union(spark, sf), "locus", "cell").select("cell", "locus", "motif", "breadth")
 
 
-@query("select locus, gene, y from u where cell = 'O' and gene not in (select gene from u where cell = 'F')")
+@query("select locus, gene, y from u where cell = 'O' and gene not in (select gene from u where cell = 'F' and breadth >= 2)")
 def gene_disjoint(spark, sf):
+    """JN-05: loci of one cell whose gene has no locus of several technologies in the other."""
     u = union(spark, sf)
-    return loci.absent_from(u.where("cell = 'O'"), u.where("cell = 'F'"), "gene").select("locus", "gene", "y")
+    return loci.absent_from(u.where("cell = 'O'"), u.where("cell = 'F' and breadth >= 2"), "gene").select("locus", "gene", "y")
 
 
 _LOG_RATIO = """with c as (select cell, motif, count_if(y = 0)::bigint as n0, count_if(y = 1)::bigint as n1 from u group by 1, 2),
@@ -451,7 +452,7 @@ def mapping_permutation(spark, sf):
     join n on o.motif = n.motif, range({REPLICATES}) a(rep))
  select rep, avg(v) filter (where y1) - avg(v) filter (where not y1) as difference from d group by 1""", "difference")
 def stratified_permutation(spark, sf):
-    return resample.stratified_permutation(union(spark, sf).where("cell = 'F'"), "breadth", "y", "motif", "locus", REPLICATES, 13)
+    return resample.stratified_permutation(union(spark, sf).where("cell = 'F'"), "breadth", "y", "motif", "locus", REPLICATES, 13, by_row=True)
 
 
 @query(_MAPPING.replace("{seed}", "12") + _OBSERVED + """, k as (
@@ -494,6 +495,19 @@ _ROW_DRAWS = f"""with f as (select score, breadth, y, row_number() over (order b
 def paired_delta_auroc(spark, sf):
     """Interval of the difference of two scores' AUROC over the same row draws."""
     rows = union(spark, sf).where("cell = 'F'").withColumn("other", F.col("breadth").cast("double"))
+    return resample.paired_difference(rows, ("score", "other"), "y", "locus", REPLICATES, 15, by_row=True)
+
+
+@query()
+def permutation_by_cells(spark, sf):
+    """RS-04: the stratified permutation with hypergeometric counts per cell."""
+    return resample.stratified_permutation(union(spark, sf).where("cell = 'F'"), "breadth", "y", "motif", "locus", REPLICATES, 13)
+
+
+@query()
+def paired_delta_by_cells(spark, sf):
+    """RS-06: the paired difference of AUROC with multinomial counts per cell."""
+    rows = union(spark, sf).where("cell = 'F'").withColumn("other", F.col("breadth").cast("double"))
     return resample.paired_difference(rows, ("score", "other"), "y", "locus", REPLICATES, 15)
 
 

@@ -211,8 +211,12 @@ def coordinate_columns(df: DataFrame, columns: list[str], least: float = 0.9) ->
 
 
 def distinct_columns(df: DataFrame, key: str, columns: list[str]) -> list[str]:
-    """SRC-23: the columns without those that repeat an earlier one, by an order-free hash of (key, value)."""
-    row = df.agg(*[F.bit_xor(F.xxhash64(key, F.col(c).cast("double"))).alias(f"h{i}") for i, c in enumerate(columns)]).first()
+    """SRC-23: the columns without those that repeat an earlier one, by an order-free sum of hashes of (key, value).
+
+    Repeated rows add up, so a column differs from another as soon as their (key, value) counts do.
+    """
+    total = lambda c: F.sum(F.xxhash64(key, F.col(c).cast("double")).cast("decimal(28,0)"))
+    row = df.agg(*[total(c).alias(f"h{i}") for i, c in enumerate(columns)]).first()
     seen: dict = {}
     return [c for i, c in enumerate(columns) if seen.setdefault(row[f"h{i}"], c) == c]
 

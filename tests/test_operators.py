@@ -314,7 +314,7 @@ def test_evaluation_agrees_with_its_parts(spark):
     df = spark.createDataFrame(rows, "k long, s double, y int")
     got = portability.evaluate(df, "s", "y", "k", replicates=50)
     assert got["auroc"] == stats.auroc(df, "s", "y").first()["auroc"] and got["auroc_low"] <= got["auroc"] <= got["auroc_high"] and got["lift_low"] <= got["lift_high"]
-    boot = resample.row_bootstrap(df, ["s"], "y", "k", 4, 1).collect()
+    boot = resample.row_bootstrap(df, ["s"], "y", "k", 4, 1, by_row=True).collect()
     idx = sorted(rows, key=lambda r: (r[1], r[2]))
     import hashlib
 
@@ -389,7 +389,7 @@ def test_no_dataset_or_stratum_is_one_task(spark, monkeypatch):
 
     monkeypatch.setattr(resample, "RUN", 7)
     data = [(ds, i, float((i * 7 + len(ds)) % 11), float((i * 5) % 7)) for ds, n in (("a", 40), ("bb", 7), ("c", 15)) for i in range(n)]
-    out = resample.r2_bootstrap(spark.createDataFrame(data, "ds string, u long, y double, p double").repartition(3), "ds", "u", "y", ["p"], 4, 9)
+    out = resample.r2_bootstrap(spark.createDataFrame(data, "ds string, u long, y double, p double").repartition(3), "ds", "u", "y", ["p"], 4, 9, by_row=True)
     got = {(r["rep"], r["ds"]): r["r2_p"] for r in out.collect()}
     want = {}
     for rep in range(4):
@@ -400,5 +400,5 @@ def test_no_dataset_or_stratum_is_one_task(spark, monkeypatch):
             want[rep, ds] = 1 - sum((r[2] - r[3]) ** 2 for r in picks) / sum((r[2] - mean) ** 2 for r in picks)
     assert got == pytest.approx(want)
     strata = spark.createDataFrame([("m", i, float(i), i % 2) for i in range(40)], "s string, k long, v double, y int")
-    for df in (out, resample.stratified_permutation(strata, "v", "y", "s", "k", 2, 1)):
+    for df in (out, *[resample.stratified_permutation(strata, "v", "y", "s", "k", 2, 1, by_row=b) for b in (False, True)]):
         assert "row_number" not in df._jdf.queryExecution().toString()
