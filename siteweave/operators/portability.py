@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from .ranks import expected_budget, layered_percentile, percentile_ranks, tie_inclusive_top
-from .resample import draw, interval, row_bootstrap
-from .stats import auroc, average_precision, macro_auroc, score_by
+from .fits import Task, fit_all, ranker
+from .ranks import histogram, layered_percentile, percentile_ranks, running, with_totals
+from .resample import draw, row_bootstrap
+from .stats import auroc, macro_auroc, score_by
 from .storage import stable
 
 #: Inverse penalties that tuning tries (fixed values).
@@ -89,75 +90,159 @@ def dealt_folds(units: DataFrame, unit: str, k: int, seed: int) -> DataFrame:
     return numbered(ordered, ["__d", unit], "__i").select(unit, (F.col("__i") % k).cast("int").alias("fold"))
 
 
+def _scoped(tasks: DataFrame, scopes: dict, label: str, unit: str, target: str, folds: int) -> tuple[DataFrame, dict]:
+    """A table of the tasks with, per scope, the weights w<i> of its training rows and their folds d<i>.
+
+    ``scopes`` maps a name to features and the target left out (None: none). A row's weight is one
+    by its unit's training rows. Also returns (i, usable folds) by scope; a fold is usable if the
+    rows outside it have both classes.
+    """
+    from .resample import numbered
+
+    features = sorted({f for fs, _ in scopes.values() for f in fs})
+    # A row's target may be null: it is left out by no scope that names one, and trains none of them.
+    trains = [F.lit(True) if t is None else F.coalesce(F.col(target) != t, F.lit(False)) for _, t in scopes.values()]
+    whole = [c & F.col(label).isNotNull() & _all_known(fs) for c, (fs, _) in zip(trains, scopes.values(), strict=True)]
+    base = tasks.select(*dict.fromkeys([unit, target, label, *features]))
+    per = base.groupBy(unit).agg(*[F.count_if(c).alias(f"__n{i}") for i, c in enumerate(whole)], *[F.count_if(c).alias(f"__t{i}") for i, c in enumerate(trains)])
+    spread = per.withColumn("scope", F.explode(F.array_compact(F.array(*[F.when(F.col(f"__t{i}") > 0, F.lit(i)) for i in range(len(scopes))]))))
+    dealt = numbered(spread.select("scope", F.col(unit).alias("__u"), draw(0, unit).alias("__d")), ["__d", "__u"], "__i", ["scope"])
+    held = dealt.groupBy("__u").agg(*[F.max(F.when(F.col("scope") == i, F.col("__i") % folds)).cast("int").alias(f"d{i}") for i in range(len(scopes))])
+    joined = base.join(per, unit).join(held, F.col(unit) == F.col("__u")).drop("__u")
+    table = stable(joined.select(
+        *base.columns, *[F.col(f"d{i}") for i in range(len(scopes))],
+        *[F.when(c, 1.0 / F.col(f"__n{i}")).otherwise(0.0).alias(f"w{i}") for i, c in enumerate(whole)], *[c.alias(f"t{i}") for i, c in enumerate(trains)],
+    ))
+    counts = F.array(*[F.struct(F.lit(i).alias("scope"), F.col(f"d{i}").alias("fold"), F.col(f"t{i}").alias("there")) for i in range(len(scopes))])
+    classes = table.select(label, F.explode(counts).alias("s")).where("s.there").groupBy("s.scope", "s.fold").agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")).collect()
+    usable = {}
+    for i, name in enumerate(scopes):
+        own = [r for r in classes if r["scope"] == i]
+        pos, n = sum(r["pos"] or 0 for r in own), sum(r["n"] for r in own)
+        usable[name] = i, sorted(r["fold"] for r in own if 0 < pos - (r["pos"] or 0) < n - r["n"])
+    return table, usable
+
+
+def _all_known(features: list[str]) -> Column:
+    return F.forall(F.array(*[F.col(f).cast("double") for f in features]), lambda x: x.isNotNull() & ~F.isnan(x)) if features else F.lit(True)
+
+
+def _tuned(table: DataFrame, usable: dict, scopes: dict, label: str, target: str, grid) -> dict[str, tuple[float, list[dict]]]:
+    """ML-04 for every scope at once: the chosen C and the record of the grid."""
+    grid = sorted(map(float, grid))
+    asked = [(name, f, c) for name, (_, folds) in usable.items() for f in folds for c in grid]
+    fits = fit_all(table, [Task(tuple(scopes[name][0]), f"w{usable[name][0]}", label, c, f"d{usable[name][0]}", f) for name, f, c in asked])
+    models = dict(zip(asked, map(ranker, fits), strict=True))
+    scores = []
+    for name, (i, folds) in usable.items():
+        for c in grid:
+            score = F.lit(None).cast("double")
+            for f in folds:
+                score = F.when(F.col(f"d{i}") == f, linear_score(models[name, f, c])).otherwise(score)
+            scores.append(F.struct(F.lit(i).alias("scope"), F.lit(c).alias("C"), F.col(f"d{i}").alias("fold"), F.when(F.col(f"t{i}"), score).alias("score")))
+    held = table.select(target, label, F.explode(F.array(*scores)).alias("s")).select(target, label, "s.*").where(F.col("score").isNotNull())
+    macro = macro_auroc(held, "score", label, target, ["scope", "C", "fold"]).groupBy("scope", "C").agg(F.avg("macro_auroc").alias("macro_auroc"), F.count("macro_auroc").alias("folds"))
+    found = {(r["scope"], r["C"]): r for r in macro.collect()}
+    out = {}
+    for name, (i, _) in usable.items():
+        rows = [{"C": c, "macro_auroc": found[i, c]["macro_auroc"] if (i, c) in found else None, "folds": found[i, c]["folds"] if (i, c) in found else 0} for c in grid]
+        scored = [r for r in rows if r["macro_auroc"] is not None]
+        out[name] = next((r["C"] for r in scored if r["macro_auroc"] >= max(x["macro_auroc"] for x in scored) - 1e-10), min(grid)), rows
+    return out
+
+
 def tune(train: DataFrame, features: list[str], label: str, unit: str, target: str, grid=C_GRID, folds: int = 5) -> tuple[float, list[dict]]:
     """ML-04: the C with the best mean macro AUROC over folds; a tie goes to the smallest. Folds with one class are skipped.
 
-    Units stay whole, and folds are dealt so that their numbers of units differ by one at most. All
-    held-out scores of the grid are columns of one table, and all their AUROCs come from one pass.
+    Units stay whole, and folds are dealt so that their numbers of units differ by one at most. The
+    fits of all folds and C go in the same rounds (``fits``), all held-out scores of the grid are
+    columns of one table, and all their AUROCs come from one pass.
     """
-    dealt = dealt_folds(train, unit, folds, 0)
-    split = stable(train.select(unit, target, label, *[f for f in features if f not in (unit, target, label)]).join(dealt, unit))
-    classes = split.groupBy("fold").agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")).collect()
-    pos, n = sum(r["pos"] or 0 for r in classes), sum(r["n"] for r in classes)
-    usable = sorted(r["fold"] for r in classes if 0 < pos - (r["pos"] or 0) < n - r["n"])
-    scores = []
-    for c in sorted(grid):
-        score = F.lit(None).cast("double")
-        for f in usable:
-            score = F.when(F.col("fold") == f, linear_score(fit_ranker(split.where(F.col("fold") != f), features, label, unit, c))).otherwise(score)
-        scores.append(F.struct(F.lit(float(c)).alias("C"), score.alias("score")))
-    held = split.select("fold", target, label, F.explode(F.array(*scores)).alias("s")).select("fold", target, label, "s.*")
-    macro = macro_auroc(held, "score", label, target, ["C", "fold"]).groupBy("C").agg(F.avg("macro_auroc").alias("macro_auroc"), F.count("macro_auroc").alias("folds"))
-    found = {r["C"]: r for r in macro.collect()}
-    rows = [{"C": float(c), "macro_auroc": found[c]["macro_auroc"] if c in found else None, "folds": found[c]["folds"] if c in found else 0} for c in map(float, sorted(grid))]
-    scored = [r for r in rows if r["macro_auroc"] is not None]
-    best = next((r["C"] for r in scored if r["macro_auroc"] >= max(x["macro_auroc"] for x in scored) - 1e-10), float(min(grid)))
-    return best, rows
-
-
-#: A target list longer than this isn't looped over.
+    scopes = {"all": (list(features), None)}
+    table, usable = _scoped(train, scopes, label, unit, target, folds)
+    return _tuned(table, usable, scopes, label, target, grid)["all"]
+
+
+#: A target list longer than this isn't fitted.
 MOST_TARGETS = 50
 
 
-def leave_target_out(tasks: DataFrame, features: list[str], label: str, unit: str, target: str, c: float | None = None, grid=C_GRID) -> DataFrame:
-    """ML-05: every task row scored by a ranker that never saw its target; C is tuned on the other targets unless given."""
-    targets = [r[0] for r in tasks.select(target).distinct().orderBy(target).limit(MOST_TARGETS + 1).collect()]
+def _left_out(tasks: DataFrame, feature_sets: dict[str, list[str]], label: str, unit: str, target: str, c: float | None, grid, folds: int = 5) -> dict[str, Column]:
+    """By feature set, the score of each row by a ranker that never saw its target; all fits in the same rounds."""
+    targets = [r[0] for r in tasks.select(target).where(F.col(target).isNotNull()).distinct().orderBy(target).limit(MOST_TARGETS + 1).collect()]
     if len(targets) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} values of {target}")
-    score = F.lit(None).cast("double")
-    for t in targets:
-        train = tasks.where(F.col(target) != t)
-        chosen = c if c is not None else tune(train, features, label, unit, target, grid)[0]
-        score = F.when(F.col(target) == t, linear_score(fit_ranker(train, features, label, unit, chosen))).otherwise(score)
-    return tasks.withColumn("score", score)
+    scopes = {(name, t): (features, t) for name, features in feature_sets.items() for t in targets}
+    if not scopes:
+        return {name: F.lit(None).cast("double") for name in feature_sets}
+    table, usable = _scoped(tasks, scopes, label, unit, target, folds)
+    chosen = {s: c for s in scopes} if c is not None else {s: best for s, (best, _) in _tuned(table, usable, scopes, label, target, grid).items()}
+    fits = fit_all(table, [Task(tuple(fs), f"w{usable[s][0]}", label, chosen[s]) for s, (fs, _) in scopes.items()])
+    models = dict(zip(scopes, map(ranker, fits), strict=True))
+    out = {}
+    for name in feature_sets:
+        score = F.lit(None).cast("double")
+        for t in targets:
+            score = F.when(F.col(target) == t, linear_score(models[name, t])).otherwise(score)
+        out[name] = score
+    return out
+
+
+def leave_target_out(tasks: DataFrame, features: list[str], label: str, unit: str, target: str, c: float | None = None, grid=C_GRID) -> DataFrame:
+    """ML-05: every task row scored by a ranker that never saw its target; C is tuned on the other targets unless given.
+
+    Rows without a target stay, unscored. More than ``MOST_TARGETS`` targets are an error.
+    """
+    return tasks.withColumn("score", _left_out(tasks, {"all": features}, label, unit, target, c, grid)["all"])
 
 
 def model_comparison(tasks: DataFrame, feature_sets: dict[str, list[str]], label: str, unit: str, target: str, c: float | None = None, grid=C_GRID) -> DataFrame:
     """ML-05: (model, target, n, n_pos, auroc) of every feature set, each target scored by rankers that never saw it."""
-    out = None
-    for name, features in feature_sets.items():
-        scored = leave_target_out(tasks, features, label, unit, target, c, grid)
-        part = auroc(scored, "score", label, [target]).select(F.lit(name).alias("model"), target, "n", "n_pos", "auroc")
-        out = part if out is None else out.unionByName(part)
-    return out
+    scores = _left_out(tasks, feature_sets, label, unit, target, c, grid)
+    each = F.array(*[F.struct(F.lit(name).alias("model"), score.alias("score")) for name, score in scores.items()])
+    rows = tasks.select(target, label, F.explode(each).alias("m")).select(target, label, "m.*")
+    return auroc(rows, "score", label, ["model", target]).select("model", target, "n", "n_pos", "auroc")
+
+
+def measures(df: DataFrame, score: str, label: str, fractions: tuple[float, ...] = (0.1, 0.2), budgets: tuple[int, ...] = (50, 100, 200), group: list[str] = ()) -> DataFrame:
+    """ML-08: n, positives, prevalence, AUROC, AP, precision and lift of top shares (ties at the edge included), expected
+    positives and lift of budgets (ties at the edge exchangeable), by group; a row in any case if there is no group.
+
+    One histogram by score with running sums from the greatest score down, of which all are aggregates:
+    the rows are shuffled once. Null scores and labels take no part.
+    """
+    group = list(group)
+    hist = histogram(df, group, score, label)
+    cut = running(with_totals(hist, group, ["n", "pos"]), group, [F.col(score).desc()], ["n", "pos"])
+    n, pos, before = F.sum("n"), F.sum("pos"), F.col("cum_n") - F.col("n")
+    neg_below = F.col("total_n") - F.col("total_pos") - (F.col("cum_n") - F.col("cum_pos"))
+    prevalence = F.max("total_pos") / F.max("total_n")
+    out = [
+        F.coalesce(n, F.lit(0)).alias("n"), F.coalesce(pos, F.lit(0)).alias("n_pos"), prevalence.alias("prevalence"),
+        F.try_divide(F.sum(F.col("pos") * (neg_below + F.col("neg") / 2)), pos.cast("double") * F.sum("neg")).alias("auroc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")), pos).alias("average_precision"),
+    ]
+    for f in fractions:
+        inside = before < F.greatest(F.ceil(F.lit(f) * F.col("total_n")), F.lit(1))
+        precision = F.sum(F.when(inside, F.col("pos"))) / F.sum(F.when(inside, F.col("n")))
+        out += [precision.alias(f"precision_{f:g}"), F.try_divide(precision, prevalence).alias(f"lift_{f:g}")]
+    for k in budgets:
+        most = F.least(F.lit(k), F.col("total_n"))
+        picked = F.when(before < most, F.least(F.col("n"), most - before) * F.col("pos") / F.col("n"))
+        out += [F.sum(picked).alias(f"expected_{k}"), F.try_divide(F.sum(picked) / F.max(most), prevalence).alias(f"expected_lift_{k}")]
+    return cut.groupBy(*group).agg(*out)
 
 
 def evaluate(df: DataFrame, score: str, label: str, key: str, replicates: int = 200, seed: int = 1) -> dict:
-    """ML-08: n, positives, prevalence, AUROC and lift of the top tenth with intervals, AP, precision and lift of shares and budgets."""
-    out = auroc(df, score, label).first().asDict()
-    out["prevalence"] = out["n_pos"] / out["n"] if out["n"] else None
-    out |= average_precision(df, score, label).first().asDict()
-    boot = stable(row_bootstrap(df, [score], label, key, replicates, seed, fraction=0.1))
-    low, lift = interval(boot, f"auroc_{score}").first(), interval(boot, f"lift_{score}").first()
-    above = boot.agg(F.avg((F.col(f"auroc_{score}") > 0.5).cast("double")).alias("x")).first()["x"]
-    out |= {"auroc_low": low["ci_low"], "auroc_high": low["ci_high"], "auroc_above_half": above, "lift_low": lift["ci_low"], "lift_high": lift["ci_high"]}
-    for f in (0.1, 0.2):
-        top = tie_inclusive_top(df, score, label, f).first()
-        out |= {f"precision_{f:g}": top["precision"], f"lift_{f:g}": top["lift"]}
-    for k in (50, 100, 200):
-        got = expected_budget(df, score, label, k).first()
-        out |= {f"expected_{k}": got["expected_positives"], f"expected_lift_{k}": got["expected_lift"]}
-    return out
+    """ML-08: ``measures`` with intervals of AUROC and of the lift of the top tenth, and the share of replicates above one half."""
+    out = measures(df, score, label).first().asDict()
+    boot = row_bootstrap(df, [score], label, key, replicates, seed, fraction=0.1)
+    low = lambda c, p: F.percentile(F.col(f"{c}_{score}"), F.lit(p))
+    found = boot.agg(
+        low("auroc", 0.025).alias("auroc_low"), low("auroc", 0.975).alias("auroc_high"), F.avg((F.col(f"auroc_{score}") > 0.5).cast("double")).alias("auroc_above_half"),
+        low("lift", 0.025).alias("lift_low"), low("lift", 0.975).alias("lift_high"),
+    )
+    return out | found.first().asDict()
 
 
 #: Thresholds of the development choice: a model is useful from the first three on, the larger one gains from the last two on (fixed values).

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_tail, t_quantile, t_tail
+from .fits import Task, fit_all, gather, moments
 
 
 @dataclass
@@ -139,25 +140,76 @@ def with_interaction(df: DataFrame, x: str, group: str, level: str, out: str) ->
 def label_models(df: DataFrame, labels: str, declared: list[str], predictors: list[str], cluster: str, effect: str, least: int = 20) -> list[dict]:
     """ST-15: the ``effect`` term of a model for each declared label of an array column, with BH q across labels.
 
-    Labels with fewer than ``least`` rows are left out.
+    Labels with fewer than ``least`` rows, or that all rows have, are left out. All labels go in the
+    same rounds (``fits``), over cells of equal predictors and cluster.
     """
-    held = F.coalesce(F.col(labels), F.array().cast(df.schema[labels].dataType))
-    counts = df.agg(*[F.count_if(F.array_contains(held, v)).alias(f"n{i}") for i, v in enumerate(declared)], F.count("*").alias("n")).first()
-    out = []
-    for i, v in enumerate(declared):
-        if counts[f"n{i}"] >= least and counts[f"n{i}"] < counts["n"]:
-            fit = logistic_cluster(df.withColumn("__y", F.array_contains(held, v).cast("int")), "__y", predictors, cluster)
-            row = next(r for r in fit.rows() if r["term"] == effect)
-            out.append({"label": v, "cases": counts[f"n{i}"]} | row)
-    for r, q in zip(out, bh([r["p"] for r in out]), strict=True):
-        r["q"] = q
-    return out
+    return _labels_of(df, labels, declared, {"": (F.lit(True), predictors)}, cluster, effect, least)[""]
 
 
 def single_label_models(df: DataFrame, labels: str, declared: list[str], scopes: dict[str, tuple[Column, list[str]]], cluster: str, effect: str, least: int = 10) -> list[dict]:
     """ST-28: which label a row has, among rows with exactly one, by scope (a condition and its predictors); BH q within each scope."""
-    single = df.where(F.size(labels) == 1)
-    return [{"scope": name} | r for name, (keep, xs) in scopes.items() for r in label_models(single.where(keep), labels, declared, xs, cluster, effect, least)]
+    found = _labels_of(df.where(F.size(labels) == 1), labels, declared, scopes, cluster, effect, least)
+    return [{"scope": name} | r for name, rows in found.items() for r in rows]
+
+
+def _labels_of(df: DataFrame, labels: str, declared: list[str], scopes: dict[str, tuple[Column, list[str]]], cluster: str, effect: str, least: int) -> dict[str, list[dict]]:
+    held = F.coalesce(F.col(labels), F.array().cast(df.schema[labels].dataType))
+    inside = [F.coalesce(keep, F.lit(False)) for keep, _ in scopes.values()]
+    has = [F.array_contains(held, v) for v in declared]
+    counts = df.agg(
+        *[F.count_if(c & h).alias(f"n{i}_{j}") for i, c in enumerate(inside) for j, h in enumerate(has)], *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(inside)]
+    ).first()
+    used = sorted({p for _, ps in scopes.values() for p in ps})
+    names = {p: f"x{i}" for i, p in enumerate(used)}
+    known = [c & F.forall(F.array(*[F.col(p).cast("double") for p in ps]), lambda x: x.isNotNull()) & F.col(cluster).isNotNull() for c, (_, ps) in zip(inside, scopes.values(), strict=True)]
+    cells = df.groupBy(F.col(cluster).cast("string").alias("__c"), *[F.col(p).cast("double").alias(n) for p, n in names.items()]).agg(
+        *[F.count_if(k).cast("double").alias(f"w{i}") for i, k in enumerate(known)], *[F.count_if(k & h).cast("double").alias(f"y{i}_{j}") for i, k in enumerate(known) for j, h in enumerate(has)]
+    ).persist()
+    try:
+        wanted = [(i, j, name) for i, name in enumerate(scopes) for j in range(len(declared)) if least <= counts[f"n{i}_{j}"] < counts[f"n{i}"]]
+        tasks = [Task(tuple(names[p] for p in scopes[name][1]), f"w{i}", f"y{i}_{j}", trials=True) for i, j, name in wanted]
+        sizes = moments(cells, [Task(t.features, t.weight, t.weight, trials=True) for t in tasks])
+        fits = _clustered(cells, tasks, fit_all(cells, tasks), [int(m["weight"]) for m in sizes])
+    finally:
+        cells.unpersist()
+    out: dict[str, list[dict]] = {name: [] for name in scopes}
+    for (i, j, name), fit in zip(wanted, fits, strict=True):
+        fit.terms = ["intercept", *scopes[name][1]]
+        row = next(r for r in fit.rows() if r["term"] == effect)
+        out[name].append({"label": declared[j], "cases": counts[f"n{i}_{j}"]} | row)
+    for rows in out.values():
+        for r, q in zip(rows, bh([r["p"] for r in rows]), strict=True):
+            r["q"] = q
+    return out
+
+
+def _clustered(cells: DataFrame, tasks: list[Task], states: list, sizes: list[int]) -> list[Fit]:
+    """Fits of cells (trials and successes) with covariances robust to the clusters ``__c``, in one job."""
+    sums, starts, at = [], [], 0
+    for t, s in zip(tasks, states, strict=True):
+        xs = [F.lit(1.0), *[F.col(x) for x in t.features]]
+        eta = sum((float(b) * x for b, x in zip(s.beta, xs, strict=True)), F.lit(0.0))
+        resid = F.col(t.label) - F.col(t.weight) / (1 + F.exp(-F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))))
+        there = F.col(t.weight) > 0
+        sums += [F.sum(F.when(there, resid * x)).alias(f"s{at + i}") for i, x in enumerate(xs)]
+        starts.append((at, len(xs)))
+        at += len(xs)
+    if not tasks:
+        return []
+
+    def kernel(f: pd.DataFrame):
+        for i, (first, k) in enumerate(starts):
+            v = f[[f"s{first + j}" for j in range(k)]].to_numpy(float)
+            v = v[~np.isnan(v).any(axis=1)]
+            yield i, np.concatenate(([len(v)], (v.T @ v).ravel()))
+
+    out = []
+    for t, s, n, found in zip(tasks, states, sizes, gather(cells.groupBy("__c").agg(*sums), kernel, len(tasks)), strict=True):
+        k, clusters = len(s.beta), int(found[0])
+        bread = np.linalg.pinv(s.hessian)
+        fix = clusters / max(clusters - 1, 1) * (n - 1) / max(n - k, 1)
+        out.append(Fit(["intercept", *t.features], s.beta, bread @ found[1:].reshape(k, k) @ bread * fix, n, clusters))
+    return out
 
 
 def bh(p: list[float | None]) -> list[float | None]:
