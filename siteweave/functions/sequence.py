@@ -41,37 +41,42 @@ def windows(text: Column, k: int, step: int = 1) -> Column:
     return F.when(F.length(text) >= k, cut).otherwise(F.array().cast("array<string>"))
 
 
-#: Longest k of which a code of two bits a letter fits into a long.
-MOST_K = 31
-_CODE = np.full(256, 4, np.uint8)
-_CODE[list(DNA.encode())] = range(4)
+#: Bits of a k-mer's code, at most: 31 letters of DNA.
+MOST_BITS = 62
 
 
-def kmer_codes(text: bytes, k: int) -> np.ndarray:
-    """Codes of the clean k-letter windows of a text, two bits a letter, in order; linear in its length for any k."""
-    letters = _CODE[np.frombuffer(text, np.uint8)]
+def letter_bits(alphabet: str) -> int:
+    return max(1, (len(alphabet) - 1).bit_length())
+
+
+def kmer_codes(text: bytes, k: int, alphabet: str = DNA) -> np.ndarray:
+    """Codes of the clean k-letter windows of a text, ``letter_bits`` a letter, in order; linear in its length for any k."""
+    values = np.full(256, len(alphabet), np.uint8)
+    values[list(alphabet.encode("ascii"))] = range(len(alphabet))
+    letters, bits = values[np.frombuffer(text, np.uint8)], letter_bits(alphabet)
     n = len(letters) - k + 1
     if n < 1:
         return np.empty(0, np.int64)
-    # Windows of a power of two letters double; the rest of k is put in front, power by power.
-    out, done, power, width = np.zeros(n, np.int64), 0, np.where(letters < 4, letters, 0).astype(np.int64), 1
+    # Windows of a power of two letters double; those that make up k are put one behind the other.
+    bad = letters == len(alphabet)
+    out, done, power, width = np.zeros(n, np.int64), 0, np.where(bad, 0, letters).astype(np.int64), 1
     while done < k:
-        if (k >> (width.bit_length() - 1)) & 1:
-            out = (out << (2 * width)) | power[done : done + n]
+        if k & width:
+            out = (out << (bits * width)) | power[done : done + n]
             done += width
         if done < k:
-            power = (power[: len(power) - width] << (2 * width)) | power[width:]
+            power = (power[: len(power) - width] << (bits * width)) | power[width:]
             width *= 2
-    bad = np.concatenate(([0], np.cumsum(letters > 3)))
-    return out[bad[k:] == bad[: n]]
+    seen = np.concatenate(([0], np.cumsum(bad)))
+    return out[seen[k:] == seen[:n]]
 
 
-def _code_counts(k: int):
+def _code_counts(k: int, alphabet: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, codes, counts = [], [], []
             for i, text in enumerate(batch.column(1)):
-                found, n = np.unique(kmer_codes((text.as_py() or "").encode("ascii", "replace"), k), return_counts=True)
+                found, n = np.unique(kmer_codes((text.as_py() or "").encode("ascii", "replace"), k, alphabet), return_counts=True)
                 key.append(np.full(len(found), i))
                 codes.append(found)
                 counts.append(n)
@@ -82,24 +87,25 @@ def _code_counts(k: int):
     return count
 
 
-def _kmer(code: Column, k: int) -> Column:
-    letter = lambda i: F.substring(F.lit(DNA), F.shiftright(code, 2 * (k - 1 - i)).bitwiseAND(F.lit(3).cast("long")).cast("int") + 1, F.lit(1))
-    return F.concat(*[letter(i) for i in range(k)])
+def _kmer(code: Column, k: int, alphabet: str) -> Column:
+    bits = letter_bits(alphabet)
+    place = lambda i: F.shiftright(code, bits * (k - 1 - i)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+    return F.concat(*[F.substring(F.lit(alphabet), place(i) + 1, F.lit(1)) for i in range(k)])
 
 
 def kmer_frequencies(df: DataFrame, key: str, text: str, k: int, alphabet: str | None = DNA) -> DataFrame:
     """FN-29: (key, kmer, n, frequency): clean windows counted, all windows in the denominator.
 
-    DNA k-mers up to ``MOST_K`` letters are rolling codes, counted per sequence in its task.
-    ``alphabet`` None takes every window.
+    k-mers whose codes fit into ``MOST_BITS`` are rolling codes, counted per sequence in its task.
+    ``alphabet`` (ASCII letters) None takes every window.
     """
-    if alphabet == DNA and k <= MOST_K:
+    if alphabet and k * letter_bits(alphabet) <= MOST_BITS:
         kind = df.schema[key].dataType.simpleString()
         rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.greatest(F.length(text) - k + 1, F.lit(0)).cast("long").alias("all"))
-        found = rows.select("key", "text").mapInArrow(_code_counts(k), f"key {kind}, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
+        found = rows.select("key", "text").mapInArrow(_code_counts(k, alphabet), f"key {kind}, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
         sizes = rows.where("all > 0").groupBy("key").agg(F.max("all").alias("all"))
         joined = found.join(sizes, "key")
-        return joined.select(F.col("key").alias(key), _kmer(F.col("code"), k).alias("kmer"), "n", (F.col("n") / F.col("all")).alias("frequency"))
+        return joined.select(F.col("key").alias(key), _kmer(F.col("code"), k, alphabet).alias("kmer"), "n", (F.col("n") / F.col("all")).alias("frequency"))
     # Letters are split once per row: a substring of a long text would be searched from its start each time.
     split = df.select(key, F.greatest(F.length(text) - k + 1, F.lit(0)).alias("__all"), F.split(text, "").alias("__letters")).where("__all > 0")
     pieces = F.transform(F.sequence(F.lit(1), F.size("__letters") - k + 1), lambda i: F.array_join(F.slice("__letters", i, k), ""))
@@ -111,11 +117,11 @@ def kmer_frequencies(df: DataFrame, key: str, text: str, k: int, alphabet: str |
 
 
 def chunk_kmers(chunks: DataFrame, k: int, record: str = "record", offset: str = "offset", chunk: str = "chunk") -> DataFrame:
-    """FN-29: ``kmer_frequencies`` of sequences in pieces (``files.fasta_chunks``), a row per record and k-mer.
+    """FN-29: ``kmer_frequencies`` of DNA in pieces (``files.fasta_chunks``), a row per record and k-mer.
 
-    A piece takes the first k - 1 letters of the next ones along, so windows across borders count
+    A piece takes the first k - 1 letters of the next one along, so windows across borders count
     once and a sequence is spread over as many tasks as it has pieces. Pieces are at least k - 1 letters
-    long but for the last; k is ``MOST_K`` at most.
+    long but for the last; k is 31 at most.
     """
     after = Window.partitionBy(record).orderBy(offset)
     heads = chunks.select(record, offset, F.length(chunk).alias("size"), F.left(F.col(chunk), F.lit(k - 1)).alias("head"))
@@ -123,9 +129,9 @@ def chunk_kmers(chunks: DataFrame, k: int, record: str = "record", offset: str =
     totals = heads.groupBy(record).agg(F.greatest(F.sum("size") - k + 1, F.lit(0)).alias("all"))
     whole = chunks.join(nexts, [record, offset]).select(F.col(record).alias("key"), F.concat(chunk, "__next").alias("text"))
     kind = chunks.schema[record].dataType.simpleString()
-    found = whole.mapInArrow(_code_counts(k), f"key {kind}, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
+    found = whole.mapInArrow(_code_counts(k, DNA), f"key {kind}, code long, n long").groupBy("key", "code").agg(F.sum("n").alias("n"))
     joined = found.withColumnRenamed("key", record).join(totals, record)
-    return joined.select(record, _kmer(F.col("code"), k).alias("kmer"), "n", (F.col("n") / F.col("all")).alias("frequency"))
+    return joined.select(record, _kmer(F.col("code"), k, DNA).alias("kmer"), "n", (F.col("n") / F.col("all")).alias("frequency"))
 
 
 def sense_codons() -> list[str]:

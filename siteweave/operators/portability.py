@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from .fits import Task, fit_all, ranker
 from .ranks import histogram, layered_percentile, percentile_ranks, running, with_totals
-from .resample import draw, row_bootstrap
+from .resample import draw, paired_difference, row_bootstrap
 from .stats import auroc, macro_auroc, score_by
 from .storage import stable
 
@@ -280,6 +280,28 @@ def lockbox_verdict(n_pos: Column, auroc_: Column, low: Column, above_half: Colu
     )
 
 
+def decide(spark: SparkSession, development: DataFrame, lockbox: DataFrame, full: str, simple: str, label: str, key: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """ML-10: the development choice between two scores, and the lockbox verdict on the one chosen; one row.
+
+    Both scores are evaluated on ``development`` and compared over shared draws; ``lockbox`` is looked
+    at only if one of them is chosen, with that score. Without a choice the verdict is null.
+    """
+    seen = {name: evaluate(development, score, label, key, replicates, seed) for name, score in (("full", full), ("simple", simple))}
+    paired = paired_difference(development, (simple, full), label, key, replicates, seed).first()
+    gain = None if None in (seen["full"]["auroc"], seen["simple"]["auroc"]) else seen["full"]["auroc"] - seen["simple"]["auroc"]
+    of = lambda measure: {name: F.lit(e[measure]).cast("double") for name, e in seen.items()}
+    number = lambda x: F.lit(x).cast("double")
+    choice = development_choice(of("auroc"), of("auroc_low"), of("lift_0.1"), number(gain), number(paired["p_above_0"]))
+    status, selected = spark.range(1).select(*choice).first()
+    out = [number(gain).alias("gain"), number(paired["p_above_0"]).alias("gain_share"), F.lit(status).alias("status"), F.lit(selected).alias("selected")]
+    if selected == "none":
+        return spark.range(1).select(*out, F.lit(None).cast("long").alias("n_pos"), number(None).alias("auroc"), F.lit(None).cast("string").alias("verdict"))
+    held = evaluate(lockbox, simple if selected == "simple" else full, label, key, replicates, seed)
+    n_pos = F.lit(held["n_pos"]).cast("long")
+    verdict = lockbox_verdict(n_pos, *[number(held[m]) for m in ("auroc", "auroc_low", "auroc_above_half", "lift_0.1", "lift_0.2")])
+    return spark.range(1).select(*out, n_pos.alias("n_pos"), number(held["auroc"]).alias("auroc"), verdict.alias("verdict"))
+
+
 def alignment_diagnostic(tasks: DataFrame, alignment: str, label: str, target: str) -> DataFrame:
     """ML-09: AUROC of the negative alignment among rows of breadth 1, by target."""
     rows = tasks.where("source_breadth = 1").withColumn("__score", -F.col(alignment))

@@ -72,7 +72,7 @@ def row_bootstrap(df: DataFrame, scores: list[str], label: str, key: str, replic
     ``by_row``, rows are numbered cell by cell (``key`` orders nothing but equal cells) and each draw
     is a hash that falls into a cell's run of numbers. Rows with a null score or label take no part.
     """
-    y = F.col(label).cast("long")
+    y, scores = F.col(label).cast("long"), list(dict.fromkeys(scores))
     known = df.where(y.isNotNull())
     for s in scores:
         known = known.where(F.col(s).isNotNull())
@@ -265,14 +265,16 @@ def r2_bootstrap(paired: DataFrame, dataset: str, unit: str, y: str, models: lis
     chunk, and leave it as sums. With ``by_row`` every draw is a hash of its number instead. Rows
     with a null take no part.
     """
+    values = F.array(F.col(y).cast("double"), *[F.col(m).cast("double") for m in models])
     rows = paired.select(dataset, unit, F.col(y).cast("double").alias("y"), *models).dropna()
     if by_row:
         return _hashed_r2(paired, rows, dataset, unit, models, replicates, seed, hierarchical)
-    sizes = rows.groupBy(dataset).agg(F.count("*").alias("n"))
+    packed = paired.select(dataset, F.col(unit).alias("__u"), values.alias("__v")).where(F.col(dataset).isNotNull() & F.col("__u").isNotNull())
+    packed = packed.where(F.forall("__v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    sizes = packed.groupBy(dataset).agg(F.count("*").alias("n"))
     reps = _replicates(paired, sizes, dataset, replicates, seed, hierarchical)
     count = F.ceil(F.col("n") / CHUNK_ROWS)
-    cells = F.array(F.col("y"), *[F.col(m).cast("double") for m in models])
-    placed = rows.join(sizes, dataset).select(dataset, F.pmod(F.xxhash64(F.lit("chunk"), unit), count).alias("chunk"), F.col(unit).alias("__u"), cells.alias("__v"))
+    placed = packed.join(sizes, dataset).select(dataset, F.pmod(F.xxhash64(F.lit("chunk"), "__u"), count).alias("chunk"), "__u", "__v")
     held = placed.groupBy(dataset, "chunk").agg(F.sort_array(F.collect_list(F.struct("__u", "__v"))).alias("__r"))  # about ``CHUNK_ROWS``
     chunks = stable(held.select(dataset, "chunk", F.size("__r").cast("long").alias("size"), F.flatten("__r.__v").alias("values")))
     asked = drawn_chunks(chunks, [dataset], reps, seed, True).withColumn("__g", F.xxhash64(dataset, "chunk"))
@@ -293,7 +295,7 @@ def r2_bootstrap(paired: DataFrame, dataset: str, unit: str, y: str, models: lis
     found = asked.select("rep", dataset, "__g", "n", "size", "values").mapInPandas(sums, kinds).groupBy("rep", dataset).agg(
         *[(1 - F.try_divide(F.sum(f"e{i}"), total)).alias(f"r2_{m}") for i, m in enumerate(models)]
     )
-    return reps.select("rep", dataset, "times").join(found, ["rep", dataset])
+    return reps.select("rep", dataset, "times").join(stable(found), ["rep", dataset])  # many models make long plans
 
 
 def _replicates(paired: DataFrame, sizes: DataFrame, dataset: str, replicates: int, seed: int, hierarchical: bool) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions import sequence as sq
 from ..operators import loci
 from ..operators.storage import shared_dir
 from ..sources import files, ingest
@@ -95,6 +96,19 @@ def fasta_scan(spark, sf):
     return files.read_fasta(spark, path, docs.where("lang = 'en'").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("accession")))
 
 
+@query("""with s as (select 'd' || doc_id || '.1' as accession, replace(regexp_replace(upper(text), '[^ACGTU]', '', 'g'), 'U', 'T') as s from documents),
+ w as (select accession, length(s) as n, unnest(list_transform(range(1, greatest(length(s) - 4, 1)), lambda i: substr(s, i, 6))) as kmer from s)
+ select accession, kmer, count(*) as n, count(*) / (max(n) - 5)::double as frequency from w group by 1, 2""", "frequency", mapped=False)
+def fasta_kmers(spark, sf):
+    """SRC-05, FN-29: 6-mers of the sequences of a FASTA file, read and counted in pieces of 500 letters."""
+    docs = table(spark, sf, "documents")
+    letters = F.regexp_replace(F.regexp_replace(F.upper("text"), "[^ACGTU]", ""), "(.{60})", "$1\n")
+    path = _path(spark, "fasta")
+    docs.select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(".1 > of\n"), letters).alias("value")).write.text(path)
+    chunks = files.fasta_chunks(spark, path, 500)
+    return sq.chunk_kmers(chunks, 6, "accession")
+
+
 @query("""with f as (
   select l_returnflag || l_linestatus as name, string_agg(k || chr(10), '' order by k) as body
   from (select *, (l_orderkey * 10 + l_linenumber) || ':' || l_partkey || ':' || l_suppkey || ':' || floor(l_extendedprice)::bigint as k from lineitem) group by 1)

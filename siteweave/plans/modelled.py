@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import gates, loci, portability, ranks, regression, ridge, stats
 from .ingested import _SOURCE, _normalised
-from .mapping import TECHNOLOGIES, calls, table, union
+from .mapping import TECHNOLOGIES, calls, lines, table, union
 from .more import _MOTIFS, _motifs
 from .queries import (
-    _AUC, _DRAW, _FUNCTIONAL, _MAPPING, _OBSERVED, _RANKED, FEATURE_SETS, FIT, REPLICATES, _dense, _functional, _tasks, query, sql_bh, sql_saturated,
+    _AUC, _DRAW, _EFFECTS, _FUNCTIONAL, _I2, _MAPPING, _META, _OBSERVED, _RANKED, FEATURE_SETS, FIT, REPLICATES, _dense, _effects, _functional, _tasks, query, sql_bh, sql_saturated,
 )
 
 CELLS = "multi::int + 2 * (cell = 'O')::int"
@@ -47,8 +47,6 @@ _LABELLED = """lx as (select gene, motif, coalesce(list(distinct dataset::varcha
 
 
 def _labelled(spark, sf):
-    from .mapping import lines
-
     rows = lines(spark, sf).where("cell = 'F'").groupBy("gene", "motif")
     flag = lambda t: F.max(((F.col("tech") == t) & (F.col("l_tax") < 0.02)).cast("int"))
     return rows.agg(F.sort_array(F.collect_set(F.when(F.col("l_quantity") <= 10, F.col("dataset").cast("string")))).alias("labels"), flag("A").alias("f"), flag("R").alias("s"))
@@ -283,13 +281,14 @@ def source_gates(spark, sf):
     }).select("dataset", "check_id", "status")
 
 
-@query("""with m as (select gene, avg(score) as a, avg(score) + (gene % 7) as b from calls group by 1),
- r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from m)
+@query("""with m as (select motif, avg(l_extendedprice) filter (where slot % 2 = 0) as a, avg(l_extendedprice) filter (where slot % 2 = 1) as b from ln group by 1),
+ k as (select * from m where a is not null and b is not null),
+ r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from k)
  select count(*) as n, corr(ra, rb) as spearman, case when corr(ra, rb) >= .85 then 'PASS' else 'FAIL' end as status from r""", "spearman")
 def replicate_gate(spark, sf):
-    """QC-05: rank correlation of two replicates against its least value."""
-    rows = calls(spark, sf).groupBy("gene").agg(F.avg("score").alias("a"), (F.avg("score") + F.col("gene") % 7).alias("b"))
-    return gates.replicates_agree(rows, "a", "b")
+    """QC-05: rank correlation of a motif's level in the lines of even and of odd slots against its least value."""
+    half = lambda i: F.avg(F.when(F.col("slot") % 2 == i, F.col("l_extendedprice")))
+    return gates.replicates_agree(lines(spark, sf).groupBy("motif").agg(half(0).alias("a"), half(1).alias("b")), "a", "b")
 
 
 @query("""with e as (select tech, count(*) + (tech = 'R')::int as expected_n from calls group by 1), o as (select tech, count(*) as observed_n from calls group by 1)
@@ -321,18 +320,25 @@ def direction_flags(spark, sf):
     return gates.direction_flags(rates, "breadth", "rate", "ci_low", ["cell"])
 
 
-@query("""select 'calls' as label, case when count(*) >= 0 then 'READY' end as status, null::varchar as missing from lineitem union all
-    select 'orders', 'MISSING', 'l_tax' from (select count(*) from orders)""", mapped=False)
+@query("""with need(label, col) as (values ('calls', 'l_orderkey'), ('calls', 'l_tax'), ('orders', 'o_orderkey'), ('orders', 'l_tax')),
+ have as (select 'calls' as label, column_name as col from (describe lineitem) union all select 'orders', column_name from (describe orders)),
+ miss as (select label, string_agg(need.col, ',' order by need.col) filter (where have.col is null) as missing from need left join have using (label, col) group by 1),
+ n as (select 'calls' as label, count(*) as n from lineitem where l_orderkey is not null and l_tax is not null union all select 'orders', count(*) from orders where o_orderkey is not null)
+ select label, case when missing is null then 'READY' else 'MISSING' end as status, missing, n from miss join n using (label)""", mapped=False)
 def required_columns(spark, sf):
-    """QC-09: inputs checked for the columns that a stage needs."""
-    out = []
-    for label, name in (("calls", "lineitem"), ("orders", "orders")):
+    """QC-09: inputs checked for the columns that a stage needs, with the rows that have all those there are."""
+    out = None
+    for label, name, wanted in (("calls", "lineitem", ["l_orderkey", "l_tax"]), ("orders", "orders", ["o_orderkey", "l_tax"])):
+        df = table(spark, sf, name)
         try:
-            gates.require_columns(table(spark, sf, name), [table(spark, sf, name).columns[0], "l_tax"], label)
-            out.append((label, "READY", None))
+            gates.require_columns(df, wanted, label)
+            missing = None
         except gates.GateError:
-            out.append((label, "MISSING", "l_tax"))
-    return spark.createDataFrame(out, "label string, status string, missing string")
+            missing = ",".join(c for c in wanted if c not in df.columns)
+        known = df.dropna(subset=[c for c in wanted if c in df.columns]).agg(F.count("*").alias("n"))
+        part = known.select(F.lit(label).alias("label"), F.lit("MISSING" if missing else "READY").alias("status"), F.lit(missing).cast("string").alias("missing"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("""with k as (select c_mktsegment || (c_nationkey % 2) as name, count(distinct md5((c_nationkey // 24)::varchar)) as n from customer group by 1)
@@ -357,3 +363,50 @@ def heterogeneity_flags(spark, sf):
     e = union(spark, sf).groupBy("motif", "cell").agg((F.avg("y") - 0.19).alias("d"))
     f = e.groupBy("motif").agg((100 * F.abs(F.max("d") - F.min("d"))).alias("i2"), F.least(F.lit(1.0), F.abs(F.min("d"))).alias("q"))
     return regression.heterogeneity_flags(f, "q")
+
+
+@query(f"""with {_EFFECTS}, m1 as (select o.dataset as omitted, {_META} from ef join (select dataset from ef) o on ef.dataset <> o.dataset group by 1), m2 as (select *, {_I2} from m1)
+ select *, i2 >= 50 as high_i2 from m2""", "fixed_beta fixed_se q i2")
+def meta_flags(spark, sf):
+    """ST-22: heterogeneity of the datasets' effects, with each left out in turn."""
+    meta = regression.fixed_effect(ranks.leave_one_out(_effects(spark, sf), "dataset"), ["omitted"], "beta", "se")
+    return regression.heterogeneity_flags(meta)
+
+
+def _top(f: float) -> str:
+    inside = f"filter (where cn - n < greatest(ceil({f} * tn), 1))"
+    precision = f"sum(pos) {inside} / sum(n) {inside}"
+    return f"{precision} as precision_{f * 100:.0f}, {precision} / (max(tp) / max(tn)) as lift_{f * 100:.0f}"
+
+
+def _budget(k: int) -> str:
+    expected = f"sum(least(n, least({k}, tn) - (cn - n)) * pos / n) filter (where cn - n < least({k}, tn))"
+    return f"{expected} as expected_{k}, {expected} / max(least({k}, tn)) / (max(tp) / max(tn)) as expected_lift_{k}"
+
+
+_NAMES = ["prevalence", "auroc", "average_precision", "precision_10", "lift_10", "precision_20", "lift_20", *[f"expected_{x}{k}" for k in (50, 100, 200) for x in ("", "lift_")]]
+
+
+@query(f"""with h as (select cell, score, count(*) as n, sum(y) as pos from u group by 1, 2),
+ c as (
+  select *, sum(n) over w as cn, sum(pos) over w as cp, sum(n) over (partition by cell) as tn, sum(pos) over (partition by cell) as tp
+  from h window w as (partition by cell order by score desc))
+ select cell, sum(n)::bigint as n, sum(pos)::bigint as n_pos, max(tp) / max(tn) as prevalence,
+  sum(pos * (tn - tp - (cn - cp) + (n - pos) / 2.0)) / nullif(sum(pos)::double * sum(n - pos), 0) as auroc, sum(pos * cp / cn) / nullif(sum(pos), 0) as average_precision,
+  {_top(0.1)}, {_top(0.2)}, {_budget(50)}, {_budget(100)}, {_budget(200)} from c group by 1""", " ".join(_NAMES))
+def evaluation_measures(spark, sf):
+    """ML-08: every measure of a score by cell, from one histogram."""
+    found = portability.measures(union(spark, sf), "score", "y", group=["cell"])
+    return found.toDF(*[c.replace("0.1", "10").replace("0.2", "20") for c in found.columns])
+
+
+@query()
+def development_decision(spark, sf):
+    """ML-10: a ranker of score and breadth against breadth alone: chosen in one cell, judged in the other."""
+    u = union(spark, sf)
+    rows = u.where("cell = 'F'")
+    models = {"full": ["score", "breadth"], "simple": ["breadth"]}
+    fitted = {name: portability.fit_ranker(rows, features, "y", "locus", 1.0) for name, features in models.items()}
+    for name, model in fitted.items():
+        u = portability.with_score(u, model, name)
+    return portability.decide(spark, u.where("cell = 'F'"), u.where("cell = 'O'"), "full", "simple", "y", "locus", REPLICATES)

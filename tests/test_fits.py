@@ -110,3 +110,17 @@ def test_evaluation_from_one_histogram_equals_its_parts(spark):
     assert {k: got[k] for k in want} == {k: pytest.approx(v) for k, v in want.items()} and got["prevalence"] == want["n_pos"] / want["n"]
     empty = portability.measures(df.limit(0), "s", "y").first()
     assert empty["n"] == 0 and empty["auroc"] is None and portability.measures(df.where("y = 1"), "s", "y").first()["auroc"] is None
+
+
+def test_decision_follows_the_evaluations(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, float(x := rng.normal()), float(round(x)), int(x + rng.normal() > 0.8), 0.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, full double, simple double, y int, flat double")
+    got = portability.decide(spark, df, df.where("k < 200"), "full", "simple", "y", "k", 50).first()
+    seen = {c: portability.evaluate(df, c, "y", "k", 50) for c in ("full", "simple")}
+    gain = seen["full"]["auroc"] - seen["simple"]["auroc"]
+    useful = seen["full"]["auroc"] >= 0.58 and seen["full"]["auroc_low"] > 0.5 and seen["full"]["lift_0.1"] >= 1.15
+    ready = gain >= 0.02 and got["gain_share"] >= 0.8
+    assert got["gain"] == pytest.approx(gain) and useful and got["selected"] == ("full" if ready else "full_qualified") and got["verdict"] == "EXTERNALLY_VALIDATED"
+    none = portability.decide(spark, df, df, "flat", "flat", "y", "k", 20).first()
+    assert (none["status"], none["selected"], none["verdict"]) == ("NO_USEFUL_RANKING", "none", None)

@@ -70,6 +70,14 @@ def test_kmer_codes(k):
     assert got == plain_kmers(text, k) and len(sq.kmer_codes(text[: k - 1].encode(), k)) == 0
 
 
+def test_kmer_codes_of_other_alphabets():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcde?") for _ in range(300))
+    for k in (1, 3, 6, 20):
+        got = Counter("".join("abcde"[c >> 3 * (k - 1 - i) & 7] for i in range(k)) for c in sq.kmer_codes(text.encode(), k, "abcde").tolist())
+        assert got == Counter(text[i : i + k] for i in range(len(text) - k + 1) if "?" not in text[i : i + k])
+
+
 def test_kmers_of_whole_and_cut_sequences_agree(spark):
     rng = random.Random(2)
     seqs = {f"s{i}": "".join(rng.choice("ACGTN") for _ in range(n)) for i, n in enumerate([0, 1, 4, 5, 37, 400])}
