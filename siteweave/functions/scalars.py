@@ -254,25 +254,35 @@ def attributes(c) -> Column:
     and bare values lose outer quotes and are URL-decoded (a plus stays one); what can't be decoded
     stays as it is.
     """
-    z = safe_text(c)
     trim = lambda x: F.btrim(x, F.lit(_BLANK))
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    form, plain = r'([A-Za-z0-9_.:-]+)\s+"([^"]*)"', r"^([A-Za-z0-9_.:-]+)\s+(.+)$"
 
     def decoded(x: Column) -> Column:
         bare = F.btrim(trim(x), F.lit('"'))
         return F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
 
-    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
-    fields = F.transform(F.split(z, ";"), trim)
-    named = F.filter(F.transform(fields, lambda f: F.when(F.contains(f, F.lit("=")), pair(trim(F.substring_index(f, "=", 1)), decoded(F.regexp_replace(f, "^[^=]*=", ""))))), lambda p: p["k"] != "")
-    form = r'([A-Za-z0-9_.:-]+)\s+"([^"]*)"'
-    quoted = F.zip_with(F.regexp_extract_all(z, F.lit(form), F.lit(1)), F.regexp_extract_all(z, F.lit(form), F.lit(2)), pair)
-    plain = r"^([A-Za-z0-9_.:-]+)\s+(.+)$"
-    bare = F.transform(F.filter(fields, lambda f: f.rlike(plain)), lambda f: pair(F.regexp_extract(f, plain, 1), decoded(F.regexp_extract(f, plain, 2))))
-    assigned = F.when((F.size(named) == 0) & (F.size(quoted) == 0), bare).otherwise(named)
-    of = lambda pairs, k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
-    entry = lambda k: F.struct(k.alias("key"), F.array_join(F.concat(of(assigned, k), F.array_except(of(quoted, k), of(assigned, k))), ",").alias("value"))
-    keys = F.array_distinct(F.transform(F.concat(assigned, quoted), lambda p: p["k"]))
-    return F.map_from_entries(F.transform(keys, entry))
+    def kinds(z: Column) -> Column:
+        fields = F.transform(F.split(z, ";"), trim)
+        assigned = F.transform(F.filter(fields, lambda f: F.contains(f, F.lit("="))), lambda f: pair(trim(F.substring_index(f, "=", 1)), decoded(F.regexp_replace(f, "^[^=]*=", ""))))
+        bare = F.transform(F.filter(fields, lambda f: f.rlike(plain)), lambda f: pair(F.regexp_extract(f, plain, 1), decoded(F.regexp_extract(f, plain, 2))))
+        quoted = F.zip_with(F.regexp_extract_all(z, F.lit(form), F.lit(1)), F.regexp_extract_all(z, F.lit(form), F.lit(2)), pair)
+        return F.struct(F.filter(assigned, lambda p: p["k"] != "").alias("assigned"), quoted.alias("quoted"), bare.alias("bare"))
+
+    def chosen(x: Column) -> Column:
+        none = (F.size(x["assigned"]) == 0) & (F.size(x["quoted"]) == 0)
+        return F.struct(F.when(none, x["bare"]).otherwise(x["assigned"]).alias("all"), x["quoted"].alias("quoted"))
+
+    def joined(x: Column) -> Column:
+        of = lambda pairs, k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
+        values = lambda k: F.concat(of(x["all"], k), F.array_except(of(x["quoted"], k), of(x["all"], k)))
+        keys = F.array_distinct(F.transform(F.concat(x["all"], x["quoted"]), lambda p: p["k"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.array_join(values(k), ",").alias("value"))))
+
+    out = safe_text(c)
+    for step in (kinds, chosen, joined):  # an array of one binds what a step uses more than once
+        out = F.transform(F.array(out), step)[0]
+    return out
 
 
 def attribute(attrs: Column, *keys: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gates, loci, portability, ranks, regression, ridge, stats
+from ..operators import fits, gates, loci, portability, ranks, regression, ridge, stats
 from .ingested import _SOURCE, _normalised
 from .mapping import TECHNOLOGIES, calls, lines, table, union
 from .more import _MOTIFS, _motifs
@@ -404,9 +404,9 @@ def evaluation_measures(spark, sf):
 def development_decision(spark, sf):
     """ML-10: a ranker of score and breadth against breadth alone: chosen in one cell, judged in the other."""
     u = union(spark, sf)
-    rows = u.where("cell = 'F'")
-    models = {"full": ["score", "breadth"], "simple": ["breadth"]}
-    fitted = {name: portability.fit_ranker(rows, features, "y", "locus", 1.0) for name, features in models.items()}
-    for name, model in fitted.items():
-        u = portability.with_score(u, model, name)
+    rows = portability.equal_weights(u.where("cell = 'F'"), "locus")
+    models = {"full": ("score", "breadth"), "simple": ("breadth",)}
+    fitted = fits.fit_all(rows, [fits.Task(features, "weight", "y", 1.0) for features in models.values()])
+    for name, state in zip(models, fitted, strict=True):
+        u = portability.with_score(u, fits.ranker(state), name)
     return portability.decide(spark, u.where("cell = 'F'"), u.where("cell = 'O'"), "full", "simple", "y", "locus", REPLICATES)
