@@ -30,3 +30,40 @@ def test_entry_has_rows(spark):
 def test_range_join_is_no_nested_loop(spark, data):
     plan = plans.interval_annotation(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_values_of_queries_without_sql(spark, data):
+    """Minima of fits, held-out AUROC and the evaluation record, by plain means on the same rows."""
+    import numpy as np
+
+    from siteweave.operators import portability, stats
+    from siteweave.plans import mapping
+    from siteweave.plans import queries as registered
+
+    u = mapping.union(spark, data).where("cell = 'F'").toPandas()
+    x = np.column_stack([np.ones(len(u)), *[u[f"{t}_support"] for t in mapping.TECHNOLOGIES]]).astype(float)
+    beta = {r["term"]: r["beta"] for r in registered.QUERIES["logit_technologies"].build(spark, data).collect()}
+    b = np.array([beta["intercept"], *[beta[f"{t}_support"] for t in mapping.TECHNOLOGIES]])
+    assert np.abs(x.T @ (u["y"] - 1 / (1 + np.exp(-x @ b)))).max() < 1e-5
+
+    tasks = registered._tasks(spark, data)
+    model = [r.asDict() for r in registered.QUERIES["ranker_coefficients"].build(spark, data).collect()]
+    features = [m["feature"] for m in model[:-1]]
+    rows = portability.equal_weights(tasks.dropna(subset=[*features, "target_reported"]), "locus").toPandas()
+    z = np.column_stack([np.ones(len(rows)), *[(rows[m["feature"]].astype(float) - m["mean"]) / m["scale"] for m in model[:-1]]])
+    b, w = np.array([model[-1]["coefficient"], *[m["coefficient"] for m in model[:-1]]]), rows["weight"].to_numpy()
+    p = 1 / (1 + np.exp(-z @ b))
+    assert np.abs(z.T @ (w * (p - rows["target_reported"])) + np.r_[0, b[1:]] / 0.1).max() < 1e-2
+
+    got = {(r["model"], r["target"]): r for r in registered.QUERIES["loto_metrics"].build(spark, data).collect()}
+    assert set(got) == {(m, t) for m in registered.FEATURE_SETS for t in mapping.TECHNOLOGIES}
+    for t in mapping.TECHNOLOGIES:
+        fitted = portability.fit_ranker(tasks.where(f"target <> '{t}'"), registered.FEATURE_SETS["context"], "target_reported", "locus", 0.1)
+        want = stats.auroc(portability.with_score(tasks.where(f"target = '{t}'"), fitted), "score", "target_reported").first()
+        assert got["context", t]["n"] == want["n"] and got["context", t]["auroc"] == pytest.approx(want["auroc"], abs=2e-3)
+
+    record = {r["metric"]: r["value"] for r in registered.QUERIES["ranker_evaluation"].build(spark, data).collect()}
+    held = registered.QUERIES["evaluation_measures"].build(spark, data).where("cell = 'F'").first()
+    for name in ("n", "n_pos", "prevalence", "auroc", "average_precision", "expected_50", "expected_lift_200"):
+        assert record[name] == pytest.approx(held[name])
+    assert record["auroc_low"] <= record["auroc"] <= record["auroc_high"]
