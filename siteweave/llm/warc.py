@@ -39,6 +39,8 @@ LEVEL, FEED = 3, 1 << 15
 ARCHIVE_ROWS, ARCHIVE_BYTES = 4096, 64 << 20
 #: Records of one batch that the reader gives.
 BATCH = 256
+#: Repeated payloads, the most frequent first, that are broadcast; bits of the filter in front of the join with all others.
+MOST_KNOWN, FILTER_BITS = 100_000, 1 << 26
 ID = "urn:page:"
 RECORD = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_bytes long, payload_digest string, block_bytes long"
 
@@ -151,21 +153,49 @@ def frames(archive: bytes | pa.Buffer) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def _linked(rows: DataFrame) -> DataFrame:
+    """``rows`` (page_id, url, payload, digest) with ``refers_to``: the response of an equal payload, null for a response.
+
+    Digests are counted without their payloads. The ``MOST_KNOWN`` most frequent payloads are
+    broadcast, so that none of the others has more than that share of the rows. Of the others the
+    pages that revisit are found by ids and digests alone. A filter of their hashes, of at most
+    ``FILTER_BITS`` / 64 rows, then keeps all other pages in place: only revisiting pages, and those
+    that the filter mistakes for one, are shuffled, by page and digest.
+    """
+    large = rows.where(F.octet_length("payload") >= DUPLICATE_BYTES).select("page_id", "digest")
+    copies = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = write_table(copies, "payload-copies")
+    all_known = copies.count() <= MOST_KNOWN
+    known = copies if all_known else write_table(copies.orderBy(F.desc("n"), "digest").limit(MOST_KNOWN), "payload-copies-known")
+    linked = rows.join(F.broadcast(known.select("digest", "first")), "digest", "left")
+    columns = ["page_id", "url", "payload", "digest"]
+    if all_known:
+        return linked.select(*columns, F.expr("nullif(first, page_id)").alias("refers_to"))
+
+    rest = copies.join(F.broadcast(known.select("digest")), "digest", "left_anti").select("digest", "first")
+    revisits = large.join(rest, "digest").where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
+    revisits = write_table(revisits.select("page_id", "digest", F.col("first").alias("other")).distinct(), "payload-revisits")
+    mark = F.pmod(F.xxhash64("page_id", "digest"), F.lit(FILTER_BITS))
+    word, bit = F.floor(mark / 64).alias("word"), (mark % 64).cast("int")
+    marks = revisits.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    linked = linked.withColumn("word", word).join(F.broadcast(write_table(marks, "payload-filter")), "word", "left")
+    meets = F.coalesce(F.getbit("bits", bit) == 1, F.lit(False))
+    named, r = linked.where(meets).select(*columns, "first").alias("l"), revisits.alias("r")
+    same = (F.col("l.digest") == F.col("r.digest")) & F.col("l.page_id").eqNullSafe(F.col("r.page_id"))
+    moved = named.join(r, same, "left").select(*[f"l.{c}" for c in columns], F.expr("coalesce(r.other, nullif(l.first, l.page_id))").alias("refers_to"))
+    return linked.where(~meets).select(*columns, F.expr("nullif(first, page_id)").alias("refers_to")).unionByName(moved)
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Archives of each partition of ``pages`` under ``path``; ``ARCHIVE_ROWS`` and ``ARCHIVE_BYTES`` bound each.
 
     Of rows with equal payloads of ``DUPLICATE_BYTES`` or more, the largest id is the response and
-    the others revisit it; rows that share that id are all responses. Null html is an empty payload.
+    the others, those without an id among them, revisit it; rows that share that id are all
+    responses, as are rows of which none has an id. Null html is an empty payload.
     """
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("payload"), F.sha1(html).alias("digest"))
-    copies = (
-        rows.where(F.octet_length("payload") >= DUPLICATE_BYTES).groupBy("digest")
-        .agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    )
-    copies = write_table(copies, "payload-copies")
-    known = F.broadcast(copies) if copies.count() <= 100_000 else copies
-    rows = rows.join(known, "digest", "left").select("page_id", "url", "payload", "digest", F.expr("nullif(first, page_id)").alias("refers_to"))
+    rows = _linked(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, head, row, size = None, b"", 0, 0

@@ -366,6 +366,27 @@ def test_archives(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_revisits_of_more_payloads_than_are_broadcast(spark, monkeypatch, bits):
+    """Two payloads are broadcast; 64 bits mistake nearly every page for a revisit."""
+    monkeypatch.setattr(warc, "MOST_KNOWN", 2)
+    monkeypatch.setattr(warc, "FILTER_BITS", bits)
+    rows = [(i, "u", f"{i % 40:04d}" * (300 if i % 40 < 30 else 5)) for i in range(130)] + [(200 + i, "u", f"alone {i} " * 200) for i in range(30)]
+    rows += [(None, "n", "0007" * 300), (127, "again", "0007" * 300), (300, "u", "0000" * 300), (None, "n", "none has an id" * 100), (None, "n", "none has an id" * 100)]
+    rows += [(301 + i, "u", "0001" * 300) for i in range(50)] + [(None, None, None), (400, None, "0007" * 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    most = {}
+    for i, _, h in rows:
+        if h and len(h) >= 1000 and i is not None:
+            most[h] = max(i, most.get(h, i))
+    want = []
+    for i, _, h in rows:
+        other = most.get(h) if most.get(h) != i else None
+        want.append((i, len(h or ""), hashlib.sha1((h or "").encode()).hexdigest(), "response" if other is None else "revisit", other))
+    got = warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_archives_are_bounded_and_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_ROWS", 8)
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
