@@ -9,8 +9,8 @@ best ``SHORTLIST`` of each block again by the exact distance on the original vec
 Cells are dealt out in blocks of about ``BLOCK`` vectors by a hash, so a cell with a third of
 all vectors is many blocks. The index is shuffled once, each vector to its block; queries go to
 the blocks of the cells that they visit. A task takes its blocks in order: it holds one block and
-streams that block's queries, however many there are. A block returns ``k`` rows per query, and the
-final ranking is a top-k window.
+streams that block's queries, however many there are. A block returns ``k`` ids per query; of those
+each task keeps the best before they are shuffled to the final ranking.
 """
 
 from __future__ import annotations
@@ -88,11 +88,13 @@ class Block:
         self.parts.append(part)
 
     def nearest(self, model: Quantiser, cell: int, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
-        """The ``k`` nearest of the shortlist of each query, ties to the smaller id."""
+        """The ``k`` nearest ids of the shortlist of each query, each at its nearest vector, ties to the smaller id."""
         if self.ready is None:
             rows = pa.Table.from_batches(self.parts)
             codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(rows.num_rows, -1).astype(np.int64)
-            self.ready = rows["id"].to_numpy(), _matrix(rows["vector"]), codes + np.arange(codes.shape[1]) * CODES
+            ids, x = rows["id"].to_numpy(), _matrix(rows["vector"])
+            new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)))  # repeated rows stand once
+            self.ready = ids[new], x[new], codes[new] + np.arange(codes.shape[1]) * CODES
         ids, x, codes = self.ready
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for who, q in zip(asked.column("id").to_numpy(), _matrix(asked.column("vector")), strict=True):
@@ -102,7 +104,8 @@ class Block:
             short = short[near[short].argsort(kind="stable")][: SHORTLIST + 1]
             short = short[ids[short] != who]
             d = np.sqrt(((x[short] - q) ** 2).sum(axis=1))
-            best = np.lexsort((ids[short], d))[:k]
+            ordered = np.lexsort((ids[short], d))
+            best = ordered[np.sort(np.unique(ids[short][ordered], return_index=True)[1])[:k]]
             out.append((np.full(len(best), who), ids[short][best], d[best]))
         columns = [np.concatenate([o[i] for o in out]) for i in range(3)]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], names=["query_id", "vec_id", "score"])
@@ -199,7 +202,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                     yield held.nearest(model.value, int(cell), part, k)
 
     found = dealt.mapInArrow(rank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    # an id is in a block once, and in at most ``places`` blocks, so the best k ids are among the best k * places rows
+    places = index.select("id", "cell").distinct().groupBy("id").count().agg(F.max("count").alias("c")).first()["c"]
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k * places)
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

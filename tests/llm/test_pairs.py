@@ -239,6 +239,25 @@ def test_a_repeated_query_is_asked_once_with_its_least_vector(spark):
     assert [r["vec_id"] for r in got] == [3, 4, 2] and got[0]["score"] == np.hypot(0.2000000000000002, 0.5)
 
 
+def test_repeated_ids_leave_room_for_others(spark, monkeypatch):
+    """An id of many vectors, equal and different, is one candidate, at its nearest vector, in every block and task."""
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    monkeypatch.setattr(neighbours, "SHORTLIST", 40)
+    rng = np.random.default_rng(12)
+    rows = [(0, rng.normal(size=4).tolist())] + [(i, rng.normal(size=4).tolist()) for i in range(1, 300)]
+    rows += [(7, rows[0][1])] * 300 + [(8, (np.array(rows[0][1]) + rng.normal(size=4) * s).tolist()) for s in np.linspace(0.01, 4, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = neighbours.search(df, df.where("vec_id = 0"), k=10, probe=1.0).orderBy("rank").collect()
+    near = {}
+    for i, v in rows:
+        if i:
+            d = float(np.sqrt(((np.array(v) - np.array(rows[0][1])) ** 2).sum()))
+            near[i] = min(d, near.get(i, d))
+    want = sorted((d, i) for i, d in near.items())[:10]
+    assert [r["vec_id"] for r in got[:2]] == [7, 8] and len({r["vec_id"] for r in got}) == 10
+    assert all(np.isclose(r["score"], near[r["vec_id"]]) for r in got) and len({i for _, i in want} & {r["vec_id"] for r in got}) >= 9
+
+
 @pytest.mark.parametrize("table", ["embeddings"])
 def test_registered_neighbours_of_the_given_vectors(spark, data, table):
     vectors = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in spark.read.parquet(f"{data}/{table}.parquet").collect() if r["embedding"]]
