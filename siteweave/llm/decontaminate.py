@@ -24,8 +24,10 @@ next cursor); otherwise they move to the pivot, which is scored. Each step handl
 every passage that is still open.
 
 Shards are built in tasks and hold a bounded number of words. A benchmark of one shard is
-broadcast and looked up in the scan; a larger one goes shard by shard, each broadcast alone, and
-a text's hits come together by its hash.
+broadcast and looked up in the scan. For a larger one a scan of the texts serves ``SCAN_SHARDS``
+shards: it keeps the texts that share a shingle with any of their items, as every text does that
+satisfies the rule, and these alone meet the shards, each broadcast in turn. A text's hits come
+together by its hash.
 """
 
 from __future__ import annotations
@@ -38,9 +40,10 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from .common import fresh_name, write_table
 from .encoding import slices
@@ -49,6 +52,10 @@ OVERLAP, SHINGLE = 0.8, 5
 K1, B, BLOCK, LEAST_STRIDE = 1.2, 0.75, 8, 16
 #: Words of test items in one index; a larger benchmark is split into several.
 SHARD_WORDS = 1_000_000
+#: Shards for whose items one scan looks: 8 bytes a shingle and about a shingle a word are broadcast.
+SCAN_SHARDS = 16
+#: Multiplier of the rolling hash of word hashes, modulo 2^64.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Cursors that a task moves at a time.
 CURSORS = 1 << 18
 HITS = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
@@ -121,6 +128,31 @@ def touched(parts: list[list[str]]) -> tuple[dict[str, float], float]:
     return {w: float(n) for w, n in counts.items()}, least * (1 - SLACK)
 
 
+def word_hashes(split: list[list[str]]) -> list[np.ndarray]:
+    known = {w: xxhash.xxh64_intdigest(w) for w in set().union(*split)}
+    return [np.fromiter(map(known.get, words), dtype=np.uint64, count=len(words)) for words in split]
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words by their hashes; runs of different widths differ."""
+    out = np.full(max(0, len(words) - width + 1), width, dtype=np.uint64)
+    for i in range(width):
+        out = out * FACTOR + words[i : i + len(out)]
+    return out
+
+
+def signs(text: str) -> tuple[set[int], np.ndarray]:
+    """Widths and hashes of shingles of an item, one of which at least is in every passage that satisfies the rule.
+
+    Those of the whole text, and of the question for a passage that has enough of question and
+    answer; of the answer, if there is no question.
+    """
+    question, answer = question_and_answer(text)
+    parts = [words_of(text.lower()), question or answer]
+    widths = [min(SHINGLE, len(p)) for p in parts]
+    return set(widths), np.concatenate([shingle_hashes(h, w) for h, w in zip(word_hashes(parts), widths, strict=True)])
+
+
 def stride_of(n_words: int) -> int:
     return max(LEAST_STRIDE, 1 << (n_words - 1).bit_length())
 
@@ -294,7 +326,7 @@ class Shard:
 
 
 def build_shards(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(shard, body): pickled indexes of about ``shard_words`` words at most each, built in tasks."""
+    """(shard, body, widths, keys): pickled indexes of about ``shard_words`` words at most each, built in tasks, and their items' ``signs``."""
 
     @F.arrow_udf(ArrayType(StringType()))
     def tokens(texts: pa.Array) -> pa.Array:
@@ -305,7 +337,7 @@ def build_shards(benchmark: DataFrame, item_col: str = "item_id", item_text_col:
     items = write_table(items, "items")
     size = items.agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.size("words")).alias("words")).first()
     if not size["n"]:
-        return items.select(F.lit(0).cast("long").alias("shard"), F.lit(b"").alias("body")).limit(0)
+        return items.select(F.lit(0).cast("long").alias("shard"), F.lit(b"").alias("body"), F.array(F.lit(0)).alias("widths"), F.lit(b"").alias("keys")).limit(0)
     items = items.withColumn("shard", F.pmod(F.xxhash64("item", "body"), F.lit(-(-size["words"] // shard_words))))
     terms = items.select("item", "body", "copies", F.explode(F.array_distinct("words")).alias("term"))
     df = terms.groupBy("term").agg(F.sum("copies").alias("df"))
@@ -318,9 +350,38 @@ def build_shards(benchmark: DataFrame, item_col: str = "item_id", item_text_col:
         f = f.sort_values(["item", "body"])
         known = {t: c for pairs in f["df"] for t, c in dict(pairs).items()}
         of = [(None if pd.isna(i) else int(i), b, int(c)) for i, b, c in zip(f["item"], f["body"], f["copies"], strict=True)]
-        return pd.DataFrame([(int(key[0]), pickle.dumps(Shard(of, known, n, average)),)], columns=["shard", "body"])
+        widths, hashes = zip(*[signs(b) for b in f["body"]], strict=True)
+        row = (int(key[0]), pickle.dumps(Shard(of, known, n, average)), sorted(set().union(*widths)), np.unique(np.concatenate(hashes)).tobytes())
+        return pd.DataFrame([row], columns=["shard", "body", "widths", "keys"])
+
+    return rows.groupBy("shard").applyInPandas(build, "shard long, body binary, widths array<int>, keys binary")
+
+
+def sharing(texts: DataFrame, body: str, shards: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose column ``body`` has a shingle of the ``signs`` of ``shards``, as a written table."""
+    rows = shards.select("widths", "keys").collect()  # 8 bytes a shingle, SCAN_SHARDS rows at most
+    widths = sorted({w for r in rows for w in r["widths"]})
+    keys = np.unique(np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]))
+    shared = texts.sparkSession.sparkContext.broadcast(keys)
+
+    def meets(words: np.ndarray) -> bool:
+        for width in widths:
+            own = shingle_hashes(words, width)
+            at = np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)
+            if (shared.value[at] == own).any():
+                return True
+        return False
+
+    @F.arrow_udf(BooleanType())
+    def run(column: pa.Array) -> pa.Array:
+        out: list[bool] = []
+        for part in slices([t or "" for t in column.to_pylist()]):
+            out += map(meets, word_hashes([words_of(t.lower()) for t in part]))
+        return pa.array(out, pa.bool_())
 
-    return rows.groupBy("shard").applyInPandas(build, "shard long, body binary")
+    found = write_table(texts.where(run(F.col(body))), "near")
+    shared.destroy()
+    return found
 
 
 def _lookup(spark, body: bytearray):
@@ -348,13 +409,13 @@ def _shard(shared) -> Shard:
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-              item_text_col: str = "text", out: str = "hits", shard_words: int = SHARD_WORDS) -> DataFrame:
+              item_text_col: str = "text", out: str = "hits", shard_words: int = SHARD_WORDS, scan_shards: int = SCAN_SHARDS) -> DataFrame:
     """``docs`` with an array ``out`` of the test items leaked into each whole text.
 
     Null or empty texts and items leak nothing; a repeated item is reported as often as it is
     there; an empty benchmark gives empty arrays. Parts shorter than a shingle count as one
     shingle. Other columns and all rows pass through; a column named like ``out`` is replaced.
-    ``shard_words`` bounds an index's memory and never changes a hit.
+    ``shard_words`` bounds an index's memory, ``scan_shards`` that of a scan; neither ever changes a hit.
     """
     spark = docs.sparkSession
     shards = write_table(build_shards(benchmark, item_col, item_text_col, shard_words), "shards")
@@ -366,10 +427,12 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     key, body = fresh_name(docs, "key"), fresh_name(docs, "body")
     digest = F.md5(F.col(text_col))
     texts = docs.where(F.col(text_col).isNotNull()).select(digest.alias(key), F.col(text_col).alias(body))
-    found = None
-    for name in names:
+    found = near = None
+    for i, name in enumerate(names):
+        if i % scan_shards == 0:
+            near = sharing(texts, body, shards.where(F.col("shard").isin(names[i : i + scan_shards])))
         shared, run = _lookup(spark, load(name))
-        some = texts.select(key, run(F.col(body)).alias(out)).where(F.size(out) > 0).dropDuplicates([key])
+        some = near.select(key, run(F.col(body)).alias(out)).where(F.size(out) > 0).dropDuplicates([key])
         some = write_table(some, "hits")
         shared.destroy()
         found = some if found is None else found.unionByName(some)

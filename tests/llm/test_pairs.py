@@ -177,9 +177,36 @@ def test_items_and_shards_never_change_another_items_hits(spark):
     assert few == {d: brute_hits(t, [*items, halves]) for d, t in docs} and any(few.values())
     assert hits([*items, halves, long]) == few
     assert hits([*items, halves, long], shard_words=300) == few
+    assert hits([*items, halves, long], shard_words=300, scan_shards=2) == few
     assert hits(items[:10]) == {d: [i for i in h if i < 10] for d, h in few.items()}
 
 
+def test_a_scan_keeps_what_shares_a_shingle_with_an_item(spark):
+    """Whole text, short items, and question and answer apart; texts without a shared shingle meet no shard."""
+    items = [(1, "Who wrote it? Anna did."), (2, "yes"), (3, "one two three four five six seven eight nine ten"), (4, "Is it? yes"), (5, " "), (6, None)]
+    texts = ["anna did and who wrote it", "YES", "one two three four six five seven eight nine", "five six seven eight nine", "is it no", "it is", "", None, "wrote it anna"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shards = decontaminate.build_shards(spark.createDataFrame(items, "item_id long, text string"), shard_words=4).cache()
+    assert shards.count() > 1
+
+    def shared(text):
+        words = re.findall(r"\w+", text.lower())
+        for _, item in items:
+            q, a = decontaminate.question_and_answer(item or "")
+            for part in (re.findall(r"\w+", (item or "").lower()), q or a):
+                width = min(5, len(part))
+                if width and {tuple(part[i : i + width]) for i in range(len(part) - width + 1)} & {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}:
+                    return True
+        return False
+
+    near = decontaminate.sharing(docs.where("text is not null"), "text", shards)
+    assert near.columns == docs.columns
+    kept = {r["doc_id"] for r in near.collect()}
+    assert kept == {i for i, t in enumerate(texts) if t is not None and shared(t)}
+    assert {0, 1, 3} <= kept and not {2, 5, 6, 8} & kept
+    assert {i for i, t in enumerate(texts) if brute_hits(t, [(n, t2) for n, t2 in items if t2])} <= kept
+
+
 def test_hits_beside_columns_of_internal_names(spark):
     docs = spark.createDataFrame([(1, ITEMS[1][1], 7, "a", "b"), (2, "clean", 8, "c", "d")], "doc_id long, text string, __hits int, __key string, __body string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
