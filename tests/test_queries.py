@@ -67,3 +67,125 @@ def test_values_of_queries_without_sql(spark, data):
     for name in ("n", "n_pos", "prevalence", "auroc", "average_precision", "expected_50", "expected_lift_200"):
         assert record[name] == pytest.approx(held[name])
     assert record["auroc_low"] <= record["auroc"] <= record["auroc_high"]
+
+
+def test_values_of_burden_and_effects_without_sql(spark, data):
+    """The joint test of slopes by one least-squares solution, and random effects by a fine grid of variances."""
+    import numpy as np
+
+    from siteweave.plans import queries as registered
+
+    rows = registered._burdens(spark, data).selectExpr("cast(dataset as string) as dataset", "gene", "z", "x", "l").dropna().toPandas()
+    levels = sorted(rows["dataset"].unique())
+    flags = np.column_stack([rows["dataset"] == d for d in levels[1:]]).astype(float)
+    burden = rows["x"].to_numpy(float)
+    x = np.column_stack([np.ones(len(rows)), burden, rows["l"].to_numpy(float), flags, flags * burden[:, None]])
+    inv = np.linalg.pinv(x.T @ x)
+    beta = inv @ x.T @ rows["z"].to_numpy(float)
+    resid = rows["z"].to_numpy(float) - x @ beta
+    sums = np.stack([(x * resid[:, None])[i].sum(axis=0) for i in rows.groupby("gene").indices.values()])
+    g, n, k, last = len(sums), len(rows), x.shape[1], len(levels) - 1
+    cov = inv @ sums.T @ sums @ inv * g / (g - 1) * (n - 1) / (n - k)
+    chi2 = beta[-last:] @ np.linalg.solve(cov[-last:, -last:], beta[-last:])
+    got = {r["dataset"]: r for r in registered.QUERIES["burden_by_dataset"].build(spark, data).collect()}
+    assert sorted(got) == levels and last > 0
+    for d, more in zip(levels, [0.0, *beta[-last:]], strict=True):
+        assert got[d]["slope"] == pytest.approx(beta[1] + more, rel=1e-6, abs=1e-9)
+        assert (got[d]["n"], got[d]["n_clusters"], got[d]["df"]) == (n, g, last) and got[d]["chi2"] == pytest.approx(chi2, rel=1e-5)
+
+    effects = registered._effects(spark, data).select("beta", "se").dropna().toPandas()
+    y, v = effects["beta"].to_numpy(float), effects["se"].to_numpy(float) ** 2
+    w = 1 / (v + np.linspace(0, 4 * np.var(y) + 1e-9, 400_001)[:, None])
+    mean = (w * y).sum(axis=1) / w.sum(axis=1)
+    best = int(np.argmin(-np.log(w).sum(axis=1) + np.log(w.sum(axis=1)) + (w * (y - mean[:, None]) ** 2).sum(axis=1)))
+    found = registered.QUERIES["random_effects_meta"].build(spark, data).first()
+    assert found["k"] == len(y) > 1
+    assert found["tau2"] == pytest.approx(1 / w[best, 0] - v[0], rel=1e-3, abs=1e-5 * np.var(y))
+    assert found["random_beta"] == pytest.approx(mean[best], rel=1e-3, abs=1e-6)
+    spread = np.sqrt(max(1.0, (w[best] * (y - mean[best]) ** 2).sum() / (len(y) - 1)) / w[best].sum())
+    assert found["random_se"] == pytest.approx(spread, rel=1e-3)
+
+
+def test_values_of_ridge_queries_row_by_row(spark, data):
+    """Every train set standardised and solved on its own rows, penalties by plain inner cross-validation."""
+    import numpy as np
+
+    from siteweave.operators.ridge import ALPHAS
+    from siteweave.plans import modelled
+    from siteweave.plans import queries as registered
+
+    def solve(x, y, alphas):
+        """Intercept and coefficients of each penalty."""
+        mean, sd = x.mean(axis=0), x.std(axis=0)
+        sd = np.where(sd > 1e-12, sd, 1.0)
+        z, out = (x - mean) / sd, []
+        for a in alphas:
+            b = np.linalg.solve(z.T @ z + a * np.eye(x.shape[1]), z.T @ (y - y.mean())) / sd if np.isfinite(a) else np.zeros(x.shape[1])
+            out.append((y.mean() - mean @ b, b))
+        return out
+
+    def fit(x, y, folds, inside):
+        errors = np.zeros(len(ALPHAS))
+        for held in inside:
+            train, test = np.isin(folds, [f for f in inside if f != held]), folds == held
+            errors += [((y[test] - c - x[test] @ b) ** 2).sum() for c, b in solve(x[train], y[train], ALPHAS)]
+        alpha = ALPHAS[np.nonzero(errors <= errors.min() * (1 + 1e-10))[0][-1]]
+        train = np.isin(folds, inside)
+        return alpha, solve(x[train], y[train], [alpha])[0]
+
+    def nested(x, y, folds):
+        out, chosen = np.zeros(len(y)), []
+        for outer in np.unique(folds):
+            alpha, (c, b) = fit(x, y, folds, [f for f in np.unique(folds) if f != outer])
+            out[folds == outer] = c + x[folds == outer] @ b
+            chosen.append(alpha)
+        return out, chosen
+
+    def added(x, y, folds, extra):
+        """The base model's fit plus one of its cross-fitted residuals."""
+        out = np.zeros(len(y))
+        for outer in np.unique(folds):
+            inside, at = [f for f in np.unique(folds) if f != outer], folds == outer
+            c, b = fit(x, y, folds, inside)[1]
+            resid = y.copy()
+            for held in inside:
+                c2, b2 = fit(x, y, folds, [f for f in inside if f != held])[1]
+                resid[folds == held] -= c2 + x[folds == held] @ b2
+            design = np.column_stack([np.ones(len(y)), extra])
+            g = np.linalg.lstsq(design[~at], resid[~at], rcond=None)[0]
+            out[at] = c + x[at] @ b + design[at] @ g
+        return out
+
+    def check(query, want):
+        """``want``: (y, prediction) by dataset."""
+        got = {r["ds"]: r for r in registered.QUERIES[query].build(spark, data).collect()}
+        assert set(got) == set(want) and want
+        for d, (y, p) in want.items():
+            e2, total = ((y - p) ** 2).sum(), ((y - y.mean()) ** 2).sum()
+            assert got[d]["n"] == len(y) and got[d]["rmse"] == pytest.approx(np.sqrt(e2 / len(y)), rel=1e-6)
+            assert got[d]["r2"] == pytest.approx(1 - e2 / total, abs=1e-6)
+
+    rows, names = registered._dense(spark, data)
+    frame = rows.toPandas().dropna(subset=[*names, "y"])
+    weak, plain, more, chosen = 1e8, {}, {}, []
+    for d, f in frame.groupby("ds"):
+        x, y, folds = f[names].to_numpy(float), f["y"].to_numpy(float), f["fold"].to_numpy()
+        p, alphas = nested(x, y, folds)
+        plain[d], chosen = (y, p), chosen + alphas
+        more[d] = (y, added(x[:, :60], y, folds, x[:, 60:]))
+    check("ridge_nested_cv", plain)
+    check("residual_addition", more)
+    told: dict[float, int] = {}
+    for r in registered.QUERIES["ridge_tuning"].build(spark, data).collect():
+        told[min(r["alpha"], weak)] = told.get(min(r["alpha"], weak), 0) + r["n"]
+    assert told == {a: sum(min(c, weak) == a for c in chosen) for a in {min(c, weak) for c in chosen}}
+
+    frame = modelled._repeated(spark, data)[0].toPandas().dropna(subset=[*names, "y"])
+    want = {}
+    for d, f in frame.groupby("ds"):
+        f = f.assign(prediction=0.0)
+        for _, part in f.groupby("repeat"):
+            f.loc[part.index, "prediction"] = nested(part[names].to_numpy(float), part["y"].to_numpy(float), part["fold"].to_numpy())[0]
+        mean = f.groupby("vec_id")[["y", "prediction"]].mean()
+        want[d] = (mean["y"].to_numpy(), mean["prediction"].to_numpy())
+    check("repeated_nested_ridge", want)
