@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import stable
+
 QC = "check_id string, dataset string, status string, observed string, expected string"
 
 
@@ -86,10 +88,15 @@ def one_base(start: str, end: str) -> Column:
 
 
 def replicates_agree(df: DataFrame, first: str, second: str, least: float = 0.85) -> DataFrame:
-    """QC-05: (n, spearman, status) of two replicates over the rows that have both; FAIL below ``least`` or where it is undefined."""
+    """QC-05: (n, spearman, status) of two replicates over the rows that have both; FAIL below ``least`` or where it is undefined.
+
+    The rows are checkpointed, as ranks are joined to them by value: an average's last digits depend on
+    the order in which partial sums arrive, so a second evaluation may give others.
+    """
     from .ranks import percentile_ranks
 
-    both = df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"))
+    known = df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
+    both = stable(known.select(F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b")))
     ranked = percentile_ranks(percentile_ranks(both, "a", out="ra"), "b", out="rb")
     found = ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("spearman"))
     return found.withColumn("status", F.when(F.coalesce(F.col("spearman") >= least, F.lit(False)), "PASS").otherwise("FAIL"))
