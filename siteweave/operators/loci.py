@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import primary_region
 from ..functions.special import wilson
+from .storage import stable
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", one_left: bool = False) -> DataFrame:
@@ -176,6 +177,41 @@ def annotate(points: DataFrame, features: DataFrame, key: str, on: list[str], po
     )
 
 
+#: Places that are broadcast to their points; more are shuffled.
+FEW_PLACES = 250_000
+
+
+def annotation_counts(points: DataFrame, features: DataFrame, key: str, on: list[str], pos: str, start: str, end: str, gene: str, width: int) -> DataFrame:
+    """JN-11 by key, without the genes' names: (key, n_genes, unique_gene, gene_status), however many features hold a point.
+
+    Genes of a single interval are counted per distinct interval before anything meets them, others
+    keep their name. Every distinct place is counted once and handed to the keys that lie there; only
+    keys with several places meet the intervals themselves, as their places may share genes.
+    """
+    span = [*on, start, end]
+    known = features.where(F.col(gene).isNotNull() & (F.col(start) <= F.col(end))).select(*span, gene).repartition(gene).distinct()
+    own = F.when(F.count("*").over(Window.partitionBy(gene)) > 1, F.col(gene))
+    spans = stable(known.withColumn("__own", own).groupBy(*span, "__own").agg(F.count("*").alias("__n"), F.min(gene).alias(gene)))
+
+    def counted(at: DataFrame, by: list[str]) -> DataFrame:
+        alike = [F.when(F.col("__own").isNull(), F.col(c)).alias(f"__a_{c}") for c in span]  # a gene with a name counts once
+        each = within(at, spans, on, pos, start, end, width).groupBy(*by, *alike, "__own").agg(F.max("__n").alias("__n"), F.min(gene).alias(gene))
+        return each.groupBy(*by).agg(F.sum("__n").alias("__n"), F.min(gene).alias(gene))
+
+    place = [*on, pos]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [key, *place]])
+    held = stable(counted(points.where(whole).select(*place).distinct(), place))
+    held = F.broadcast(held) if held.count() <= FEW_PLACES else held
+    lies = points.select(key, *[F.when(whole, F.col(c)).alias(c) for c in place]).repartition(key).distinct()
+    lies = lies.withColumn("__places", F.count("*").over(Window.partitionBy(key)))
+    one, several = lies.where("__places = 1"), lies.where("__places > 1").select(key, *place)
+    found = one.join(held, place, "left").select(key, "__n", gene).unionByName(several.select(key).distinct().join(counted(several, [key]), key, "left"))
+    n = F.coalesce("__n", F.lit(0)).cast("int")
+    status = F.when(n == 0, "no_exon").when(n == 1, "unique_gene").otherwise("multi_gene_ambiguous")
+    return found.select(key, n.alias("n_genes"), F.when(n == 1, F.col(gene)).alias("unique_gene"), status.alias("gene_status"))
+
+
+
 def attach(df: DataFrame, values: DataFrame, on: list[str]) -> tuple[DataFrame, Column]:
     """JN-13, 14: a left join, and the share of rows that found a value as an aggregate expression."""
     found = values.withColumn("__found", F.lit(1))

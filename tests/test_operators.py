@@ -416,3 +416,23 @@ def test_replicates_agree_on_levels_whose_last_digits_vary(spark):
     df = spark.range(1, 41).select(wobbling("id").alias("a"), wobbling("id").alias("b"))
     n, spearman, status = gates.replicates_agree(df, "a", "b").first()
     assert (n, status) == (40, "PASS") and spearman == pytest.approx(1)
+
+
+def test_annotation_counts_by_key(spark, monkeypatch):
+    """Keys of several places, genes of several intervals, equal intervals, and rows without a place or an end."""
+    rng = np.random.default_rng(4)
+    points = [(f"k{int(k)}", int(c), int(p)) for k, c, p in zip(rng.integers(0, 150, 200), rng.integers(0, 3, 200), rng.integers(0, 60, 200), strict=True)]
+    points += [("none", 1, None), ("none", None, 4), ("k1", 1, None), ("far", 0, 500)]
+    starts = rng.integers(0, 60, 60)
+    spans = [(int(c), int(s), int(s + n), f"g{i if i < 50 else i % 5}") for i, (c, s, n) in enumerate(zip(rng.integers(0, 3, 60), starts, rng.integers(0, 5, 60), strict=True))]
+    spans += [(1, int(s), int(s), f"h{s}{x}") for s in range(0, 60, 9) for x in "ab"] + [(1, 2, None, "x"), (1, 9, 3, "x"), (None, 0, 60, "x"), (2, 0, 60, None)]
+    want = {}
+    for k in {p[0] for p in points}:
+        held = {g for c, s, e, g in spans for q, d, p in points if q == k and None not in (c, e, g, d, p) and c == d and s <= p <= e}
+        status = "no_exon" if not held else "unique_gene" if len(held) == 1 else "multi_gene_ambiguous"
+        want[k] = len(held), min(held) if len(held) == 1 else None, status
+    a = spark.createDataFrame(points, "k string, c int, p int")
+    b = spark.createDataFrame(spans, "c int, s int, e int, g string")
+    for few in (loci.FEW_PLACES, 0):
+        monkeypatch.setattr(loci, "FEW_PLACES", few)
+        assert {r[0]: tuple(r)[1:] for r in loci.annotation_counts(a, b, "k", ["c"], "p", "s", "e", "g", 2).collect()} == want

@@ -32,6 +32,18 @@ def test_range_join_is_no_nested_loop(spark, data):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_intervals_that_many_points_share_are_counted_once(spark, tmp_path):
+    """2,000 lines and 2,000 orders of one day: no join has a row for each pair."""
+    day = "timestamp'1995-01-01' as"
+    spark.range(2000).selectExpr("id as o_orderkey", "7L as o_custkey", f"{day} o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(2000).selectExpr("id as l_orderkey", "7L as l_partkey", "cast(1 as int) as l_linenumber", f"{day} l_shipdate", "'A' as l_returnflag")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = plans.interval_annotation(spark, str(tmp_path))
+    assert {tuple(r)[1:] for r in out.collect()} == {(2000, None, "multi_gene_ambiguous")}
+    assert "collect_set" not in out._jdf.queryExecution().toString()
+    same(out, connect(str(tmp_path)), plans.oracle_sql()["interval_annotation"])
+
+
 def test_values_of_queries_without_sql(spark, data):
     """Minima of fits, held-out AUROC and the evaluation record, by plain means on the same rows."""
     import numpy as np
