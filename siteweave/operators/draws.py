@@ -5,10 +5,14 @@ over the cells of each chunk. Every node has a random stream of its own, keyed b
 and the node's number, so any partitioning gives the same counts. With replacement the counts are
 multinomial, without it multivariate hypergeometric; both are exact, and their work is cells times
 replicates whatever the number of rows.
+
+``text_draws`` gives the draws that SQL can repeat, a hash each, in whole batches.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,3 +93,75 @@ def cell_counts(cells: DataFrame, size: str, columns: list[str], replicates: int
 
     kinds = ", ".join(["rep long", *[f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in columns], "m long"])
     return asked.select("rep", "chunk", "n", "sizes", *columns).mapInPandas(count, kinds)
+
+
+#: MD5's shifts and sines (fixed values).
+_SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Texts hashed at a time, whose words fit a core's cache, and the longest text of one MD5 block.
+BATCH, ONE_BLOCK = 16384, 55
+
+
+def _first_bits(words: list) -> np.ndarray:
+    """The first 48 bits of the MD5 of one-block messages; ``words`` are 16 arrays (or numbers) of 32 bits."""
+    a, b, c, d = (np.full(len(words[14]), x, np.uint32) for x in _START)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            k = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            k = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            k = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            k = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        f += np.uint32(_SINES[i])
+        f += words[k]
+        np.left_shift(f, np.uint32(_SHIFTS[i]), out=g)
+        f >>= np.uint32(32 - _SHIFTS[i])
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    a += np.uint32(_START[0])
+    b += np.uint32(_START[1])
+    return (a.byteswap().astype(np.int64) << 16) | (b.byteswap() >> np.uint32(16)).astype(np.int64)
+
+
+def text_draws(heads: list[bytes], tails: list[bytes]) -> Iterator[np.ndarray]:
+    """For each head the 48 bits that ``resample.draw`` takes from the MD5 of head + tail, for all tails at once.
+
+    Tails are laid out once per length of a head; texts of more than one block are hashed one by one.
+    """
+    size = np.array([len(t) for t in tails], np.int64)
+    laid: dict[int, tuple] = {}
+    for head in heads:
+        h = len(head)
+        if h not in laid:
+            long = np.nonzero(size > ONE_BLOCK - h)[0]
+            kept = np.where(size > ONE_BLOCK - h, 0, size) if h <= ONE_BLOCK else np.zeros_like(size)
+            block = np.zeros((len(tails), 64), np.uint8)
+            flat = np.frombuffer(b"".join(t[:k] for t, k in zip(tails, kept, strict=True)), np.uint8)
+            start = np.cumsum(kept) - kept
+            block[np.repeat(np.arange(len(tails)), kept), h % 64 + np.arange(len(flat)) - np.repeat(start, kept)] = flat
+            block[np.arange(len(tails)), np.minimum(h + kept, ONE_BLOCK)] = 0x80
+            block[:, 56:58] = ((h + kept) * 8).astype("<u2").view(np.uint8).reshape(-1, 2)
+            laid[h] = np.ascontiguousarray(block.view("<u4").T), long
+        words, long = laid[h]
+        first = np.frombuffer(head[:ONE_BLOCK].ljust(64, b"\0"), "<u4")
+        out = _first_bits([w | x if x else w for w, x in zip(words, first, strict=True)])
+        for i in long:
+            out[i] = int(hashlib.md5(head + tails[i], usedforsecurity=False).hexdigest()[:12], 16)
+        yield out

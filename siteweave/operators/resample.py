@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .draws import cell_counts, chunked, drawn_chunks, split, stream
+from .draws import BATCH, cell_counts, chunked, drawn_chunks, split, stream, text_draws
 from .ranks import bh_adjust, histogram, running, with_totals
 from .stats import auroc_of
 from .storage import stable
@@ -93,12 +93,19 @@ def row_bootstrap(df: DataFrame, scores: list[str], label: str, key: str, replic
     return out
 
 
+#: Cells whose bounds every task of hashed draws holds; the draws of more are joined to them instead.
+MOST_CELLS = 1 << 16
+
+
 def _hashed_counts(cells: DataFrame, scores: list[str], replicates: int, seed: int) -> DataFrame:
     """(rep, <scores>, y, m) of cells, a hash per draw."""
     cells = running(cells, [], [*[F.col(s) for s in scores], F.col("y")], ["size"])
     cells = stable(cells.select(*scores, "y", (F.col("cum_size") - F.col("size")).alias("first"), (F.col("cum_size") - 1).alias("last")))
-    last = cells.agg(F.max("last").alias("n")).first()["n"]
+    last, many = cells.agg(F.max("last"), F.count("*")).first()
     n = 0 if last is None else last + 1
+    if n and many <= MOST_CELLS:
+        hit = _cell_draws(cells, n, replicates, seed).join(F.broadcast(cells), "first")  # ``MOST_CELLS`` at most
+        return hit.select("rep", *scores, "y", "m")
     width = max(1, n // 1000)
     drawn = multiplicities(cells.sparkSession, n, replicates, seed) if n else cells.select(F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("idx"), F.lit(0).cast("long").alias("m")).limit(0)
     spread = cells.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
@@ -106,6 +113,40 @@ def _hashed_counts(cells: DataFrame, scores: list[str], replicates: int, seed: i
     return hit.select("rep", *scores, "y", "m")
 
 
+def _cell_draws(cells: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, first, m): how many of a replicate's n draws fall into the cell that begins at ``first``.
+
+    Tasks hash runs of draws for a share of the replicates and count them by cell, so no draw leaves a task.
+    """
+    spark = cells.sparkSession
+    firsts = np.array(sorted(r["first"] for r in cells.select("first").collect()), np.int64)  # ``MOST_CELLS`` at most
+    share = min(replicates, max(1, (1 << 22) // len(firsts)))  # counts that a task holds
+    runs = -(-n // BATCH)
+    work = runs * -(-replicates // share)
+    parts = min(work, max(int(spark.conf.get("spark.sql.shuffle.partitions")), work * share // 4096))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(part: int, m: np.ndarray) -> pd.DataFrame:
+            rep, at = np.nonzero(m)
+            return pd.DataFrame({"rep": rep + part * share, "first": firsts[at], "m": m[rep, at]})
+
+        now, held = None, None
+        for part, run in (divmod(int(w), runs) for f in frames for w in f["id"]):
+            reps = range(part * share, min((part + 1) * share, replicates))
+            if part != now:
+                if held is not None:
+                    yield told(now, held)
+                now, held = part, np.zeros((len(reps), len(firsts)), np.int64)
+            tails = [b"%d" % i for i in range(run * BATCH, min((run + 1) * BATCH, n))]
+            for m, drawn in zip(held, text_draws([b"%d|%d|" % (seed, r) for r in reps], tails), strict=True):
+                m += np.bincount(np.searchsorted(firsts, drawn % n, "right") - 1, minlength=len(firsts))
+        if held is not None:
+            yield told(now, held)
+
+    counted = spark.range(0, work, 1, parts).mapInPandas(count, "rep long, first long, m long")
+    return counted.groupBy("rep", "first").agg(F.sum("m").alias("m"))
+
+
 def paired_difference(df: DataFrame, scores: tuple[str, str], label: str, key: str, replicates: int, seed: int, by_row: bool = False) -> DataFrame:
     """RS-06: interval of AUROC(second) - AUROC(first) over shared draws, and the share of replicates above 0."""
     both = row_bootstrap(df, list(scores), label, key, replicates, seed, by_row=by_row)

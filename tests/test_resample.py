@@ -154,3 +154,25 @@ def test_intervals_of_any_length_meet_their_points(spark, how):
     bins = F.sequence(loci._bin(F.col("lo"), F.col("level"), 32), loci._bin(F.col("hi"), F.col("level"), 32))
     assert spread.select(F.max(F.size(bins))).first()[0] <= 2
     assert loci.within(pt, iv.limit(0), ["chrom"], "pos", "lo", "hi", 32, how).count() == (len(points) if how == "left" else 0)
+
+
+def test_draws_in_batches_are_those_of_sql(spark):
+    tails = ["", "7", "12:5", "é" * 30, "x" * 44, "x" * 45, "x" * 46, "x" * 200, *map(str, range(300))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tails)], "i int, t string")
+    for seed, rep in ((3, 0), (15, 10), (-4, 1999), (10**60, 5)):
+        want = [r["d"] for r in df.select("i", resample.draw(seed, F.lit(rep), "t").alias("d")).orderBy("i").collect()]
+        assert next(draws.text_draws([f"{seed}|{rep}|".encode()], [t.encode() for t in tails])).tolist() == want
+
+
+def test_drawn_rows_are_counted_by_cell_inside_tasks(spark, monkeypatch):
+    """Draws of few cells never leave a task, and are those that are joined to the bounds of many."""
+    monkeypatch.setattr(resample, "BATCH", 64)
+    df = spark.range(500).selectExpr("id as k", "cast(id * 7 % 11 as double) as s", "cast(id % 3 as double) as t", "cast(id % 5 < 2 as int) as y")
+    few = resample.row_bootstrap(df, ["s", "t"], "y", "k", 30, 9, by_row=True)
+    cells = df.groupBy("s", "t", "y").agg(F.count("*").alias("size"))
+    counted = resample._hashed_counts(cells, ["s", "t"], 30, 9)
+    assert "md5" not in counted._jdf.queryExecution().toString()
+    assert {r[1] for r in counted.groupBy("rep").agg(F.sum("m")).collect()} == {500}
+    monkeypatch.setattr(resample, "MOST_CELLS", 3)
+    many = resample.row_bootstrap(df, ["s", "t"], "y", "k", 30, 9, by_row=True)
+    assert few.count() == 30 and few.exceptAll(many).isEmpty()
