@@ -200,20 +200,84 @@ def stratified_permutation(df: DataFrame, value: str, label: str, stratum: str,
             yield pd.DataFrame({"rep": f["rep"], "v1": sums}).groupby("rep", as_index=False).sum()
 
     dealt = asked.mapInPandas(deal, "rep long, v1 double").groupBy("rep").agg(F.sum("v1").alias("v1"))
-    all_ = rows.agg(F.count("*").alias("n"), F.sum("y").alias("n1"), F.sum("v").alias("v"))  # one row
-    both = df.sparkSession.range(replicates).select(F.col("id").alias("rep")).join(dealt, "rep", "left").crossJoin(all_).where("n > 0")
+    return _differences(rows.agg(F.count("*").alias("n"), F.sum("y").alias("n1"), F.sum("v").alias("v")), dealt, replicates)
+
+
+def _differences(all_: DataFrame, dealt: DataFrame, replicates: int) -> DataFrame:
+    """(rep, difference) from ``dealt``, the sum v1 of the values with label 1 by replicate (none: 0); ``all_`` is one row, n, n1 and v of all."""
+    both = all_.sparkSession.range(replicates).select(F.col("id").alias("rep")).join(dealt, "rep", "left").crossJoin(all_).where("n > 0")
     v1 = F.coalesce("v1", F.lit(0.0))
     return both.select("rep", (F.try_divide(v1, F.col("n1")) - F.try_divide(F.col("v") - v1, F.col("n") - F.col("n1"))).alias("difference"))
 
 
+#: Half the width, in standard errors of a rank, of the draws among which a stratum's last label 1 is sought.
+BAND = 4.5
+#: Strata that are broadcast to their rows, and rows of one stratum, about, that one task hashes.
+FEW_STRATA, STRATUM_ROWS = 100_000, 1 << 15
+
+
 def _hashed_permutation(rows: DataFrame, stratum: str, key: str, replicates: int, seed: int) -> DataFrame:
-    ones = rows.groupBy(stratum).agg(F.sum("y").alias("ones"))
-    spread = rows.join(ones, stratum).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = spread.withColumn("__draw", draw(seed, "rep", key)).withColumn("__one", F.lit(1).cast("long"))
-    ranked = running(drawn, ["rep", stratum], [F.col("__draw"), F.col(key)], ["__one"])
-    dealt = ranked.withColumn("y1", F.col("cum___one") <= F.col("ones"))
-    mean = lambda c: F.avg(F.when(c, F.col("v")))
-    return dealt.groupBy("rep").agg((mean(F.col("y1")) - mean(~F.col("y1"))).alias("difference"))
+    """The ``ones`` smallest hashes of a stratum have label 1, ties by ``key``; rows are hashed inside tasks.
+
+    Of n hashes the k smallest lie under about k / n of their range. What is surely below leaves its
+    task as a sum; only hashes near that place leave it themselves, some square root of n. Where the
+    last label 1 isn't among these, or hangs on a tie, the stratum is ranked row by row instead.
+    """
+    per = rows.groupBy(stratum).agg(F.sum("y").alias("ones"), F.count("*").alias("__n"), F.sum("v").alias("__v"))
+    half = F.lit(BAND) * F.sqrt(F.col("ones") * (1 - F.col("ones") / F.col("__n"))) + 4
+    edge = lambda k: F.floor(F.least(F.greatest(k / F.col("__n"), F.lit(0.0)), F.lit(1.0)) * F.lit(float(1 << 48))).cast("long")
+    per = stable(per.select(stratum, "ones", "__n", "__v", edge(F.col("ones") - half).alias("__lo"), edge(F.col("ones") + half).alias("__hi"), F.ceil(F.col("__n") / STRATUM_ROWS).alias("__parts")))
+    few = per.drop("__n", "__v")
+    few = F.broadcast(few) if per.count() <= FEW_STRATA else few
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.join(few, stratum).select(
+        F.col(stratum).alias("__s"), "ones", "__lo", "__hi", F.encode(F.col(key).cast("string"), "utf-8").alias("__k"), "v", F.pmod(F.xxhash64(F.lit("part"), key), "__parts").alias("__part")
+    )
+    placed = placed.repartition(spread, "__s", "__part").sortWithinPartitions("__s").drop("__part")
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def hashed(f: pd.DataFrame) -> pd.DataFrame:
+            name, ones, lo, hi = f[["__s", "ones", "__lo", "__hi"]].iloc[0]
+            v, out = f["v"].to_numpy(float), []
+            for rep, d in enumerate(text_draws([b"%d|%d|" % (seed, r) for r in range(replicates)], f["__k"].tolist())):
+                below = d < lo
+                at = np.nonzero((d < hi) & ~below)[0]
+                out.append((rep, name, ones, np.count_nonzero(below), v[below].sum(), d[at], v[at]))
+            return pd.DataFrame(out, columns=["rep", "__s", "ones", "below", "sum", "d", "v"])
+
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            for _, own in f.groupby((f["__s"] != f["__s"].shift()).cumsum(), sort=False):
+                if held and (held[0]["__s"].iloc[0] != own["__s"].iloc[0] or sum(map(len, held)) >= BATCH):
+                    yield hashed(pd.concat(held))
+                    held = []
+                held.append(own)
+        if held:
+            yield hashed(pd.concat(held))
+
+    kind = rows.schema[stratum].dataType.simpleString()
+    found = placed.mapInPandas(near, f"rep int, __s {kind}, ones long, below long, sum double, d array<long>, v array<double>")
+    joint = found.groupBy("rep", "__s", "ones").agg(
+        F.sum("below").alias("below"), F.sum("sum").alias("sum"), F.flatten(F.collect_list("d")).alias("d"), F.flatten(F.collect_list("v")).alias("v")
+    )
+
+    def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            sums: list[float | None] = []
+            for ones, below, total, d, v in zip(f["ones"], f["below"], f["sum"], f["d"], f["v"], strict=True):
+                k, order = ones - below, np.argsort(d)
+                sure = 0 <= k <= len(d) and (k in (0, len(d)) or d[order[k - 1]] < d[order[k]])
+                sums.append(total + np.asarray(v, float)[order[:k]].sum() if sure else None)
+            yield pd.DataFrame({"rep": f["rep"], "__s": f["__s"], "v1": sums})
+
+    sums = stable(joint.mapInPandas(last, f"rep int, __s {kind}, v1 double"))
+    unsure = sums.where(F.col("v1").isNull()).select("rep", F.col("__s").alias(stratum))
+    if not unsure.isEmpty():
+        drawn = rows.join(per.select(stratum, "ones"), stratum).join(unsure, stratum).withColumn("__draw", draw(seed, "rep", key)).withColumn("__one", F.lit(1).cast("long"))
+        ranked = running(drawn, ["rep", stratum], [F.col("__draw"), F.col(key)], ["__one"])
+        sums = sums.select("rep", "v1").unionByName(ranked.where(F.col("cum___one") <= F.col("ones")).select("rep", F.col("v").alias("v1")))
+    all_ = per.agg(F.sum("__n").alias("n"), F.sum("ones").alias("n1"), F.sum("__v").alias("v"))
+    return _differences(all_, sums.groupBy("rep").agg(F.sum("v1").alias("v1")), replicates).withColumn("rep", F.col("rep").cast("int"))
 
 
 def random_sets(df: DataFrame, key: str, value: str, k: int, replicates: int, seed: int) -> DataFrame:

@@ -176,3 +176,26 @@ def test_drawn_rows_are_counted_by_cell_inside_tasks(spark, monkeypatch):
     monkeypatch.setattr(resample, "MOST_CELLS", 3)
     many = resample.row_bootstrap(df, ["s", "t"], "y", "k", 30, 9, by_row=True)
     assert few.count() == 30 and few.exceptAll(many).isEmpty()
+
+
+def test_smallest_hashes_of_a_stratum_are_found_near_their_place(spark, monkeypatch):
+    """Label 1 goes to the smallest hashes, whether these are sought in a band, in one that misses them, or tie."""
+    import hashlib
+
+    data = [(s, f"{s}:{i}", float(i * 7 % 13), int(i % m == 0)) for s, n, m in (("a", 3000, 3), ("b", 400, 50), ("c", 30, 1), ("d", 1, 2), ("e", 60, 99)) for i in range(n)]
+    data += [("t", "twin", float(v), int(v < 3)) for v in (5, 5, 5, 5, 5)]
+    df = spark.createDataFrame(data, "s string, k string, v double, y int").repartition(3)
+    want = {}
+    for rep in range(6):
+        ones = []
+        for s in "abcdet":
+            own = sorted((hashlib.md5(f"9|{rep}|{k}".encode()).hexdigest()[:12], k, v) for t, k, v, _ in data if t == s)
+            ones += [v for _, _, v in own[: sum(y for t, _, _, y in data if t == s)]]
+        rest = sum(v for _, _, v, _ in data) - sum(ones)
+        want[rep] = sum(ones) / len(ones) - rest / (len(data) - len(ones))
+    for band, batch in ((resample.BAND, resample.BATCH), (0.0, 100), (-1.0, 7)):
+        monkeypatch.setattr(resample, "BAND", band)
+        monkeypatch.setattr(resample, "BATCH", batch)
+        got = resample.stratified_permutation(df, "v", "y", "s", "k", 6, 9, by_row=True)
+        assert {r["rep"]: r["difference"] for r in got.collect()} == pytest.approx(want)
+    assert "md5" not in resample.stratified_permutation(df.where("s = 'c'"), "v", "y", "s", "k", 6, 9, by_row=True)._jdf.queryExecution().toString()
