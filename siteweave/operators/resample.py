@@ -413,17 +413,76 @@ def _replicates(paired: DataFrame, sizes: DataFrame, dataset: str, replicates: i
     return reps.join(named, dataset).join(drawn, ["rep", "d"]).drop("d")
 
 
+#: Numbers of one dataset that a task holds to draw from, and tasks that share a dataset's replicates at most.
+MOST_HELD, MOST_SHARES = 1 << 22, 8
+
+
 def _hashed_r2(paired: DataFrame, rows: DataFrame, dataset: str, unit: str, models: list[str], replicates: int, seed: int, hierarchical: bool) -> DataFrame:
-    """A hash per draw; draws are made in runs of ``RUN``, which are dealt to all tasks."""
+    """A hash per draw, made and added up inside tasks that hold a dataset; for datasets of more than ``MOST_HELD``
+    numbers, draws are made in runs of ``RUN``, which are dealt to all tasks, and joined to the rows."""
     rows = numbered(rows, [unit], group=[dataset])
-    reps = _replicates(paired, rows.groupBy(dataset).agg(F.count("*").alias("n")), dataset, replicates, seed, hierarchical)
+    sizes = stable(rows.groupBy(dataset).agg(F.count("*").alias("n")))
+    reps = _replicates(paired, sizes, dataset, replicates, seed, hierarchical)
+    fits = F.col("n") * (1 + len(models)) <= MOST_HELD
+    large = sizes.where(~fits).select(dataset)
+    some = not large.isEmpty()
+    held = _held_r2(rows.join(large, dataset, "left_anti") if some else rows, sizes.count(), dataset, models, replicates, seed)
+    out = reps.select("rep", dataset, "times").join(stable(held), ["rep", dataset])
+    return out.unionByName(_joined_r2(rows, reps.where(~fits), dataset, models, seed)) if some else out
+
+
+def _held_r2(rows: DataFrame, datasets: int, dataset: str, models: list[str], replicates: int, seed: int) -> DataFrame:
+    """(rep, dataset, r2_<model>...): tasks hold the numbered rows of a dataset for a share of the replicates."""
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = -(-replicates // max(1, min(MOST_SHARES, replicates, spread // max(datasets, 1))))
+    values = F.array("y", *[F.col(m).cast("double") for m in models])
+    packed = rows.select(dataset, F.col(dataset).cast("string").alias("__t"), F.call_function("div", F.col("idx"), F.lit(CHUNK_ROWS)).alias("__c"), F.struct("idx", values.alias("v")).alias("__v"))
+    packed = packed.groupBy(dataset, "__t", "__c").agg(F.flatten(F.sort_array(F.collect_list("__v")).getField("v")).alias("values"))  # ``CHUNK_ROWS`` at most
+    shares = packed.withColumn("__first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(share))))
+    placed = shares.repartition(spread, dataset, "__first").sortWithinPartitions(dataset, "__first", "__c")
+
+    def r2(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def drawn(name, text: str, first: int, parts: list[np.ndarray]) -> pd.DataFrame:
+            v = np.concatenate(parts).reshape(-1, 1 + len(models))
+            n, y = len(v), v[:, :1]
+            terms = np.hstack([y, y**2, (y - v[:, 1:]) ** 2])
+            mine = range(first, min(first + share, replicates))
+            sums = np.zeros((len(mine), terms.shape[1]))
+            heads = [f"{seed}|{text}|{rep}|".encode() for rep in mine]
+            for i in range(0, n, BATCH):
+                for s, d in zip(sums, text_draws(heads, [b"%d" % j for j in range(i, min(i + BATCH, n))]), strict=True):
+                    s += terms[d % n].sum(axis=0)
+            total = sums[:, 1] - sums[:, 0] ** 2 / n
+            out = {"rep": mine, dataset: [name] * len(mine)}
+            for k, m in enumerate(models):
+                out[f"r2_{m}"] = [1 - e / t if t else None for e, t in zip(sums[:, 2 + k], total, strict=True)]
+            return pd.DataFrame(out)
+
+        now, held = None, []
+        for f in frames:
+            for name, text, first, values in zip(f[dataset], f["__t"], f["__first"], f["values"], strict=True):
+                if now is not None and now[1:] != (text, first):
+                    yield drawn(*now, held)
+                    held = []
+                now = name, text, first
+                held.append(np.asarray(values, float))
+        if now is not None:
+            yield drawn(*now, held)
+
+    kinds = ", ".join(["rep long", f"`{dataset}` {rows.schema[dataset].dataType.simpleString()}", *[f"`r2_{m}` double" for m in models]])
+    return placed.mapInPandas(r2, kinds)
+
+
+def _joined_r2(rows: DataFrame, reps: DataFrame, dataset: str, models: list[str], seed: int) -> DataFrame:
+    """(rep, dataset, times, r2_<model>...) by draws that are joined to their rows."""
     runs = reps.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
-    spread = int(paired.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = runs.repartition(spread, "rep", dataset, "first")
     draws = runs.withColumn("i", F.explode(F.sequence("first", F.least(F.col("first") + RUN, F.col("n")) - 1)))
     picks = draws.groupBy("rep", dataset, "times", (draw(seed, dataset, "rep", "i") % F.col("n")).alias("idx")).agg(F.count("*").alias("m"))
     m = F.col("m")
     total = F.sum(m * F.col("y") ** 2) - F.sum(m * F.col("y")) ** 2 / F.sum(m)
-    return picks.join(rows, [dataset, "idx"]).groupBy("rep", dataset, "times").agg(
+    # Spark takes exploded rows for as few as there were before, and would broadcast them.
+    return picks.hint("merge").join(rows, [dataset, "idx"]).groupBy("rep", dataset, "times").agg(
         *[(1 - F.try_divide(F.sum(m * (F.col("y") - F.col(c)) ** 2), total)).alias(f"r2_{c}") for c in models]
     )

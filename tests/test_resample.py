@@ -199,3 +199,22 @@ def test_smallest_hashes_of_a_stratum_are_found_near_their_place(spark, monkeypa
         got = resample.stratified_permutation(df, "v", "y", "s", "k", 6, 9, by_row=True)
         assert {r["rep"]: r["difference"] for r in got.collect()} == pytest.approx(want)
     assert "md5" not in resample.stratified_permutation(df.where("s = 'c'"), "v", "y", "s", "k", 6, 9, by_row=True)._jdf.queryExecution().toString()
+
+
+def test_draws_of_r_squared_stay_in_tasks_or_are_merged(spark, monkeypatch):
+    """Draws of datasets that tasks hold, and of larger ones, are the same; the latter are never broadcast."""
+    monkeypatch.setattr(resample, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(resample, "BATCH", 64)
+    df = spark.range(300).selectExpr("if(id < 190, 'a', if(id < 299, 'bé', 'one')) as ds", "id as u", "cast(id * 7 % 11 as double) as y", "cast(id * 5 % 7 as double) as p", "cast(id % 4 as double) as q")
+    for hierarchical in (False, True):
+        found = []
+        for held in (1 << 22, 400, 0):
+            monkeypatch.setattr(resample, "MOST_HELD", held)
+            out = resample.r2_bootstrap(df.repartition(3), "ds", "u", "y", ["p", "q"], 20, 9, hierarchical=hierarchical, by_row=True)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("sequence(first" in plan) == (held < 1 << 22) and not any("BroadcastHashJoin" in x and "idx" in x for x in plan.splitlines())
+            found.append({(r["rep"], r["ds"]): (r["times"], r["r2_p"], r["r2_q"]) for r in out.collect()})
+        assert {k[1] for k in found[0]} == {"a", "bé", "one"} and found[0].keys() == found[1].keys() == found[2].keys()
+        for k, (times, p, q) in found[0].items():
+            for other in found[1:]:
+                assert (other[k][0], *other[k][1:]) == (times, *([None, None] if k[1] == "one" else [pytest.approx(p), pytest.approx(q)]))
