@@ -28,7 +28,8 @@ class Task:
     Rows with a null among features, label or weight, or with weight 0, take no part; nor do those
     of the fold ``left_out``. ``c`` is the inverse penalty of standardised coefficients (None: no
     penalty and no standardisation); with a penalty, weights are scaled to a mean of 1. With
-    ``trials`` the label counts successes among the weight's trials instead.
+    ``trials`` the label counts successes among the weight's trials instead. ``count`` names the
+    column of how many rows a row stands for, whose weights its weight is the sum of (None: one).
     """
 
     features: tuple[str, ...]
@@ -38,18 +39,19 @@ class Task:
     fold: str | None = None
     left_out: int | None = None
     trials: bool = False
+    count: str | None = None
 
-    def rows(self, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features, label and weight of the rows that take part."""
+    def rows(self, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Features, label and weight of the rows that take part, and for how many rows they stand."""
         x, y, w = f[list(self.features)].to_numpy(float), f[self.label].to_numpy(float), f[self.weight].to_numpy(float)
         good = (w > 0) & ~np.isnan(y) & ~np.isnan(x).any(axis=1)
         if self.fold is not None:
             good &= f[self.fold].to_numpy(float) != self.left_out
-        return x[good], y[good], w[good]
+        return x[good], y[good], w[good], int(good.sum() if self.count is None else f[self.count].to_numpy()[good].sum())
 
     @property
     def data(self) -> tuple:
-        return self.features, self.weight, self.label, self.fold, self.left_out
+        return self.features, self.weight, self.label, self.fold, self.left_out, self.count
 
 
 def gather(table: DataFrame, kernel: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]], n: int) -> list[np.ndarray | None]:
@@ -77,8 +79,8 @@ def moments(table: DataFrame, tasks: list[Task]) -> list[dict]:
 
     def kernel(f: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
         for i, t in enumerate(first):
-            x, y, w = t.rows(f)
-            yield i, np.concatenate(([len(w), w.sum(), w @ y], w @ x, w @ (x * x)))
+            x, y, w, n = t.rows(f)
+            yield i, np.concatenate(([n, w.sum(), w @ y], w @ x, w @ (x * x)))
 
     found = dict(zip(kinds, gather(table, kernel, len(kinds)), strict=True))
     out = []
@@ -139,7 +141,7 @@ def fit_all(table: DataFrame, tasks: list[Task], rounds: int = ROUNDS) -> list[_
             for i, (task, beta, mean, scale, factor) in enumerate(now):
                 if task.data not in held:
                     held[task.data] = task.rows(f)
-                x, y, w = held[task.data]
+                x, y, w, _ = held[task.data]
                 x = np.column_stack([np.ones(len(x)), (x - mean) / scale])
                 trials = w * factor
                 eta = np.clip(x @ beta, -30, 30)

@@ -12,7 +12,7 @@ from ..functions import scalars as fn
 from .fits import Task, fit_all, ranker
 from .ranks import histogram, layered_percentile, percentile_ranks, running, with_totals
 from .resample import draw, paired_difference, row_bootstrap
-from .stats import auroc, macro_auroc, score_by
+from .stats import auroc, auroc_of, macro_auroc, score_by
 from .storage import stable
 
 #: Inverse penalties that tuning tries (fixed values).
@@ -167,17 +167,41 @@ def tune(train: DataFrame, features: list[str], label: str, unit: str, target: s
 MOST_TARGETS = 50
 
 
-def _left_out(tasks: DataFrame, feature_sets: dict[str, list[str]], label: str, unit: str, target: str, c: float | None, grid, folds: int = 5) -> dict[str, Column]:
-    """By feature set, the score of each row by a ranker that never saw its target; all fits in the same rounds."""
+def _alike(tasks: DataFrame, scopes: dict, label: str, unit: str, target: str) -> DataFrame:
+    """(target, label, features, __rows, w<i>, n<i>): rows alike in these, and for each scope those that train it and their weight.
+
+    A row's weight is one by its unit's training rows. A fit or an AUROC needs no more than these sums,
+    and no folds, so rows are shuffled once, by unit.
+    """
+    columns = list(dict.fromkeys([target, label, *sorted({f for fs, _ in scopes.values() for f in fs})]))
+    known = F.col(label).isNotNull() & F.col(unit).isNotNull()
+    whole = [known & _all_known(fs) & (F.lit(True) if t is None else F.coalesce(F.col(target) != t, F.lit(False))) for fs, t in scopes.values()]
+    own = Window.partitionBy(unit)
+    rows = tasks.select(*dict.fromkeys([unit, *columns]))
+    rows = rows.select(*columns, *[F.when(c, 1.0 / F.count_if(c).over(own)).alias(f"w{i}") for i, c in enumerate(whole)])
+    sums = [x for i in range(len(whole)) for x in (F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}"), F.count(f"w{i}").alias(f"n{i}"))]
+    return stable(rows.groupBy(*columns).agg(F.count("*").alias("__rows"), *sums))
+
+
+def _left_out(tasks: DataFrame, feature_sets: dict[str, list[str]], label: str, unit: str, target: str, c: float | None, grid, folds: int = 5) -> tuple[dict[str, Column], DataFrame | None]:
+    """By feature set, the score of each row by a ranker that never saw its target; all fits in the same rounds.
+
+    With ``c`` given also the table of ``_alike``, which the fits use then.
+    """
     targets = [r[0] for r in tasks.select(target).where(F.col(target).isNotNull()).distinct().orderBy(target).limit(MOST_TARGETS + 1).collect()]
     if len(targets) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} values of {target}")
     scopes = {(name, t): (features, t) for name, features in feature_sets.items() for t in targets}
     if not scopes:
-        return {name: F.lit(None).cast("double") for name in feature_sets}
-    table, usable = _scoped(tasks, scopes, label, unit, target, folds)
-    chosen = {s: c for s in scopes} if c is not None else {s: best for s, (best, _) in _tuned(table, usable, scopes, label, target, grid).items()}
-    fits = fit_all(table, [Task(tuple(fs), f"w{usable[s][0]}", label, chosen[s]) for s, (fs, _) in scopes.items()])
+        return {name: F.lit(None).cast("double") for name in feature_sets}, None
+    alike = None
+    if c is not None:
+        alike = _alike(tasks, scopes, label, unit, target)
+        fits = fit_all(alike, [Task(tuple(fs), f"w{i}", label, c, count=f"n{i}") for i, (fs, _) in enumerate(scopes.values())])
+    else:
+        table, usable = _scoped(tasks, scopes, label, unit, target, folds)
+        chosen = {s: best for s, (best, _) in _tuned(table, usable, scopes, label, target, grid).items()}
+        fits = fit_all(table, [Task(tuple(fs), f"w{usable[s][0]}", label, chosen[s]) for s, (fs, _) in scopes.items()])
     models = dict(zip(scopes, map(ranker, fits), strict=True))
     out = {}
     for name in feature_sets:
@@ -185,7 +209,7 @@ def _left_out(tasks: DataFrame, feature_sets: dict[str, list[str]], label: str,
         for t in targets:
             score = F.when(F.col(target) == t, linear_score(models[name, t])).otherwise(score)
         out[name] = score
-    return out
+    return out, alike
 
 
 def leave_target_out(tasks: DataFrame, features: list[str], label: str, unit: str, target: str, c: float | None = None, grid=C_GRID) -> DataFrame:
@@ -193,15 +217,17 @@ def leave_target_out(tasks: DataFrame, features: list[str], label: str, unit: st
 
     Rows without a target stay, unscored. More than ``MOST_TARGETS`` targets are an error.
     """
-    return tasks.withColumn("score", _left_out(tasks, {"all": features}, label, unit, target, c, grid)["all"])
+    return tasks.withColumn("score", _left_out(tasks, {"all": features}, label, unit, target, c, grid)[0]["all"])
 
 
 def model_comparison(tasks: DataFrame, feature_sets: dict[str, list[str]], label: str, unit: str, target: str, c: float | None = None, grid=C_GRID) -> DataFrame:
     """ML-05: (model, target, n, n_pos, auroc) of every feature set, each target scored by rankers that never saw it."""
-    scores = _left_out(tasks, feature_sets, label, unit, target, c, grid)
+    scores, alike = _left_out(tasks, feature_sets, label, unit, target, c, grid)
     each = F.array(*[F.struct(F.lit(name).alias("model"), score.alias("score")) for name, score in scores.items()])
-    rows = tasks.select(target, label, F.explode(each).alias("m")).select(target, label, "m.*")
-    return auroc(rows, "score", label, ["model", target]).select("model", target, "n", "n_pos", "auroc")
+    rows = tasks.withColumn("__rows", F.lit(1).cast("long")) if alike is None else alike
+    rows = rows.select(target, F.col(label).cast("long").alias("y"), "__rows", F.explode(each).alias("m")).select(target, "y", "__rows", "m.*").where("score is not null and y is not null")
+    hist = rows.groupBy("model", target, "score").agg(F.sum(F.col("__rows") * F.col("y")).alias("pos"), F.sum(F.col("__rows") * (1 - F.col("y"))).alias("neg"))
+    return auroc_of(hist, "score", ["model", target]).select("model", target, "n", "n_pos", "auroc")
 
 
 def measures(df: DataFrame, score: str, label: str, fractions: tuple[float, ...] = (0.1, 0.2), budgets: tuple[int, ...] = (50, 100, 200), group: list[str] = ()) -> DataFrame:

@@ -124,3 +124,23 @@ def test_decision_follows_the_evaluations(spark):
     assert got["gain"] == pytest.approx(gain) and useful and got["selected"] == ("full" if ready else "full_qualified") and got["verdict"] == "EXTERNALLY_VALIDATED"
     none = portability.decide(spark, df, df, "flat", "flat", "y", "k", 20).first()
     assert (none["status"], none["selected"], none["verdict"]) == ("NO_USEFUL_RANKING", "none", None)
+
+
+def test_rankers_at_a_given_penalty_need_rows_alike_only(spark, monkeypatch):
+    """Without folds to deal, rows that agree in target, label and features are one row of every fit, and of the AUROC."""
+    rng = np.random.default_rng(8)
+    rows = [(f"u{int(u)}", "ABC"[int(t)], float(a), None if a == 3 and t == 1 else float(b), int(y)) for u, t, a, b, y in zip(rng.integers(0, 90, 400), rng.integers(0, 3, 400), rng.integers(0, 4, 400), rng.integers(0, 3, 400), rng.integers(0, 2, 400), strict=True)]
+    rows += [(None, "A", 1.0, 1.0, 1), ("u1", None, 1.0, 2.0, 0), ("u2", "B", 2.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "unit string, target string, a double, b double, y int")
+    sets = {"one": ["a"], "two": ["a", "b"]}
+    monkeypatch.setattr(portability, "_scoped", None)  # no row is repeated to deal folds
+    got = {(r["model"], r["target"]): r for r in portability.model_comparison(df, sets, "y", "unit", "target", c=0.1).collect()}
+    assert set(got) == {(m, t) for m in sets for t in "ABC"}
+    scored = portability.leave_target_out(df, sets["two"], "y", "unit", "target", c=0.1)
+    assert scored.count() == len(rows)
+    for t in "ABC":
+        for name, features in sets.items():
+            fitted = portability.fit_ranker(df.where(f"target <> '{t}' or target is null").where("unit is not null and target is not null"), features, "y", "unit", 0.1)
+            want = portability.with_score(df.where(f"target = '{t}'"), fitted)
+            seen = portability.auroc(want, "score", "y").first()
+            assert (got[name, t]["n"], got[name, t]["n_pos"]) == (seen["n"], seen["n_pos"]) and got[name, t]["auroc"] == pytest.approx(seen["auroc"], abs=5e-3)
