@@ -317,9 +317,8 @@ def slope_differences(df: DataFrame, unit: str, outcome: str, slopes: dict[str,
     cols = {"__one": F.lit(1.0)} | {c: F.col(c).cast("double") for c in [*used, outcome]}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     sums = rows.groupBy(unit).agg(*[F.sum(cols[a] * cols[b]).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
-    units = numbered(sums, [unit])
-    drawn = units.join(multiplicities(df.sparkSession, units.count(), replicates, seed), "idx")
-    grams = drawn.groupBy("rep").agg(F.array(*[F.sum(F.col("m") * F.col(f"s{i}")) for i in range(len(pairs))]).alias("g"))
+    units = numbered(sums, [unit]).select("idx", F.array(*[F.col(f"s{i}") for i in range(len(pairs))]).alias("v"))
+    grams = _drawn_sums(units, units.count(), len(pairs), replicates, seed)
     place = {p: i for i, p in enumerate(pairs)}
     at = lambda a, b: place.get((a, b), place.get((b, a)))
 
@@ -336,6 +335,67 @@ def slope_differences(df: DataFrame, unit: str, outcome: str, slopes: dict[str,
     return grams.mapInPandas(solve, "rep long, name string, beta double")
 
 
+#: Numbers hashed at a time whose draws leave together, and replicates that a task hashes them for at once.
+RUN_DRAWS, RUN_REPLICATES = 1 << 16, 64
+
+
+def _drawn_sums(rows: DataFrame, n: int, width: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, g): sums of the arrays ``v`` (``width`` numbers) of ``n`` rows numbered by ``idx`` over n hashed draws.
+
+    Draws go to the chunk of rows that they fall into, 4 bytes each and sorted; a task holds a chunk of
+    up to ``MOST_HELD`` numbers and adds up a share of the replicates.
+    """
+    spark = rows.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(1, MOST_HELD // width)
+    chunks, runs = -(-n // size), -(-n // RUN_DRAWS)
+    shares = max(1, min(MOST_SHARES, replicates, spread // max(chunks, 1)))
+
+    def draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run in (int(w) for f in frames for w in f["id"]):
+            for first in range(0, replicates, RUN_REPLICATES):
+                reps = range(first, min(first + RUN_REPLICATES, replicates))
+                found: list[list[np.ndarray]] = [[] for _ in reps]
+                for i in range(run * RUN_DRAWS, min((run + 1) * RUN_DRAWS, n), BATCH):
+                    tails = [b"%d" % j for j in range(i, min(i + BATCH, (run + 1) * RUN_DRAWS, n))]
+                    for held, d in zip(found, text_draws([b"%d|%d|" % (seed, r) for r in reps], tails), strict=True):
+                        held.append(d % n)
+                out = []
+                for rep, held in zip(reps, found, strict=True):
+                    idx = np.sort(np.concatenate(held))
+                    cut = np.searchsorted(idx, np.arange(chunks + 1) * size)
+                    out += [(c, rep % shares, rep, (idx[a:b] - c * size).astype("<u4").tobytes()) for c, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                yield pd.DataFrame(out, columns=["chunk", "share", "rep", "at"])
+
+    drawn = spark.range(0, runs, 1, max(1, min(runs, spread))).mapInPandas(draws, "chunk long, share int, rep long, at binary")
+    drawn = drawn.select("chunk", "share", "rep", F.lit(0).cast("long").alias("part"), F.lit(None).cast("array<double>").alias("values"), "at")
+    placed = rows.select(F.call_function("div", F.col("idx"), F.lit(size)).alias("chunk"), F.call_function("div", F.col("idx"), F.lit(CHUNK_ROWS)).alias("part"), F.struct("idx", "v").alias("r"))
+    packed = placed.groupBy("chunk", "part").agg(F.flatten(F.sort_array(F.collect_list("r")).getField("v")).alias("values"))  # ``CHUNK_ROWS`` at most
+    packed = packed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    packed = packed.select("chunk", "share", F.lit(-1).cast("long").alias("rep"), "part", "values", F.lit(None).cast("binary").alias("at"))
+    both = packed.unionByName(drawn).repartition(spread, "chunk", "share").sortWithinPartitions("chunk", "share", "rep", "part")  # rows come before their draws
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts, v, sums = None, [], None, {}
+        for f in frames:
+            for chunk, share, rep, values, at in zip(f["chunk"], f["share"], f["rep"], f["values"], f["at"], strict=True):
+                if (chunk, share) != now:
+                    if sums:
+                        yield pd.DataFrame({"rep": list(sums), "g": list(sums.values())})
+                    now, parts, v, sums = (chunk, share), [], None, {}
+                if rep < 0:
+                    parts.append(np.asarray(values, float))
+                    continue
+                if v is None:
+                    v, parts = np.concatenate(parts).reshape(-1, width), []
+                sums[rep] = sums.get(rep, 0) + v[np.frombuffer(at, "<u4")].sum(axis=0)
+        if sums:
+            yield pd.DataFrame({"rep": list(sums), "g": list(sums.values())})
+
+    found = both.mapInPandas(add, "rep long, g array<double>")
+    return found.groupBy("rep").agg(F.array(*[F.sum(F.col("g")[i]) for i in range(width)]).alias("g"))
+
+
 def slope_contrasts(replicates: DataFrame, observed: DataFrame) -> DataFrame:
     """RS-07: per pair of models the observed difference, its interval, a two-sided p and its BH q.
 

@@ -218,3 +218,20 @@ def test_draws_of_r_squared_stay_in_tasks_or_are_merged(spark, monkeypatch):
         for k, (times, p, q) in found[0].items():
             for other in found[1:]:
                 assert (other[k][0], *other[k][1:]) == (times, *([None, None] if k[1] == "one" else [pytest.approx(p), pytest.approx(q)]))
+
+
+def test_drawn_units_are_summed_where_their_rows_are(spark, monkeypatch):
+    """Sums over hashed draws, whatever the chunks, shares and runs; none of the draws is a row."""
+    import hashlib
+
+    for name, value in (("MOST_HELD", 60), ("CHUNK_ROWS", 7), ("BATCH", 32), ("RUN_DRAWS", 50), ("RUN_REPLICATES", 3)):
+        monkeypatch.setattr(resample, name, value)
+    rows = [(i, [1.0, float(i * i % 17)]) for i in range(130)]
+    df = spark.createDataFrame(rows, "idx long, v array<double>").repartition(3)
+    out = resample._drawn_sums(df, len(rows), 2, 8, 5)
+    assert "md5" not in out._jdf.queryExecution().toString()
+    got = {r["rep"]: r["g"] for r in out.collect()}
+    for rep in range(8):
+        picks = [int(hashlib.md5(f"5|{rep}|{i}".encode()).hexdigest()[:12], 16) % 130 for i in range(130)]
+        assert got[rep] == [130.0, sum(rows[p][1][1] for p in picks)]
+    assert len(got) == 8 and resample._drawn_sums(df.limit(0), 0, 2, 8, 5).count() == 0
